@@ -394,3 +394,76 @@ ORACLES: dict[str, str] = {
         "SELECT node AS feature, count(*) AS uses FROM tree_nodes WHERE kind = 'split' GROUP BY 1", "tree_nodes"
     ),
 }
+
+_VEC8 = "SELECT id, CAST(embedding[{a}:{b}] AS DOUBLE[]) AS vec FROM ({ids}) JOIN embeddings ON vec_id = id % (SELECT count(*) FROM embeddings)"
+
+ORACLES["bpr_step"] = (
+    _with("", "triples")
+    + ", w AS (SELECT t, p, n, count(*) AS weight FROM triples GROUP BY 1, 2, 3), u AS ("
+    + _VEC8.format(a=1, b=8, ids="SELECT DISTINCT t AS id FROM triples")
+    + "), i AS ("
+    + _VEC8.format(a=33, b=40, ids="SELECT p AS id FROM triples UNION SELECT n FROM triples")
+    + """), g AS (SELECT w.*, u.vec AS uv, pv.vec AS pv, nv.vec AS nv,
+                   -weight / (1 + exp(list_dot_product(u.vec, pv.vec) - list_dot_product(u.vec, nv.vec))) AS g
+            FROM w JOIN u ON u.id = t JOIN i pv ON pv.id = p JOIN i nv ON nv.id = n),
+        parts AS (SELECT 'target' AS side, t AS id, unnest(range(0, 8)) AS pos, unnest(pv) AS a, unnest(nv) AS b, g FROM g
+                  UNION ALL SELECT 'item', p, unnest(range(0, 8)), unnest(uv), 0, g FROM g
+                  UNION ALL SELECT 'item', n, unnest(range(0, 8)), 0, unnest(uv), g FROM g),
+        summed AS (SELECT side, id, pos, sum(g * (a - b)) AS grad FROM parts GROUP BY 1, 2, 3),
+        start AS (SELECT 'target' AS side, * FROM u UNION ALL SELECT 'item', * FROM i)
+        SELECT side, id, CAST(pos AS INT) AS pos, round(vec[pos + 1] - CAST(0.05 AS DOUBLE) * grad, 6) AS value
+        FROM start JOIN summed USING (side, id)"""
+)
+ORACLES["loss_pos_neg"] = (
+    _with("", "triples")
+    + ", ids AS (SELECT t AS id FROM triples UNION SELECT p FROM triples UNION SELECT n FROM triples), u AS ("
+    + _VEC8.format(a=1, b=8, ids="SELECT id FROM ids")
+    + "), i AS ("
+    + _VEC8.format(a=33, b=40, ids="SELECT id FROM ids")
+    + f"""), x AS (SELECT t || '-' || p AS sample_id, list_dot_product(u.vec, pv.vec) AS pos_logit,
+                   list_dot_product(u.vec, nv.vec) + list_dot_product(u.vec, tv.vec) AS neg_logit
+            FROM triples JOIN u ON u.id = t JOIN i pv ON pv.id = p JOIN i nv ON nv.id = n JOIN i tv ON tv.id = t)
+        SELECT sample_id, round(pos_logit, 6) AS pos_logit, round(neg_logit, 6) AS neg_logit,
+               round({_LOGLOSS.format(x='pos_logit', y='1')}, 6) AS pos_loss,
+               round({_LOGLOSS.format(x='neg_logit', y='0')}, 6) AS neg_loss FROM x"""
+)
+ORACLES["nce_loss"] = (
+    _with("", "nce")
+    + """, k AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM target_index),
+        num AS (SELECT c_idx, count(*) AS num_true FROM nce GROUP BY 1),
+        h AS ("""
+    + _VEC8.format(a=1, b=31, ids="SELECT c_idx AS id FROM num")
+    + "), w AS ("
+    + _VEC8.format(a=33, b=64, ids="SELECT p_idx AS id FROM target_index")
+    + """), drawn AS (SELECT CAST(floor(exp(CAST('0x' || substr(md5(s || ':5'), 1, 7) AS INT) / 268435456.0 * ln(n + 1))) - 1 AS BIGINT) AS id
+                 FROM (SELECT unnest(range(0, 256)) AS s), k),
+        pos AS (SELECT c_idx, num_true, list_dot_product(h.vec, w.vec[1:31]) + w.vec[32]
+                       - ln((ln(p_idx + 2) - ln(p_idx + 1)) / ln(n + 1) * 256) AS x
+                FROM nce JOIN num USING (c_idx) JOIN h ON h.id = c_idx JOIN w ON w.id = p_idx, k),
+        neg AS (SELECT h.id AS c_idx, list_dot_product(h.vec, w.vec[1:31]) + w.vec[32]
+                       - ln((ln(w.id + 2) - ln(w.id + 1)) / ln(n + 1) * 256) AS x
+                FROM h, drawn JOIN w USING (id), k),
+        losses AS (SELECT c_idx, greatest(x, 0) + ln(1 + exp(-abs(x))) - x / num_true AS loss FROM pos
+                   UNION ALL SELECT c_idx, greatest(x, 0) + ln(1 + exp(-abs(x))) FROM neg)
+        SELECT c_idx, round(sum(loss), 6) AS loss FROM losses GROUP BY 1"""
+)
+ORACLES["lambda_gradients"] = (
+    _with("", "scored_ranking")
+    + """, r AS (SELECT row_id, "group" AS g, relevance AS rel, score / 100 AS s,
+                   row_number() OVER (PARTITION BY "group" ORDER BY score DESC, row_id) AS rk,
+                   row_number() OVER (PARTITION BY "group" ORDER BY relevance DESC, row_id) AS best FROM scored_ranking),
+        ideal AS (SELECT g, sum((pow(2, rel) - 1) / log2(best + 1)) AS idcg FROM r WHERE best <= 5 GROUP BY 1),
+        pairs AS (SELECT a.row_id AS hi, b.row_id AS lo, 1 / (1 + exp(a.s - b.s)) AS rho,
+                         abs(pow(2, a.rel) - pow(2, b.rel)) * abs(CASE WHEN a.rk <= 5 THEN 1 / log2(a.rk + 1) ELSE 0 END
+                           - CASE WHEN b.rk <= 5 THEN 1 / log2(b.rk + 1) ELSE 0 END) / idcg AS change
+                  FROM r a JOIN r b ON a.g = b.g AND a.rel > b.rel JOIN ideal ON ideal.g = a.g WHERE idcg > 0),
+        both_ends AS (SELECT hi AS row_id, rho * change AS l, rho * (1 - rho) * change AS w FROM pairs
+                 UNION ALL SELECT lo, -rho * change, rho * (1 - rho) * change FROM pairs
+                 UNION ALL SELECT row_id, 0, 0 FROM r)
+        SELECT row_id, round(sum(l), 6) AS lambda, round(sum(w), 6) AS weight FROM both_ends GROUP BY 1"""
+)
+# The block join, and an index probed in full, must give the rows of the exact search.
+ORACLES["knn_exact_blocks"] = ORACLES["knn_exact_filtered"]
+ORACLES["knn_ivf_full_probe"] = ORACLES["knn_exact_filtered"]
+ORACLES["publish_snapshot"] = """
+    SELECT unnest(['query', 'search']) AS alias, (SELECT count(DISTINCT vec_id) FROM embeddings) AS rows"""

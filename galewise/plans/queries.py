@@ -141,14 +141,14 @@ def itemcf_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tower_join(spark: SparkSession, sf: str) -> DataFrame:
-    nce = t.sim_matrix_sample_nce(spark, sf)
+    nce, mapping = t.sim_matrix_nce(spark, sf)
     vec = t.table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), "embedding")
     wide = v.as_double(F.col("embedding"))
     search = vec.select("idx", F.slice(wide, 1, 32).alias("embedding_search"))
     query = vec.select("idx", F.slice(wide, 33, 32).alias("embedding_query"))
     out = towers.tower_join(
         search, towers.id_index_map(nce, "left_video_id", "c_idx"),
-        query, t.sim_matrix_mapping_nce(spark, sf).select("video_id", F.col("p_idx").alias("idx")),
+        query, mapping.select("video_id", F.col("p_idx").alias("idx")),
     )
     inner = v.dot(F.col("embedding_search"), F.col("embedding_query"), 32)
     return out.select("video_id", _r(inner).alias("ip"))
@@ -249,13 +249,14 @@ def calib_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vocab_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    contexts = t.sim_matrix_sample_nce(spark, sf).agg((F.max("c_idx") + 1).alias("c_num"))
-    targets = t.sim_matrix(spark, sf).agg(F.countDistinct("right_video_id").alias("w_num"))
+    nce, _ = t.sim_matrix_nce(spark, sf)
+    contexts = nce.agg((F.max("c_idx") + 1).alias("c_num"))
+    targets = nce.agg(F.countDistinct("p_right_video_id").alias("w_num"))
     return contexts.select("c_num", targets.scalar().alias("w_num"))
 
 
 def positives_per_context(spark: SparkSession, sf: str) -> DataFrame:
-    lists = positives.positives_per_context(t.sim_matrix_sample_nce(spark, sf))
+    lists = positives.positives_per_context(t.sim_matrix_nce(spark, sf)[0])
     return lists.select(
         "c_idx", "part", F.size("positives").alias("n"),
         F.array_join(F.transform("positives", lambda x: x.cast("string")), ",").alias("positives"),
@@ -263,7 +264,7 @@ def positives_per_context(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def id_index_map(spark: SparkSession, sf: str) -> DataFrame:
-    return towers.id_index_map(t.sim_matrix_sample_nce(spark, sf), "left_video_id", "c_idx")
+    return towers.id_index_map(t.sim_matrix_nce(spark, sf)[0], "left_video_id", "c_idx")
 
 
 def column_counts(spark: SparkSession, sf: str) -> DataFrame:

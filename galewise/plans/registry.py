@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from galewise.plans import model_queries
 from galewise.plans import queries as relational
 from galewise.plans.oracles import ORACLES
 
@@ -22,7 +23,7 @@ def _public(module) -> dict[str, Query]:
 
 
 def all_queries() -> dict[str, Query]:
-    return _public(relational)
+    return {**_public(relational), **_public(model_queries)}
 
 
 def all_oracles() -> dict[str, str]:

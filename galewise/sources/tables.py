@@ -9,6 +9,7 @@ from galewise.functions.hashing import hash28
 from galewise.functions.timefns import add_hours, format_forecast_time
 from galewise.functions.vectors import as_double
 from galewise.operators.indexing import dense_index
+from galewise.session import cut_lineage
 
 # Station ids, forecast channels and data layout of the input data.
 STATIONS = ["K2931", "K2942", "K2962"]
@@ -117,28 +118,25 @@ def sim_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
-def context_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = sim_matrix(spark, sf_dir).select("left_video_id").distinct()
-    return dense_index(ids, "left_video_id", "c_idx")
-
-
-def sim_matrix_mapping_nce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target items with their dense class number."""
-    ids = sim_matrix(spark, sf_dir).select(F.col("right_video_id").alias("video_id")).distinct()
+def sim_matrix_mapping_nce(pairs: DataFrame) -> DataFrame:
+    """Target items of the pairs with their dense class number."""
+    ids = pairs.select(F.col("right_video_id").alias("video_id")).distinct()
     return dense_index(ids, "video_id", "p_idx")
 
 
-def sim_matrix_sample_nce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs with dense numbers for contexts and targets."""
-    targets = sim_matrix_mapping_nce(spark, sf_dir).withColumnRenamed("video_id", "right_video_id")
-    return (
-        sim_matrix(spark, sf_dir)
-        .join(context_index(spark, sf_dir), "left_video_id")
-        .join(targets, "right_video_id")
-        .select(
-            "left_video_id", "c_idx", F.col("right_video_id").alias("p_right_video_id"), "p_idx"
-        )
+def sim_matrix_nce(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs with dense numbers for contexts and targets, and the target mapping.
+
+    Both are stored, as they are tables that many jobs read.
+    """
+    pairs = cut_lineage(sim_matrix(spark, sf_dir), "sim-matrix")
+    mapping = cut_lineage(sim_matrix_mapping_nce(pairs), "mapping-nce")
+    contexts = dense_index(pairs.select("left_video_id").distinct(), "left_video_id", "c_idx")
+    targets = mapping.select(F.col("video_id").alias("right_video_id"), "p_idx")
+    sample = pairs.join(contexts, "left_video_id").join(targets, "right_video_id").select(
+        "left_video_id", "c_idx", F.col("right_video_id").alias("p_right_video_id"), "p_idx"
     )
+    return cut_lineage(sample, "sample-nce"), mapping
 
 
 def video_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,8 +318,7 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(target, positive, negative) item numbers; the negative is drawn by hash."""
-    nce = sim_matrix_sample_nce(spark, sf_dir)
-    targets = sim_matrix_mapping_nce(spark, sf_dir)
+    nce, targets = sim_matrix_nce(spark, sf_dir)
     drawn = hash28(F.col("c_idx"), F.col("p_idx"), F.lit("neg")) % _row_count(targets)
     return nce.select(
         F.col("c_idx").alias("t"), F.col("p_idx").alias("p"), drawn.cast("bigint").alias("n")
