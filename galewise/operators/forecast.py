@@ -55,18 +55,19 @@ def forecast_features(
     cells = len(lat) * len(lon)
     source = {"u100": "u10", "v100": "v10"} if compat_10m else {}
     reads = [source.get(c, c) for c in channels]
+    needed = sorted(set(reads))
     in_box = F.col("lat_idx").between(lat[0], lat[-1]) & F.col("lon_idx").between(lon[0], lon[-1])
-    boxed = grid.where(in_box & F.col("variable").isin(sorted(set(reads))))
+    boxed = grid.where(in_box & F.col("variable").isin(needed))
+    channel = F.array_position(F.array(*[F.lit(c) for c in needed]), F.col("variable")) - 1
     cell = (F.col("lat_idx") - lat[0]) * len(lon) + (F.col("lon_idx") - lon[0])
     at = lead_filter(with_name_parts(boxed, "file_name"), leads).select(
-        "gap", "F_time", "variable", cell.alias("cell"), "value"
+        "gap", "F_time", (channel * cells + cell).cast("int").alias("pos"), "value"
     )
-    positions = [
-        F.max(F.when((F.col("variable") == c) & (F.col("cell") == k), F.col("value")))
-        for c in reads
-        for k in range(cells)
-    ]
-    return at.groupBy("gap", "F_time").agg(F.array(*positions).alias("input"))
+    per_file = at.groupBy("gap", "F_time").agg(
+        *[F.max(F.when(F.col("pos") == k, F.col("value"))).alias(f"p{k}") for k in range(len(needed) * cells)]
+    )
+    order = [needed.index(c) * cells + k for c in reads for k in range(cells)]
+    return per_file.select("gap", "F_time", F.array(*[F.col(f"p{k}") for k in order]).alias("input"))
 
 
 def station_labels(obs: DataFrame, stations: list[str] | None = None) -> DataFrame:

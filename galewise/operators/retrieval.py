@@ -11,19 +11,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galewise.functions import arrow
 from galewise.functions.vectors import as_double
 from galewise.operators.topk import top_per_group
-from galewise.session import cut_lineage
 
 DECIMALS = 6  # scores are compared after rounding, ties go to the smaller id
 BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 1024
+QUERY_BLOCK_ROWS = 1024
+ITEM_BLOCK_ROWS = 16384
+PRODUCT_CELLS = 4 << 20
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, depth: int) -> list[np.ndarray]:
@@ -39,18 +41,17 @@ def _best(scores: np.ndarray, ids: np.ndarray, depth: int) -> list[np.ndarray]:
     return picks
 
 
-def _score_rows(q_ids, q_mat, i_ids, i_mat, depth: int) -> pd.DataFrame:
-    scores = np.round(q_mat @ i_mat.T, DECIMALS)
-    picks = _best(scores, i_ids, depth)
-    counts = [len(p) for p in picks]
-    flat = np.concatenate(picks)
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(q_ids, counts),
-            "video_id": i_ids[flat],
-            "score": np.concatenate([s[p] for s, p in zip(scores, picks)]),
-        }
-    )
+def _scored(q_ids, q_mat, i_ids, i_mat, depth: int) -> Iterator[pa.RecordBatch]:
+    """Best items of every query, a few queries at a time to keep the products small."""
+    step = max(1, PRODUCT_CELLS // max(1, len(i_ids)))
+    for lo in range(0, len(q_ids), step):
+        scores = np.round(q_mat[lo : lo + step] @ i_mat.T, DECIMALS)
+        picks = _best(scores, i_ids, depth)
+        yield arrow.batch(
+            query_id=np.repeat(q_ids[lo : lo + step], [len(p) for p in picks]),
+            video_id=i_ids[np.concatenate(picks)],
+            score=np.concatenate([s[p] for s, p in zip(scores, picks)]),
+        )
 
 
 _SCORED = "query_id long, video_id long, score double"
@@ -73,8 +74,8 @@ def _small_queries(queries: DataFrame, limit_bytes: int):
     ).first()
     if size.n == 0 or size.n * (size.width + 1) * 8 > limit_bytes:
         return None
-    rows = queries.toPandas()
-    return rows["id"].to_numpy(), np.stack(rows["vec"].to_numpy())
+    rows = queries.toArrow().combine_chunks()
+    return rows["id"].to_numpy(), arrow.matrix(rows["vec"].chunk(0))
 
 
 def knn_exact(
@@ -100,67 +101,70 @@ def knn_exact(
     small = _small_queries(wanted, broadcast_bytes)
     if small is None:
         one = F.lit(0).alias("list_id")
-        scored = _score_blocks(wanted.select("*", one), eligible.select("*", one), depth)
-        return _rank(scored, limit, offset)
+        q, i = wanted.select("*", one), eligible.select("*", one)
+        return _rank(_score_blocks(q, i, _sizes(q), _sizes(i), depth), limit, offset)
     shared = spark.sparkContext.broadcast(small)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q_mat = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            i_ids, i_mat = batch["id"].to_numpy(), np.stack(batch["vec"].to_numpy())
-            for lo in range(0, len(q_ids), BLOCK_ROWS):
-                part = slice(lo, lo + BLOCK_ROWS)
-                yield _score_rows(q_ids[part], q_mat[part], i_ids, i_mat, depth)
+        for b in batches:
+            if b.num_rows:
+                yield from _scored(q_ids, q_mat, b["id"].to_numpy(), arrow.matrix(b["vec"]), depth)
+
+    return _rank(eligible.mapInArrow(scan, _SCORED), limit, offset)
+
 
-    return _rank(eligible.mapInPandas(scan, _SCORED), limit, offset)
+def _sizes(rows: DataFrame) -> dict[int, int]:
+    """Rows per list. There is an entry per list, so at most ``nlist`` of them."""
+    return {r["list_id"]: r["count"] for r in rows.groupBy("list_id").count().collect()}
 
 
-def _block_counts(rows: DataFrame, name: str) -> DataFrame:
-    """Blocks needed per list. There is a row per list, so at most ``nlist`` rows."""
-    return rows.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias(name))
+def _blocks(spark, sizes: dict[int, int], rows: int, name: str) -> DataFrame:
+    """Blocks needed per list, at most ``nlist`` rows."""
+    counts = [(key, -(-n // rows)) for key, n in sizes.items()]
+    return spark.createDataFrame(counts, f"list_id int, {name} int")
 
 
 def _pack(rows: DataFrame, blocks: DataFrame, count: str, block: str) -> DataFrame:
-    """Gather the vectors of a list into blocks of about ``BLOCK_ROWS`` rows."""
-    spread = F.pmod(F.xxhash64("id"), F.col(count)).alias(block)
+    """Gather the vectors of a list into blocks of about equal size."""
+    spread = F.pmod(F.xxhash64("id"), F.col(count)).cast("int").alias(block)
     return (
         rows.join(F.broadcast(blocks), "list_id")
         .select("list_id", spread, "id", "vec")
         .groupBy("list_id", block)
-        .agg(F.collect_list(F.struct("id", "vec")).alias(f"{block}_rows"))
+        .agg(F.collect_list("id").alias(f"{block}_ids"), F.flatten(F.collect_list("vec")).alias(f"{block}_vecs"))
     )
 
 
-def _score_blocks(queries: DataFrame, items: DataFrame, depth: int) -> DataFrame:
+def _score_blocks(queries: DataFrame, items: DataFrame, q_sizes: dict, i_sizes: dict, depth: int) -> DataFrame:
     """Score the queries of every list against the items of the list, block by block.
 
     Query blocks are repeated once per item block of their list, which makes the join
-    key (list, item block) and lets one large list use many tasks.
+    key (list, item block) and lets one large list use many tasks. Item blocks are the
+    larger ones, so that queries are repeated rarely. Spark limits the bytes of an Arrow
+    batch, so a task holds few blocks at a time.
     """
-    item_blocks = _block_counts(items, "i_count")
-    query_blocks = _block_counts(queries, "q_count")
+    spark = items.sparkSession
+    item_blocks = _blocks(spark, i_sizes, ITEM_BLOCK_ROWS, "i_count")
     packed_items = _pack(items, item_blocks, "i_count", "i_block")
     packed_queries = (
-        _pack(queries, query_blocks, "q_count", "q_block")
+        _pack(queries, _blocks(spark, q_sizes, QUERY_BLOCK_ROWS, "q_count"), "q_count", "q_block")
         .join(F.broadcast(item_blocks), "list_id")
-        .withColumn("i_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("i_count") - 1)))
-        .select("list_id", "i_block", "q_block_rows")
+        .withColumn("i_block", F.explode(F.sequence(F.lit(0), F.col("i_count") - 1)))
+        .drop("q_block", "i_count")
     )
     pairs = packed_queries.join(packed_items, ["list_id", "i_block"]).select(
-        F.col("q_block_rows.id").alias("q_ids"), F.col("q_block_rows.vec").alias("q_vecs"),
-        F.col("i_block_rows.id").alias("i_ids"), F.col("i_block_rows.vec").alias("i_vecs"),
+        "q_block_ids", "q_block_vecs", "i_block_ids", "i_block_vecs"
     )
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for q_ids, q_vecs, i_ids, i_vecs in batch.itertuples(index=False):
-                yield _score_rows(
-                    np.asarray(q_ids), np.stack(q_vecs), np.asarray(i_ids), np.stack(i_vecs), depth
-                )
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                q_ids, q_vecs, i_ids, i_vecs = (c[row].values.to_numpy() for c in b.columns)
+                q_mat, i_mat = q_vecs.reshape(len(q_ids), -1), i_vecs.reshape(len(i_ids), -1)
+                yield from _scored(q_ids, q_mat, i_ids, i_mat, depth)
 
-    return pairs.mapInPandas(multiply, _SCORED)
+    return pairs.mapInArrow(multiply, _SCORED)
 
 
 @dataclass(frozen=True)
@@ -196,16 +200,15 @@ def build_ivf(
     norms = (centres**2).sum(axis=1)
     schema = items.schema
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack(batch[vec].to_numpy()).astype(float)
-            nearest = (norms - 2.0 * x @ centres.T).argmin(axis=1)
-            yield batch.assign(list_id=nearest.astype("int32"))
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = arrow.matrix(b[vec]).astype(float)
+                nearest = (norms - 2.0 * x @ centres.T).argmin(axis=1).astype("int32")
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest)], [*b.schema.names, "list_id"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    assigned = items.mapInPandas(assign, f"{fields}, list_id int")
+    assigned = items.mapInArrow(assign, f"{fields}, list_id int")
     # AQE splits a list that is much larger than the others into several files
     assigned.hint("rebalance", F.col("list_id")).write.partitionBy("list_id").parquet(path)
     return IvfIndex(path, centres)
@@ -227,26 +230,23 @@ def knn_ivf(
     centres = index.centroids
     probes = min(nprobe, len(centres))
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            scores = np.stack(batch["vec"].to_numpy()) @ centres.T
-            chosen = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
-            yield pd.DataFrame(
-                {
-                    "id": np.repeat(batch["id"].to_numpy(), probes),
-                    "vec": np.repeat(batch["vec"].to_numpy(), probes),
-                    "list_id": chosen.ravel().astype("int32"),
-                }
-            )
-
-    probed = _standard(queries, query_id, vec).mapInPandas(
-        probe, "id long, vec array<double>, list_id int"
-    )
-    probed = cut_lineage(probed, "ivf-probes")
+    wanted = _standard(queries, query_id, vec)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = arrow.matrix(b["vec"])
+                chosen = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
+                yield arrow.batch(
+                    id=np.repeat(b["id"].to_numpy(), probes),
+                    vec=np.repeat(x, probes, axis=0),
+                    list_id=chosen.ravel().astype("int32"),
+                )
+
+    probed = wanted.mapInArrow(probe, "id long, vec array<double>, list_id int")
+    q_sizes = _sizes(probed)
     # at most nlist small numbers: read only the partitions some query probes
-    lists = [r.list_id for r in probed.select("list_id").distinct().collect()]
-    stored = index.lists(spark).where(F.col("list_id").isin(lists))
+    stored = index.lists(spark).where(F.col("list_id").isin(list(q_sizes)))
     eligible = _standard(stored.where(where) if where else stored, item_id, vec, ("list_id",))
-    return _rank(_score_blocks(probed, eligible, limit + offset), limit, offset)
+    scored = _score_blocks(probed, eligible, q_sizes, _sizes(eligible), limit + offset)
+    return _rank(scored, limit, offset)

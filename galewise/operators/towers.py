@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galewise.functions import arrow
 from galewise.functions.vectors import append, as_double
 
 
@@ -21,17 +22,17 @@ def dense_forward(vectors: DataFrame, key: str, vec: str, layers: list[tuple], o
     weights = [(np.asarray(w, float), None if b is None else np.asarray(b, float)) for w, b in layers]
     key_type = vectors.schema[key].dataType.simpleString()
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            x = np.stack(batch["x"].to_numpy())
+            x = arrow.matrix(batch["x"])
             for w, b in weights:
                 x = np.maximum(x @ w if b is None else x @ w + b, 0.0)
-            yield pd.DataFrame({key: batch[key], out: list(x)})
+            yield arrow.batch(**{key: batch[key], out: x})
 
     rows = vectors.select(key, as_double(F.col(vec)).alias("x"))
-    return rows.mapInPandas(apply, f"`{key}` {key_type}, `{out}` array<double>")
+    return rows.mapInArrow(apply, f"`{key}` {key_type}, `{out}` array<double>")
 
 
 def fold_bias(items: DataFrame, vec: str, bias: str, out: str = "embedding_query") -> DataFrame:

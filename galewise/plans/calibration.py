@@ -10,16 +10,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galewise.functions import mlp
+from galewise.functions import arrow, mlp
 from galewise.functions.vectors import sum_vectors
 from galewise.operators.forecast import NEAREST_CELL
 from galewise.operators.metrics import calibration_rmse
 from galewise.operators.sampling import is_test
-from galewise.session import cut_lineage
+from galewise.session import cut_lineage, spread
 
 HIDDEN = [16, 4]
 L2 = 1e-4
@@ -27,15 +27,14 @@ ACTIVITY_L2 = 1e-5
 
 
 def _prepared(samples: DataFrame, repeats: int, test_ratio: float) -> DataFrame:
-    """Samples with the list of repeats that hold them out."""
+    """Samples with a 1 for every repeat that trains on them and a 0 where held out."""
     key = F.concat("gap", "F_time")
-    held = [
-        F.when(is_test(key, r, round(test_ratio * 1000)), F.lit(r)) for r in range(1, repeats + 1)
-    ]
+    per_mille = round(test_ratio * 1000)
+    train = [F.when(is_test(key, r, per_mille), 0.0).otherwise(1.0) for r in range(1, repeats + 1)]
     return samples.select(
         F.col("gap").cast("int").alias("gap"), "F_time",
         F.col("input").alias("x"), F.col("label").cast("double").alias("y"),
-        F.array_compact(F.array(*held)).alias("held"),
+        F.array(*train).alias("train"),
     ).where("y is not null and not exists(x, e -> e is null or isnan(e))")
 
 
@@ -43,31 +42,34 @@ def _gradient_pass(rows: DataFrame, models: dict, sizes: list[int], repeats: int
     """Summed ``[loss, count, gradient]`` of every model."""
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
-        for batch in batches:
-            for gap, part in batch.groupby("gap"):
-                x, y = np.stack(part["x"].to_numpy()), part["y"].to_numpy()
-                held = part["held"].map(set)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            gaps, x, y, train = b["gap"].to_numpy(), arrow.matrix(b["x"]), b["y"].to_numpy(), arrow.matrix(b["train"])
+            for gap in np.unique(gaps):
                 for repeat in range(1, repeats + 1):
-                    train = ~held.map(lambda h, r=repeat: r in h).to_numpy(dtype=bool)
-                    if not train.any():
+                    rows_of = (gaps == gap) & (train[:, repeat - 1] > 0)
+                    if not rows_of.any():
                         continue
-                    layers = mlp.unflatten(shared.value[gap, repeat], sizes)
-                    steps = mlp.forward(x[train], layers)
-                    error = steps[-1][:, 0] - y[train]
+                    key = int(gap), repeat
+                    layers = mlp.unflatten(shared.value[key], sizes)
+                    steps = mlp.forward(x[rows_of], layers)
+                    error = steps[-1][:, 0] - y[rows_of]
                     flat, _ = _backward(steps, layers, 2 * error[:, None])
                     add = np.concatenate([[(error**2).sum(), len(error)], flat])
-                    sums[gap, repeat] = sums.get((gap, repeat), 0.0) + add
-        out = [
-            (gap, repeat, i, block)
-            for (gap, repeat), whole in sums.items()
-            for i, block in enumerate(mlp.blocks_of(whole))
-        ]
-        yield pd.DataFrame(out, columns=["gap", "exp", "block", "grad"])
+                    sums[key] = sums.get(key, 0.0) + add
+        for (gap, repeat), whole in sums.items():
+            blocks = mlp.blocks_of(whole)
+            n = len(blocks)
+            yield arrow.batch(
+                gap=np.full(n, gap, np.int32), exp=np.full(n, repeat, np.int32),
+                block=np.arange(n, dtype=np.int32), grad=blocks,
+            )
 
     summed = (
-        rows.mapInPandas(run, "gap int, exp int, block int, grad array<double>")
+        rows.mapInArrow(run, "gap int, exp int, block int, grad array<double>")
         .groupBy("gap", "exp", "block")
         .agg(sum_vectors(F.col("grad"), mlp.BLOCK).alias("grad"))
         .toPandas()  # leads × repeats × weights numbers
@@ -96,7 +98,8 @@ def train_calibration(
 
     ``samples`` is ``(gap, F_time, input, label)``. Each repeat holds out its own rows.
     """
-    rows = cut_lineage(_prepared(samples, repeats, test_ratio), "calibration-samples").persist()
+    ready = _prepared(samples, repeats, test_ratio)
+    rows = spread(cut_lineage(ready, "calibration-samples")).persist()
     # one small row per lead
     leads = rows.groupBy("gap").agg(F.max(F.size("x")).alias("width")).collect()
     if not leads:
@@ -118,19 +121,26 @@ def train_calibration(
 
 def _predict(rows: DataFrame, models: dict, sizes: list[int], station: str) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(models)
-    held = rows.select("gap", F.explode("held").alias("exp"), "x", "y")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for (gap, repeat), part in batch.groupby(["gap", "exp"]):
-                x = np.stack(part["x"].to_numpy())
-                out = mlp.forward(x, mlp.unflatten(shared.value[gap, repeat], sizes))[-1][:, 0]
-                yield pd.DataFrame(
-                    {"gap": gap, "exp": repeat, "p": out, "o": part["y"].to_numpy(), "e": x[:, NEAREST_CELL]}
-                )
+    repeats = max(repeat for _, repeat in models)
+    schema = "gap int, exp int, p double, o double, e double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            gaps, x, y, train = b["gap"].to_numpy(), arrow.matrix(b["x"]), b["y"].to_numpy(), arrow.matrix(b["train"])
+            for gap in np.unique(gaps):
+                for repeat in range(1, repeats + 1):
+                    held = (gaps == gap) & (train[:, repeat - 1] == 0)
+                    out = mlp.forward(x[held], mlp.unflatten(shared.value[int(gap), repeat], sizes))[-1][:, 0]
+                    n = len(out)
+                    yield arrow.batch(
+                        gap=np.full(n, gap, np.int32), exp=np.full(n, repeat, np.int32),
+                        p=out, o=y[held], e=x[held, NEAREST_CELL],
+                    )
 
     names = {"p": "prediction", "o": "observing", "e": "ecf"}
-    scored = held.mapInPandas(run, "gap int, exp int, p double, o double, e double")
+    scored = rows.mapInArrow(run, schema)
     return scored.select("gap", "exp", *[F.col(c).alias(f"{station}_{n}") for c, n in names.items()])
 
 

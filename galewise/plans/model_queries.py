@@ -201,18 +201,9 @@ def rank_boost_train(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.ndcg(model.score(keyed))
 
 
-def _towers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = catalog.publishable(base._flags(spark, sf))
-    queries = rows.select("video_id", F.col("embedding_query").alias("embedding"))
-    items = rows.select(
-        "video_id", F.col("embedding_search").alias("embedding"), "vip_status", "needbuy_status"
-    )
-    return queries, items
-
-
 def knn_exact_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship search by the block join that is used beyond the broadcast bound."""
-    queries, items = _towers(spark, sf)
+    queries, items = base._towers(spark, sf)
     return retrieval.knn_exact(queries, items, broadcast_bytes=0)
 
 
@@ -223,7 +214,7 @@ def _nlist(rows: DataFrame) -> int:
 
 def knn_ivf_full_probe(spark: SparkSession, sf: str) -> DataFrame:
     """Search of every list of the index, which has to equal the exact search."""
-    queries, items = _towers(spark, sf)
+    queries, items = base._towers(spark, sf)
     nlist = _nlist(items)
     index = retrieval.build_ivf(items, scratch_path(spark, "ivf"), nlist)
     return retrieval.knn_ivf(queries, index, nprobe=nlist)
@@ -231,20 +222,24 @@ def knn_ivf_full_probe(spark: SparkSession, sf: str) -> DataFrame:
 
 def knn_ivf_probe(spark: SparkSession, sf: str) -> DataFrame:
     """Search of the best lists only: one in 32, and eight at least."""
-    queries, items = _towers(spark, sf)
+    queries, items = base._towers(spark, sf)
     nlist = _nlist(items)
     index = retrieval.build_ivf(items, scratch_path(spark, "ivf"), nlist)
     return retrieval.knn_ivf(queries, index, nprobe=max(8, nlist // 32))
 
 
 def publish_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    """Publish both towers as new tables behind their aliases and report the rows."""
+    """Publish both towers twice, retire nothing yet, and report the rows behind the aliases."""
     run = uuid.uuid4().hex[:8]
-    flagged = base._flags(spark, sf)
-    prefixes = [f"detailpage_query_{run}_", f"detailpage_search_{run}_"]
-    done = catalog.publish_pair(flagged, *prefixes, stamp="20240101000000")
-    reports = [
-        spark.table(p.alias).agg(F.lit(kind).alias("alias"), F.count(F.lit(1)).alias("rows"))
-        for kind, p in zip(("query", "search"), done)
-    ]
-    return reports[0].unionByName(reports[1])
+    rows = catalog.publishable(*base._catalogue(spark, sf))
+    prefixes = [f"video_query_{run}_", f"video_search_{run}_"]
+    for stamp in ("20240101000000", "20240102000000"):
+        done = catalog.publish_pair(rows, *prefixes, stamp)
+    report = [(kind, p.rows) for kind, p in zip(("query", "search"), done)]
+    # two numbers; the check leaves no tables behind
+    for prefix in prefixes:
+        spark.sql(f"DROP VIEW `{prefix.rstrip('_')}`")
+        catalog.apply_retention(spark, prefix)
+        for row in spark.sql(f"SHOW TABLES LIKE '{prefix}*'").collect():
+            spark.sql(f"DROP TABLE `{row.tableName}`")
+    return spark.createDataFrame(report, "alias string, rows long")

@@ -170,11 +170,23 @@ ORACLES: dict[str, str] = {
     "src_snapshot_roundtrip": _with(
         "SELECT F_time, StationNum, round(ExMaxWindV, 6) AS ExMaxWindV FROM labels", "labels"
     ),
+    "src_catalog_sql": """
+        SELECT CAST(a.course_id AS VARCHAR) AS course_id, p_size % 3 AS vip_status, p_size % 2 AS needbuy_status, permit_client
+        FROM (SELECT DISTINCT l_partkey AS course_id, l_suppkey % 4 AS permit_client FROM lineitem
+              WHERE l_suppkey % 2 = 1 AND l_returnflag = 'R') a JOIN part ON p_partkey = a.course_id""",
+    "src_replaced_table": _with(
+        "SELECT vip_status, needbuy_status, count(*) AS n FROM flags GROUP BY 1, 2", "flags"
+    ),
+    "src_report": """
+        SELECT CAST((event_id % 24 + 1) * 3 AS INT) AS gap, CAST(user_id % 10 + 1 AS INT) AS exp, count(*) AS n,
+               round(sqrt(avg(pow(value * CAST(0.9 AS DOUBLE) - value, 2))), 6) AS "K2962_rmse_calibration",
+               round(sqrt(avg(pow(value + CAST(event_id % 7 AS DOUBLE) - 3.0 - value, 2))), 6) AS "K2962_rmse_ecf"
+        FROM events WHERE value + CAST(event_id % 7 AS DOUBLE) - 3.0 > 0 GROUP BY 1, 2""",
     "src_dense_index": """SELECT vec_id, row_number() OVER (
         ORDER BY CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 7) AS INT) % 1024, vec_id) - 1 AS idx
         FROM embeddings""",
     "retention_victims": """
-        WITH names AS (SELECT DISTINCT 'detailpage_query_' || strftime(ts, '%Y%m%d') || '000000' AS name FROM events),
+        WITH names AS (SELECT DISTINCT 'video_query_' || strftime(ts, '%Y%m%d') || '000000' AS name FROM events),
         ranked AS (SELECT name, row_number() OVER (ORDER BY name) AS up, row_number() OVER (ORDER BY name DESC) AS down FROM names)
         SELECT name FROM ranked WHERE up > 1 AND down > 3""",
     "forecast_lead_filter": _with(

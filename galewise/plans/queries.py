@@ -13,8 +13,8 @@ from galewise.functions.hashing import hash_bucket
 from galewise.operators import catalog, forecast, itemcf, metrics, positives, sampling, towers, trees
 from galewise.operators.indexing import dense_index
 from galewise.operators.retrieval import knn_exact
-from galewise.session import scratch_path
-from galewise.sources import files
+from galewise.session import cut_lineage, scratch_path
+from galewise.sources import files, views
 from galewise.sources import tables as t
 
 DIM = 64
@@ -83,12 +83,46 @@ def src_snapshot_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def src_catalog_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalogue tables read by SQL text: active courses of a platform with their flags."""
+    views.register_views(spark, sf, ["course_platform", "course"])
+    return spark.sql(
+        """
+        SELECT CAST(a.course_id AS STRING) AS course_id, is_vip AS vip_status, is_needbuy AS needbuy_status,
+               permit_client
+        FROM (SELECT DISTINCT course_id, permit_client FROM course_platform WHERE platform = 1 AND status = 1) a
+        JOIN course b ON a.course_id = b.id
+        """
+    )
+
+
+def src_replaced_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Course flags written as a managed table in place of an older one, then read."""
+    rows = catalog.course_flags(t.course_platform(spark, sf), t.course(spark, sf))
+    catalog.replace_table(t.course(spark, sf), "replaced_flags")
+    catalog.replace_table(rows, "replaced_flags")
+    return spark.table("replaced_flags").groupBy("vip_status", "needbuy_status").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def src_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Calibration report written as details and summary; both are read back."""
+    detail = t.calibration(spark, sf).where("K2962_ecf > 0")
+    summary = calib_rmse(spark, sf)
+    path = scratch_path(spark, "report")
+    files.write_report(detail, summary, path)
+    rows = files.read_csv(spark, f"{path}/details", detail.schema)
+    sizes = rows.groupBy("gap", "exp").agg(F.count(F.lit(1)).alias("n"))
+    return files.read_csv(spark, f"{path}/summary", summary.schema).join(sizes, ["gap", "exp"])
+
+
 def src_dense_index(spark: SparkSession, sf: str) -> DataFrame:
     return dense_index(t.table(spark, sf, "embeddings").select("vec_id"), "vec_id", "idx")
 
 
 def retention_victims(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.retention_victims(t.table_names(spark, sf), "detailpage_query_")
+    return catalog.retention_victims(t.table_names(spark, sf), "video_query_")
 
 
 # --- filters, flags and retrieval --------------------------------------------
@@ -110,14 +144,22 @@ def prep_features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _flags(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.catalog_flags(
-        t.video_embedding(spark, sf), t.course_platform(spark, sf), t.course(spark, sf)
+def _catalogue(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return t.video_embedding(spark, sf), t.course_platform(spark, sf), t.course(spark, sf)
+
+
+def _towers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Query and search vectors with flags, as two published tables would hold them."""
+    rows = cut_lineage(catalog.publishable(*_catalogue(spark, sf)), "towers")
+    queries = rows.select("video_id", F.col("embedding_query").alias("embedding"))
+    items = rows.select(
+        "video_id", F.col("embedding_search").alias("embedding"), "vip_status", "needbuy_status"
     )
+    return queries, items
 
 
 def catalog_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return _flags(spark, sf).select(
+    return catalog.catalog_flags(*_catalogue(spark, sf)).select(
         "video_id", "vip_status", "needbuy_status",
         F.get("embedding_query", F.lit(0)).cast("double").alias("q_first"),
         F.get("embedding_search", F.lit(31)).cast("double").alias("s_last"),
@@ -126,12 +168,7 @@ def catalog_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 def knn_exact_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: for every video, places 5 to 1028 among the free videos."""
-    rows = catalog.publishable(_flags(spark, sf))
-    queries = rows.select("video_id", F.col("embedding_query").alias("embedding"))
-    items = rows.select(
-        "video_id", F.col("embedding_search").alias("embedding"), "vip_status", "needbuy_status"
-    )
-    return knn_exact(queries, items)
+    return knn_exact(*_towers(spark, sf))
 
 
 def itemcf_candidates(spark: SparkSession, sf: str) -> DataFrame:

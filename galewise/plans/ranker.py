@@ -6,13 +6,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galewise.functions import mlp
+from galewise.functions import arrow, mlp
 from galewise.functions.vectors import sum_vectors
-from galewise.session import cut_lineage
+from galewise.session import cut_lineage, spread
 
 SIZES = [64, 64, 128, 1]
 
@@ -36,14 +36,14 @@ class Ranker:
         """``(sample_id, logit)`` for every sample."""
         layers = self.layers
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    out = mlp.forward(np.stack(batch["x"].to_numpy()), layers)[-1]
-                    yield pd.DataFrame({"sample_id": batch["sample_id"], "logit": out[:, 0]})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    out = mlp.forward(arrow.matrix(b["x"]), layers)[-1]
+                    yield arrow.batch(sample_id=b["sample_id"], logit=out[:, 0])
 
         rows = samples.select("sample_id", F.concat("embedding_query", "context").alias("x"))
-        return rows.mapInPandas(run, "sample_id long, logit double")
+        return rows.mapInArrow(run, "sample_id long, logit double")
 
 
 def train_ranker(samples: DataFrame, epochs: int = 10, rate: float = 1e-3, sizes: list[int] | None = None, seed: int = 1) -> Ranker:
@@ -53,36 +53,34 @@ def train_ranker(samples: DataFrame, epochs: int = 10, rate: float = 1e-3, sizes
     blocks, Spark adds the blocks up, and the driver moves the weights.
     """
     sizes = sizes or SIZES
-    rows = cut_lineage(
-        samples.select(
-            F.concat("embedding_query", "context").alias("x"),
-            F.col("weight").cast("double").alias("q"),
-            F.col("label").cast("double").alias("y"),
-        ),
-        "ranker-samples",
-    ).persist()
+    ready = samples.select(
+        F.concat("embedding_query", "context").alias("x"),
+        F.col("weight").cast("double").alias("q"),
+        F.col("label").cast("double").alias("y"),
+    )
+    rows = spread(cut_lineage(ready, "ranker-samples")).persist()
     model, adam = Ranker(sizes, mlp.start_layers(sizes, seed)), mlp.Adam(rate)
     size = len(mlp.flatten(model.layers))
     for _ in range(epochs):
         layers = model.layers
 
-        def gradient(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat, stats = np.zeros(size), np.zeros(2)
-            for batch in batches:
-                if not len(batch):
+            for b in batches:
+                if not b.num_rows:
                     continue
-                steps = mlp.forward(np.stack(batch["x"].to_numpy()), layers)
-                z, q, y = steps[-1][:, 0], batch["q"].to_numpy(), batch["y"].to_numpy()
+                steps = mlp.forward(arrow.matrix(b["x"]), layers)
+                z, q, y = steps[-1][:, 0], b["q"].to_numpy(), b["y"].to_numpy()
                 scale = 1 + (q - 1) * y
                 loss = (1 - y) * z + scale * (np.log1p(np.exp(-np.abs(z))) + np.maximum(-z, 0))
                 d_z = (1 - y) - scale / (1 + np.exp(z))
                 flat += mlp.backward(steps, layers, d_z[:, None])[0]
-                stats += [loss.sum(), len(batch)]
+                stats += [loss.sum(), b.num_rows]
             blocks = mlp.blocks_of(np.concatenate([stats, flat]))
-            yield pd.DataFrame({"block": range(len(blocks)), "grad": blocks})
+            yield arrow.batch(block=np.arange(len(blocks), dtype=np.int32), grad=blocks)
 
         summed = (
-            rows.mapInPandas(gradient, "block int, grad array<double>")
+            rows.mapInArrow(gradient, "block int, grad array<double>")
             .groupBy("block")
             .agg(sum_vectors(F.col("grad"), mlp.BLOCK).alias("grad"))
             .collect()  # the size of the weights, not of the data

@@ -343,5 +343,5 @@ def table_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = table(spark, sf_dir, "events").select(
         F.date_format("ts", "yyyyMMdd000000").alias("stamp")
     ).distinct()
-    prefix = F.explode(F.array(F.lit("detailpage_query_"), F.lit("detailpage_search_"))).alias("prefix")
+    prefix = F.explode(F.array(F.lit("video_query_"), F.lit("video_search_"))).alias("prefix")
     return days.select(prefix, "stamp").select(F.concat("prefix", "stamp").alias("name"))

@@ -92,15 +92,21 @@ def test_ivf_keeps_every_row(spark, data, tmp_path):
     assert stored.count() == len(items) and stored.select("video_id").distinct().count() == len(items)
 
 
-def test_top_per_group_beyond_the_threshold(spark):
-    df = spark.range(5000).select((F.col("id") % 2).alias("g"), F.col("id").alias("x"))
-    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
-    results = []
-    for threshold in ("1000", "10"):
-        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", threshold)
-        results.append(sorted(tuple(r) for r in top_per_group(df, "g", [F.desc("x")], 50, "x").collect()))
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
-    assert results[0] == results[1] and len(results[0]) == 100
+def test_large_k_equals_brute_force_and_is_limited_before_the_shuffle(spark):
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("g"), (F.col("id") * 7919 % 20_011).alias("x")
+    )
+    want = {}
+    for r in df.collect():
+        want.setdefault(r.g, []).append(r.x)
+    for k in (5, 1024, 1500):
+        best = top_per_group(df, "g", [F.desc("x")], k, "x")
+        got = {}
+        for r in best.orderBy("g", "rn").collect():
+            got.setdefault(r.g, []).append(r.x)
+        assert got == {g: sorted(xs, reverse=True)[:k] for g, xs in want.items()}
+        plan = best._jdf.queryExecution().executedPlan().toString()
+        assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
 def test_itemcf_with_a_hot_item_equals_brute_force(spark):

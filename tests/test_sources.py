@@ -72,8 +72,9 @@ def test_null_hours_do_not_form_a_group(spark):
 
 def test_publish_switches_the_alias_and_retires_old_versions(spark):
     vectors = t.video_embedding(spark, SF)
-    flagged = catalog.catalog_flags(vectors, t.course_platform(spark, SF), t.course(spark, SF))
-    assert flagged.count() > vectors.count()
+    inputs = vectors, t.course_platform(spark, SF), t.course(spark, SF)
+    assert catalog.catalog_flags(*inputs).count() > vectors.count()
+    flagged = catalog.publishable(*inputs)
     for day in range(1, 7):
         query, search = catalog.publish_pair(flagged, "tq_", "ts_", f"2024010{day}000000")
         assert query.rows == search.rows == vectors.count()
