@@ -32,8 +32,27 @@ def lat_cells(lat: tuple[float, float] = LAT_RANGE) -> range:
 
 
 def lead_filter(named: DataFrame, leads: tuple[int, int] = LEAD_RANGE) -> DataFrame:
-    """Keep the leads of interest, judged by the file name alone."""
-    return named.where(F.col("gap").cast("int").between(*leads))
+    """Keep the leads of interest, judged by the file name alone.
+
+    On a grid from :func:`store_grid` the lead is a partition, so other leads are not read.
+    """
+    lead = F.col("lead") if "lead" in named.columns else F.col("gap").cast("int")
+    return named.where(lead.between(*leads))
+
+
+def store_grid(grid: DataFrame, path: str) -> DataFrame:
+    """Store decoded cells by lead, sorted so that the box filter can skip row groups.
+
+    Leads differ little in size; a larger one is split by Spark's rebalancing.
+    """
+    named = with_name_parts(grid, "file_name").withColumn("lead", F.col("gap").cast("int"))
+    (
+        named.hint("rebalance", F.col("lead"))
+        .sortWithinPartitions("lead", "variable", "lat_idx", "lon_idx")
+        .write.partitionBy("lead")
+        .parquet(path)
+    )
+    return grid.sparkSession.read.parquet(path)
 
 
 def forecast_features(
@@ -60,7 +79,8 @@ def forecast_features(
     boxed = grid.where(in_box & F.col("variable").isin(needed))
     channel = F.array_position(F.array(*[F.lit(c) for c in needed]), F.col("variable")) - 1
     cell = (F.col("lat_idx") - lat[0]) * len(lon) + (F.col("lon_idx") - lon[0])
-    at = lead_filter(with_name_parts(boxed, "file_name"), leads).select(
+    named = boxed if "lead" in boxed.columns else with_name_parts(boxed, "file_name")
+    at = lead_filter(named, leads).select(
         "gap", "F_time", (channel * cells + cell).cast("int").alias("pos"), "value"
     )
     per_file = at.groupBy("gap", "F_time").agg(

@@ -32,6 +32,18 @@ class Ranker:
         ]
         return spark.createDataFrame(rows, "layer int, row int, values array<double>")
 
+    def save(self, spark, path: str) -> None:
+        self.weights_table(spark).write.parquet(path)
+
+    @staticmethod
+    def load(spark, path: str) -> Ranker:
+        rows = spark.read.parquet(path).orderBy("layer", "row").collect()  # one row per input of a layer
+        by_layer: dict[int, list] = {}
+        for r in rows:
+            by_layer.setdefault(r.layer, []).append(r["values"])
+        layers = [(np.array(v[:-1]), np.array(v[-1])) for _, v in sorted(by_layer.items())]
+        return Ranker([layers[0][0].shape[0], *(w.shape[1] for w, _ in layers)], layers)
+
     def score(self, samples: DataFrame) -> DataFrame:
         """``(sample_id, logit)`` for every sample."""
         layers = self.layers

@@ -20,6 +20,7 @@ def spark(tmp_path_factory):
         spark__sql__warehouse__dir=str(root / "warehouse"),
         spark__checkpoint__dir=str(root / "shared"),
         spark__ui__showConsoleProgress="false",
+        spark__sql__maxMetadataStringLength="2000",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

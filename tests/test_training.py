@@ -74,7 +74,7 @@ def test_adam_table_equals_adam(spark):
     assert np.allclose(params.first().vec, x)
 
 
-def test_ranker_loss_falls_and_does_not_depend_on_partitions(spark):
+def test_ranker_loss_falls_and_does_not_depend_on_partitions(spark, tmp_path):
     samples = t.sort_sample(spark, SF)
     a = ranker.train_ranker(samples, epochs=4)
     b = ranker.train_ranker(samples.repartition(5), epochs=4)
@@ -82,6 +82,9 @@ def test_ranker_loss_falls_and_does_not_depend_on_partitions(spark):
     assert a.score(samples).count() == samples.count()
     weights = a.weights_table(spark)
     assert weights.count() == sum(w.shape[0] + 1 for w, _ in a.layers)
+    a.save(spark, str(tmp_path / "ranker"))
+    again = ranker.Ranker.load(spark, str(tmp_path / "ranker"))
+    assert again.sizes == a.sizes and np.array_equal(mlp.flatten(again.layers), mlp.flatten(a.layers))
 
 
 def test_calibration_beats_no_model(spark):
