@@ -19,7 +19,7 @@ from galewise.functions.vectors import sum_vectors
 from galewise.operators.forecast import NEAREST_CELL
 from galewise.operators.metrics import calibration_rmse
 from galewise.operators.sampling import is_test
-from galewise.session import cut_lineage, spread
+from galewise.plans.batches import store_batches
 
 HIDDEN = [16, 4]
 L2 = 1e-4
@@ -92,14 +92,15 @@ def _backward(steps, layers, d_out):
 
 def train_calibration(
     samples: DataFrame, epochs: int = 256, repeats: int = 10, test_ratio: float = 0.2,
-    rate: float = 1e-3, seed: int = 1, station: str = "K2962",
+    rate: float = 1e-2, batches: int = 1, seed: int = 1, station: str = "K2962",
 ) -> DataFrame:
     """Held-out predictions of all models: prediction, observation, raw forecast, gap, exp.
 
     ``samples`` is ``(gap, F_time, input, label)``. Each repeat holds out its own rows.
+    An epoch makes ``batches`` steps; with few steps the rate has to be higher.
     """
-    ready = _prepared(samples, repeats, test_ratio)
-    rows = spread(cut_lineage(ready, "calibration-samples")).persist()
+    stored = store_batches(_prepared(samples, repeats, test_ratio), batches, "calibration", "gap", "F_time")
+    rows = stored.rows
     # one small row per lead
     leads = rows.groupBy("gap").agg(F.max(F.size("x")).alias("width")).collect()
     if not leads:
@@ -111,8 +112,8 @@ def train_calibration(
             start = mlp.start_layers(sizes, seed + 1000 * repeat + lead.gap, stddev=0.01)
             models[lead.gap, repeat] = mlp.flatten(start)
             optimizers[lead.gap, repeat] = mlp.RmsProp(rate)
-    for _ in range(epochs):
-        for key, whole in _gradient_pass(rows, models, sizes, repeats).items():
+    for batch, _ in (pair for _ in range(epochs) for pair in stored):
+        for key, whole in _gradient_pass(batch, models, sizes, repeats).items():
             flat = models[key]
             gradient = whole[2 : 2 + len(flat)] / whole[1] + 2 * L2 * flat
             models[key] = optimizers[key].update(flat, gradient)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from galewise.functions import arrow, mlp
 from galewise.functions.vectors import sum_vectors
-from galewise.session import cut_lineage, spread
+from galewise.plans.batches import store_batches
 
 SIZES = [64, 64, 128, 1]
 
@@ -58,49 +58,58 @@ class Ranker:
         return rows.mapInArrow(run, "sample_id long, logit double")
 
 
-def train_ranker(samples: DataFrame, epochs: int = 10, rate: float = 1e-3, sizes: list[int] | None = None, seed: int = 1) -> Ranker:
+def train_ranker(
+    samples: DataFrame, epochs: int = 10, rate: float = 1e-3, batches: int = 1,
+    sizes: list[int] | None = None, seed: int = 1,
+) -> Ranker:
     """Weighted logistic training; the positive weight of a row scales its positive term.
 
-    An epoch is one pass: each task sends the summed gradient of its rows in short
+    There is one step per batch: each task sends the summed gradient of its rows in short
     blocks, Spark adds the blocks up, and the driver moves the weights.
     """
     sizes = sizes or SIZES
     ready = samples.select(
+        "sample_id",
         F.concat("embedding_query", "context").alias("x"),
         F.col("weight").cast("double").alias("q"),
         F.col("label").cast("double").alias("y"),
     )
-    rows = spread(cut_lineage(ready, "ranker-samples")).persist()
+    stored = store_batches(ready, batches, "ranker-samples", "sample_id")
     model, adam = Ranker(sizes, mlp.start_layers(sizes, seed)), mlp.Adam(rate)
-    size = len(mlp.flatten(model.layers))
     for _ in range(epochs):
-        layers = model.layers
-
-        def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            flat, stats = np.zeros(size), np.zeros(2)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                steps = mlp.forward(arrow.matrix(b["x"]), layers)
-                z, q, y = steps[-1][:, 0], b["q"].to_numpy(), b["y"].to_numpy()
-                scale = 1 + (q - 1) * y
-                loss = (1 - y) * z + scale * (np.log1p(np.exp(-np.abs(z))) + np.maximum(-z, 0))
-                d_z = (1 - y) - scale / (1 + np.exp(z))
-                flat += mlp.backward(steps, layers, d_z[:, None])[0]
-                stats += [loss.sum(), b.num_rows]
-            blocks = mlp.blocks_of(np.concatenate([stats, flat]))
-            yield arrow.batch(block=np.arange(len(blocks), dtype=np.int32), grad=blocks)
-
-        summed = (
-            rows.mapInArrow(gradient, "block int, grad array<double>")
-            .groupBy("block")
-            .agg(sum_vectors(F.col("grad"), mlp.BLOCK).alias("grad"))
-            .collect()  # the size of the weights, not of the data
-        )
-        whole = np.concatenate([np.array(r.grad) for r in sorted(summed, key=lambda r: r.block)])
-        loss, count = whole[:2]
-        model.losses.append(loss / count)
-        flat = mlp.flatten(layers)
-        model.layers = mlp.unflatten(adam.update(flat, whole[2 : 2 + size] / count), sizes)
-    rows.unpersist()
+        means = []
+        for rows, count in stored:
+            loss, gradient = _summed_gradient(rows.select("x", "q", "y"), model.layers)
+            means.append(loss / count)
+            model.layers = mlp.unflatten(adam.update(mlp.flatten(model.layers), gradient / count), sizes)
+        model.losses.append(float(np.mean(means)))
+    stored.release()
     return model
+
+
+def _summed_gradient(rows: DataFrame, layers: mlp.Layers) -> tuple[float, np.ndarray]:
+    size = len(mlp.flatten(layers))
+
+    def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, total = np.zeros(size), 0.0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            steps = mlp.forward(arrow.matrix(b["x"]), layers)
+            z, q, y = steps[-1][:, 0], b["q"].to_numpy(), b["y"].to_numpy()
+            scale = 1 + (q - 1) * y
+            loss = (1 - y) * z + scale * (np.log1p(np.exp(-np.abs(z))) + np.maximum(-z, 0))
+            d_z = (1 - y) - scale / (1 + np.exp(z))
+            flat += mlp.backward(steps, layers, d_z[:, None])[0]
+            total += loss.sum()
+        blocks = mlp.blocks_of(np.concatenate([[total], flat]))
+        yield arrow.batch(block=np.arange(len(blocks), dtype=np.int32), grad=blocks)
+
+    summed = (
+        rows.mapInArrow(gradient, "block int, grad array<double>")
+        .groupBy("block")
+        .agg(sum_vectors(F.col("grad"), mlp.BLOCK).alias("grad"))
+        .collect()  # the size of the weights, not of the data
+    )
+    whole = np.concatenate([np.array(r.grad) for r in sorted(summed, key=lambda r: r.block)])
+    return whole[0], whole[1 : 1 + size]

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SMALL_ROWS = 5_000_000  # up to here a table may be kept in memory whole
 
 def build_session(app: str = "galewise", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs are written for; ``conf`` overrides them.
@@ -62,17 +63,3 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-SMALL_ROWS = 5_000_000
-
-
-def spread(df: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
-    """Give a small stored table a partition per core for Python-heavy passes.
-
-    A small table often is a single file, which would keep all but one core idle. A large
-    one has plenty of partitions and is left where it is.
-    """
-    if df.count() > small_rows:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

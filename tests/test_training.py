@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from galewise.functions import mlp
 from galewise.functions.vectors import random_vector
 from galewise.operators import forecast, metrics
-from galewise.plans import calibration, embeddings, forests, model_queries, queries, rank_boost, ranker
+from galewise.plans import batches, calibration, embeddings, forests, model_queries, queries, rank_boost, ranker
 from galewise.sources import files
 from galewise.sources import tables as t
 
@@ -46,16 +46,39 @@ def test_posneg_moves_only_the_items(spark):
     assert out.query is targets
 
 
-@pytest.mark.parametrize("train_context", [True, False])
-def test_nce_learns_the_positives(spark, train_context):
+@pytest.mark.parametrize("train_context,parts", [(True, 1), (False, 2)])
+def test_nce_learns_the_positives(spark, train_context, parts):
     pairs = spark.range(200).select((F.col("id") % 20).alias("c"), (F.col("id") % 20 % 5).alias("p")).distinct()
-    out = embeddings.train_nce(pairs, classes=8, epochs=5, rate=0.03, slots=32, train_context=train_context)
+    out = embeddings.train_nce(pairs, classes=8, epochs=5, rate=0.03, slots=32, train_context=train_context, batches=parts)
     assert out.losses[-1] < out.losses[0]
     row = out.search.first()
     assert len(row.vec) == 32 and row.vec[-1] == 1.0
     assert out.query.count() == 8
 
 
+def test_batches_are_whole_and_take_more_steps(spark):
+    rows = spark.range(400).select((F.col("id") % 20).alias("t"), (F.col("id") % 7).alias("p"), (F.col("id") % 11 + 7).alias("n"))
+    stored = batches.store_batches(rows, 4, "test", "t", "p", "n")
+    parts = [(b.count(), w) for b, w in stored]
+    assert len(parts) == 4 and sum(n for n, _ in parts) == 400 and all(n == w for n, w in parts)
+    once = embeddings.train_bpr(rows, epochs=2, rate=0.02, tower=False)
+    often = embeddings.train_bpr(rows, epochs=2, rate=0.02, tower=False, batches=3)
+    assert often.losses[-1] < once.losses[-1] and often.search.count() == once.search.count()
+
+
+def test_large_batches_read_only_their_files(spark, monkeypatch):
+    monkeypatch.setattr(batches, "SMALL_ROWS", 0)
+    stored = batches.store_batches(spark.range(100), 5, "test", "id")
+    rows, weight = next(iter(stored))
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch_id" in text and rows.count() == weight
+    monkeypatch.undo()
+    samples = t.sort_sample(spark, SF)
+    monkeypatch.setattr(batches, "SMALL_ROWS", 0)
+    stored = ranker.train_ranker(samples, epochs=2, batches=3)
+    assert falls(stored.losses)
+
+
 def test_start_vectors_repeat(spark):
     vec = spark.range(3).repartition(3).select("id", random_vector(F.col("id"), 4, 1).alias("v"))
     a, b = ({r.id: r.v for r in vec.collect()} for _ in range(2))
