@@ -43,7 +43,8 @@ def render_in_zone(ts_utc: Column, zone: str) -> Column:
 
 
 def epoch_seconds(ts_utc: Column) -> Column:
-    return F.unix_timestamp(ts_utc.cast("timestamp"))
+    """Seconds since 1970, whatever the time zone of the session."""
+    return F.unix_seconds(F.from_utc_timestamp(ts_utc.cast("timestamp"), F.current_timezone()))
 
 
 def lead_labels(first: int = 3, last: int = 72, step: int = 3) -> Column:

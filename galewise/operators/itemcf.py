@@ -28,17 +28,19 @@ def itemcf_candidates(
     ``seeds`` is ``(user_id, course_id)`` and ``sim`` is ``(course_id, sim)``. All
     courses have the same score, so the answer is ordered by ``course_id`` alone and a
     seed can only contribute its ``size`` highest courses. Keeping just those per seed
-    loses nothing and bounds the join on an item that is in very many lists.
+    loses nothing and bounds the join on an item that is in very many lists. Lists of
+    items that nobody has as a seed are left out before anything is ranked.
     """
     allowed = documents.where(
         F.col("vip_status").isin(*vip)
         & F.col("needbuy_status").isin(*needbuy)
         & (F.col("status") == status)
     ).select("course_id")
-    listed = sim.distinct().join(allowed, "course_id", "left_semi")
+    wanted = seeds.select("user_id", F.col("course_id").alias("sim"))
+    asked = sim.join(wanted.select("sim").distinct(), "sim", "left_semi")
+    listed = asked.distinct().join(allowed, "course_id", "left_semi")
     best_first = [F.desc("course_id")]
     useful = top_per_group(listed, "sim", best_first, size, "course_id").drop("rn")
-    wanted = seeds.select("user_id", F.col("course_id").alias("sim"))
     hits = wanted.join(useful, "sim").select("user_id", "course_id").distinct()
     return top_per_group(hits, "user_id", best_first, size, "course_id").select(
         "user_id", "course_id", F.lit(score).alias("score")

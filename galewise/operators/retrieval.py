@@ -25,6 +25,7 @@ DECIMALS = 6  # scores are compared after rounding, ties go to the smaller id
 BROADCAST_BYTES = 64 << 20
 QUERY_BLOCK_ROWS = 1024
 ITEM_BLOCK_ROWS = 16384
+SCAN_ROWS = 65536
 PRODUCT_CELLS = 4 << 20
 
 
@@ -41,6 +42,22 @@ def _best(scores: np.ndarray, ids: np.ndarray, depth: int) -> list[np.ndarray]:
     return picks
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors in blocks of ``SCAN_ROWS``: the larger, the fewer partial results."""
+    ids, vecs, rows = [], [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids.append(b["id"].to_numpy())
+        vecs.append(arrow.matrix(b["vec"]))
+        rows += b.num_rows
+        if rows >= SCAN_ROWS:
+            yield np.concatenate(ids), np.concatenate(vecs)
+            ids, vecs, rows = [], [], 0
+    if rows:
+        yield np.concatenate(ids), np.concatenate(vecs)
+
+
 def _scored(q_ids, q_mat, i_ids, i_mat, depth: int) -> Iterator[pa.RecordBatch]:
     """Best items of every query, a few queries at a time to keep the products small."""
     step = max(1, PRODUCT_CELLS // max(1, len(i_ids)))
@@ -107,9 +124,8 @@ def knn_exact(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q_mat = shared.value
-        for b in batches:
-            if b.num_rows:
-                yield from _scored(q_ids, q_mat, b["id"].to_numpy(), arrow.matrix(b["vec"]), depth)
+        for i_ids, i_mat in _gathered(batches):
+            yield from _scored(q_ids, q_mat, i_ids, i_mat, depth)
 
     return _rank(eligible.mapInArrow(scan, _SCORED), limit, offset)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,12 +100,13 @@ def src_catalog_sql(spark: SparkSession, sf: str) -> DataFrame:
 
 def src_replaced_table(spark: SparkSession, sf: str) -> DataFrame:
     """Course flags written as a managed table in place of an older one, then read."""
-    rows = catalog.course_flags(t.course_platform(spark, sf), t.course(spark, sf))
-    catalog.replace_table(t.course(spark, sf), "replaced_flags")
-    catalog.replace_table(rows, "replaced_flags")
-    return spark.table("replaced_flags").groupBy("vip_status", "needbuy_status").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    name = f"flags_{uuid.uuid4().hex}"
+    catalog.replace_table(t.course(spark, sf), name)
+    catalog.replace_table(catalog.course_flags(t.course_platform(spark, sf), t.course(spark, sf)), name)
+    sizes = spark.table(name).groupBy("vip_status", "needbuy_status").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut_lineage(sizes, "flag-sizes")
+    spark.sql(f"DROP TABLE `{name}`")
+    return sizes
 
 
 def src_report(spark: SparkSession, sf: str) -> DataFrame:

@@ -37,6 +37,25 @@ def test_epoch_and_zone(spark):
     assert tuple(row) == (1633006800, "202109302100")
 
 
+def test_times_do_not_depend_on_the_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        utc = tf.parse_forecast_time(F.lit("F2021093013"))
+        row = one(
+            spark, tf.epoch_seconds(utc), tf.render_in_zone(utc, "Asia/Shanghai"),
+            tf.station_to_forecast_time(F.lit("21093021")), tf.shift_forecast_time(F.lit("F2021093013"), F.lit(72)),
+        )
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert tuple(row) == (1633006800, "202109302100", "F2021093013", "F2021092713")
+
+
+def test_sum_of_dots(spark):
+    total = v.sum_of_dots(F.array(F.lit(1.0), F.lit(2.0)), F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in ((1.0, 0.0), (2.0, 3.0))]))
+    assert one(spark, total)[0] == 9.0
+
+
 def test_grid_box():
     assert forecast.lon_cells() == range(495, 498)
     assert forecast.lat_cells() == range(243, 247)
