@@ -38,7 +38,9 @@ def itemcf_candidates(
     ).select("course_id")
     wanted = seeds.select("user_id", F.col("course_id").alias("sim"))
     asked = sim.join(wanted.select("sim").distinct(), "sim", "left_semi")
-    listed = asked.distinct().join(allowed, "course_id", "left_semi")
+    # by pair: the partitions of the join would leave a hot item in one task
+    pairs = asked.repartition("course_id", "sim").distinct()
+    listed = pairs.join(allowed, "course_id", "left_semi")
     best_first = [F.desc("course_id")]
     useful = top_per_group(listed, "sim", best_first, size, "course_id").drop("rn")
     hits = wanted.join(useful, "sim").select("user_id", "course_id").distinct()

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from galewise.functions.vectors import softplus
 from galewise.operators.topk import top_per_group
 
+LEAST_SHARE = 1e-6  # a class without votes is scored as if it had this share
+
 
 def logloss(logit: Column, label: Column) -> Column:
     """Logistic loss of one row from its logit."""
@@ -102,7 +104,7 @@ def learning_curve(votes: DataFrame, classes: int) -> DataFrame:
 
     ``votes`` has ``row_id, label, tree_no, vote``. Each row's votes are added up in
     tree order; a row has one vote per tree. The class with most votes wins, the smaller
-    class on a tie. A share of zero is scored as if it were 1e-6.
+    class on a tie.
     """
     so_far = Window.partitionBy("row_id").orderBy("tree_no")
     share = [
@@ -116,7 +118,7 @@ def learning_curve(votes: DataFrame, classes: int) -> DataFrame:
         counted.select(
             (F.col("tree_no") + 1).alias("trees"),
             (winner == F.col("label")).cast("double").alias("hit"),
-            (-F.log(F.greatest(own, F.lit(1e-6)))).alias("loss"),
+            (-F.log(F.greatest(own, F.lit(LEAST_SHARE)))).alias("loss"),
         )
         .groupBy("trees")
         .agg(F.avg("hit").alias("accuracy"), F.avg("loss").alias("logloss"))

@@ -191,7 +191,13 @@ class IvfIndex:
     centroids: np.ndarray
 
     def lists(self, spark) -> DataFrame:
-        return spark.read.parquet(self.path)
+        return spark.read.parquet(f"{self.path}/lists")
+
+
+def open_ivf(spark, path: str) -> IvfIndex:
+    """An index that was built before."""
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("list_id").collect()
+    return IvfIndex(path, np.array([r.centre for r in rows]))
 
 
 def build_ivf(
@@ -202,7 +208,7 @@ def build_ivf(
     train_rows: int = 200_000,
     seed: int = 11,
 ) -> IvfIndex:
-    """Cluster the vectors and store them partitioned by list.
+    """Cluster the vectors and store them below ``path``, partitioned by list.
 
     Centres are learned on a sample of about ``train_rows`` vectors; every vector is
     then assigned to its nearest centre and kept.
@@ -226,7 +232,9 @@ def build_ivf(
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     assigned = items.mapInArrow(assign, f"{fields}, list_id int")
     # AQE splits a list that is much larger than the others into several files
-    assigned.hint("rebalance", F.col("list_id")).write.partitionBy("list_id").parquet(path)
+    assigned.hint("rebalance", F.col("list_id")).write.partitionBy("list_id").parquet(f"{path}/lists")
+    table = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
+    items.sparkSession.createDataFrame(table, "list_id int, centre array<double>").write.parquet(f"{path}/centroids")
     return IvfIndex(path, centres)
 
 

@@ -16,13 +16,14 @@ from galewise.session import cut_lineage
 
 @dataclass
 class RankModel:
-    """Trees, the value of every leaf, and the mean NDCG after each round."""
+    """Trees, the value of every leaf, and the mean NDCG after each round on both row sets."""
 
     features: list[str]
     rate: float
     trees: list[DecisionTreeRegressionModel] = field(default_factory=list)
     leaves: list[dict[int, float]] = field(default_factory=list)
     ndcg: list[float] = field(default_factory=list)
+    valid_ndcg: list[float] = field(default_factory=list)
 
     def score(self, rows: DataFrame, out: str = "score") -> DataFrame:
         """Add the score of every row; no shuffle."""
@@ -43,13 +44,22 @@ class RankModel:
 def train_rank_boost(
     rows: DataFrame, features: list[str], rounds: int = 50, depth: int = 5, rate: float = 0.1,
     group: str = "group", relevance: str = "relevance", row_id: str = "row_id", k: int = 5, seed: int = 5,
+    validation: DataFrame | None = None,
 ) -> RankModel:
     """Each round fits a tree to the ranking gradients and sets its leaves by a Newton step."""
     model = RankModel(features, rate)
-    current = VectorAssembler(inputCols=features, outputCol="__x").transform(
-        rows.select(row_id, group, relevance, *features)
-    )
-    current = cut_lineage(current.select(row_id, group, relevance, "__x", F.lit(0.0).alias("score")), "rank-rows")
+
+    def prepared(df: DataFrame) -> DataFrame:
+        assembled = VectorAssembler(inputCols=features, outputCol="__x").transform(df)
+        return cut_lineage(
+            assembled.select(row_id, group, relevance, "__x", F.lit(0.0).alias("score")), "rank-rows"
+        )
+
+    def mean_ndcg(df: DataFrame) -> float:
+        return ndcg(df, group, relevance, "score", row_id, k).agg(F.avg("ndcg")).first()[0]
+
+    current = prepared(rows)
+    held = None if validation is None else prepared(validation)
     for _ in range(rounds):
         pulls = lambda_gradients(current, k, group, relevance, "score", row_id)
         target = cut_lineage(current.join(pulls, row_id), "rank-target")
@@ -64,5 +74,8 @@ def train_rank_boost(
         model.leaves.append(leaves)
         moved = model._add(target.drop("lambda", "weight"), tree, leaves, "score")
         current = cut_lineage(moved, "rank-rows")
-        model.ndcg.append(ndcg(current, group, relevance, "score", row_id, k).agg(F.avg("ndcg")).first()[0])
+        model.ndcg.append(mean_ndcg(current))
+        if held is not None:
+            held = cut_lineage(model._add(held, tree, leaves, "score"), "rank-held")
+            model.valid_ndcg.append(mean_ndcg(held))
     return model

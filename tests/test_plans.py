@@ -1,5 +1,7 @@
 """Plans: filters reach the scan, only needed columns are read, nothing is crossed."""
 
+import re
+
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -63,3 +65,13 @@ def test_lists_are_shuffled_by_list_not_by_context(spark):
     assert "hashpartitioning(c_idx#" in plan(positives.positives_per_context(samples))
     text = plan(positives.positives_per_context(samples))
     assert "REPARTITION_BY_COL" in text and ", part#" in text
+
+
+def test_similarity_pairs_are_not_left_in_the_partitions_of_the_join(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(queries.itemcf_candidates(spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "LeftSemi" in text and re.search(r"hashpartitioning\(course_id#\d+L, sim#\d+L.*REPARTITION_BY_COL", text)

@@ -82,6 +82,9 @@ def test_ivf_full_probe_is_exact_and_recall_grows(spark, data, tmp_path):
         got = ranked(retrieval.knn_ivf(frame(spark, queries), index, nprobe, 20, 4))
         recall.append(sum(len(set(want[q]) & set(got.get(q, []))) for q in want))
     assert got == want
+    again = retrieval.open_ivf(spark, str(tmp_path / "ivf"))
+    assert np.array_equal(again.centroids, index.centroids)
+    assert ranked(retrieval.knn_ivf(frame(spark, queries), again, 12, 20, 4)) == want
     assert recall == sorted(recall) and recall[0] < recall[-1]
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from galewise.functions import mlp
 from galewise.functions.vectors import random_vector
-from galewise.operators import forecast, metrics
+from galewise.operators import forecast, metrics, sampling
 from galewise.plans import batches, calibration, embeddings, forests, model_queries, queries, rank_boost, ranker
 from galewise.sources import files
 from galewise.sources import tables as t
@@ -159,6 +159,8 @@ def test_votes_of_the_node_table_are_the_votes_of_the_trees(spark, forest):
     assert {r.row_id: r.vote for r in votes.where("tree_no = 5").collect()} == direct
     curve = forests.forest_curve(predictions, forests.node_table(model.stages[-1], spark), 3).orderBy("trees").collect()
     assert [r.trees for r in curve] == list(range(1, 13)) and curve[-1].accuracy > 0.85
+    for a, b in zip(curve, metrics.learning_curve(votes, 3).orderBy("trees").collect()):
+        assert a.accuracy == pytest.approx(b.accuracy) and a.logloss == pytest.approx(b.logloss)
 
 
 def test_boosted_three_classes(spark):
@@ -184,8 +186,9 @@ def test_vector_classifier(spark):
 def test_ranking_trees_raise_ndcg(spark):
     rows = files.parse_ranking_lines(t.ranking_lines(spark, SF), queries.FEATURES)
     rows = rows.withColumn("row_id", F.xxhash64(*rows.columns)).withColumn("f_1", F.col("f_1") + 40 * F.col("relevance"))
-    model = rank_boost.train_rank_boost(rows, ["f_1", "f_2", "f_3"], rounds=4, rate=0.3)
+    train, held = sampling.train_test_split(rows, "group", 0.3)
+    model = rank_boost.train_rank_boost(train, ["f_1", "f_2", "f_3"], rounds=4, rate=0.3, validation=held)
     before = metrics.ndcg(rows.withColumn("score", F.lit(0.0))).agg(F.avg("ndcg")).first()[0]
-    assert model.ndcg[-1] > before + 0.05
-    scored = metrics.ndcg(model.score(rows)).agg(F.avg("ndcg")).first()[0]
-    assert scored == pytest.approx(model.ndcg[-1])
+    assert model.ndcg[-1] > before + 0.05 and model.valid_ndcg[-1] > before
+    for part, logged in ((train, model.ndcg), (held, model.valid_ndcg)):
+        assert metrics.ndcg(model.score(part)).agg(F.avg("ndcg")).first()[0] == pytest.approx(logged[-1])
