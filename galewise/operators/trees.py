@@ -7,7 +7,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galewise.session import cut_lineage
+from galewise.session import Versions
 
 # The hand-authored colour tree.
 COLOUR_CLASSES = ["red", "blue", "green"]
@@ -71,6 +71,7 @@ def tree_inorder(nodes: DataFrame, max_depth: int = 30) -> DataFrame:
     reach = nodes.select("tree_id", "node_id").join(edges, ["tree_id", "node_id"], "left").select(
         "tree_id", "node_id", F.col("parent").alias("above"), F.coalesce("step", F.lit("")).alias("path")
     )
+    tables = Versions(nodes.sparkSession, "tree")
     for _ in range(max(1, ceil(log2(max_depth))) if max_depth > 1 else 0):
         upper = reach.select(
             "tree_id", F.col("node_id").alias("above"), F.col("above").alias("__above"),
@@ -80,7 +81,7 @@ def tree_inorder(nodes: DataFrame, max_depth: int = 30) -> DataFrame:
             "tree_id", "node_id", F.col("__above").alias("above"),
             F.concat(F.coalesce("__path", F.lit("")), "path").alias("path"),
         )
-        reach = cut_lineage(longer, "tree-paths")
+        reach = tables.store(longer, "paths")
     label = F.when(F.col("kind") == "split", F.col("feature")).otherwise(F.col("leaf_idx").cast("string"))
     return (
         nodes.select("tree_id", "node_id", label.alias("node"))

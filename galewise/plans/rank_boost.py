@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from galewise.operators.metrics import ndcg
 from galewise.operators.ranking import lambda_gradients
-from galewise.session import cut_lineage
+from galewise.session import Versions
 
 
 @dataclass
@@ -51,18 +51,17 @@ def train_rank_boost(
 
     def prepared(df: DataFrame) -> DataFrame:
         assembled = VectorAssembler(inputCols=features, outputCol="__x").transform(df)
-        return cut_lineage(
-            assembled.select(row_id, group, relevance, "__x", F.lit(0.0).alias("score")), "rank-rows"
-        )
+        return assembled.select(row_id, group, relevance, "__x", F.lit(0.0).alias("score"))
 
     def mean_ndcg(df: DataFrame) -> float:
         return ndcg(df, group, relevance, "score", row_id, k).agg(F.avg("ndcg")).first()[0]
 
-    current = prepared(rows)
-    held = None if validation is None else prepared(validation)
+    tables = Versions(rows.sparkSession, "rank")
+    current = tables.store(prepared(rows), "rows")
+    held = None if validation is None else tables.store(prepared(validation), "held")
     for _ in range(rounds):
         pulls = lambda_gradients(current, k, group, relevance, "score", row_id)
-        target = cut_lineage(current.join(pulls, row_id), "rank-target")
+        target = tables.store(current.join(pulls, row_id), "target")
         tree = DecisionTreeRegressor(
             featuresCol="__x", labelCol="lambda", predictionCol="__p", leafCol="__leaf",
             maxDepth=depth, seed=seed, minInstancesPerNode=5,
@@ -73,9 +72,9 @@ def train_rank_boost(
         model.trees.append(tree)
         model.leaves.append(leaves)
         moved = model._add(target.drop("lambda", "weight"), tree, leaves, "score")
-        current = cut_lineage(moved, "rank-rows")
+        current = tables.store(moved, "rows")
         model.ndcg.append(mean_ndcg(current))
         if held is not None:
-            held = cut_lineage(model._add(held, tree, leaves, "score"), "rank-held")
+            held = tables.store(model._add(held, tree, leaves, "score"), "held")
             model.valid_ndcg.append(mean_ndcg(held))
     return model

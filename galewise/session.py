@@ -63,3 +63,31 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Versions:
+    """Named tables of an iterating job in the shared folder, newest version only.
+
+    A table's old version is removed once the new one is completely written, so the
+    folder holds one copy of each table however many steps a job takes.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root = spark, scratch_path(spark, label)
+        self._count: dict[str, int] = {}
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        version = self._count.get(name, 0) + 1
+        path = f"{self.root}/{name}-{version}"
+        df.write.parquet(path)
+        self._count[name] = version
+        if version > 1:
+            remove_path(self.spark, f"{self.root}/{name}-{version - 1}")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete files that this library has written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

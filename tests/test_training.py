@@ -1,10 +1,13 @@
 """Training jobs: losses fall, results are whole, models beat a trivial guess."""
 
+import os
+
 import numpy as np
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from galewise import session
 from galewise.functions import mlp
 from galewise.functions.vectors import random_vector
 from galewise.operators import forecast, metrics, sampling
@@ -79,6 +82,23 @@ def test_large_batches_read_only_their_files(spark, monkeypatch):
     assert falls(stored.losses)
 
 
+def test_only_the_newest_version_stays(spark):
+    tables = session.Versions(spark, "versions")
+    df = spark.range(3)
+    for _ in range(4):
+        df = tables.store(df.withColumn("id", F.col("id") + 1), "t")
+    assert sorted(r.id for r in df.collect()) == [4, 5, 6]
+    assert os.listdir(tables.root) == ["t-4"]
+
+
+def test_l2_pulls_towards_zero(spark):
+    params = embeddings.start_table(spark.range(1), 2, 4)
+    none = spark.createDataFrame([], "id long, grad array<double>")
+    before = np.abs(params.first().vec)
+    assert (np.abs(embeddings.adam_table(params, none, 1, 0.001, 2, l2=0.1).first().vec) < before).all()
+    assert np.allclose(np.abs(embeddings.adam_table(params, none, 1, 0.001, 2).first().vec), before)
+
+
 def test_start_vectors_repeat(spark):
     vec = spark.range(3).repartition(3).select("id", random_vector(F.col("id"), 4, 1).alias("v"))
     a, b = ({r.id: r.v for r in vec.collect()} for _ in range(2))
