@@ -27,19 +27,24 @@ QUERY_BLOCK_ROWS = 1024
 ITEM_BLOCK_ROWS = 16384
 SCAN_ROWS = 65536
 PRODUCT_CELLS = 4 << 20
+MERGE_CELLS = 16 << 20  # best scores a task may hold
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For each row of scores, the positions of its ``depth`` best items."""
-    picks = []
-    for row in scores:
-        if depth < len(row):
-            floor = np.partition(row, len(row) - depth)[len(row) - depth]
-            keep = np.nonzero(row >= floor)[0]
-        else:
-            keep = np.arange(len(row))
-        picks.append(keep[np.lexsort((ids[keep], -row[keep]))][:depth])
-    return picks
+def _top(scores: np.ndarray, ids: np.ndarray, depth: int) -> np.ndarray:
+    """Positions of the ``depth`` best items, best first."""
+    if depth < len(scores):
+        least = np.partition(scores, len(scores) - depth)[len(scores) - depth]
+        keep = np.nonzero(scores >= least)[0]
+    else:
+        keep = np.arange(len(scores))
+    return keep[np.lexsort((ids[keep], -scores[keep]))][:depth]
+
+
+def _products(q_mat: np.ndarray, i_mat: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rounded scores of a few queries at a time, with the number of the first of them."""
+    step = max(1, PRODUCT_CELLS // max(1, len(i_mat)))
+    for lo in range(0, len(q_mat), step):
+        yield lo, np.round(q_mat[lo : lo + step] @ i_mat.T, DECIMALS)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -59,18 +64,44 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
 
 
 def _scored(q_ids, q_mat, i_ids, i_mat, depth: int) -> Iterator[pa.RecordBatch]:
-    """Best items of every query, a few queries at a time to keep the products small."""
-    step = max(1, PRODUCT_CELLS // max(1, len(i_ids)))
-    for lo in range(0, len(q_ids), step):
-        scores = np.round(q_mat[lo : lo + step] @ i_mat.T, DECIMALS)
-        picks = _best(scores, i_ids, depth)
+    """Best items of every query within one block of items."""
+    for lo, scores in _products(q_mat, i_mat):
+        picks = [_top(row, i_ids, depth) for row in scores]
         yield arrow.batch(
-            query_id=np.repeat(q_ids[lo : lo + step], [len(p) for p in picks]),
+            query_id=np.repeat(q_ids[lo : lo + len(scores)], [len(p) for p in picks]),
             video_id=i_ids[np.concatenate(picks)],
             score=np.concatenate([s[p] for s, p in zip(scores, picks)]),
         )
 
 
+def _scan_merged(blocks, q_ids, q_mat, depth: int) -> Iterator[pa.RecordBatch]:
+    """Best items of every query over all blocks of a task.
+
+    From the second block on, most scores fall below the last place and are skipped.
+    """
+    best_s = [np.empty(0) for _ in q_ids]
+    best_i = [np.empty(0, np.int64) for _ in q_ids]
+    for i_ids, i_mat in blocks:
+        for lo, scores in _products(q_mat, i_mat):
+            for q, row in enumerate(scores, start=lo):
+                if len(best_s[q]) == depth:
+                    new = np.nonzero(row >= best_s[q][-1])[0]
+                    row, ids = row[new], i_ids[new]
+                else:
+                    ids = i_ids
+                if len(row):
+                    s, i = np.concatenate([best_s[q], row]), np.concatenate([best_i[q], ids])
+                    top = _top(s, i, depth)
+                    best_s[q], best_i[q] = s[top], i[top]
+    step = max(1, PRODUCT_CELLS // (4 * depth))
+    for lo in range(0, len(q_ids), step):
+        part = slice(lo, lo + step)
+        yield arrow.batch(
+            query_id=np.repeat(q_ids[part], [len(s) for s in best_s[part]]),
+            video_id=np.concatenate(best_i[part]), score=np.concatenate(best_s[part]),
+        )
+
+
 _SCORED = "query_id long, video_id long, score double"
 
 
@@ -124,6 +155,9 @@ def knn_exact(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q_mat = shared.value
+        if len(q_ids) * depth <= MERGE_CELLS:
+            yield from _scan_merged(_gathered(batches), q_ids, q_mat, depth)
+            return
         for i_ids, i_mat in _gathered(batches):
             yield from _scored(q_ids, q_mat, i_ids, i_mat, depth)
 

@@ -49,6 +49,21 @@ def test_exact_equals_brute_force(spark, data, bytes_, limit, offset):
     assert ranked(got) == brute(queries, items, flags, limit, offset)
 
 
+@pytest.mark.parametrize("merge", [0, 1 << 30])
+def test_scan_in_many_blocks(spark, data, monkeypatch, merge):
+    monkeypatch.setattr(retrieval, "SCAN_ROWS", 50)
+    monkeypatch.setattr(retrieval, "MERGE_CELLS", merge)
+    monkeypatch.setattr(retrieval, "PRODUCT_CELLS", 120)
+    monkeypatch.setattr(retrieval, "ITEM_BLOCK_ROWS", 70)
+    queries, items, flags = data
+    items = np.round(items, 1)  # many equal scores
+    for bytes_ in (0, 64 << 20):
+        got = retrieval.knn_exact(
+            frame(spark, np.round(queries, 0)), frame(spark, items, flags).coalesce(2), 30, 4, broadcast_bytes=bytes_
+        )
+        assert ranked(got) == brute(np.round(queries, 0), items, flags, 30, 4)
+
+
 def test_no_filter_and_no_queries(spark, data):
     queries, items, flags = data
     got = retrieval.knn_exact(frame(spark, queries), frame(spark, items, flags), 3, 0, where=None)
