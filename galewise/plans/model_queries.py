@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from galewise.functions.vectors import as_double, scale
 from galewise.operators import catalog, forecast, gradients, metrics, ranking, retrieval, towers, trees
-from galewise.plans import calibration, embeddings, forests, rank_boost, ranker
+from galewise.plans import calibration, embeddings, forests, inputs, rank_boost, ranker
 from galewise.plans import queries as base
 from galewise.session import cut_lineage, scratch_path
 from galewise.sources import files
@@ -85,7 +85,7 @@ def nce_loss(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lambda_gradients(spark: SparkSession, sf: str) -> DataFrame:
-    rows = base._scored_ranking(spark, sf).withColumn("score", F.col("score") / 100)
+    rows = inputs.scored_ranking(spark, sf).withColumn("score", F.col("score") / 100)
     out = ranking.lambda_gradients(rows)
     return out.select(
         "row_id", F.round("lambda", 6).alias("lambda"), F.round("weight", 6).alias("weight")
@@ -122,7 +122,7 @@ def ranker_train(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _calibrated(spark: SparkSession, sf: str, epochs: int) -> DataFrame:
-    samples = forecast.samples_with_lag(base._features(spark, sf), base._labels(spark, sf), 1)
+    samples = forecast.samples_with_lag(inputs.features(spark, sf), inputs.labels(spark, sf), 1)
     return calibration.train_calibration(samples, epochs=epochs)
 
 
@@ -203,7 +203,7 @@ def rank_boost_train(spark: SparkSession, sf: str) -> DataFrame:
 
 def knn_exact_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship search by the block join that is used beyond the broadcast bound."""
-    queries, items = base._towers(spark, sf)
+    queries, items = inputs.towers(spark, sf)
     return retrieval.knn_exact(queries, items, broadcast_bytes=0)
 
 
@@ -214,7 +214,7 @@ def _nlist(rows: DataFrame) -> int:
 
 def knn_ivf_full_probe(spark: SparkSession, sf: str) -> DataFrame:
     """Search of every list of the index, which has to equal the exact search."""
-    queries, items = base._towers(spark, sf)
+    queries, items = inputs.towers(spark, sf)
     nlist = _nlist(items)
     index = retrieval.build_ivf(items, scratch_path(spark, "ivf"), nlist)
     return retrieval.knn_ivf(queries, index, nprobe=nlist)
@@ -222,7 +222,7 @@ def knn_ivf_full_probe(spark: SparkSession, sf: str) -> DataFrame:
 
 def knn_ivf_probe(spark: SparkSession, sf: str) -> DataFrame:
     """Search of the best lists only: one in 32, and eight at least."""
-    queries, items = base._towers(spark, sf)
+    queries, items = inputs.towers(spark, sf)
     nlist = _nlist(items)
     index = retrieval.build_ivf(items, scratch_path(spark, "ivf"), nlist)
     return retrieval.knn_ivf(queries, index, nprobe=max(8, nlist // 32))
@@ -231,7 +231,7 @@ def knn_ivf_probe(spark: SparkSession, sf: str) -> DataFrame:
 def publish_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """Publish both towers twice, retire nothing yet, and report the rows behind the aliases."""
     run = uuid.uuid4().hex[:8]
-    rows = catalog.publishable(*base._catalogue(spark, sf))
+    rows = catalog.publishable(*inputs.catalogue(spark, sf))
     prefixes = [f"video_query_{run}_", f"video_search_{run}_"]
     for stamp in ("20240101000000", "20240102000000"):
         done = catalog.publish_pair(rows, *prefixes, stamp)

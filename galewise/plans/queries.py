@@ -15,6 +15,7 @@ from galewise.functions.hashing import hash_bucket
 from galewise.operators import catalog, forecast, itemcf, metrics, positives, sampling, towers, trees
 from galewise.operators.indexing import dense_index
 from galewise.operators.retrieval import knn_exact
+from galewise.plans import inputs
 from galewise.session import cut_lineage, scratch_path
 from galewise.sources import files, views
 from galewise.sources import tables as t
@@ -147,22 +148,8 @@ def prep_features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _catalogue(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return t.video_embedding(spark, sf), t.course_platform(spark, sf), t.course(spark, sf)
-
-
-def _towers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Query and search vectors with flags, as two published tables would hold them."""
-    rows = cut_lineage(catalog.publishable(*_catalogue(spark, sf)), "towers")
-    queries = rows.select("video_id", F.col("embedding_query").alias("embedding"))
-    items = rows.select(
-        "video_id", F.col("embedding_search").alias("embedding"), "vip_status", "needbuy_status"
-    )
-    return queries, items
-
-
 def catalog_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.catalog_flags(*_catalogue(spark, sf)).select(
+    return catalog.catalog_flags(*inputs.catalogue(spark, sf)).select(
         "video_id", "vip_status", "needbuy_status",
         F.get("embedding_query", F.lit(0)).cast("double").alias("q_first"),
         F.get("embedding_search", F.lit(31)).cast("double").alias("s_last"),
@@ -171,7 +158,7 @@ def catalog_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 def knn_exact_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: for every video, places 5 to 1028 among the free videos."""
-    return knn_exact(*_towers(spark, sf))
+    return knn_exact(*inputs.towers(spark, sf))
 
 
 def itemcf_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,22 +213,14 @@ def dense_forward(spark: SparkSession, sf: str) -> DataFrame:
 # --- forecast ----------------------------------------------------------------
 
 
-def _features(spark: SparkSession, sf: str) -> DataFrame:
-    return forecast.forecast_features(t.forecast_grid(spark, sf))
-
-
-def _labels(spark: SparkSession, sf: str) -> DataFrame:
-    return forecast.station_labels(t.station_obs(spark, sf))
-
-
 def forecast_features(spark: SparkSession, sf: str) -> DataFrame:
-    return _features(spark, sf).select(
+    return inputs.features(spark, sf).select(
         "gap", "F_time", F.size("input").alias("width"), F.posexplode("input").alias("pos", "value")
     )
 
 
 def station_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return _labels(spark, sf).select("F_time", F.posexplode("label").alias("pos", "r")).select(
+    return inputs.labels(spark, sf).select("F_time", F.posexplode("label").alias("pos", "r")).select(
         "F_time", "pos", "r.StationNum", _r(F.col("r.ExMaxWindV")).alias("ExMaxWindV")
     )
 
@@ -255,15 +234,15 @@ def _sample_view(samples: DataFrame) -> DataFrame:
 
 
 def wx_join_valid_time(spark: SparkSession, sf: str) -> DataFrame:
-    return _sample_view(forecast.samples_without_lag(_features(spark, sf), _labels(spark, sf)))
+    return _sample_view(forecast.samples_without_lag(inputs.features(spark, sf), inputs.labels(spark, sf)))
 
 
 def wx_join_lag_issue(spark: SparkSession, sf: str) -> DataFrame:
-    return _sample_view(forecast.samples_with_lag(_features(spark, sf), _labels(spark, sf)))
+    return _sample_view(forecast.samples_with_lag(inputs.features(spark, sf), inputs.labels(spark, sf)))
 
 
 def wx_join_lag_1h(spark: SparkSession, sf: str) -> DataFrame:
-    return _sample_view(forecast.samples_with_lag(_features(spark, sf), _labels(spark, sf), 1))
+    return _sample_view(forecast.samples_with_lag(inputs.features(spark, sf), inputs.labels(spark, sf), 1))
 
 
 def calib_rmse(spark: SparkSession, sf: str) -> DataFrame:
@@ -276,7 +255,7 @@ def calib_rmse(spark: SparkSession, sf: str) -> DataFrame:
 
 def calib_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Held-out rows per lead and repeat, the size of the experiment's output."""
-    samples = forecast.samples_with_lag(_features(spark, sf), _labels(spark, sf), 1)
+    samples = forecast.samples_with_lag(inputs.features(spark, sf), inputs.labels(spark, sf), 1)
     keyed = samples.withColumn("key", F.concat("gap", "F_time"))
     repeat = F.explode(F.sequence(F.lit(1), F.lit(10))).alias("exp")
     held = keyed.select("gap", "key", repeat).where(sampling.is_test(F.col("key"), F.col("exp"), 200))
@@ -437,19 +416,8 @@ def fn_endpoint_mean(spark: SparkSession, sf: str) -> DataFrame:
 # --- metrics and trees -------------------------------------------------------
 
 
-def _scored_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    """Ranking rows with whole-number scores, so every engine orders them alike."""
-    vec = t.table(spark, sf, "embeddings")
-    return vec.select(
-        F.col("vec_id").alias("row_id"),
-        F.concat(F.lit("g_"), F.floor(F.col("vec_id") / 25).cast("string")).alias("group"),
-        (F.col("label") % 3).alias("relevance"),
-        F.floor(F.get("embedding", F.lit(0)).cast("double") * 1000).cast("double").alias("score"),
-    )
-
-
 def ndcg(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.ndcg(_scored_ranking(spark, sf)).select("group", _r(F.col("ndcg")).alias("ndcg"))
+    return metrics.ndcg(inputs.scored_ranking(spark, sf)).select("group", _r(F.col("ndcg")).alias("ndcg"))
 
 
 def _predictions(spark: SparkSession, sf: str) -> DataFrame:

@@ -72,7 +72,9 @@ def test_posneg(spark, vecs):
     check(loss, items, "item", got)
 
 
-def test_nce(spark, vecs):
+@pytest.mark.parametrize("cells", [7, 4 << 20])
+def test_nce(spark, vecs, monkeypatch, cells):
+    monkeypatch.setattr(gradients, "PRODUCT_CELLS", cells)
     contexts, items = vecs
     pairs = [(0, 1), (0, 2), (0, 5), (3, 1), (4, 4)]
     slots, classes = 7, len(items)
@@ -104,6 +106,18 @@ def test_nce(spark, vecs):
     check(loss, items, "item", got)
 
 
+def test_distinct_negatives(spark):
+    drawn, tries = gradients.draw_distinct_negatives(spark, 40, 20, seed=3)
+    rows = drawn.collect()
+    assert len({r.id for r in rows}) == 20 <= tries and all(0 <= r.id < 40 for r in rows)
+    p = [(np.log(r.id + 2) - np.log(r.id + 1)) / np.log(41) for r in rows]
+    assert np.allclose([r.log_expected for r in rows], [np.log(1 - (1 - x) ** tries) for x in p])
+    everything, _ = gradients.draw_distinct_negatives(spark, 6, 6, seed=1)
+    assert sorted(r.id for r in everything.collect()) == list(range(6))
+    with pytest.raises(ValueError):
+        gradients.draw_distinct_negatives(spark, 3, 4, seed=1)
+
+
 def test_sampler_probabilities_sum_to_one(spark):
     n = 50
     p = spark.range(n).select(gradients.log_uniform(F.col("id"), F.lit(float(n))).alias("p"))

@@ -11,7 +11,7 @@ from galewise import session
 from galewise.functions import mlp
 from galewise.functions.vectors import random_vector
 from galewise.operators import forecast, metrics, sampling
-from galewise.plans import batches, calibration, embeddings, forests, model_queries, queries, rank_boost, ranker
+from galewise.plans import batches, calibration, embeddings, forests, inputs, model_queries, queries, rank_boost, ranker
 from galewise.sources import files
 from galewise.sources import tables as t
 
@@ -147,7 +147,7 @@ def test_calibration_beats_no_model(spark):
 
 
 def test_held_out_rows_are_the_counted_ones(spark):
-    samples = forecast.samples_with_lag(queries._features(spark, SF), queries._labels(spark, SF), 1)
+    samples = forecast.samples_with_lag(inputs.features(spark, SF), inputs.labels(spark, SF), 1)
     predicted = calibration.train_calibration(samples, epochs=1).groupBy("gap", "exp").count()
     want = {(r.gap, r.exp): r.n for r in queries.calib_rows(spark, SF).collect()}
     assert {(r.gap, r["exp"]): r["count"] for r in predicted.collect()} == want
