@@ -74,7 +74,7 @@ def _gradient_pass(rows: DataFrame, models: dict, sizes: list[int], repeats: int
         .agg(sum_vectors(F.col("grad"), mlp.BLOCK).alias("grad"))
         .toPandas()  # leads × repeats × weights numbers
     )
-    shared.unpersist()
+    shared.destroy()
     ordered = summed.sort_values("block").groupby(["gap", "exp"])["grad"]
     return {key: np.concatenate(list(blocks)) for key, blocks in ordered}
 
