@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galewise.operators.topk import top_per_group
+from galewise.session import cut_lineage
 
 
 def long_form(documents: DataFrame) -> DataFrame:
@@ -13,6 +14,15 @@ def long_form(documents: DataFrame) -> DataFrame:
     return documents.select("course_id", F.explode("sim").alias("sim"))
 
 
+def best_per_item(sim: DataFrame, items: DataFrame, allowed: DataFrame, size: int) -> DataFrame:
+    """The ``size`` highest allowed courses whose list holds each of the given items."""
+    asked = sim.join(items, "sim", "left_semi")
+    # by pair: the partitions of the join would leave a hot item in one task
+    pairs = asked.repartition("course_id", "sim").distinct()
+    listed = pairs.join(allowed, "course_id", "left_semi")
+    return top_per_group(listed, "sim", [F.desc("course_id")], size, "course_id").drop("rn")
+
+
 def itemcf_candidates(
     seeds: DataFrame,
     sim: DataFrame,
@@ -36,14 +46,11 @@ def itemcf_candidates(
         & F.col("needbuy_status").isin(*needbuy)
         & (F.col("status") == status)
     ).select("course_id")
-    wanted = seeds.select("user_id", F.col("course_id").alias("sim"))
-    asked = sim.join(wanted.select("sim").distinct(), "sim", "left_semi")
-    # by pair: the partitions of the join would leave a hot item in one task
-    pairs = asked.repartition("course_id", "sim").distinct()
-    listed = pairs.join(allowed, "course_id", "left_semi")
-    best_first = [F.desc("course_id")]
-    useful = top_per_group(listed, "sim", best_first, size, "course_id").drop("rn")
+    # the inputs of the joins are stored: Spark splits a hot key only between plain shuffles
+    wanted = cut_lineage(seeds.select("user_id", F.col("course_id").alias("sim")), "seeds")
+    items = cut_lineage(wanted.select("sim").distinct(), "seed-items")
+    useful = cut_lineage(best_per_item(sim, items, allowed, size), "useful")
     hits = wanted.join(useful, "sim").select("user_id", "course_id").distinct()
-    return top_per_group(hits, "user_id", best_first, size, "course_id").select(
+    return top_per_group(hits, "user_id", [F.desc("course_id")], size, "course_id").select(
         "user_id", "course_id", F.lit(score).alias("score")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galewise.functions.hashing import hash28
+from galewise.session import cut_lineage
 
 LIST_ROWS = 1024
 
@@ -19,6 +20,8 @@ def positives_per_context(samples: DataFrame, context: str = "c_idx", target: st
     counts = samples.groupBy(context).agg(
         F.ceil(F.count(F.lit(1)) / list_rows).cast("int").alias("__parts")
     )
+    # stored, because Spark splits a hot key only between two plain shuffles
+    counts = cut_lineage(counts, "positive-counts")
     part = F.pmod(hash28(F.col(target)), F.col("__parts")).alias("part")
     return (
         samples.join(counts, context)

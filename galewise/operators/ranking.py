@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galewise.operators.metrics import dcg, top_ranked
+from galewise.session import cut_lineage
 
 
 def lambda_gradients(
@@ -29,8 +30,9 @@ def lambda_gradients(
         "grp", "ideal",
         F.struct("id", "gain", "rel", "s", (1 / F.log2(F.col("rank") + 1)).alias("d")).alias("t"),
     )
-    # at most k partners per group
-    partners = top.groupBy("grp", "ideal").agg(F.collect_list("t").alias("top"))
+    # at most k partners per group; stored, because Spark splits a hot group only between
+    # two plain shuffles
+    partners = cut_lineage(top.groupBy("grp", "ideal").agg(F.collect_list("t").alias("top")), "partners")
     met = rows.join(partners, "grp", "left").select(
         "id", "gain", "rel", "s", "ideal",
         F.get(F.filter("top", lambda x: x["id"] == F.col("id")), F.lit(0))["d"].alias("own"), F.explode_outer("top").alias("t"),

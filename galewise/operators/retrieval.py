@@ -25,6 +25,7 @@ DECIMALS = 6  # scores are compared after rounding, ties go to the smaller id
 BROADCAST_BYTES = 64 << 20
 QUERY_BLOCK_ROWS = 1024
 ITEM_BLOCK_ROWS = 16384
+SHARE_BLOCKS = 64
 SCAN_ROWS = 65536
 PRODUCT_CELLS = 4 << 20
 MERGE_CELLS = 16 << 20  # best scores a task may hold
@@ -189,21 +190,29 @@ def _pack(rows: DataFrame, blocks: DataFrame, count: str, block: str) -> DataFra
 def _score_blocks(queries: DataFrame, items: DataFrame, q_sizes: dict, i_sizes: dict, depth: int) -> DataFrame:
     """Score the queries of every list against the items of the list, block by block.
 
-    Query blocks are repeated once per item block of their list, which makes the join
-    key (list, item block) and lets one large list use many tasks. Item blocks are the
-    larger ones, so that queries are repeated rarely. Spark limits the bytes of an Arrow
-    batch, so a task holds few blocks at a time.
+    Query blocks are repeated once per item block of their list. Item blocks are the
+    larger ones, so that queries are repeated rarely; they are repeated once per share of
+    ``SHARE_BLOCKS`` query blocks. The join key is (list, item block, share), so neither a
+    large list nor one that very many queries probe ends up in one task. Spark limits the
+    bytes of an Arrow batch, so a task holds few blocks at a time.
     """
     spark = items.sparkSession
     item_blocks = _blocks(spark, i_sizes, ITEM_BLOCK_ROWS, "i_count")
-    packed_items = _pack(items, item_blocks, "i_count", "i_block")
+    query_blocks = _blocks(spark, q_sizes, QUERY_BLOCK_ROWS, "q_count")
+    shares = _blocks(spark, q_sizes, QUERY_BLOCK_ROWS * SHARE_BLOCKS, "shares")
+    packed_items = (
+        _pack(items, item_blocks, "i_count", "i_block")
+        .join(F.broadcast(shares), "list_id")
+        .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    )
     packed_queries = (
-        _pack(queries, _blocks(spark, q_sizes, QUERY_BLOCK_ROWS, "q_count"), "q_count", "q_block")
+        _pack(queries, query_blocks, "q_count", "q_block")
+        .join(F.broadcast(shares), "list_id")
+        .withColumn("share", F.pmod("q_block", "shares"))
         .join(F.broadcast(item_blocks), "list_id")
         .withColumn("i_block", F.explode(F.sequence(F.lit(0), F.col("i_count") - 1)))
-        .drop("q_block", "i_count")
     )
-    pairs = packed_queries.join(packed_items, ["list_id", "i_block"]).select(
+    pairs = packed_queries.join(packed_items, ["list_id", "i_block", "share"]).select(
         "q_block_ids", "q_block_vecs", "i_block_ids", "i_block_vecs"
     )
 

@@ -76,6 +76,7 @@ def nce_loss(spark: SparkSession, sf: str) -> DataFrame:
     classes = mapping.count()
     true = pairs.groupBy(F.col("c").alias("id")).agg(F.count(F.lit(1)).alias("num_true"))
     contexts = towers.fold_one(_vectors(spark, sf, true.select("id"), 1, 31), "vec", "vec").join(true, "id")
+    contexts = cut_lineage(contexts, "contexts")
     items = _vectors(spark, sf, mapping.select(F.col("p_idx").alias("id")), 33, 32)
     negatives = gradients.draw_negatives(spark, classes, NCE_SLOTS, 5)
     parts = gradients.nce_parts(pairs, contexts, items, negatives, classes, NCE_SLOTS, 32)

@@ -7,7 +7,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from galewise.functions.vectors import sum_vectors
-from galewise.operators import forecast, positives
+from galewise.operators import forecast, itemcf, positives
 from galewise.plans import queries
 from galewise.plans.registry import all_queries
 from galewise.session import cut_lineage
@@ -68,10 +68,12 @@ def test_lists_are_shuffled_by_list_not_by_context(spark):
 
 
 def test_similarity_pairs_are_not_left_in_the_partitions_of_the_join(spark):
+    sim = cut_lineage(t.course_sim(spark, SF), "sim")
+    items = cut_lineage(sim.select("sim").distinct(), "items")
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan(queries.itemcf_candidates(spark, SF))
+        text = plan(itemcf.best_per_item(sim, items, t.course_documents(spark, SF).select("course_id"), 1024))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "LeftSemi" in text and re.search(r"hashpartitioning\(course_id#\d+L, sim#\d+L.*REPARTITION_BY_COL", text)

@@ -55,6 +55,8 @@ def test_scan_in_many_blocks(spark, data, monkeypatch, merge):
     monkeypatch.setattr(retrieval, "MERGE_CELLS", merge)
     monkeypatch.setattr(retrieval, "PRODUCT_CELLS", 120)
     monkeypatch.setattr(retrieval, "ITEM_BLOCK_ROWS", 70)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK_ROWS", 1)
+    monkeypatch.setattr(retrieval, "SHARE_BLOCKS", 2)
     queries, items, flags = data
     items = np.round(items, 1)  # many equal scores
     for bytes_ in (0, 64 << 20):
