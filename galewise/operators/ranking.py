@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galewise.operators.metrics import dcg, top_ranked
-from galewise.session import cut_lineage
+from galewise.session import Versions, cut_lineage
 
 
 def lambda_gradients(
     scored: DataFrame, k: int = 5, group: str = "group", relevance: str = "relevance",
-    score: str = "score", row_id: str = "row_id",
+    score: str = "score", row_id: str = "row_id", tables: Versions | None = None,
 ) -> DataFrame:
     """Gradient and curvature of every row: ``(row_id, lambda, weight)``.
 
     Swapping two rows changes NDCG at ``k`` only if one of them is in the first ``k``.
     So each row meets the at most ``k`` first rows of its group, which is exact and
-    grows with the rows, not with their square.
+    grows with the rows, not with their square. A job with many rounds gives its
+    ``tables`` to keep one copy of the partners only.
     """
     rows = scored.select(
         F.col(row_id).alias("id"), F.col(group).alias("grp"),
@@ -32,7 +33,9 @@ def lambda_gradients(
     )
     # at most k partners per group; stored, because Spark splits a hot group only between
     # two plain shuffles
-    partners = cut_lineage(top.groupBy("grp", "ideal").agg(F.collect_list("t").alias("top")), "partners")
+    partners = (tables.store if tables else cut_lineage)(
+        top.groupBy("grp", "ideal").agg(F.collect_list("t").alias("top")), "partners"
+    )
     met = rows.join(partners, "grp", "left").select(
         "id", "gain", "rel", "s", "ideal",
         F.get(F.filter("top", lambda x: x["id"] == F.col("id")), F.lit(0))["d"].alias("own"), F.explode_outer("top").alias("t"),

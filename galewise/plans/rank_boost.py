@@ -60,7 +60,7 @@ def train_rank_boost(
     current = tables.store(prepared(rows), "rows")
     held = None if validation is None else tables.store(prepared(validation), "held")
     for _ in range(rounds):
-        pulls = lambda_gradients(current, k, group, relevance, "score", row_id)
+        pulls = lambda_gradients(current, k, group, relevance, "score", row_id, tables)
         target = tables.store(current.join(pulls, row_id), "target")
         tree = DecisionTreeRegressor(
             featuresCol="__x", labelCol="lambda", predictionCol="__p", leafCol="__leaf",
