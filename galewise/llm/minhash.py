@@ -11,6 +11,7 @@ from galewise.llm.common import U64, map_slices, mix, shingles_of, signed, store
 from galewise.llm.components import connected
 
 ROWS, BANDS = 5, 28  # a pair at the threshold 0.85 shares no band once in 10^7
+CHUNK = 512  # members of a bucket that are compared at a time
 SLACK = 6.0  # standard deviations by which an estimate may fall short of the threshold
 
 
@@ -85,6 +86,53 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, same int")
 
 
+def _across(members: DataFrame, classes: DataFrame, width: int, least: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's members (key, rep, comp, n) in different components that agree in ``least`` minima.
+
+    A bucket is dealt into parts of about CHUNK members, and a task compares two parts at a time, so the largest
+    group has about 2 * CHUNK rows however large the bucket; only agreeing pairs leave the task.
+    """
+    parts = F.ceil(F.col("n") / CHUNK)
+    rows = members.join(classes.select("rep", "minima"), "rep").withColumn("part", F.pmod(F.xxhash64("rep", "key"), parts))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.select("key", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "rep", "comp", "part", "minima")
+
+    def compare(rows: pa.Table) -> pa.RecordBatch | None:
+        rep, comp, part = (rows.column(c).to_numpy() for c in ("rep", "comp", "part"))
+        minima = _minima(rows.column("minima").combine_chunks(), width)
+        same_part = rows.column("i")[0] == rows.column("j")[0]
+        left, right = [], []
+        for r in range(len(rep)):
+            near = (comp != comp[r]) & (rep > rep[r])
+            if not same_part:
+                near &= part != part[r]
+            near = np.flatnonzero(near)
+            if len(near):
+                hit = near[(minima[near] == minima[r]).sum(axis=1) >= least]
+                left.append(np.full(len(hit), rep[r]))
+                right.append(rep[hit])
+        if not left:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            group = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+            ends = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
+            for lo, hi in zip(np.concatenate(([0], ends[:-1])), ends):
+                if (made := compare(table.slice(lo, hi - lo))) is not None:
+                    yield made
+            rest = table.slice(ends[-1]) if len(ends) else table
+        if rest is not None and rest.num_rows and (made := compare(rest)) is not None:
+            yield made
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold."""
     both = pairs.join(sets.withColumnsRenamed({"rep": "a", "shingles": "x"}), "a")
@@ -144,17 +192,15 @@ def near_duplicates(
     least = int(width * percent / 100 - SLACK * np.sqrt(width * percent / 100 * (1 - percent / 100)))
     stars = members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     stars = stored(_agreeing(stars, classes, width).where(F.col("same") >= least), "stars")
-    best = stars.groupBy("a").agg(F.max(F.struct("same", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    links = stored(_verified(best, sets, percent), "links")
+    links = stored(_verified(stars.select("a", "b"), sets, percent), "links")
     found = stored(connected(links), "found")
 
     placed = members.join(found, members.rep == found.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     placed = stored(placed, "placed")
-    mixed = stored(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "mixed")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+    mixed = stored(mixed.where("lo < hi").select("key", "n"), "mixed")
     open_rows = stored(placed.join(mixed, "key"), "open")
-    other = open_rows.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
-    across = open_rows.join(other, "key").where("comp < comp_b").select(F.col("rep").alias("a"), "b").distinct()
-    across = _agreeing(across, classes, width).where(F.col("same") >= least).select("a", "b")
+    across = _across(open_rows, classes, width, least).distinct()
     more = stored(_verified(across, sets, percent), "more")
     star = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = connected(star.unionByName(more))
