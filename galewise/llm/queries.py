@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from galewise.llm.lm_scoring import score_language
 from galewise.llm.minhash import near_duplicates
 
 
@@ -13,3 +14,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def op1_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return score_language(_table(spark, sf, "documents"))
