@@ -2,4 +2,32 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+MIXING = r"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':17')) AS draw
+    FROM documents),
+sums AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source),
+weighted AS (SELECT *, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap FROM sums),
+-- sources in the order in which a rising level reaches their caps; the level holds before the first cap it doesn't reach
+ordered AS (
+    SELECT *, sum(source_size) OVER () AS total, coalesce(sum(cap) OVER below, 0) AS taken, sum(weight) OVER () - coalesce(sum(weight) OVER below, 0) AS open
+    FROM weighted WINDOW below AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (SELECT *, CAST(total - taken AS DOUBLE) / CAST(open AS DOUBLE) AS level FROM ordered),
+level AS (SELECT arg_min(level, cap / weight) FILTER (cap > weight * level) AS level FROM levels),
+targets AS (
+    SELECT source, source_size, least(CAST(cap AS DOUBLE), weight * coalesce(level, 1e300)) AS target FROM weighted, level),
+rates AS (
+    SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END AS whole FROM targets),
+walked AS (
+    SELECT s.*, r.source_size, r.target, r.whole, greatest(r.target - r.whole * r.source_size, 0) AS rest,
+        sum(s.size) OVER (PARTITION BY s.source ORDER BY s.draw) AS upto, sum(s.size) OVER (PARTITION BY s.source, s.draw) AS own
+    FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source),
+limits AS (
+    SELECT source, max(draw) FILTER (own > 0 AND upto - own / 2 <= rest) AS last FROM walked GROUP BY source)
+SELECT w.doc_id, CAST(w.size AS BIGINT) AS size, w.source_size, round(w.target, 6) AS target,
+    CAST(w.size * CASE WHEN w.source_size > 0 THEN least(w.whole + CASE WHEN w.draw <= l.last THEN 1 ELSE 0 END, 3) ELSE 0 END AS BIGINT) AS taken
+FROM walked w JOIN limits l ON w.source IS NOT DISTINCT FROM l.source
+"""
+
+ORACLES: dict[str, str] = {"op5_mixing": MIXING}

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from galewise.llm.lm_scoring import score_language
 from galewise.llm.minhash import near_duplicates
+from galewise.llm.mixing import mix_report
+from galewise.llm.suffix_dedup import without_repeats
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,5 +18,13 @@ def op1_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return without_repeats(_table(spark, sf, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_report(_table(spark, sf, "documents"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return score_language(_table(spark, sf, "documents"))
