@@ -30,4 +30,16 @@ SELECT w.doc_id, CAST(w.size AS BIGINT) AS size, w.source_size, round(w.target,
 FROM walked w JOIN limits l ON w.source IS NOT DISTINCT FROM l.source
 """
 
-ORACLES: dict[str, str] = {"op5_mixing": MIXING}
+EXACT_TOPK = """
+WITH vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, i.vec_id, CAST(list_inner_product(q.v, i.v) AS BIGINT) AS score
+    FROM vectors q JOIN vectors i ON q.vec_id % 50 = 0 AND q.vec_id <> i.vec_id)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op5_mixing": MIXING, "op9_exact_topk": EXACT_TOPK}

@@ -8,6 +8,7 @@ from galewise.llm.lm_scoring import score_language
 from galewise.llm.minhash import near_duplicates
 from galewise.llm.mixing import mix_report
 from galewise.llm.suffix_dedup import without_repeats
+from galewise.llm.topk import exact_topk
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -28,3 +29,7 @@ def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return score_language(_table(spark, sf, "documents"))
+
+
+def op9_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_topk(_table(spark, sf, "embeddings"))
