@@ -88,23 +88,30 @@ def _cuts(mask: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts ``data[offsets[i]:offsets[i + 1]]`` and each text's first word index."""
-    mask = IS_WORD[data]
+def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = IS_WORD, stem: int = 0) -> tuple[np.ndarray, ...]:
+    """Hashes of all words of the texts ``data[offsets[i]:offsets[i + 1]]`` and each text's first word index.
+
+    ``table`` says which bytes words are made of; with ``stem`` the hashes of each word's first bytes come third.
+    """
+    mask = table[data]
     firsts = np.zeros(len(data) + 1, dtype=bool)
     firsts[offsets] = True
-    hashes, starts_at = [], []
+    hashes, starts_at, stems = [], [], []
     for lo, hi in _cuts(mask, firsts):
         inside, first = mask[lo:hi], firsts[lo : hi + 1].copy()
         first[0] = True
         begin = inside & (first[:-1] | ~np.concatenate(([False], inside[:-1])))
         end = inside & (first[1:] | ~np.concatenate((inside[1:], [False])))
         begins, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        hashes.append(span_hashes(prefix_hashes(LOWER[data[lo:hi]]), begins, ends))
+        sums = prefix_hashes(LOWER[data[lo:hi]])
+        hashes.append(span_hashes(sums, begins, ends))
         starts_at.append(begins + lo)
+        if stem:
+            stems.append(span_hashes(sums, begins, np.minimum(begins + stem, ends)))
     if not hashes:
-        return np.empty(0, U64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts_at), offsets)
+        hashes, starts_at, stems = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, U64)]
+    found = np.concatenate(hashes), np.searchsorted(np.concatenate(starts_at), offsets)
+    return (*found, np.concatenate(stems)) if stem else found
 
 
 def shingles_of(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
