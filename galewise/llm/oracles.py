@@ -42,4 +42,19 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op5_mixing": MIXING, "op9_exact_topk": EXACT_TOPK}
+LINE_DEDUP = r"""
+WITH texts AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+windows AS (
+    SELECT doc_id, i AS line, lines[i] || chr(10) || lines[i + 1] || chr(10) || lines[i + 2] AS own
+    FROM texts, unnest(range(1, len(lines) - 1)) AS t(i)),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY own ORDER BY doc_id, line) AS place FROM windows
+    WHERE regexp_matches(own, '[^\x20\x09-\x0D]')),
+gone AS (SELECT doc_id, list_distinct(flatten(list([line, line + 1, line + 2]))) AS gone FROM ranked WHERE place > 1 GROUP BY doc_id)
+SELECT t.doc_id, CAST(coalesce(len(t.lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(g.gone), 0) AS BIGINT) AS n_removed,
+    CASE WHEN g.gone IS NULL THEN t.text
+        ELSE coalesce(array_to_string([t.lines[i] for i in range(1, len(t.lines) + 1) if NOT list_contains(g.gone, i)], chr(10)), '') END AS text
+FROM texts t LEFT JOIN gone g USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_line_dedup": LINE_DEDUP, "op5_mixing": MIXING, "op9_exact_topk": EXACT_TOPK}

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from galewise.llm.line_dedup import dedup_lines
 from galewise.llm.lm_scoring import score_language
 from galewise.llm.minhash import near_duplicates
 from galewise.llm.mixing import mix_report
 from galewise.llm.suffix_dedup import without_repeats
 from galewise.llm.topk import exact_topk
+from galewise.llm.toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -33,3 +35,11 @@ def op8_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     return exact_topk(_table(spark, sf, "embeddings"))
+
+
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels")).drop("segments")
+
+
+def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf, "documents"))
