@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from galewise.llm.decontaminate import contaminated
 from galewise.llm.line_dedup import dedup_lines
 from galewise.llm.lm_scoring import score_language
 from galewise.llm.minhash import near_duplicates
 from galewise.llm.mixing import mix_report
+from galewise.llm.pii import replace_pii
+from galewise.llm.quality import classify_quality
 from galewise.llm.suffix_dedup import without_repeats
 from galewise.llm.topk import exact_topk
 from galewise.llm.toxicity import score_toxicity
@@ -43,3 +46,15 @@ def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return dedup_lines(_table(spark, sf, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return classify_quality(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return replace_pii(_table(spark, sf, "documents"), b"a key that the caller keeps")
