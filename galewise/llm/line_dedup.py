@@ -39,8 +39,8 @@ def _windows(docs: DataFrame, size: int) -> DataFrame:
     return map_slices(docs.select("doc", "text"), "text", "h1 long, h2 long, doc long, line int", work)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_lines, n_removed and text, the lines that remain joined again.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_lines, n_removed, text, the lines that remain joined again, and the columns ``carry``.
 
     Lines are what newlines separate. A window of ``size`` lines that occurs again, in a larger id or further down in the same
     text, is a repeat; all lines that such repeats cover go, overlaps once. Windows are judged on the input, so the
@@ -49,7 +49,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text stays null, with 0 lines; an empty text has one. If all lines go, the text is empty. Rows equal in id and text count as one
     document; rows that share an id alone are taken in the order of a hash of their texts, null ids last. Extra columns are ignored.
     """
-    rows, single = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    kept_columns = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+    rows, single = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *kept_columns))
     windows = stored(_windows(single, size), "windows")
     place = F.min(F.struct("doc", "line")).alias("first")
     again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), place).where("n > 1")
@@ -70,9 +71,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 own = text.split(b"\n")
                 text, gone = b"\n".join([own[j] for j in np.flatnonzero(stay)]), int(total - stay.sum())
             count.append(total), removed.append(gone), kept.append(text)
+        columns = [pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        names = [f"carried_{i}" for i in range(len(carry))]
         return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-            names=["doc_id", "n_lines", "n_removed", "text"],
+            [part.column("doc_id"), *columns, *(part.column(c) for c in names)], names=["doc_id", "n_lines", "n_removed", "text", *names]
         )
 
-    return map_slices(rows.join(lists, "doc", "left").select("doc_id", "text", "lines"), "text", "doc_id long, n_lines long, n_removed long, text string", work)
+    names = [f"carried_{i}" for i in range(len(carry))]
+    schema = "doc_id long, n_lines long, n_removed long, text string" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in names)
+    out = map_slices(rows.join(lists, "doc", "left").select("doc_id", "text", "lines", *names), "text", schema, work)
+    return out.withColumnsRenamed(dict(zip(names, carry)))
