@@ -11,6 +11,7 @@ from galewise.llm.common import U64, map_slices, mix, shingles_of, signed, store
 from galewise.llm.components import connected
 
 ROWS, BANDS = 5, 28  # a pair at the threshold 0.85 shares no band once in 10^7
+BRIEF = 4096  # sets up to this size travel as 32-bit shingles to where a bucket is compared
 CHUNK = 512  # members of a bucket that are compared at a time
 SLACK = 6.0  # standard deviations by which an estimate may fall short of the threshold
 
@@ -53,18 +54,23 @@ def _minima(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint32, count=len(column) * width, offset=start).reshape(-1, width)
 
 
+def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One 64-bit key for each band of each row of minima."""
+    minima = minima.astype(U64).reshape(-1, bands, rows)
+    keys = np.broadcast_to(streams(bands, 41), (len(minima), bands)).copy()
+    for r in range(rows):
+        keys = mix(keys * U64(0xD1342543DE82EF95) + minima[:, :, r])
+    return keys
+
+
 def band_rows(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     """(key, rep): one row for each band of every class."""
 
     def run(batches):
-        salt = streams(bands, 41)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            minima = _minima(batch.column(1), bands * rows).astype(U64).reshape(-1, bands, rows)
-            keys = np.broadcast_to(salt, (len(minima), bands)).copy()
-            for r in range(rows):
-                keys = mix(keys * U64(0xD1342543DE82EF95) + minima[:, :, r])
+            keys = band_keys(_minima(batch.column(1), bands * rows), bands, rows)
             reps = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), bands)
             yield pa.RecordBatch.from_arrays([signed(keys.reshape(-1)), pa.array(reps)], names=["key", "rep"])
 
@@ -86,31 +92,47 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, same int")
 
 
-def _across(members: DataFrame, classes: DataFrame, width: int, least: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's members (key, rep, comp, n) in different components that agree in ``least`` minima.
+def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, bands: int, rows: int, least: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's members (key, rep, comp, n) in different components that may reach the threshold.
 
     A bucket is dealt into parts of about CHUNK members, and a task compares two parts at a time, so the largest
-    group has about 2 * CHUNK rows however large the bucket; only agreeing pairs leave the task.
+    group has about 2 * CHUNK rows however large the bucket. A pair is looked at in the first bucket it shares:
+    it must agree in ``least`` minima and then, unless the sets are large, reach the threshold on shortened shingles.
     """
-    parts = F.ceil(F.col("n") / CHUNK)
-    rows = members.join(classes.select("rep", "minima"), "rep").withColumn("part", F.pmod(F.xxhash64("rep", "key"), parts))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    rows = rows.select("key", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "rep", "comp", "part", "minima")
-
-    def compare(rows: pa.Table) -> pa.RecordBatch | None:
-        rep, comp, part = (rows.column(c).to_numpy() for c in ("rep", "comp", "part"))
-        minima = _minima(rows.column("minima").combine_chunks(), width)
-        same_part = rows.column("i")[0] == rows.column("j")[0]
+    parts, width = F.ceil(F.col("n") / CHUNK), bands * rows
+    dealt = members.join(classes.select("rep", "minima"), "rep").join(sets.select("rep", "brief"), "rep")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("rep", "key"), parts))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    dealt = dealt.select("key", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "rep", "comp", "part", "minima", "brief")
+
+    def compare(table: pa.Table) -> pa.RecordBatch | None:
+        rep, comp, part = (table.column(c).to_numpy() for c in ("rep", "comp", "part"))
+        minima = _minima(table.column("minima").combine_chunks(), width)
+        keys, key = band_keys(minima, bands, rows), table.column("key")[0].as_py()
+        brief = [x if x is None else np.frombuffer(x, np.uint32) for x in table.column("brief").to_pylist()]
+        same_part = table.column("i")[0] == table.column("j")[0]
         left, right = [], []
         for r in range(len(rep)):
             near = (comp != comp[r]) & (rep > rep[r])
             if not same_part:
                 near &= part != part[r]
             near = np.flatnonzero(near)
-            if len(near):
-                hit = near[(minima[near] == minima[r]).sum(axis=1) >= least]
-                left.append(np.full(len(hit), rep[r]))
-                right.append(rep[hit])
+            near = near[(minima[near] == minima[r]).sum(axis=1) >= least]
+            if not len(near):
+                continue
+            shared = keys[near] == keys[r]
+            near = near[keys[r][shared.argmax(axis=1)].view(np.int64) == key]
+            if brief[r] is not None and len(near):
+                sized = np.array([i for i in near if brief[i] is not None], dtype=np.int64)
+                if len(sized):
+                    flat, own = np.concatenate([brief[i] for i in sized]), brief[r]
+                    sizes = np.array([len(brief[i]) for i in sized])
+                    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                    both = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+                    far = 100 * (both + 2) < percent * (sizes + len(own) - both - 2)
+                    near = np.setdiff1d(near, sized[far])
+            left.append(np.full(len(near), rep[r]))
+            right.append(rep[near])
         if not left:
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
@@ -129,7 +151,7 @@ def _across(members: DataFrame, classes: DataFrame, width: int, least: int) -> D
         if rest is not None and rest.num_rows and (made := compare(rest)) is not None:
             yield made
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -149,11 +171,12 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
         first = np.array([x.sum(dtype=U64) for x in own], dtype=U64)
         flat = np.concatenate(own) if own else np.empty(0, U64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in own]))), pa.int32()), signed(flat))
-        return pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("h1"), signed(mix(first)), lists], names=["rep", "h1", "got", "shingles"])
+        brief = pa.array([np.unique((x >> U64(32)).astype(np.uint32)).tobytes() if len(x) <= BRIEF else None for x in own], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("h1"), signed(mix(first)), lists, brief], names=["rep", "h1", "got", "shingles", "brief"])
 
     rows = docs.join(wanted.select(F.col("rep"), F.col("h1")), F.col("doc_id") == F.col("rep")).select("rep", "h1", "text")
-    made = map_slices(rows, "text", "rep long, h1 long, got long, shingles array<long>", work)
-    return made.where("h1 = got").select("rep", "shingles").dropDuplicates(["rep"])
+    made = map_slices(rows, "text", "rep long, h1 long, got long, shingles array<long>, brief binary", work)
+    return made.where("h1 = got").select("rep", "shingles", "brief").dropDuplicates(["rep"])
 
 
 def near_duplicates(
@@ -200,7 +223,7 @@ def near_duplicates(
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
     mixed = stored(mixed.where("lo < hi").select("key", "n"), "mixed")
     open_rows = stored(placed.join(mixed, "key"), "open")
-    across = _across(open_rows, classes, width, least).distinct()
+    across = _across(open_rows, classes, sets, bands, rows, least, percent).distinct()
     more = stored(_verified(across, sets, percent), "more")
     star = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = connected(star.unionByName(more))
