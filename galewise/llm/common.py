@@ -6,6 +6,7 @@ All helpers work on slices of bounded size, so a batch of long texts never multi
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -192,6 +193,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return cut_lineage(df, f"llm-{label}")
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """Like :func:`stored`, and let the driver drop the shuffle files of what was written.
+
+    Spark removes them once the driver's JVM has collected the plans; a job of many steps would hold all of them till then.
+    """
+    made = stored(df, label)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return made
+
+
 def text_key(column: str = "text") -> F.Column:
     """A 128-bit key of a text as one string; null and empty agree."""
     return F.md5(F.coalesce(F.col(column), F.lit("")))
