@@ -91,22 +91,16 @@ def forecast_features(
 
 
 def station_labels(obs: DataFrame, stations: list[str] | None = None) -> DataFrame:
-    """Readings per hour as a list of ``(station, gust)`` in station order.
+    """Readings per hour as a list of ``(station, gust)``, ordered by station and gust.
 
-    The highest reading of a station and hour is taken first, combined before the
-    shuffle; a list then holds at most one entry per station.
+    Every reading counts; ``stations`` limits the list to some of them.
     """
-    readings = (
-        obs.where(F.col("StationNum").isin(stations or STATIONS))
-        .select(
-            "StationNum",
-            station_to_forecast_time(F.col("ObservTimes")).alias("F_time"),
-            (F.col("ExMaxWindV") * F.lit(0.1)).alias("ExMaxWindV"),
-        )
-        .where("F_time is not null")
-        .groupBy("F_time", "StationNum")
-        .agg(F.max("ExMaxWindV").alias("ExMaxWindV"))
-    )
+    rows = obs if stations is None else obs.where(F.col("StationNum").isin(stations))
+    readings = rows.select(
+        "StationNum",
+        station_to_forecast_time(F.col("ObservTimes")).alias("F_time"),
+        (F.col("ExMaxWindV") * F.lit(0.1)).alias("ExMaxWindV"),
+    ).where("F_time is not null")
     return readings.groupBy("F_time").agg(
         F.array_sort(F.collect_list(F.struct("StationNum", "ExMaxWindV"))).alias("label")
     )

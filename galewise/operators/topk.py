@@ -5,21 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-THRESHOLD = "spark.sql.optimizer.windowGroupLimitThreshold"
 ONE_STEP = 64
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column | str], k: int, spread_by: str, rank: str = "rn") -> DataFrame:
     """First ``k`` rows of each group by ``order``, with their rank.
 
-    Spark keeps only ``k`` rows per group and task before the shuffle, for any ``k`` up to
-    a threshold in the session, which is raised here if it is lower. With a larger ``k``
+    Spark keeps only ``k`` rows per group and task before the shuffle, for any ``k`` up to a
+    threshold of the session, which ``build_session`` sets; beyond it the result is the same. With a larger ``k``
     the survivors of a group from all tasks are still many, so they are first compared in
     as many pieces as there are shuffle partitions, and the best of each piece again.
     """
     conf = df.sparkSession.conf
-    if k > int(conf.get(THRESHOLD)):
-        conf.set(THRESHOLD, str(k))
 
     def best(rows: DataFrame, *keys: str) -> DataFrame:
         by = Window.partitionBy(*keys).orderBy(*order)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import ceil, log2
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,12 +49,12 @@ def tree_score(rows: DataFrame, nodes: list[dict] | None = None, classes: list[s
     )
 
 
-def tree_inorder(nodes: DataFrame, max_depth: int = 30) -> DataFrame:
+def tree_inorder(nodes: DataFrame) -> DataFrame:
     """Nodes of every tree of a table with a path that sorts them in order.
 
     The path is a 0 for each negative and a 2 for each positive branch from the root,
-    then a 1 for the node itself. Paths double in length each round, so the number of
-    joins is the logarithm of the depth.
+    then a 1 for the node itself. Paths double in length each round until all have reached
+    their root, so the number of joins is the logarithm of the depth, whatever it is.
     """
     splits = nodes.where("kind = 'split'")
     edge = F.explode(
@@ -72,7 +70,11 @@ def tree_inorder(nodes: DataFrame, max_depth: int = 30) -> DataFrame:
         "tree_id", "node_id", F.col("parent").alias("above"), F.coalesce("step", F.lit("")).alias("path")
     )
     tables = Versions(nodes.sparkSession, "tree")
-    for _ in range(max(1, ceil(log2(max_depth))) if max_depth > 1 else 0):
+    reach, rounds = tables.store(reach, "paths"), 0
+    while not reach.where("above is not null").isEmpty():
+        if rounds == 62:
+            raise ValueError("the nodes form a cycle")
+        rounds += 1
         upper = reach.select(
             "tree_id", F.col("node_id").alias("above"), F.col("above").alias("__above"),
             F.col("path").alias("__path"),

@@ -163,7 +163,7 @@ def forest_inorder(spark: SparkSession, sf: str) -> DataFrame:
     """Every node of every tree of a fitted forest in order."""
     model, _ = _forest(spark, sf)
     names = [c.split("__")[0] for c in model.stages[-2].getInputCols()]
-    return trees.tree_inorder(forests.named_nodes(forests.node_table(model.stages[-1], spark), names), max_depth=5)
+    return trees.tree_inorder(forests.named_nodes(forests.node_table(model.stages[-1], spark), names))
 
 
 def boosted_classify(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,7 +182,7 @@ def forest_regress(spark: SparkSession, sf: str) -> DataFrame:
 
 def prepared_forest(spark: SparkSession, sf: str) -> DataFrame:
     """A forest on derived inputs: body mass in kilograms beside bill length."""
-    prepared = base.prep_features(spark, sf).join(t.penguins(spark, sf).select("row_id", "species"), "row_id")
+    prepared = t.penguins(spark, sf).withColumn("body_mass_kg", F.col("body_mass_g") / 1000.0)
     _, predictions = forests.fit_forest(prepared, "species", ["body_mass_kg", "bill_length_mm"], [], 30)
     return metrics.accuracy(predictions, "prediction", "label")
 
@@ -195,9 +195,9 @@ def vector_classify(spark: SparkSession, sf: str) -> DataFrame:
 
 def rank_boost_train(spark: SparkSession, sf: str) -> DataFrame:
     """NDCG per query group after four rounds of ranking trees."""
-    rows = files.parse_ranking_lines(t.ranking_lines(spark, sf), base.FEATURES)
+    rows = files.parse_ranking_lines(t.ranking_lines(spark, sf), base.FEATURES, with_id=True)
     columns = [f"f_{k}" for k in base.FEATURES]
-    keyed = rows.withColumn("row_id", F.xxhash64("group", *columns))
+    keyed = rows.withColumnRenamed("doc_id", "row_id")
     model = rank_boost.train_rank_boost(keyed, columns, rounds=4)
     return metrics.ndcg(model.score(keyed))
 

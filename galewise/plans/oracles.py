@@ -37,11 +37,10 @@ CTE: dict[str, str] = {
   FROM station_obs""",
     "last_label": """
   SELECT F_time, arg_max(ExMaxWindV, StationNum) AS label FROM labels GROUP BY F_time""",
-    "slots": """
-  SELECT l_orderkey, l_linenumber, min(l_partkey) AS item FROM lineitem GROUP BY 1, 2""",
     "neighbours": """
-  SELECT a.item AS l, b.item AS r FROM slots a JOIN slots b
-    ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.item <> b.item""",
+  SELECT item AS l, other AS r
+  FROM (SELECT l_partkey AS item, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS other FROM lineitem)
+  WHERE item <> other""",
     "sim_matrix": """
   SELECT l AS left_video_id, r AS right_video_id FROM neighbours
   UNION SELECT r, l FROM neighbours""",
@@ -57,7 +56,7 @@ CTE: dict[str, str] = {
   JOIN target_index p ON p.video_id = s.right_video_id""",
     "triples": """
   SELECT c_idx AS t, p_idx AS p,
-         CAST('0x' || substr(md5(c_idx || ':' || p_idx || ':neg'), 1, 7) AS INT) % (SELECT count(*) FROM target_index) AS n
+         CAST('0x' || substr(md5(c_idx || ':' || p_idx || ':neg'), 1, 15) AS BIGINT) % (SELECT count(*) FROM target_index) AS n
   FROM nce""",
     "flags": """
   SELECT a.course_id, p_size % 3 AS vip_status, p_size % 2 AS needbuy_status
@@ -113,7 +112,7 @@ CTE: dict[str, str] = {
 
 NEEDS: dict[str, list[str]] = {
     "box": ["forecast_grid"], "features": ["box"], "labels": ["station_obs"], "last_label": ["labels"],
-    "neighbours": ["slots"], "sim_matrix": ["neighbours"], "context_index": ["sim_matrix"],
+    "sim_matrix": ["neighbours"], "context_index": ["sim_matrix"],
     "target_index": ["sim_matrix"], "nce": ["context_index", "target_index"],
     "triples": ["nce"], "flagged": ["flags"], "published": ["flagged"], "seeds": ["history"],
 }
@@ -130,7 +129,7 @@ def _with(body: str, *names: str) -> str:
 
     for name in names:
         add(name)
-    ctes = ", ".join(f"{n} AS ({CTE[n].strip()})" for n in order)
+    ctes = ", ".join(f"{n} AS MATERIALIZED ({CTE[n].strip()})" for n in order)
     return (f"WITH {ctes} " if ctes else "") + body.strip()
 
 
@@ -229,8 +228,9 @@ ORACLES: dict[str, str] = {
     "tower_join": _with(
         f"""SELECT c.left_video_id AS video_id,
                    round(list_dot_product(CAST(a.embedding[1:32] AS DOUBLE[]), CAST(b.embedding[33:64] AS DOUBLE[])), 6) AS ip
-            FROM context_index c JOIN embeddings a ON a.vec_id = c.c_idx
-            JOIN target_index p ON p.video_id = c.left_video_id JOIN embeddings b ON b.vec_id = p.p_idx""",
+            FROM context_index c JOIN embeddings a ON a.vec_id = c.c_idx % (SELECT count(*) FROM embeddings)
+            JOIN target_index p ON p.video_id = c.left_video_id
+            JOIN embeddings b ON b.vec_id = p.p_idx % (SELECT count(*) FROM embeddings)""",
         "context_index", "target_index",
     ),
     "bias_fold": """SELECT vec_id, CAST(32 AS INT) AS width,
@@ -247,11 +247,11 @@ ORACLES: dict[str, str] = {
     "forecast_features": _with(
         "SELECT gap, F_time, CAST(72 AS INT) AS width, CAST(pos AS INT) AS pos, value FROM box", "box"
     ),
-    "station_labels": _with(
-        """SELECT F_time, CAST(row_number() OVER (PARTITION BY F_time ORDER BY StationNum) - 1 AS INT) AS pos,
-                  StationNum, round(ExMaxWindV, 6) AS ExMaxWindV FROM labels""",
-        "labels",
-    ),
+    "station_labels": """
+        SELECT F_time, CAST(row_number() OVER (PARTITION BY F_time ORDER BY StationNum, gust) - 1 AS INT) AS pos,
+               StationNum, round(gust, 6) AS ExMaxWindV
+        FROM (SELECT list_extract(['K2931','K2942','K2962','K2999'], CAST(user_id % 4 AS INT) + 1) AS StationNum,
+                     'F' || strftime(ts, '%Y%m%d%H') AS F_time, floor(value * 10) * CAST(0.1 AS DOUBLE) AS gust FROM events)""",
     "wx_join_valid_time": _sample(""),
     "wx_join_lag_issue": _sample("CAST(f.gap AS INT)"),
     "wx_join_lag_1h": _sample("1"),
@@ -402,6 +402,12 @@ ORACLES: dict[str, str] = {
                  FROM walk w JOIN tree_nodes n ON n.tree_id = w.tree_id AND n.node_id = w.node_id
                  JOIN tree_nodes c ON c.tree_id = n.tree_id AND c.node_id IN (n.neg, n.pos))
         SELECT tree_id, p || '1' AS path, node FROM walk JOIN tree_nodes USING (tree_id, node_id) ORDER BY tree_id, path""",
+    "tree_inorder_deep": """
+        WITH line AS (SELECT o_custkey AS tree_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k,
+                             count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+        SELECT tree_id, repeat('2', k) || '1' AS path, CAST(o_orderkey AS VARCHAR) AS node FROM line
+        UNION ALL SELECT tree_id, repeat('2', k) || '01', CAST(k AS VARCHAR) FROM line
+        UNION ALL SELECT tree_id, repeat('2', n) || '1', CAST(n AS VARCHAR) FROM line WHERE k = n - 1""",
     "tree_feature_use": _with(
         "SELECT node AS feature, count(*) AS uses FROM tree_nodes WHERE kind = 'split' GROUP BY 1", "tree_nodes"
     ),
@@ -447,7 +453,7 @@ ORACLES["nce_loss"] = (
     + _VEC8.format(a=1, b=31, ids="SELECT c_idx AS id FROM num")
     + "), w AS ("
     + _VEC8.format(a=33, b=64, ids="SELECT p_idx AS id FROM target_index")
-    + """), drawn AS (SELECT CAST(floor(exp(CAST('0x' || substr(md5(s || ':5'), 1, 7) AS INT) / 268435456.0 * ln(n + 1))) - 1 AS BIGINT) AS id
+    + """), drawn AS (SELECT CAST(floor(exp(CAST('0x' || substr(md5(s || ':5'), 1, 15) AS BIGINT) / pow(2, 60) * ln(n + 1))) - 1 AS BIGINT) AS id
                  FROM (SELECT unnest(range(0, 256)) AS s), k),
         pos AS (SELECT c_idx, num_true, list_dot_product(h.vec, w.vec[1:31]) + w.vec[32]
                        - ln((ln(p_idx + 2) - ln(p_idx + 1)) / ln(n + 1) * 256) AS x

@@ -43,7 +43,7 @@ def src_forecast_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def src_station_union(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "stations")
-    obs = t.station_obs(spark, sf)
+    obs = cut_lineage(t.station_obs(spark, sf), "station-obs")
     parts = []
     for name in t.STATIONS:
         parts.append(f"{path}/{name}")
@@ -169,14 +169,16 @@ def itemcf_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 def tower_join(spark: SparkSession, sf: str) -> DataFrame:
     nce, mapping = t.sim_matrix_nce(spark, sf)
-    vec = t.table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), "embedding")
-    wide = v.as_double(F.col("embedding"))
-    search = vec.select("idx", F.slice(wide, 1, 32).alias("embedding_search"))
-    query = vec.select("idx", F.slice(wide, 33, 32).alias("embedding_query"))
-    out = towers.tower_join(
-        search, towers.id_index_map(nce, "left_video_id", "c_idx"),
-        query, mapping.select("video_id", F.col("p_idx").alias("idx")),
-    )
+    vectors = t.table(spark, sf, "embeddings").select("vec_id", v.as_double(F.col("embedding")).alias("wide"))
+    count = vectors.count()
+    contexts = towers.id_index_map(nce, "left_video_id", "c_idx")
+    targets = mapping.select("video_id", F.col("p_idx").alias("idx"))
+
+    def tower(numbers: DataFrame, start: int, name: str) -> DataFrame:
+        rows = numbers.select("idx", (F.col("idx") % count).alias("vec_id"))
+        return rows.join(vectors, "vec_id").select("idx", F.slice("wide", start, 32).alias(name))
+
+    out = towers.tower_join(tower(contexts, 1, "embedding_search"), contexts, tower(targets, 33, "embedding_query"), targets)
     inner = v.dot(F.col("embedding_search"), F.col("embedding_query"), 32)
     return out.select("video_id", _r(inner).alias("ip"))
 
@@ -220,7 +222,8 @@ def forecast_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def station_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.labels(spark, sf).select("F_time", F.posexplode("label").alias("pos", "r")).select(
+    labels = forecast.station_labels(t.station_readings(spark, sf))
+    return labels.select("F_time", F.posexplode("label").alias("pos", "r")).select(
         "F_time", "pos", "r.StationNum", _r(F.col("r.ExMaxWindV")).alias("ExMaxWindV")
     )
 
@@ -477,7 +480,11 @@ def tree_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree_inorder(spark: SparkSession, sf: str) -> DataFrame:
-    return trees.tree_inorder(t.tree_nodes(spark, sf), max_depth=2)
+    return trees.tree_inorder(t.tree_nodes(spark, sf))
+
+
+def tree_inorder_deep(spark: SparkSession, sf: str) -> DataFrame:
+    return trees.tree_inorder(t.order_chains(spark, sf))
 
 
 def tree_feature_use(spark: SparkSession, sf: str) -> DataFrame:

@@ -23,6 +23,7 @@ def build_session(app: str = "galewise", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.optimizer.windowGroupLimitThreshold": "16384",
         "spark.ui.enabled": "false",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }

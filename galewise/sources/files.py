@@ -76,8 +76,8 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
-def parse_ranking_lines(lines: DataFrame, features: list[str]) -> DataFrame:
-    """``rel qid:n k:v … # comment`` → ``relevance, group, f_k…``.
+def parse_ranking_lines(lines: DataFrame, features: list[str], with_id: bool = False) -> DataFrame:
+    """``rel qid:n k:v … # comment`` → ``relevance, group, f_k…``, and ``doc_id``, the comment's last token, if asked for.
 
     ``lines`` has a ``value`` column, as ``spark.read.text`` gives it.
     """
@@ -85,11 +85,12 @@ def parse_ranking_lines(lines: DataFrame, features: list[str]) -> DataFrame:
     kept = F.slice(tokens, 1, F.size(tokens) - COMMENT_TOKENS)
     pairs = F.transform(F.slice(kept, 3, F.size(kept) - 2), lambda t: F.split(t, ":"))
     entries = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p[0], p[1])))
-    parsed = lines.select(kept.alias("kept"), entries.alias("f"))
+    parsed = lines.select(kept.alias("kept"), entries.alias("f"), F.element_at(tokens, -1).alias("doc_id"))
     return parsed.select(
         F.get("kept", F.lit(0)).cast("int").alias("relevance"),
         F.concat(F.lit("g_"), F.get(F.split(F.get("kept", F.lit(1)), ":"), F.lit(1))).alias("group"),
         *[F.try_element_at("f", F.lit(k)).cast("double").alias(f"f_{k}") for k in features],
+        *(["doc_id"] if with_id else []),
     )
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galewise.functions.hashing import hash28
+from galewise.functions.hashing import hash60
 from galewise.functions.timefns import add_hours, format_forecast_time
 from galewise.functions.vectors import as_double
 from galewise.operators.indexing import dense_index
@@ -49,6 +49,15 @@ def station_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def station_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single readings: several of a station in an hour, and one station more than the hourly table has."""
+    return table(spark, sf_dir, "events").select(
+        _pick([*STATIONS, "K2999"], F.col("user_id") % 4).alias("StationNum"),
+        F.date_format(add_hours(F.col("ts"), F.lit(8)), "yyMMddHH").alias("ObservTimes"),
+        F.floor(F.col("value") * 10).cast("int").alias("ExMaxWindV"),
+    )
+
+
 def _forecast_name(issue: Column, lead: Column) -> Column:
     valid = format_forecast_time(add_hours(issue, lead))
     return F.concat(
@@ -94,19 +103,26 @@ def forecast_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sim_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item pairs: the first item of an order line slot and of the next slot, both ways.
+    """Item pairs, both ways: each row of an order with the next one, by slot and item.
 
-    The join key is (order, slot) with one row on each side, so a huge order stays linear.
+    Rows are numbered inside their (order, slot); a row meets the next number, the last the first
+    row of the next slot present. The join key is (order, slot, number) with one row on each
+    side, so a huge order stays linear.
     """
-    slots = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey", "l_linenumber")
-        .agg(F.min("l_partkey").alias("item"))
+    slot = Window.partitionBy("l_orderkey", "l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_partkey").alias("item"),
+        F.row_number().over(slot.orderBy("l_partkey")).alias("k"), F.count(F.lit(1)).over(slot).alias("n"),
     )
-    following = slots.select(
-        "l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("item").alias("other")
+    slots = rows.select("l_orderkey", "l_linenumber").distinct()
+    following = slots.withColumn("next", F.lead("l_linenumber").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")))
+    last = F.col("k") == F.col("n")
+    left = rows.join(following, ["l_orderkey", "l_linenumber"]).select(
+        "l_orderkey", F.when(last, F.col("next")).otherwise(F.col("l_linenumber")).alias("l_linenumber"),
+        F.when(last, 1).otherwise(F.col("k") + 1).alias("k"), "item",
     )
-    pairs = slots.join(following, ["l_orderkey", "l_linenumber"]).where("item <> other")
+    right = rows.select("l_orderkey", "l_linenumber", "k", F.col("item").alias("other"))
+    pairs = left.join(right, ["l_orderkey", "l_linenumber", "k"]).where("item <> other")
     both = F.explode(
         F.array(
             F.struct(F.col("item").alias("l"), F.col("other").alias("r")),
@@ -260,6 +276,26 @@ def abalone(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree per customer, as deep as they have orders: each order's positive branch is the next order."""
+    own = Window.partitionBy("o_custkey")
+    k, n = F.row_number().over(own.orderBy("o_orderkey")) - 1, F.count(F.lit(1)).over(own).cast("int")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("tree_id"), F.col("o_orderkey").cast("string").alias("order"), k.alias("k"), n.alias("n"))
+
+    def node(number, kind, feature, pos, neg, leaf):
+        return F.struct(
+            number.alias("node_id"), F.lit(kind).alias("kind"), feature.cast("string").alias("feature"),
+            pos.cast("int").alias("pos"), neg.cast("int").alias("neg"), leaf.cast("int").alias("leaf_idx"),
+        )
+
+    none = F.lit(None)
+    split = node(F.col("k"), "split", F.col("order"), F.col("k") + 1, F.col("k") + F.col("n") + 1, none)
+    side = node(F.col("k") + F.col("n") + 1, "leaf", none, none, none, F.col("k"))
+    end = node(F.col("n"), "leaf", none, none, none, F.col("n"))
+    nodes = F.when(F.col("k") == F.col("n") - 1, F.array(split, side, end)).otherwise(F.array(split, side))
+    return rows.select("tree_id", F.explode(nodes).alias("node")).select("tree_id", "node.*")
+
+
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forest with one five-node tree per part; thresholds and masks come from the part."""
     part = table(spark, sf_dir, "part")
@@ -319,7 +355,7 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(target, positive, negative) item numbers; the negative is drawn by hash."""
     nce, targets = sim_matrix_nce(spark, sf_dir)
-    drawn = hash28(F.col("c_idx"), F.col("p_idx"), F.lit("neg")) % _row_count(targets)
+    drawn = hash60(F.col("c_idx"), F.col("p_idx"), F.lit("neg")) % _row_count(targets)
     return nce.select(
         F.col("c_idx").alias("t"), F.col("p_idx").alias("p"), drawn.cast("bigint").alias("n")
     )

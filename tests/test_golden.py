@@ -103,7 +103,7 @@ def test_tree_in_order(spark):
     nodes = spark.createDataFrame(
         rows, "tree_id long, node_id int, kind string, feature string, pos int, neg int, leaf_idx int"
     )
-    assert [r.node for r in trees.tree_inorder(nodes, 3).collect()] == ["0", "f1", "1", "f2", "2"]
+    assert [r.node for r in trees.tree_inorder(nodes).collect()] == ["0", "f1", "1", "f2", "2"]
 
 
 def test_deep_tree_in_order(spark):
@@ -115,7 +115,7 @@ def test_deep_tree_in_order(spark):
         rows, "tree_id long, node_id int, kind string, feature string, pos int, neg int, leaf_idx int"
     )
     want = [x for i in range(depth) for x in (str(i), f"s{i}")] + [str(depth)]
-    assert [r.node for r in trees.tree_inorder(nodes, 16).collect()] == want
+    assert [r.node for r in trees.tree_inorder(nodes).collect()] == want
 
 
 def test_tree_score_routes_missing_values(spark):
