@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.select(COLUMNS).join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    return docs.select(COLUMNS).join(gone.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(COLUMNS)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

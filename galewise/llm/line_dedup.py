@@ -44,7 +44,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are what newlines separate. A window of ``size`` lines that occurs again, in a larger id or further down in the same
     text, is a repeat; all lines that such repeats cover go, overlaps once. Windows are judged on the input, so the
-    first occurrence always stays. Windows of blank lines alone don't count, and a text of fewer lines has none.
+    first occurrence always stays. Repeats grow with the texts, so they are joined by sorting, never broadcast. Windows of blank lines alone don't count, and a text of fewer lines has none.
 
     A null text stays null, with 0 lines; an empty text has one. If all lines go, the text is empty. Rows equal in id and text count as one
     document; rows that share an id alone are taken in the order of a hash of their texts, null ids last. Extra columns are ignored.
@@ -55,7 +55,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.min(F.struct("doc", "line")).alias("first")
     again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), place).where("n > 1")
     again = stored(again.select("h1", "h2", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line")), "again")
-    repeats = windows.join(again, ["h1", "h2"]).where("doc <> first_doc or line <> first_line")
+    repeats = windows.join(again.hint("merge"), ["h1", "h2"]).where("doc <> first_doc or line <> first_line")
     lists = stored(repeats.groupBy("doc").agg(F.collect_list("line").alias("lines")), "repeats")
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -79,5 +79,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     names = [f"carried_{i}" for i in range(len(carry))]
     schema = "doc_id long, n_lines long, n_removed long, text string" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in names)
-    out = map_slices(rows.join(lists, "doc", "left").select("doc_id", "text", "lines", *names), "text", schema, work)
+    out = map_slices(rows.join(lists.hint("merge"), "doc", "left").select("doc_id", "text", "lines", *names), "text", schema, work)
     return out.withColumnsRenamed(dict(zip(names, carry)))
