@@ -73,12 +73,13 @@ def segments(at: np.ndarray, gains: np.ndarray, drift: float) -> list[tuple[int,
     Linear time: a stack of disjoint candidates with the running sums before and behind them, merged while a later one
     ends higher than an earlier one whose left sum is lower.
     """
-    stack: list[list[float]] = []
+    stack: list[tuple[int, int, float, float]] = []
+    gained = 0.0
     for place, gain in zip(at.tolist(), gains.tolist()):
+        before, gained = gained - drift * place, gained + gain
         if gain <= drift:
             continue
-        before = sum_before = -drift * place + stack_gain(stack)
-        new = [place, place, before, sum_before + gain - drift, gain]
+        new = (place, place, before, before + gain - drift)
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= new[2]:
@@ -86,13 +87,9 @@ def segments(at: np.ndarray, gains: np.ndarray, drift: float) -> list[tuple[int,
             if j < 0 or stack[j][3] >= new[3]:
                 stack.append(new)
                 break
-            new = [stack[j][0], new[1], stack[j][2], new[3], sum(x[4] for x in stack[j:]) + new[4]]
+            new = (stack[j][0], new[1], stack[j][2], new[3])
             del stack[j:]
-    return [(int(a), int(b), right - left) for a, b, left, right, _ in stack]
-
-
-def stack_gain(stack: list[list[float]]) -> float:
-    return sum(x[4] for x in stack)
+    return [(a, b, right - left) for a, b, left, right in stack]
 
 
 @dataclass
@@ -188,7 +185,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     once = docs.where("doc_id is not null and text is not null").select("doc_id", F.md5("text").alias("k")).join(known, "doc_id")
     once = stored(once.groupBy("k").agg(F.min(F.struct("doc_id", "toxic")).alias("m")).select("m.doc_id", "m.toxic"), "labelled")
-    return docs.join(once, "doc_id").select("text", "toxic")
+    return docs.join(once.hint("merge"), "doc_id").select("text", "toxic")
 
 
 def score_toxicity(
