@@ -174,7 +174,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
         brief = pa.array([np.unique((x >> U64(32)).astype(np.uint32)).tobytes() if len(x) <= BRIEF else None for x in own], pa.binary())
         return pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("h1"), signed(mix(first)), lists, brief], names=["rep", "h1", "got", "shingles", "brief"])
 
-    rows = docs.join(wanted.select(F.col("rep"), F.col("h1")), F.col("doc_id") == F.col("rep")).select("rep", "h1", "text")
+    rows = docs.join(wanted.select(F.col("rep"), F.col("h1")).hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "h1", "text")
     made = map_slices(rows, "text", "rep long, h1 long, got long, shingles array<long>, brief binary", work)
     return made.where("h1 = got").select("rep", "shingles", "brief").dropDuplicates(["rep"])
 

@@ -186,6 +186,6 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
             texts.append("".join(pieces) + text[at:])
         return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_entities", "text"])
 
-    held = rows.where(may).join(own, F.col("doc_id").eqNullSafe(F.col("owner")), "left").select("doc_id", "text", "own")
+    held = rows.where(may).join(own.hint("merge"), F.col("doc_id").eqNullSafe(F.col("owner")), "left").select("doc_id", "text", "own")
     changed = map_slices(held, "text", "doc_id long, n_entities long, text string", replace)
     return changed.unionByName(rows.where(~may).select("doc_id", F.lit(0).cast("long").alias("n_entities"), "text"))

@@ -25,7 +25,7 @@ def classify_quality(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == 0
-    trusted = settled(rows.join(good, "doc_id").withColumn("held_out", held_out), "trusted")
+    trusted = settled(rows.join(good.hint("merge"), "doc_id").withColumn("held_out", held_out), "trusted")
     model = build_model(trusted.where("not held_out").select("text"))
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     judged = settled(score_texts(trusted.where("held_out"), model, extra=("lang",)).withColumn("perplexity", perplexity), "judged")
