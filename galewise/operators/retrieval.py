@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from galewise.functions import arrow
 from galewise.functions.vectors import as_double
 from galewise.operators.topk import top_per_group
+from galewise.session import cut_lineage
 
 DECIMALS = 6  # scores are compared after rounding, ties go to the smaller id
 BROADCAST_BYTES = 64 << 20
@@ -248,19 +249,15 @@ def build_ivf(
     path: str,
     nlist: int = 1024,
     vec: str = "embedding",
-    train_rows: int = 200_000,
     seed: int = 11,
 ) -> IvfIndex:
     """Cluster the vectors and store them below ``path``, partitioned by list.
 
-    Centres are learned on a sample of about ``train_rows`` vectors; every vector is
-    then assigned to its nearest centre and kept.
+    Centres are learned on all vectors, of which there must be ``nlist`` at least; every
+    vector is then assigned to its nearest centre and kept.
     """
-    total = items.count()
-    sample = items if total <= train_rows else items.sample(train_rows / total, seed=seed)
-    features = sample.select(array_to_vector(as_double(F.col(vec))).alias("features"))
-    lists = max(1, min(nlist, total))
-    model = KMeans(k=lists, seed=seed, maxIter=10).fit(features)
+    features = items.select(array_to_vector(as_double(F.col(vec))).alias("features"))
+    model = KMeans(k=nlist, seed=seed, maxIter=10).fit(features)
     centres = np.array(model.clusterCenters())
     norms = (centres**2).sum(axis=1)
     schema = items.schema
@@ -310,7 +307,7 @@ def knn_ivf(
                     list_id=chosen.ravel().astype("int32"),
                 )
 
-    probed = wanted.mapInArrow(probe, "id long, vec array<double>, list_id int")
+    probed = cut_lineage(wanted.mapInArrow(probe, "id long, vec array<double>, list_id int"), "probed")
     q_sizes = _sizes(probed)
     # at most nlist small numbers: read only the partitions some query probes
     stored = index.lists(spark).where(F.col("list_id").isin(list(q_sizes)))

@@ -208,25 +208,21 @@ def knn_exact_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.knn_exact(queries, items, broadcast_bytes=0)
 
 
-def _nlist(rows: DataFrame) -> int:
-    """At most 1024 lists, fewer on small tables."""
-    return max(1, min(1024, int(rows.count() ** 0.5)))
+NLIST, NPROBE = 16, 4  # lists of the index of the given tables, and those a query looks at
 
 
 def knn_ivf_full_probe(spark: SparkSession, sf: str) -> DataFrame:
     """Search of every list of the index, which has to equal the exact search."""
     queries, items = inputs.towers(spark, sf)
-    nlist = _nlist(items)
-    index = retrieval.build_ivf(items, scratch_path(spark, "ivf"), nlist)
-    return retrieval.knn_ivf(queries, index, nprobe=nlist)
+    index = retrieval.build_ivf(items, scratch_path(spark, "ivf"), NLIST)
+    return retrieval.knn_ivf(queries, index, nprobe=NLIST)
 
 
 def knn_ivf_probe(spark: SparkSession, sf: str) -> DataFrame:
-    """Search of the best lists only: one in 32, and eight at least."""
+    """Search of each query's best lists only."""
     queries, items = inputs.towers(spark, sf)
-    nlist = _nlist(items)
-    index = retrieval.build_ivf(items, scratch_path(spark, "ivf"), nlist)
-    return retrieval.knn_ivf(queries, index, nprobe=max(8, nlist // 32))
+    index = retrieval.build_ivf(items, scratch_path(spark, "ivf"), NLIST)
+    return retrieval.knn_ivf(queries, index, nprobe=NPROBE)
 
 
 def publish_snapshot(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_ROWS = 5_000_000  # up to here a table may be kept in memory whole
 
 def build_session(app: str = "galewise", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs are written for; ``conf`` overrides them.

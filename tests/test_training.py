@@ -69,15 +69,12 @@ def test_batches_are_whole_and_take_more_steps(spark):
     assert often.losses[-1] < once.losses[-1] and often.search.count() == once.search.count()
 
 
-def test_large_batches_read_only_their_files(spark, monkeypatch):
-    monkeypatch.setattr(batches, "SMALL_ROWS", 0)
+def test_batches_read_only_their_files(spark):
     stored = batches.store_batches(spark.range(100), 5, "test", "id")
     rows, weight = next(iter(stored))
     text = rows._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(batch_id" in text and rows.count() == weight
-    monkeypatch.undo()
     samples = t.sort_sample(spark, SF)
-    monkeypatch.setattr(batches, "SMALL_ROWS", 0)
     stored = ranker.train_ranker(samples, epochs=2, batches=3)
     assert falls(stored.losses)
 
