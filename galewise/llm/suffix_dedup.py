@@ -9,14 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galewise.llm.common import U64, map_slices, mix, prefix_hashes, signed, slices, span_hashes, stored, text_arrays, text_key
+from galewise.llm.common import U64, map_slices, mix, prefix_hashes, signed, slices, settled, span_hashes, stored, text_arrays, text_key
 
 STEP = 1 << 20  # windows looked at together
 NO_BYTES = pa.binary()
+CELL = 8  # windows of a cell
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text), and one row for each document, with ``doc``, a long in the order of (doc_id, nulls last; a hash of the text).
+    """``docs`` (doc_id, text, …), and one row for each document, with ``doc``, a long in the order of (doc_id, nulls last; a hash of the text).
 
     Usually that is the id. Where ids repeat or are null, distinct (id, text) pairs are sorted by ranges and numbered, so
     rows equal in both stay one document.
@@ -35,7 +36,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     start = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("p"))
     numbers = parts.withColumn("doc", start + F.row_number().over(Window.partitionBy("p").orderBy(*order)))
     numbers = stored(numbers.select(F.col("doc_id").alias("i"), F.col("k").alias("t"), F.col("doc").cast("long")), "numbers")
-    docs = keyed.join(numbers, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("k") == F.col("t"))).select("doc_id", "text", "doc")
+    docs = keyed.join(numbers, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("k") == F.col("t"))).drop("i", "t", "k")
     return docs, docs.dropDuplicates(["doc"])
 
 
@@ -89,17 +90,14 @@ def _class_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             parts = []
             for part in slices(batch, "text"):
-                text, at, more, _, key, run = window_runs(*text_arrays(part.column("text")), length, gram)
+                text, at, more, place, key, run = window_runs(*text_arrays(part.column("text")), length, gram)
                 doc = part.column("doc").to_numpy(zero_copy_only=False)
-                parts.append((doc[text], at, more, key, run))
+                parts.append((doc[text], at << 16 | more << 8 | place, key, run))
             if not parts or not sum(len(p[0]) for p in parts):
                 continue
-            doc, at, more, key, run = (np.concatenate(x) for x in zip(*parts))
-            rank = np.unique(doc, return_inverse=True)[1]
-            order = np.lexsort((at + (rank << 40), run))
-            order = order[np.argsort(key[order], kind="stable")]
-            doc, at, more, key, run = (x[order] for x in (doc, at, more, key, run))
-            packed = at * 256 + more
+            doc, packed, key, run = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((packed, doc, run, key))
+            doc, packed, key, run = (x[order] for x in (doc, packed, key, run))
             new_key = np.concatenate(([True], key[1:] != key[:-1]))
             first = np.flatnonzero(new_key | np.concatenate(([True], run[1:] != run[:-1])))
             ends = np.concatenate((first[1:], [len(key)]))
@@ -119,7 +117,7 @@ def _class_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _judged(rows: DataFrame, length: int) -> DataFrame:
-    """(doc, s, e, open): spans that surely repeat, and runs of windows [s, e) that must be compared one by one.
+    """(doc, s, e, a, open): spans that surely repeat, and runs of windows [s, e) around a string at ``a`` that must be compared.
 
     Of equal runs all but the first repeat an earlier one whole. The first of them is open if its string has other runs.
     """
@@ -138,9 +136,10 @@ def _judged(rows: DataFrame, length: int) -> DataFrame:
         docs = np.concatenate((doc[later], extra[:, 0], doc[first]))
         at = np.concatenate((packed[later], extra[:, 1], packed[first]))
         open_ = np.concatenate((np.zeros(len(later) + len(extra), bool), np.ones(len(first), bool)))
-        start, more = at >> 8, at & 255
+        start, more = at >> 16, at >> 8 & 255
         end = start + more + np.where(open_, 1, length)
-        return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(start), pa.array(end), pa.array(open_)], names=["doc", "s", "e", "open"])
+        columns = [docs, start, end, start + (at & 255), open_]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc", "s", "e", "a", "open"])
 
     def run(batches):
         rest = None
@@ -157,7 +156,43 @@ def _judged(rows: DataFrame, length: int) -> DataFrame:
             yield judge(rest)
 
     dealt = rows.repartition("pk").sortWithinPartitions("pk", "run", "doc", "packed")
-    return dealt.mapInArrow(run, "doc long, s long, e long, open boolean")
+    return dealt.mapInArrow(run, "doc long, s long, e long, a long, open boolean")
+
+
+def _cells(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
+    """(doc, a, low, high, outer, inner): the open runs cut at fixed distances from their strings.
+
+    A cell is the windows that start ``low`` to ``high`` bytes before the string. ``outer`` is a hash of all their bytes, ``inner`` of
+    those that every window of the whole cell holds: equal outer bytes mean that all windows are equal, and windows can only
+    be equal if their inner bytes are.
+    """
+    lists = runs.groupBy("doc").agg(F.collect_list(F.struct("s", "e", "a")).alias("runs"))
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        data, offsets = text_arrays(part.column("text"))
+        lists, made = part.column("runs"), []
+        flat, cuts = lists.flatten(), lists.offsets.to_numpy()
+        cuts = cuts - cuts[0]
+        s, e, a = (flat.field(c).to_numpy() for c in ("s", "e", "a"))
+        for i in range(part.num_rows):
+            own = slice(cuts[i], cuts[i + 1])
+            near, far = a[own] - e[own] + 1, a[own] - s[own]
+            count = far // CELL - near // CELL + 1
+            which = np.repeat(np.arange(len(count)), count)
+            cell = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + (near // CELL)[which]
+            low, high = np.maximum(cell * CELL, near[which]), np.minimum(cell * CELL + CELL - 1, far[which])
+            at = a[own][which]
+            sums = prefix_hashes(data[offsets[i] : offsets[i + 1]])
+            outer = mix(span_hashes(sums, at - high, at - low + length) + (low * 256 + high).astype(U64))
+            inner = mix(span_hashes(sums, at - cell * CELL, at - cell * CELL - CELL + 1 + length) + cell.astype(U64))
+            made.append((np.full(len(at), i), at, low, high, outer, inner))
+        who, at, low, high, outer, inner = (np.concatenate(x) for x in zip(*made))
+        return pa.RecordBatch.from_arrays(
+            [part.column("doc").take(pa.array(who)), pa.array(at), pa.array(low.astype(np.int16)), pa.array(high.astype(np.int16)), signed(outer), signed(inner)],
+            names=["doc", "a", "low", "high", "outer", "inner"],
+        )
+
+    return map_slices(docs.select("doc", "text").join(lists.hint("merge"), "doc"), "text", "doc long, a long, low short, high short, outer long, inner long", work)
 
 
 def _positions(docs: DataFrame, spans: DataFrame, length: int, seed: int) -> DataFrame:
@@ -181,7 +216,7 @@ def _positions(docs: DataFrame, spans: DataFrame, length: int, seed: int) -> Dat
         who, p, r, t = (np.concatenate(x) for x in zip(*rows))
         return pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(who)), pa.array(p), signed(r), signed(t)], names=["doc", "p", "r", "t"])
 
-    return map_slices(docs.select("doc", "text").join(lists, "doc"), "text", "doc long, p long, r long, t long", work)
+    return map_slices(docs.select("doc", "text").join(lists.hint("merge"), "doc"), "text", "doc long, p long, r long, t long", work)
 
 
 def _reranked(pairs: DataFrame, label: str) -> DataFrame:
@@ -189,7 +224,7 @@ def _reranked(pairs: DataFrame, label: str) -> DataFrame:
     place = F.min(F.struct("doc", "p")).alias("first")
     groups = pairs.groupBy("r", "t").agg(F.count("*").alias("n"), place).where("n > 1")
     ordered = groups.repartitionByRange("r", "t").sortWithinPartitions("r", "t")
-    return stored(ordered.select("r", "t", F.monotonically_increasing_id().alias("rank"), F.col("first.doc").alias("first_doc"), F.col("first.p").alias("first_p")), label)
+    return settled(ordered.select("r", "t", F.monotonically_increasing_id().alias("rank"), F.col("first.doc").alias("first_doc"), F.col("first.p").alias("first_p")), label)
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -221,20 +256,30 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 50) -> DataFr
     """(doc, spans) for ``docs`` (doc, text): the maximal runs of bytes covered by a ``length``-byte string that starts earlier.
 
     ``length`` must be a multiple of 4. Positions are first reduced without loss: windows are gathered in runs that select one
-    string of ``gram`` bytes; a string that occurs once can't be part of a repeat, and equal runs need one comparison. What is
-    left, where repeats begin and end, goes through prefix doubling: the ranks of length / 4 bytes are paired at that
-    offset, sorted and reranked, positions whose pair is unique drop out, and the new ranks are paired at length / 2.
+    string of ``gram`` bytes; a string that occurs once can't be part of a repeat, and equal runs need one comparison. Runs that differ
+    are cut in cells, and cells compared whole. What is left, where repeats begin and end, goes through prefix doubling:
+    the ranks of length / 4 bytes are paired at that offset, sorted and reranked, positions whose pair is unique
+    drop out, and the new ranks are paired at length / 2.
     """
-    judged = stored(_judged(_class_rows(docs, length, gram), length), "judged")
-    quarter = stored(_positions(docs, judged.where("open").select("doc", "s", "e"), length, length // 4), "quarter")
+    judged = settled(_judged(_class_rows(docs, length, gram), length), "judged")
+    cells = settled(_cells(docs, judged.where("open").select("doc", "s", "e", "a"), length), "cells")
+    firsts = cells.groupBy("outer").agg(F.count("*").alias("n"), F.min(F.struct("doc", "a")).alias("first")).where("n > 1")
+    firsts = settled(firsts.select("outer", F.col("first.doc").alias("first_doc"), F.col("first.a").alias("first_a")), "firsts")
+    cells = cells.join(firsts, "outer", "left").withColumn("again", F.expr("first_doc is not null and (doc <> first_doc or a <> first_a)"))
+    cells = settled(cells.select("doc", (F.col("a") - F.col("high")).alias("s"), (F.col("a") - F.col("low") + 1).alias("e"), "inner", "again"), "placed")
+    shared = settled(cells.where("not again").groupBy("inner").count().where("count > 1").select("inner"), "shared")
+    windows = cells.where("not again").join(shared, "inner", "left_semi").select("doc", "s", "e")
+
+    quarter = settled(_positions(docs, windows, length, length // 4), "quarter")
     half = _reranked(quarter, "half")
-    ranked = stored(quarter.join(half.select("r", "t", "rank"), ["r", "t"]).select("doc", "p", "rank"), "ranked")
+    ranked = settled(quarter.join(half.select("r", "t", "rank"), ["r", "t"]).select("doc", "p", "rank"), "ranked")
     ahead = ranked.select("doc", (F.col("p") - length // 2).alias("p"), F.col("rank").alias("t"))
-    pairs = ranked.withColumnRenamed("rank", "r").join(ahead, ["doc", "p"])
-    pairs = stored(pairs.select("doc", "p", "r", "t"), "pairs")
+    pairs = settled(ranked.withColumnRenamed("rank", "r").join(ahead, ["doc", "p"]).select("doc", "p", "r", "t"), "pairs")
     full = _reranked(pairs, "full")
     later = pairs.join(full, ["r", "t"]).where("doc <> first_doc or p <> first_p").select("doc", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
-    return _merged(judged.where("not open").select("doc", "s", "e").unionByName(later))
+    whole = judged.where("not open").select("doc", "s", "e")
+    whole = whole.unionByName(cells.where("again").select("doc", "s", (F.col("e") - 1 + length).alias("e")))
+    return _merged(whole.unionByName(later))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_bytes: bool = False) -> DataFrame:
@@ -246,7 +291,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id alone are taken in the order of a hash of their texts. Null ids come last. Extra columns are ignored.
     """
     rows, single = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    spans = stored(repeated_spans(single.select("doc", "text"), length), "spans")
+    spans = settled(repeated_spans(single.select("doc", "text"), length), "spans")
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_arrays(part.column("text"))
@@ -266,6 +311,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
         )
 
-    joined = rows.join(spans, "doc", "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans.hint("merge"), "doc", "left").select("doc_id", "text", "spans")
     out = map_slices(joined, "text", "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", work)
     return out if with_bytes else out.drop("kept")
