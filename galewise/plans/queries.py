@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from galewise.functions import timefns as tf
 from galewise.functions import vectors as v
-from galewise.functions.hashing import hash_bucket
 from galewise.operators import catalog, forecast, itemcf, metrics, positives, sampling, towers, trees
 from galewise.operators.indexing import dense_index
 from galewise.operators.retrieval import knn_exact
