@@ -202,8 +202,10 @@ ORACLES: dict[str, str] = {
         "SELECT row_id, body_mass_g / 1000.0 AS body_mass_kg, bill_length_mm FROM penguins", "penguins"
     ),
     "catalog_flags": _with(
-        """SELECT video_id, vip_status, needbuy_status, CAST(embedding[1] AS DOUBLE) AS q_first,
-                  CAST(embedding[64] AS DOUBLE) AS s_last FROM flagged""",
+        """SELECT video_id, vip_status, needbuy_status,
+                  round(list_dot_product(CAST(embedding[1:32] AS DOUBLE[]), CAST(range(1, 33) AS DOUBLE[])), 6) AS query_check,
+                  round(list_dot_product(CAST(embedding[33:64] AS DOUBLE[]), CAST(range(1, 33) AS DOUBLE[])), 6) AS search_check
+           FROM flagged""",
         "flagged",
     ),
     "knn_exact_filtered": _with(
@@ -237,8 +239,8 @@ ORACLES: dict[str, str] = {
         round(list_dot_product(CAST(embedding[1:31] AS DOUBLE[]), CAST(embedding[33:63] AS DOUBLE[])) + CAST(embedding[32] AS DOUBLE), 6) AS ip
         FROM embeddings""",
     "dense_forward": """
-        WITH x AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) a, CAST(embedding[2] AS DOUBLE) b,
-                          CAST(embedding[3] AS DOUBLE) c, CAST(embedding[4] AS DOUBLE) d FROM embeddings),
+        WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        x AS (SELECT vec_id, list_sum(e[1:64:4]) AS a, list_sum(e[2:64:4]) AS b, list_sum(e[3:64:4]) AS c, list_sum(e[4:64:4]) AS d FROM e),
         l1 AS (SELECT vec_id, greatest(0.5*a - b + 0.25*c + d + 0.1, 0) AS h0,
                       greatest(-0.25*a + 0.75*b + c - 0.5*d, 0) AS h1,
                       greatest(a + 0.5*b - 0.5*c + 0.25*d - 0.1, 0) AS h2 FROM x)
@@ -330,7 +332,7 @@ ORACLES: dict[str, str] = {
     "fn_math": """SELECT vec_id, round(sqrt(abs(x)), 6) AS root, greatest(x, 0) AS relu, round(x / 255.0, 9) AS scaled
         FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings)""",
     "fn_softmax": """
-        WITH z AS (SELECT vec_id, unnest(range(0, 10)) AS class, unnest(CAST(embedding[1:10] AS DOUBLE[])) AS z,
+        WITH z AS (SELECT vec_id, unnest(range(0, len(embedding))) AS class, unnest(CAST(embedding AS DOUBLE[])) AS z,
                           CAST(embedding[1] AS DOUBLE) AS x FROM embeddings)
         SELECT vec_id, CAST(class AS INT) AS class, round(exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id), 6) AS p,
                round(1 / (1 + exp(-x)), 6) AS sigmoid, round(ln(1 / (1 + exp(-x))), 6) AS log_sigmoid FROM z""",

@@ -148,10 +148,11 @@ def prep_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def catalog_flags(spark: SparkSession, sf: str) -> DataFrame:
+    places = F.array(*[F.lit(float(i)) for i in range(1, 33)])  # every element and its place count
+    check = lambda c: _r(v.dot(v.as_double(F.col(c)), places, 32))
     return catalog.catalog_flags(*inputs.catalogue(spark, sf)).select(
         "video_id", "vip_status", "needbuy_status",
-        F.get("embedding_query", F.lit(0)).cast("double").alias("q_first"),
-        F.get("embedding_search", F.lit(31)).cast("double").alias("s_last"),
+        check("embedding_query").alias("query_check"), check("embedding_search").alias("search_check"),
     )
 
 
@@ -204,8 +205,9 @@ LAYER_2 = [[1.0, -1.0], [0.5, 2.0], [-0.75, 1.5]]
 
 
 def dense_forward(spark: SparkSession, sf: str) -> DataFrame:
-    vec = t.table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("x"))
-    out = towers.dense_forward(vec, "vec_id", "x", [(LAYER_1, BIAS_1), (LAYER_2, None)])
+    wide = [row for _ in range(16) for row in LAYER_1]  # 64 inputs
+    vec = t.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    out = towers.dense_forward(vec, "vec_id", "x", [(wide, BIAS_1), (LAYER_2, None)])
     return out.select(
         "vec_id", _r(F.get("vec", F.lit(0))).alias("y0"), _r(F.get("vec", F.lit(1))).alias("y1")
     )
@@ -371,8 +373,7 @@ def fn_math(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fn_softmax(spark: SparkSession, sf: str) -> DataFrame:
-    logits = F.slice(v.as_double(F.col("embedding")), 1, 10)
-    rows = t.table(spark, sf, "embeddings").select("vec_id", logits.alias("z"))
+    rows = t.table(spark, sf, "embeddings").select("vec_id", v.as_double(F.col("embedding")).alias("z"))
     first = F.get("z", F.lit(0))
     return rows.select(
         "vec_id", F.posexplode(v.softmax(F.col("z"))).alias("class", "p"),
