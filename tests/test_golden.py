@@ -133,10 +133,15 @@ def test_tree_score_routes_missing_values(spark):
 def test_labels_use_the_highest_station_present(spark):
     obs = spark.createDataFrame(
         [("K2962", "21093021", 0, 0, 120), ("K2931", "21093021", 0, 0, 80), ("K2942", "21093022", 0, 0, 70),
-         ("K2931", "21093022", 0, 0, 60), ("K9999", "21093022", 0, 0, 900)],
+         ("K2931", "21093022", 0, 0, 60), ("K9999", "21093022", 0, 0, 900), ("K2962", "21093021", 0, 0, 90)],
         "StationNum string, ObservTimes string, WindDirect10 int, WindVelocity10 int, ExMaxWindV int",
     )
-    labels = forecast.station_labels(obs)
-    got = {r.F_time: ([x.StationNum for x in r.label], round(r.last, 6)) for r in
-           labels.withColumn("last", forecast.last_reading(F.col("label"))).collect()}
-    assert got == {"F2021093013": (["K2931", "K2962"], 12.0), "F2021093014": (["K2931", "K2942"], 7.0)}
+
+    def read(labels):
+        rows = labels.withColumn("last", forecast.last_reading(F.col("label"))).collect()
+        return {r.F_time: ([x.StationNum for x in r.label], round(r.last, 6)) for r in rows}
+
+    first = (["K2931", "K2962", "K2962"], 12.0)
+    assert read(forecast.station_labels(obs)) == {"F2021093013": first, "F2021093014": (["K2931", "K2942", "K9999"], 90.0)}
+    some = forecast.station_labels(obs, forecast.STATIONS)
+    assert read(some) == {"F2021093013": first, "F2021093014": (["K2931", "K2942"], 7.0)}
