@@ -14,6 +14,8 @@ from galewise.llm.common import U64, map_slices, mix, prefix_hashes, signed, sli
 STEP = 1 << 20  # windows looked at together
 NO_BYTES = pa.binary()
 CELL = 8  # windows of a cell
+LIST = 64  # occurrences in a list
+CLASS = ["pk", "run", "doc", "packed", "several", "others"]
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,7 +84,8 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -
 def _class_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(pk, run, doc, at, more, open, others): for each batch one row for each distinct run of windows.
 
-    ``others`` holds the batch's later occurrences. A batch that has several runs for one string sends one of them to
+    The batch's later occurrences surely repeat an earlier one; they travel as lists in rows of their own, dealt apart
+    from their string. A batch that has several runs for one string sends one of them to
     the string's partition and deals the others by their own hash, so a very common string fills no task.
     """
 
@@ -103,15 +106,22 @@ def _class_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             ends = np.concatenate((first[1:], [len(key)]))
             lead = new_key[first]
             several = np.concatenate((~lead[1:], [False])) | ~lead
-            others: list[bytes | None] = [None] * len(first)
-            for i in np.flatnonzero(ends - first > 1):
-                lo, hi = first[i] + 1, ends[i]
-                others[i] = np.stack((doc[lo:hi], packed[lo:hi]), axis=1).astype(np.int64).tobytes()
+            later = np.ones(len(key), dtype=bool)
+            later[first] = False
+            owner = np.repeat(np.arange(len(first)), ends - first)[later]
+            place = np.flatnonzero(later) - first[owner] - 1
+            cut = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (place[1:] % LIST == 0)))) if len(owner) else []
+            pairs = np.stack((doc[later], packed[later]), axis=1).astype(np.int64)
+            lists = [pairs[lo:hi].tobytes() for lo, hi in zip(cut, [*cut[1:], len(pairs)])]
             pk = np.where(lead, key[first], mix(key[first] ^ run[first]))
-            yield pa.RecordBatch.from_arrays(
-                [signed(pk), signed(run[first]), pa.array(doc[first]), pa.array(packed[first]), pa.array(several), pa.array(others, NO_BYTES)],
-                names=["pk", "run", "doc", "packed", "several", "others"],
-            )
+            heads = [signed(pk), signed(run[first]), pa.array(doc[first]), pa.array(packed[first]), pa.array(several), pa.nulls(len(first), NO_BYTES)]
+            yield pa.RecordBatch.from_arrays(heads, names=CLASS)
+            if lists:
+                begin = pairs[cut]
+                apart = mix(mix(begin[:, 0].view(U64)) ^ begin[:, 1].view(U64))
+                none = np.zeros(len(lists), np.int64)
+                tails = [signed(apart), pa.array(none), pa.array(none), pa.array(none), pa.array(none.astype(bool)), pa.array(lists, NO_BYTES)]
+                yield pa.RecordBatch.from_arrays(tails, names=CLASS)
 
     return docs.select("doc", "text").mapInArrow(combine, "pk long, run long, doc long, packed long, several boolean, others binary")
 
@@ -132,7 +142,8 @@ def _judged(rows: DataFrame, length: int) -> DataFrame:
         undecided = np.repeat((kinds > 1) | (several > 0), np.diff(np.append(groups, len(pk))))
         extra = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in table.column("others").drop_null().to_pylist()]
         extra = np.concatenate(extra) if extra else np.empty((0, 2), np.int64)
-        later, first = np.flatnonzero(~new), np.flatnonzero(new & undecided)
+        classes = np.array(table.column("others").is_null())
+        later, first = np.flatnonzero(~new & classes), np.flatnonzero(new & undecided & classes)
         docs = np.concatenate((doc[later], extra[:, 0], doc[first]))
         at = np.concatenate((packed[later], extra[:, 1], packed[first]))
         open_ = np.concatenate((np.zeros(len(later) + len(extra), bool), np.ones(len(first), bool)))
