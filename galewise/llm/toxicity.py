@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galewise.llm.common import IS_WORD, U64, map_slices, mix, signed, stored, text_arrays, words_of
+from galewise.llm.common import IS_WORD, U64, map_slices, mix, signed, slices, stored, text_arrays, words_of
+from galewise.llm.ngram import _fs, mapped, shard_of, write_arrays
+from galewise.session import scratch_path
 
 STEM = 4  # bytes; a token also counts under its beginning, which inflected forms share
-BUCKETS_BITS = 18  # tokens are first counted by so many bits of their hash
+HELD = 1 << 21  # counts a task holds before it passes them on
+SHARD = 1 << 18  # tokens with evidence behind one shard of the model
+GRID = 64  # decays tried in one pass
 PRIOR = 0.1  # weight of the Dirichlet prior, as a share of all counts
 SURE = 3.5  # standard deviations from which log-odds count
 DRIFT = 0.3  # what every token costs
@@ -26,36 +32,53 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, mix(stems + U64(7)), bounds
 
 
-def _counts(train: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """(token, toxic, clean): in how many texts of each kind a token occurs; by hash bucket, or exactly in ``wanted`` buckets."""
-    shift = U64(64 - BUCKETS_BITS)
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(token, toxic, clean) with each token once, in order."""
+    tokens, toxic, clean = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(tokens, kind="stable")
+    tokens = tokens[order]
+    first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.empty(0, np.int64)
+    return (tokens[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in (toxic, clean)))
 
-    def work(part: pa.RecordBatch) -> pa.RecordBatch | None:
+
+def _counts(train: DataFrame) -> DataFrame:
+    """(token, toxic, clean): in how many texts of each kind every token occurs, by its 64-bit hash.
+
+    A task sums its texts' counts first and passes them on whenever it holds HELD of them.
+    """
+
+    def count(part: pa.RecordBatch) -> list[tuple[np.ndarray, ...]]:
         words, stems, bounds = _tokens(part.column("text"))
-        label = part.column("toxic").to_numpy(zero_copy_only=False)
+        label = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
         text = np.repeat(np.arange(part.num_rows), np.diff(bounds))
         made = []
         for values in (words, stems):
-            who = text
-            if wanted is not None:
-                use = wanted[(values >> shift).astype(np.int64)]
-                values, who = values[use], who[use]
-            order = np.lexsort((who, values))
-            values, who = values[order], who[order]
+            order = np.lexsort((text, values))
+            values, who = values[order], text[order]
             if len(values):
                 once = np.concatenate(([True], (values[1:] != values[:-1]) | (who[1:] != who[:-1])))
-                made.append((values[once], label[who[once]]))
-        if not made:
-            return None
-        values, labels = (np.concatenate(x) for x in zip(*made))
-        if wanted is None:
-            keys, at = np.unique((values >> shift), return_inverse=True)
-        else:
-            keys, at = np.unique(values, return_inverse=True)
-        toxic, every = np.bincount(at, weights=labels), np.bincount(at)
-        return pa.RecordBatch.from_arrays([signed(keys), pa.array(toxic.astype(np.int64)), pa.array((every - toxic).astype(np.int64))], names=["token", "toxic", "clean"])
-
-    made = map_slices(train, "text", "token long, toxic long, clean long", work)
+                toxic = label[who[once]]
+                made.append(_summed([(values[once], toxic, 1 - toxic)]))
+        return made
+
+    def rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        tokens, toxic, clean = _summed(parts)
+        return pa.RecordBatch.from_arrays([signed(tokens), pa.array(toxic), pa.array(clean)], names=["token", "toxic", "clean"])
+
+    def run(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            for part in slices(batch, "text"):
+                held += count(part)
+                if sum(len(x[0]) for x in held) > HELD:
+                    held = [_summed(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield rows(held)
+                        held = []
+        if held:
+            yield rows(held)
+
+    made = train.mapInArrow(run, "token long, toxic long, clean long")
     return made.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -94,23 +117,32 @@ def segments(at: np.ndarray, gains: np.ndarray, drift: float) -> list[tuple[int,
 
 @dataclass
 class ToxicModel:
-    """Tokens with evidence, the statistics of chance and the steps from a text's evidence to a probability."""
+    """Where the tokens with evidence lie, the statistics of chance and the steps from a text's evidence to a probability."""
 
-    tokens: np.ndarray
-    gains: np.ndarray
+    root: str
+    shards: list[dict]  # by range of the hash: tokens in order, gains, rates among clean tokens
     decay: float
     volume: float
     edges: np.ndarray
     levels: np.ndarray
 
+    def gains(self, values: np.ndarray) -> np.ndarray:
+        """The gain of each token, 0 for those without evidence."""
+        distinct, back = np.unique(values, return_inverse=True)
+        out = np.zeros(len(distinct))
+        cut = np.searchsorted(shard_of(distinct, max(len(self.shards), 1)), np.arange(len(self.shards) + 1))
+        for s, entry in enumerate(self.shards):
+            lo, hi = cut[s], cut[s + 1]
+            if hi > lo and entry:
+                arrays = mapped(self.root, entry)
+                at = np.minimum(np.searchsorted(arrays["tokens"], distinct[lo:hi]), len(arrays["tokens"]) - 1)
+                out[lo:hi] = np.where(arrays["tokens"][at] == distinct[lo:hi], arrays["gains"][at], 0)
+        return out[back]
+
     def evidence(self, part: pa.RecordBatch) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
         """Per text the sum of -log P over its segments, P being the chance of one so high in a clean text of its length."""
         words, stems, bounds = _tokens(part.column("text"))
-        gain = np.zeros(len(words))
-        if len(self.tokens):
-            for values in (words, stems):
-                at = np.minimum(np.searchsorted(self.tokens, values), len(self.tokens) - 1)
-                gain = np.maximum(gain, np.where(self.tokens[at] == values, self.gains[at], 0))
+        gain = np.maximum(self.gains(words), self.gains(stems))
         hits = np.flatnonzero(gain)
         cut = np.searchsorted(hits, bounds)
         total, spans = np.zeros(part.num_rows), []
@@ -127,38 +159,61 @@ class ToxicModel:
         return np.interp(evidence, self.edges, self.levels) if len(self.edges) else np.full(len(evidence), 0.0)
 
 
-def _chance(gains: np.ndarray, rates: np.ndarray) -> float:
-    """The decay at which the mean of exp(decay * score) of a clean text's tokens is 1."""
+def _chance(spark: SparkSession, root: str, shards: list[dict]) -> float:
+    """The decay at which the mean of exp(decay * score) of a clean text's tokens is 1; each pass narrows it GRID-fold."""
     low, high = 1e-3, 50.0
-    for _ in range(80):
-        middle = (low + high) / 2
-        with np.errstate(over="ignore"):
-            mean = (rates * np.exp(middle * (gains - DRIFT))).sum() + max(1 - rates.sum(), 0) * np.exp(-middle * DRIFT)
-        low, high = (middle, high) if mean < 1 else (low, middle)
-    return low
+    held = [s for s, entry in enumerate(shards) if entry]
+    while held and np.nextafter(low, high) < high:
+        tried = np.linspace(low, high, GRID + 1)
+
+        def sums(batches):
+            for batch in batches:
+                for s in batch.column(0).to_pylist():
+                    arrays = mapped(root, shards[s])
+                    with np.errstate(over="ignore"):
+                        own = [float((arrays["rates"] * np.exp(t * (arrays["gains"] - DRIFT))).sum()) for t in tried]
+                    yield pa.RecordBatch.from_arrays([pa.array([[float(arrays["rates"].sum()), *own]])], names=["sums"])
+
+        rows = [r.sums for r in spark.createDataFrame([(s,) for s in held], "shard long").mapInArrow(sums, "sums array<double>").collect()]
+        # sums of any order agree, so that a rerun finds the same decay
+        rate, *means = (np.inf if np.inf in x else math.fsum(x) for x in zip(*rows))
+        below = [t for t, mean in zip(tried, means) if mean + max(1 - rate, 0) * np.exp(-t * DRIFT) < 1]
+        at = len(below)
+        low, high, before = (float(tried[max(at - 1, 0)]), float(tried[min(at, GRID)]), (low, high))
+        if (low, high) == before or high - low < 1e-12:
+            break
+    return low if held else high
+
+
+def _shards(fine: DataFrame, root: str, every: float) -> list[dict]:
+    """Write the tokens with evidence as sorted arrays, one file per range of the hash."""
+    count = max(1, -(-fine.count() // SHARD))
+    fs, folder = _fs(root)
+    fs.create_dir(folder, recursive=True)
+
+    def write(table: pa.Table) -> pa.Table:
+        tokens = table.column("token").to_numpy().view(U64)
+        order = np.argsort(tokens)
+        gains, rates = (table.column(c).to_numpy()[order] for c in ("gain", "rate"))
+        return pa.table({"shard": table.column("shard")[:1], "entry": [json.dumps(write_arrays(root, "tokens", tokens=tokens[order], gains=gains, rates=rates))]})
+
+    shard = F.shiftrightunsigned(F.shiftrightunsigned("token", 32) * F.lit(count), 32)
+    gain, rate = F.col("delta") - 2 * F.col("sd"), (F.col("clean") + PRIOR * (F.col("toxic") + F.col("clean"))) / F.lit(every)
+    rows = fine.select("token", gain.alias("gain"), rate.alias("rate"), shard.alias("shard")).groupBy("shard").applyInArrow(write, "shard long, entry string")
+    entries = {r.shard: json.loads(r.entry) for r in rows.collect()}
+    return [entries.get(s, {}) for s in range(count)]
 
 
 def train_toxicity(train: DataFrame) -> ToxicModel:
-    """Learn from (text, toxic); every row counts. Only tables of fixed size reach the driver: one number
-    for each of 2^18 hash buckets, the tokens with evidence and BINS counts.
-    """
-    coarse = stored(_counts(train, None), "coarse")
-    toxic, clean = coarse.agg(F.sum("toxic"), F.sum("clean")).first()
-    nothing = ToxicModel(np.empty(0, U64), np.empty(0), 1.0, 1.0, np.empty(0), np.empty(0))
+    """Learn from (text, toxic); every row and every token counts. The driver sees totals, the names of the model's files and BINS counts."""
+    counts = stored(_counts(train), "counts")
+    toxic, clean = counts.agg(F.sum("toxic"), F.sum("clean")).first()
+    root = scratch_path(train.sparkSession, "llm-toxicity")
     if not toxic or not clean:
-        return nothing
-    wanted = np.zeros(1 << BUCKETS_BITS, dtype=bool)
-    hot = _log_odds(coarse, toxic, clean).where((F.col("delta") > 0) & (F.col("delta") > SURE / 2 * F.col("sd")))
-    for batch in hot.select("token").toArrow().to_batches():
-        wanted[batch.column(0).to_numpy()] = True
-    fine = _log_odds(_counts(train, wanted), toxic, clean).where((F.col("delta") > SURE * F.col("sd")) & (F.col("delta") - 2 * F.col("sd") > DRIFT))
-    fine = fine.orderBy((F.col("delta") / F.col("sd")).desc(), "token").limit(1 << BUCKETS_BITS).toArrow()
-    tokens = fine.column("token").to_numpy().view(U64)
-    gains = fine.column("delta").to_numpy() - 2 * fine.column("sd").to_numpy()
-    prior = PRIOR * (fine.column("toxic").to_numpy() + fine.column("clean").to_numpy())
-    rates = (fine.column("clean").to_numpy() + prior) / (clean + PRIOR * (toxic + clean))
-    order = np.argsort(tokens)
-    model = ToxicModel(tokens[order], gains[order], _chance(gains, rates), 1.0, np.empty(0), np.empty(0))
+        return ToxicModel(root, [], 1.0, 1.0, np.empty(0), np.empty(0))
+    fine = _log_odds(counts, toxic, clean).where((F.col("delta") > SURE * F.col("sd")) & (F.col("delta") - 2 * F.col("sd") > DRIFT))
+    shards = _shards(stored(fine, "evidence"), root, clean + PRIOR * (toxic + clean))
+    model = ToxicModel(root, shards, _chance(train.sparkSession, root, shards), 1.0, np.empty(0), np.empty(0))
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         total, _ = model.evidence(part)

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from llm_fixtures import SF, make_docs  # noqa: F401
 
+from galewise.llm.common import words_of
 from galewise.llm.components import connected
 from galewise.llm.decontaminate import contaminated
 from galewise.llm.line_dedup import dedup_lines
@@ -174,6 +175,32 @@ def test_toxicity_of_held_out_texts(spark, make_docs):
     assert any({"vile", "rotter", "rotters", "scoundrel"} & set(words[s.first : s.last + 1]) for s in worst.segments)
 
 
+def test_toxic_token_counts_apart_from_tokens_of_like_hash(spark, make_docs):
+    """A token in 40 of 200 toxic texts whose first 18 bits of the hash are those of words in every text; the beginning tells nothing."""
+    data = " ".join(["wordbad", *(f"word{i}" for i in range(3_000_000))]).encode()
+    words, _ = words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    mates = [f"word{i - 1}" for i in np.flatnonzero(words >> np.uint64(46) == words[0] >> np.uint64(46))[1:6]]
+    assert len(mates) == 5
+    bad, own = [i % 10 == 0 for i in range(2000)], [i % 50 == 0 for i in range(2000)]
+    docs = make_docs([f"text {i} {' '.join(mates)}" + " wordbad" * x for i, x in enumerate(own)])
+    labels = spark.createDataFrame([(i, 1, int(b)) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    assert all(r.predicted == own[r.doc_id] for r in score_toxicity(docs, labels).collect())
+
+
+def test_toxicity_keeps_every_token_with_evidence(spark, make_docs, monkeypatch):
+    """Many shards give the scores of one."""
+    rng = random.Random(8)
+    bad = [i % 8 == 0 for i in range(400)]
+    docs = make_docs([sentence(rng, 40) + f" vile{rng.randrange(30)} {rng.randrange(30)}rotten" * b for b in bad])
+    labels = spark.createDataFrame([(i, 1, int(b)) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    one = {r.doc_id: (r.score, r.segments) for r in score_toxicity(docs, labels).collect()}
+    monkeypatch.setattr("galewise.llm.toxicity.SHARD", 3)
+    monkeypatch.setattr("galewise.llm.toxicity.HELD", 10)
+    many = {r.doc_id: (r.score, r.segments) for r in score_toxicity(docs, labels).collect()}
+    assert {k: v[0] for k, v in one.items()} == pytest.approx({k: v[0] for k, v in many.items()})
+    assert len({v[0] for v in many.values()}) > 1
+
+
 def test_line_dedup_against_brute_force(make_docs):
     rng = random.Random(8)
     block = [sentence(rng, 4) for _ in range(6)]
