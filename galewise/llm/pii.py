@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
+import unicodedata
 
 import pyarrow as pa
 import regex
@@ -31,6 +33,7 @@ PATTERNS = [
 ENTITY = "|".join(f"(?P<{name}>{pattern})" for name, pattern in PATTERNS)
 MAY_HOLD = r"[0-9@]|(?i:password|passwd|pwd|token|secret|key)|\b(?:" + "|".join(MALE + FEMALE) + r")\b"
 VOWELS = "aeiou"
+ROUNDS = 4  # of drawing before surrogates of values that still collide grow by a sign a round
 
 _FIND = regex.compile(ENTITY)
 
@@ -64,22 +67,46 @@ def _letter(old: str, draw: int, draw2: int) -> str:
     if old.lower() in latin:
         new = latin[number % len(latin)]
         return new.upper() if old.isupper() else new
-    return chr(code)
+    pool = [c for c in _letters(code >> 7, unicodedata.category(old), unicodedata.name(old, "").split(" ")[0]) if c != old]
+    new = pool[number % len(pool)] if pool else VOWELS[number % len(VOWELS)]
+    return new.upper() if not pool and old.isupper() else new
+
+
+@functools.cache
+def _letters(block: int, category: str, script: str) -> list[str]:
+    """The letters of a script and case in a block of 128 characters, those that come back from the other case."""
+    block_of = map(chr, range(block << 7, (block + 1) << 7))
+    return [c for c in block_of if unicodedata.category(c) == category and unicodedata.name(c, "").split(" ")[0] == script and c in (c.upper().lower(), c.lower().upper())]
 
 
 def _luhn(digits: list[int]) -> int:
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(digits))) % 10
 
 
+def _longer(kind: str, value: str, extra: int) -> str:
+    """``value`` with ``extra`` more signs, where a surrogate of its kind may have them."""
+    if kind == "ip":
+        return value + ".1" * extra
+    if kind == "email":
+        at = value.index("@")
+        return value[:at] + "n" * extra + value[at:]
+    if kind in ("male", "female", "name"):
+        at = max(i for i, c in enumerate(value) if c.isalpha())
+        return value[:at] + value[at].lower() * extra + value[at:]
+    return value + "0" * extra
+
+
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """The replacement of an entity: same type, length, separators, letter case and script.
 
     Card numbers keep their first digit and whether their check digit holds, addresses stay addresses, hexadecimal secrets stay
     hexadecimal, e-mail addresses keep their last label, names keep a last vowel, which in many languages tells the gender.
+    From the attempt ROUNDS on a surrogate is longer by one sign for each attempt, so that no format runs out of forms.
     """
     draw = _draws(key, kind, value, attempt)
+    value = _longer(kind, value, max(attempt - ROUNDS + 1, 0))
     if kind == "ip":
-        return ".".join(str(1 + next(draw) % 254) for _ in range(4))
+        return ".".join(str(1 + next(draw) % 254) for _ in value.split("."))
     hexa = kind in ("secret", "key") and regex.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None
     fixed: set[int] = set()
     if kind == "email":
@@ -130,15 +157,15 @@ def _proposed(entities: DataFrame, key: bytes) -> DataFrame:
     return entities.select("type", "value", "attempt").mapInArrow(run, "type string, value string, attempt int, surrogate string")
 
 
-def surrogate_table(entities: DataFrame, key: bytes, attempts: int = 50) -> DataFrame:
+def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
     """(type, value, surrogate) for distinct (type, value): no two values of a type share a surrogate, and none is a real value.
 
-    Values whose surrogate collides are drawn again, all but the smallest of those that share it. Drawing stops with an error if
-    after ``attempts`` rounds values still collide, as they must where a format has fewer forms than values.
+    Values whose surrogate collides are drawn again, all but the smallest of those that share it. After ROUNDS rounds their surrogates
+    grow by a sign a round, and the forms at least fivefold, so that drawing ends where a format has fewer forms than values.
     """
     real = entities.select("type", F.col("value").alias("surrogate"))
     table = settled(_proposed(entities.withColumn("attempt", F.lit(0)), key), "surrogates")
-    for _ in range(attempts):
+    while True:
         shared = table.groupBy("type", "surrogate").agg(F.min("value").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
         taken = table.join(real, ["type", "surrogate"], "left_semi").select("type", "value")
         again = table.join(shared, ["type", "surrogate"]).where("value <> owner").select("type", "value").unionByName(taken).distinct()
@@ -147,7 +174,6 @@ def surrogate_table(entities: DataFrame, key: bytes, attempts: int = 50) -> Data
             return table.select("type", "value", "surrogate")
         moved = table.join(again, ["type", "value"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
         table = settled(table.join(again, ["type", "value"], "left_anti").unionByName(_proposed(moved, key)), "surrogates")
-    raise RuntimeError("some formats have fewer forms than values")
 
 
 def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -355,6 +355,15 @@ def test_surrogates_are_distinct_and_no_real_values(spark):
     assert not {r.surrogate for r in table} & {v for _, v in values}
 
 
+def test_surrogates_where_a_format_has_too_few_forms(spark):
+    names = ["Đỗ", "Łęż", "Հայկ", *(a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "ai")]
+    table = surrogate_table(spark.createDataFrame([("male", n) for n in names], "type string, value string"), b"key").collect()
+    assert sorted(r.value for r in table) == sorted(names)
+    assert len({r.surrogate for r in table}) == len(names) and not {r.surrogate for r in table} & set(names)
+    assert all(not set(r.surrogate) & set(r.value) for r in table if not r.value.isascii())
+    assert all(r.surrogate[-1] == r.value[-1] for r in table if r.value.isascii())
+
+
 def test_replaced_entities_refer_alike(make_docs):
     texts = ["write to a.b@x.example.com or call +1 (988) 555-2485", "again a.b@x.example.com and Mrs. Anna Smith, c.d@x.example.com", "nothing here"]
     got = {r.doc_id: r for r in replace_pii(make_docs(texts), b"key").collect()}
