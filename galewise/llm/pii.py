@@ -18,6 +18,13 @@ from galewise.llm.common import map_slices, settled
 MALE = ["Mr", "Sir", "Herr", "Señor", "Sr", "Don", "Monsieur"]
 FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Sra", "Doña", "Madame", "Mme", "Mademoiselle"]
 
+# A name: parts of any number, initials between them; a first part in capitals may be followed by others. 's is not a part's end.
+TAIL = r"(?:['-](?!s\b)[\p{L}\p{M}]+)"
+FIRST = rf"\p{{Lu}}(?:[\p{{L}}\p{{M}}]+{TAIL}*|{TAIL}+)"
+LATER = rf"\p{{Lu}}(?:[\p{{Ll}}\p{{M}}][\p{{L}}\p{{M}}]*{TAIL}*|{TAIL}+)"
+INITIALS = r"(?:\p{Lu}\.[ ])*"
+NAME = rf"{INITIALS}(?:\p{{Lu}}{{2,}}(?:[ ]\p{{Lu}}{{2,}})+\b|{FIRST}(?:[ ]{INITIALS}{LATER})*)"
+
 PATTERNS = [
     ("email", r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+"),
     ("secret", r"(?i:(?<=\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[ ]?[=:][ ]?[\"']?))[A-Za-z0-9_\-+/]{8,}"),
@@ -27,15 +34,18 @@ PATTERNS = [
     ("card", r"(?<![\w-])(?:\d[ -]?){12,18}\d(?![\w-])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w])|(?<![\w.])\+\d{8,14}(?!\w)"),
-    ("male", rf"(?<=\b(?:{'|'.join(MALE)})\.?[ ])\p{{Lu}}[\p{{L}}'-]+(?:[ ]\p{{Lu}}[\p{{Ll}}'-]+)?"),
-    ("female", rf"(?<=\b(?:{'|'.join(FEMALE)})\.?[ ])\p{{Lu}}[\p{{L}}'-]+(?:[ ]\p{{Lu}}[\p{{Ll}}'-]+)?"),
+    ("male", rf"(?<=\b(?:{'|'.join(MALE)})\.?[ ]){NAME}"),
+    ("female", rf"(?<=\b(?:{'|'.join(FEMALE)})\.?[ ]){NAME}"),
 ]
 ENTITY = "|".join(f"(?P<{name}>{pattern})" for name, pattern in PATTERNS)
 MAY_HOLD = r"[0-9@]|(?i:password|passwd|pwd|token|secret|key)|\b(?:" + "|".join(MALE + FEMALE) + r")\b"
 VOWELS = "aeiou"
 ROUNDS = 4  # of drawing before surrogates of values that still collide grow by a sign a round
 
+COUNTRY = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})"  # calling codes
+
 _FIND = regex.compile(ENTITY)
+_PART = regex.compile(r"[^ .-]+")
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
@@ -43,6 +53,68 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return [(m.start(), m.end(), m.lastgroup, m.group()) for m in _FIND.finditer(text)]
 
 
+def _lowered(text: str) -> str:
+    """``text`` in lower case if it can be put back."""
+    low = text.lower()
+    return low if len(low) == len(text) and all(c in (d, d.upper()) for c, d in zip(text, low)) else text
+
+
+def units(kind: str, value: str) -> list[tuple[str, str]]:
+    """(type, normal form) of what an entity consists of: each part of a name, of other entities the whole.
+
+    Numbers agree whatever separates their digits, addresses and names whatever their case.
+    """
+    if kind in ("male", "female"):
+        return [("name", _lowered(part)) for part in _PART.findall(value)]
+    if kind in ("card", "ssn", "phone", "iban"):
+        plain = "".join(str(unicodedata.decimal(c, c)) for c in value if c.isalnum())
+        return [(kind, "+" + plain if value.startswith("+") else plain)]
+    return [(kind, _lowered(value) if kind == "email" else value)]
+
+
+def _cased(old: str, new: str) -> str:
+    """``new`` in the case of ``old``; signs behind its end take the last one's."""
+    last = len(old) - 1
+    return "".join(c.upper() if old[min(i, last)].isupper() else c for i, c in enumerate(new))
+
+
+def laid_out(kind: str, value: str, known: dict[tuple[str, str], str]) -> str:
+    """The replacement of an entity as it is written, from the surrogates of its units."""
+    if kind in ("male", "female"):
+        return _PART.sub(lambda m: _cased(m.group(), known["name", _lowered(m.group())]), value)
+    [unit] = units(kind, value)
+    new = known[unit]
+    if kind == "email":
+        return _cased(value, new) if unit[1] != value and len(new) == len(value) else new
+    if kind not in ("card", "ssn", "phone", "iban"):
+        return new
+    signs, out = iter(new.removeprefix("+")), []
+    for c in value:
+        d = next(signs) if c.isalnum() else c
+        out.append(chr(ord(c) - unicodedata.decimal(c) + int(d)) if c.isdecimal() else d)
+    return "".join(out) + "".join(signs)
+
+
+def mentions(found: list[tuple[int, int, str, str]], text: str) -> list[tuple[int, int, str, str]]:
+    """``found`` and, between them, the further mentions of the parts of its names, as entities of the name's type."""
+    kinds = {}
+    for _, _, kind, value in found:
+        for part in _PART.findall(value) if kind in ("male", "female") else []:
+            if len(part) > 1:
+                for form in (part, part.upper(), part.capitalize() if part.isupper() else part):
+                    if _lowered(form) == _lowered(part):
+                        kinds.setdefault(form, kind)
+    if not kinds:
+        return found
+    again = regex.compile(r"(?<![\p{L}\p{M}\p{N}_])\L<forms>(?![\p{L}\p{M}\p{N}_])", forms=list(kinds))
+    out, at = [], 0
+    for entity in [*found, (len(text), len(text), "", "")]:
+        out += [(m.start(), m.end(), kinds[m.group()], m.group()) for m in again.finditer(text, at, entity[0])]
+        out.append(entity)
+        at = entity[1]
+    return out[:-1]
+
+
 def _draws(key: bytes, kind: str, value: str, attempt: int):
     """Endless keyed numbers for an entity."""
     block = 0
@@ -115,12 +187,12 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         digits = [i for i, c in enumerate(value) if c.isdigit()]
         fixed = set(digits[:1])
         if kind == "phone" and value.startswith("+"):
-            fixed = set(range(len(regex.match(r"\+\d{1,3}(?=\D)|\+\d", value).group())))
+            fixed = set(range(len(regex.match(COUNTRY, value).group())))
     elif kind == "iban":
         fixed = {0, 1}
     elif kind == "key":
         fixed = set(range(len(regex.match(r"AKIA|gh._|sk-|xox.-", value).group())))
-    elif kind in ("male", "female") and value[-1].lower() in VOWELS:
+    elif kind in ("male", "female", "name") and value[-1].lower() in VOWELS:
         fixed = {len(value) - 1}
     out = []
     for i, c in enumerate(value):
@@ -179,8 +251,9 @@ def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
 def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_entities and text, with every detected entity replaced by its surrogate.
 
-    An entity has the same surrogate wherever it occurs, different entities of a type have different ones, and without the key they can't be
-    traced back. Texts that can hold no entity (no digit, at sign, title or word for a secret) aren't moved.
+    An entity has the same surrogate wherever it occurs and however its number is spaced, different entities of a type have different ones,
+    and without the key they can't be traced back. Each part of a name has one surrogate for men and women; in a text with a name
+    further mentions of its parts are replaced, and counted, too. Texts that can hold no entity (no digit, at sign, title or word for a secret) aren't moved.
 
     A null text stays null and an empty one empty, both with 0 entities. Repeated rows, and rows that share an id or have none, are
     treated each. Extra columns are ignored; an empty table gives an empty result.
@@ -191,7 +264,7 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     def detect(part: pa.RecordBatch) -> pa.RecordBatch:
         ids, kinds, values = [], [], []
         for i, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-            for kind, value in dict.fromkeys((k, v) for _, _, k, v in find(text)):
+            for kind, value in dict.fromkeys(u for _, _, k, v in find(text) for u in units(k, v)):
                 ids.append(i), kinds.append(kind), values.append(value)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["doc_id", "type", "value"])
 
@@ -204,9 +277,9 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
         counts, texts = [], []
         for text, own in zip(part.column("text").to_pylist(), part.column("own").to_pylist()):
             known = {(x["type"], x["value"]): x["surrogate"] for x in own or []}
-            pieces, at, found = [], 0, find(text) if known else []
+            pieces, at, found = [], 0, mentions(find(text), text) if known else []
             for start, end, kind, value in found:
-                pieces += [text[at:start], known[kind, value]]
+                pieces += [text[at:start], laid_out(kind, value, known)]
                 at = end
             counts.append(len(found))
             texts.append("".join(pieces) + text[at:])

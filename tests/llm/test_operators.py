@@ -371,3 +371,15 @@ def test_replaced_entities_refer_alike(make_docs):
     mails = [[v for _, _, k, v in find(got[i].text) if k == "email"] for i in range(2)]
     assert mails[0][0] == mails[1][0] != mails[1][1]
     assert not {v for t in texts for *_, v in find(t)} & {v for r in got.values() for *_, v in find(r.text)}
+
+
+def test_mentions_of_an_entity_refer_alike(make_docs):
+    texts = ["Mr John Quincy Adams met Mrs Smith. Adams spoke, SMITH's answer came.", "Mr. John Smith, Mr Adams", "call +1 555 123 4567", "call +1-555-123-4567 or +1-555-123-4568"]
+    got = {r.doc_id: r for r in replace_pii(make_docs(texts), b"key").collect()}
+    assert [got[i].n_entities for i in range(4)] == [4, 2, 1, 2]
+    words = {i: [w.strip(".,").removesuffix("'s") for w in got[i].text.split()] for i in range(4)}
+    _, john, quincy, adams, _, _, smith, again, _, upper, *_ = words[0]
+    assert again == adams and upper == smith.upper() and words[1][1:3] == [john, smith] and words[1][4] == adams
+    assert len({john, quincy, adams, smith, "John", "Quincy", "Adams", "Smith"}) == 8
+    digits = [[c for c in w if c.isdigit()] for w in (got[2].text, words[3][1], words[3][3])]
+    assert digits[0] == digits[1] != digits[2]
