@@ -38,7 +38,12 @@ PATTERNS = [
     ("female", rf"(?<=\b(?:{'|'.join(FEMALE)})\.?[ ]){NAME}"),
 ]
 ENTITY = "|".join(f"(?P<{name}>{pattern})" for name, pattern in PATTERNS)
-MAY_HOLD = r"[0-9@]|(?i:password|passwd|pwd|token|secret|key)|\b(?:" + "|".join(MALE + FEMALE) + r")\b"
+# A Java pattern that every text with an entity matches: a digit (newer ones are all beyond U+FFFF), an at sign, a word for a secret (of the
+# letters in it only s and k have another form outside ASCII), how a key begins, or a title and a space.
+MAY_HOLD = (
+    r"[0-9@\u017F\u212A\x{10000}-\x{10FFFF}]|\p{Nd}|(?i:password|passwd|pwd|token|secret|key)|AKIA|gh[pousr]_|sk-|xox[abprs]-|(?:"
+    + "|".join(MALE + FEMALE) + r")\.?[ ]"
+)
 VOWELS = "aeiou"
 ROUNDS = 4  # of drawing before surrogates of values that still collide grow by a sign a round
 
@@ -253,7 +258,7 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
 
     An entity has the same surrogate wherever it occurs and however its number is spaced, different entities of a type have different ones,
     and without the key they can't be traced back. Each part of a name has one surrogate for men and women; in a text with a name
-    further mentions of its parts are replaced, and counted, too. Texts that can hold no entity (no digit, at sign, title or word for a secret) aren't moved.
+    further mentions of its parts are replaced, and counted, too. Texts that can hold no entity (no digit, at sign, title, word for a secret or beginning of a key) aren't moved.
 
     A null text stays null and an empty one empty, both with 0 entities. Repeated rows, and rows that share an id or have none, are
     treated each. Extra columns are ignored; an empty table gives an empty result.

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from llm_fixtures import SF, make_docs  # noqa: F401
+from pyspark.sql import functions as F
 
 from galewise.llm.common import words_of
 from galewise.llm.components import connected
@@ -17,7 +18,7 @@ from galewise.llm.line_dedup import dedup_lines
 from galewise.llm.lm_scoring import score_language
 from galewise.llm.minhash import near_duplicates
 from galewise.llm.mixing import MAX_EPOCHS, WEIGHTS, mix, mix_report
-from galewise.llm.pii import find, replace_pii, surrogate, surrogate_table
+from galewise.llm.pii import FEMALE, MALE, MAY_HOLD, find, replace_pii, surrogate, surrogate_table
 from galewise.llm.quality import classify_quality
 from galewise.llm.suffix_dedup import without_repeats
 from galewise.llm.topk import exact_topk
@@ -383,3 +384,18 @@ def test_mentions_of_an_entity_refer_alike(make_docs):
     assert len({john, quincy, adams, smith, "John", "Quincy", "Adams", "Smith"}) == 8
     digits = [[c for c in w if c.isdigit()] for w in (got[2].text, words[3][1], words[3][3])]
     assert digits[0] == digits[1] != digits[2]
+
+
+def test_screen_passes_whatever_is_found(spark):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    draw = lambda n, pool=letters: "".join(rng.choice(pool) for _ in range(n))
+    texts = [f"x AKIA{draw(16)} y", *(f"x {m}{draw(20)} y" for m in ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"))]
+    for zero in (0x30, 0x660, 0x966, 0xFF10, 0x1D7CE, 0x11F50):
+        digits = "".join(map(chr, range(zero, zero + 10)))
+        texts += [f"x +{draw(11, digits)} y", f"x {draw(16, digits)} y", f"x {draw(3, digits)}-{draw(2, digits)}-{draw(4, digits)} y"]
+    texts += [f"{w}{e}{draw(9)}" for w in ("password", "PassWd", "pwd", "token", "SECRET", "apikey", "Access_Key", "pa\u017f\u017fword", "to\u212aen") for e in ("=", ": ", ' = "')]
+    texts += [f"{t}{d} {n}" for t in MALE + FEMALE for d in ("", ".") for n in ("Li", "Đỗ", "J. Li", "O'Hara")] + ["a@b.cd", "ö@ü.äß"]
+    hold = [t for t in texts if find(t)]
+    assert len(hold) > 0.9 * len(texts)
+    assert spark.createDataFrame([(t,) for t in hold], "text string").where(~F.col("text").rlike(MAY_HOLD)).collect() == []
