@@ -57,4 +57,12 @@ SELECT t.doc_id, CAST(coalesce(len(t.lines), 0) AS BIGINT) AS n_lines, CAST(coal
 FROM texts t LEFT JOIN gone g USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_line_dedup": LINE_DEDUP, "op5_mixing": MIXING, "op9_exact_topk": EXACT_TOPK}
+EXACT_DEDUP = r"""
+WITH texts AS (
+    SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS own FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY own) AS group_size, row_number() OVER best = 1 AS kept,
+    sha256(own) AS text_sha256
+FROM texts WINDOW best AS (PARTITION BY own ORDER BY size DESC, doc_id NULLS LAST)
+"""
+
+ORACLES: dict[str, str] = {"op4_line_dedup": LINE_DEDUP, "op5_mixing": MIXING, "op9_exact_topk": EXACT_TOPK, "op13_exact_dedup": EXACT_DEDUP}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from galewise.llm.decontaminate import contaminated
+from galewise.llm.exact_dedup import exact_duplicates
 from galewise.llm.line_dedup import dedup_lines
 from galewise.llm.lm_scoring import score_language
 from galewise.llm.minhash import near_duplicates
@@ -58,3 +59,7 @@ def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return replace_pii(_table(spark, sf, "documents"), b"a key that the caller keeps")
+
+
+def op13_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_duplicates(spark, f"{sf}/documents.parquet")
