@@ -65,4 +65,28 @@ SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITIO
 FROM texts WINDOW best AS (PARTITION BY own ORDER BY size DESC, doc_id NULLS LAST)
 """
 
-ORACLES: dict[str, str] = {"op4_line_dedup": LINE_DEDUP, "op5_mixing": MIXING, "op9_exact_topk": EXACT_TOPK, "op13_exact_dedup": EXACT_DEDUP}
+COLLOCATIONS = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+        regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words
+    FROM documents),
+grams AS (
+    SELECT lang, size, array_to_string(list_slice(words, pos, pos + size - 1), ' ') AS phrase, count(*) AS f
+    FROM pieces, unnest(range(1, 5)) AS s(size), unnest(range(1, len(words) - size + 2)) AS t(pos) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE size = 1 GROUP BY lang),
+found AS (SELECT *, string_split(phrase, ' ') AS words FROM grams WHERE size > 1 AND f >= 30),
+cuts AS (
+    SELECT c.lang, c.phrase, c.size, c.f AS a, cut, l.f AS l, r.f AS r, CAST(2000000 * CAST(c.f AS HUGEINT) // (l.f + r.f) AS BIGINT) AS score
+    FROM found c, unnest(range(1, c.size)) AS t(cut)
+    JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.words, 1, cut), ' ')
+    JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.words, cut + 1, c.size), ' ')),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+    SELECT lang, array_to_string(list_slice(words, pos, pos + k - 1), ' ') AS phrase, max(f) AS most
+    FROM found, unnest(range(2, size)) AS s(k), unnest(range(1, size - k + 2)) AS t(pos) GROUP BY ALL),
+kept AS (SELECT s.* FROM scored s LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op4_line_dedup": LINE_DEDUP, "op5_mixing": MIXING, "op9_exact_topk": EXACT_TOPK, "op12_collocations": COLLOCATIONS, "op13_exact_dedup": EXACT_DEDUP}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from galewise.llm.collocations import collocations
 from galewise.llm.decontaminate import contaminated
 from galewise.llm.exact_dedup import exact_duplicates
 from galewise.llm.line_dedup import dedup_lines
@@ -63,3 +64,7 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 def op13_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_duplicates(spark, f"{sf}/documents.parquet")
+
+
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations(_table(spark, sf, "documents"))
