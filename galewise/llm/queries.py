@@ -16,6 +16,7 @@ from galewise.llm.quality import classify_quality
 from galewise.llm.suffix_dedup import without_repeats
 from galewise.llm.topk import exact_topk
 from galewise.llm.toxicity import score_toxicity
+from galewise.llm.variants import damaged_words, spelling_groups
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -68,3 +69,7 @@ def op13_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return collocations(_table(spark, sf, "documents"))
+
+
+def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_groups(damaged_words(_table(spark, sf, "documents")))
