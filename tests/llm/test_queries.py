@@ -23,7 +23,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in llm_queries() if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in llm_queries() if n.startswith("op")} == set(range(1, 14))
 
 
 def test_pipeline_keeps_rows_of_documents(spark):
