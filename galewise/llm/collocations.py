@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galewise.llm.common import LOWER, PIECE, U64, map_slices, mix, prefix_hashes, settled, signed, span_hashes, streams, text_arrays
+from galewise.llm.common import LOWER, U64, bit_filter, map_slices, may_hold, mix, run_hashes, settled, signed, streams, text_arrays
 from galewise.operators.topk import top_per_group
 
 ENDS = np.zeros(256, dtype=bool)  # bytes that end a piece
 ENDS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 IN_WORD = ~ENDS
 IN_WORD[[0x20, 0x09]] = False
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28  # size of the filter of frequent pairs; the larger is 32 MB
+MOST_BITS = 1 << 28  # size of the filter of frequent pairs: 32 MB
 NO_LANG = "und"
 SCALE = 2_000_000
 
@@ -51,13 +51,7 @@ def words_in(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray,
 def _hashes(values: pa.Array) -> np.ndarray:
     """64-bit hashes of strings."""
     data, offsets = text_arrays(values)
-    out, at = np.empty(len(values), dtype=U64), 0
-    while at < len(values):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
-        own = offsets[at : end + 1] - offsets[at]
-        out[at:end] = span_hashes(prefix_hashes(data[offsets[at] : offsets[end]]), own[:-1], own[1:])
-        at = end
-    return out
+    return run_hashes(data, offsets[:-1], offsets[1:])
 
 
 def _pairs(words: pa.DictionaryArray, lang: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -73,11 +67,6 @@ def _langs(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
     return lang.dictionary, lang.indices.to_numpy()
 
 
-def _bits(pairs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two places of each pair in a filter of ``size`` bits, a power of two."""
-    return pairs & U64(size - 1), (pairs >> U64(32)) & U64(size - 1)
-
-
 def frequent_pairs(texts: DataFrame, least: int) -> np.ndarray:
     """A bit filter that holds every pair of words that stand together ``least`` times or more in a language."""
 
@@ -89,20 +78,7 @@ def frequent_pairs(texts: DataFrame, least: int) -> np.ndarray:
 
     found = map_slices(texts, "text", "pair long, n long", count).groupBy("pair").agg(F.sum("n").alias("n"))
     found = settled(found.where(F.col("n") >= least).select("pair"), "phrase-pairs")
-    size = LEAST_BITS
-    wanted = 16 * found.count()
-    while size < min(wanted, MOST_BITS):
-        size *= 2
-
-    def places(batches):
-        for batch in batches:
-            at = np.concatenate(_bits(batch.column("pair").to_numpy().view(U64), size))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> U64(6)).astype(np.int64)), signed(U64(1) << (at & U64(63)))], names=["at", "bits"])
-
-    blocks = found.mapInArrow(places, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    held = np.zeros(size >> 6, dtype=U64)
-    held[blocks.column("at").to_numpy()] = blocks.column("bits").to_numpy().view(U64)
-    return held
+    return bit_filter(found, MOST_BITS)
 
 
 def windows(texts: DataFrame, held: np.ndarray, longest: int) -> DataFrame:
@@ -115,9 +91,7 @@ def windows(texts: DataFrame, held: np.ndarray, longest: int) -> DataFrame:
         if not len(words):
             return None
         langs, lang = _langs(part)
-        held, pairs = filter_.value, _pairs(words, _hashes(langs)[lang], owner)
-        for at in _bits(pairs, 64 * len(held)):
-            follows[:-1] &= (held[at >> U64(6)] >> (at & U64(63))) & U64(1) == 1
+        follows[:-1] &= may_hold(filter_.value, _pairs(words, _hashes(langs)[lang], owner))
         code = words.indices.to_numpy().astype(np.int64)
         wide, n = len(words.dictionary) + 1, len(code)
         # number the distinct windows column by column; 0 stands for padding

@@ -7,6 +7,7 @@ All helpers work on slices of bounded size, so a batch of long texts never multi
 from __future__ import annotations
 
 import gc
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from galewise.session import cut_lineage
 
 U64 = np.uint64
 PIECE = 1 << 20  # bytes hashed at a time
+LONG_RUN = 256  # bytes of a word from which on it is hashed by itself
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -59,7 +61,10 @@ def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Running sums of ``value(byte) * base ** position``, with a leading 0."""
+    """Running sums of ``value(byte) * base ** position``, with a leading 0.
+
+    Modulo 2^64 such sums of long strings can be made to collide, so use them for windows of up to some hundred bytes, not for words or lines.
+    """
     up, _ = _powers(len(data) + 1)
     sums = np.empty(len(data) + 1, dtype=U64)
     sums[0] = 0
@@ -89,6 +94,28 @@ def _cuts(mask: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings ``data[start:end]``, eight bytes a step; long ones by BLAKE2.
+
+    No step is linear in the bytes, so strings can't be built that collide for every choice of the constants.
+    """
+    sizes = ends - starts
+    out = mix(sizes.astype(U64) + U64(_BASE))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    rest = np.flatnonzero((sizes > 0) & (sizes <= LONG_RUN))
+    at = starts[rest]
+    while len(rest):
+        left = np.minimum(ends[rest] - at, 8)
+        # the bytes beyond the end are shifted out
+        out[rest] = mix(out[rest] ^ (eight[at] << (U64(64) - left.astype(U64) * U64(8))))
+        more = np.flatnonzero(ends[rest] - at > 8)
+        rest, at = rest[more], at[more] + 8
+    for i in np.flatnonzero(sizes > LONG_RUN):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = IS_WORD, stem: int = 0) -> tuple[np.ndarray, ...]:
     """Hashes of all words of the texts ``data[offsets[i]:offsets[i + 1]]`` and each text's first word index.
 
@@ -104,11 +131,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = IS_WORD,
         begin = inside & (first[:-1] | ~np.concatenate(([False], inside[:-1])))
         end = inside & (first[1:] | ~np.concatenate((inside[1:], [False])))
         begins, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        sums = prefix_hashes(LOWER[data[lo:hi]])
-        hashes.append(span_hashes(sums, begins, ends))
+        low = LOWER[data[lo:hi]]
+        hashes.append(run_hashes(low, begins, ends))
         starts_at.append(begins + lo)
         if stem:
-            stems.append(span_hashes(sums, begins, np.minimum(begins + stem, ends)))
+            stems.append(run_hashes(low, begins, np.minimum(begins + stem, ends)))
     if not hashes:
         hashes, starts_at, stems = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, U64)]
     found = np.concatenate(hashes), np.searchsorted(np.concatenate(starts_at), offsets)
@@ -207,3 +234,36 @@ def settled(df: DataFrame, label: str) -> DataFrame:
 def text_key(column: str = "text") -> F.Column:
     """A 128-bit key of a text as one string; null and empty agree."""
     return F.md5(F.coalesce(F.col(column), F.lit("")))
+
+
+def bit_places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each hash in a filter of ``size`` bits, a power of two."""
+    return keys & U64(size - 1), (keys >> U64(32)) & U64(size - 1)
+
+
+def bit_filter(keys: DataFrame, most_bits: int, least_bits: int = 1 << 16) -> np.ndarray:
+    """A bit filter of the 64-bit hashes in the only column of ``keys``, a stored table: about 16 bits a key, at most ``most_bits`` in all.
+
+    Where there are more keys it passes more of others, never fewer of its own. Bits are combined in Spark; the driver gets the filter's words.
+    """
+    size, wanted = least_bits, 16 * keys.count()
+    while size < min(wanted, most_bits):
+        size *= 2
+
+    def places(batches):
+        for batch in batches:
+            at = np.concatenate(bit_places(batch.column(0).to_numpy().view(U64), size))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> U64(6)).astype(np.int64)), signed(U64(1) << (at & U64(63)))], names=["at", "bits"])
+
+    words = keys.mapInArrow(places, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    held = np.zeros(size >> 6, dtype=U64)
+    held[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(U64)
+    return held
+
+
+def may_hold(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a filter may hold each hash."""
+    out = np.ones(len(keys), dtype=bool)
+    for at in bit_places(keys, 64 * len(held)):
+        out &= (held[at >> U64(6)] >> (at & U64(63))) & U64(1) == 1
+    return out

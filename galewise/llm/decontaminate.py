@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galewise.llm.common import U64, map_slices, mix, settled, stored, streams, text_arrays, words_of
+from galewise.llm.common import U64, map_slices, mix, settled, slices, stored, streams, text_arrays, words_of
 from galewise.llm.toxicity import TOKEN
 
 BLOCK_ITEMS = 5000  # benchmark items handled in one pass over the texts
@@ -50,8 +50,6 @@ def _word_counts(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
     """How often each of the sorted words occurs in all texts, and the number of all words."""
 
     def run(batches):
-        from galewise.llm.common import slices
-
         total = np.zeros(len(known) + 1, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text"):

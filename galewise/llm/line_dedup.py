@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galewise.llm.common import IS_WORD, U64, map_slices, mix, prefix_hashes, signed, span_hashes, stored, text_arrays
+from galewise.llm.common import IS_WORD, U64, map_slices, mix, signed, stored, text_arrays
 from galewise.llm.suffix_dedup import numbered
 
 
 def _windows(docs: DataFrame, size: int) -> DataFrame:
-    """(h1, h2, doc, line): a 128-bit key of each window of ``size`` lines that aren't all blank."""
+    """(h1, h2, doc, line): a 128-bit key of each window of ``size`` lines that aren't all blank, chained from digests of its lines."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch | None:
         data, offsets = text_arrays(part.column("text"))
@@ -27,14 +29,16 @@ def _windows(docs: DataFrame, size: int) -> DataFrame:
             ends = np.concatenate((breaks, [len(own)]))[size - 1 :]
             marks = np.concatenate(([0], np.cumsum(IS_WORD[own])))
             full = np.flatnonzero(marks[ends] > marks[starts])
-            starts, ends = starts[full], ends[full]
-            first = span_hashes(prefix_hashes(own), starts, ends)
-            second = span_hashes(prefix_hashes(own ^ np.uint8(0xA5)), starts, ends)
-            made.append((first, mix(second + (ends - starts).astype(U64)), np.full(len(full), doc[i]), full))
+            lines = own.tobytes().split(b"\n")
+            halves = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in lines), dtype=U64).reshape(-1, 2)
+            keys = np.zeros((len(full), 2), dtype=U64)
+            for k in range(size):
+                keys = mix(mix(keys) ^ halves[full + k])
+            made.append((keys, np.full(len(full), doc[i]), full))
         if not made:
             return None
-        h1, h2, who, line = (np.concatenate(x) for x in zip(*made))
-        return pa.RecordBatch.from_arrays([signed(h1), signed(h2), pa.array(who), pa.array(line.astype(np.int32))], names=["h1", "h2", "doc", "line"])
+        keys, who, line = (np.concatenate(x) for x in zip(*made))
+        return pa.RecordBatch.from_arrays([signed(keys[:, 0]), signed(keys[:, 1]), pa.array(who), pa.array(line.astype(np.int32))], names=["h1", "h2", "doc", "line"])
 
     return map_slices(docs.select("doc", "text"), "text", "h1 long, h2 long, doc long, line int", work)
 

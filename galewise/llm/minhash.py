@@ -174,7 +174,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
         brief = pa.array([np.unique((x >> U64(32)).astype(np.uint32)).tobytes() if len(x) <= BRIEF else None for x in own], pa.binary())
         return pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("h1"), signed(mix(first)), lists, brief], names=["rep", "h1", "got", "shingles", "brief"])
 
-    rows = docs.join(wanted.select(F.col("rep"), F.col("h1")).hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "h1", "text")
+    rows = docs.join(wanted.select("rep", "h1", "first_id").hint("merge"), F.col("doc_id") == F.col("first_id")).select("rep", "h1", "text")
     made = map_slices(rows, "text", "rep long, h1 long, got long, shingles array<long>, brief binary", work)
     return made.where("h1 = got").select("rep", "shingles", "brief").dropDuplicates(["rep"])
 
@@ -199,7 +199,9 @@ def near_duplicates(
     work = signature_rows(bands, rows, shingle, "doc_id", "text")
     signed_rows = stored(map_slices(docs, "text", "doc_id long, n_shingles long, h1 long, h2 long, minima binary", work), "minima")
     linked = signed_rows.where("doc_id is not null and n_shingles > 0")
-    classes = stored(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("minima").alias("minima")), "classes")
+    # a class has a number of its own, given once as the table is written: different texts may share an id
+    classes = linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.first("minima").alias("minima"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     keys = stored(band_rows(classes, bands, rows), "bands")
     lead = F.min(F.col("rep").bitwiseXOR(F.col("key")))
@@ -208,7 +210,7 @@ def near_duplicates(
         .select("key", F.col("lead").bitwiseXOR(F.col("key")).alias("lead")), "buckets",
     )
     members = stored(keys.join(buckets, "key").select("key", "rep", "lead"), "members")
-    wanted = members.select("rep").distinct().join(classes.select("rep", "h1"), "rep")
+    wanted = members.select("rep").distinct().join(classes.select("rep", "h1", "first_id"), "rep")
     sets = stored(_shingle_sets(docs, wanted, shingle), "sets")
 
     width = bands * rows
@@ -228,7 +230,10 @@ def near_duplicates(
     star = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = connected(star.unionByName(more))
 
-    known = classes.join(final, classes.rep == final.node, "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+    placed = classes.join(final, classes.rep == final.node, "left").select("h1", "h2", "first_id", "component")
+    placed = stored(placed, "placed-classes")
+    least_ids = stored(placed.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least_id")), "least-ids")
+    known = placed.join(least_ids, "component", "left").select("h1", "h2", F.coalesce("least_id", "first_id").alias("component_id"))
     known = stored(known, "known")
     out = signed_rows.select("doc_id", "n_shingles", "h1", "h2").join(known, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
