@@ -1,35 +1,35 @@
-"""Filtered inner-product top-k for many queries, exact and cluster-probed.
+"""Filtered inner-product top-k for many queries: by lists of near vectors, with a bound that proves the result.
 
-Vectors are scored block against block with one matrix product each, and only the best
-rows of a block pair leave the task. A hot list of an index is cut into blocks of
-bounded size, so it is spread over tasks like everything else.
+Items lie in lists, each with a centre, a radius and the length of its longest vector. No item of a list can score more for a
+query ``q`` than ``min(q·centre + |q|·radius, |q|·longest)``. A query visits the lists whose centres score best until they
+could fill its places, then in rounds the others by falling bound; its last place is handed from round to round, and it leaves
+when that beats every bound left. Within a round the vectors of a list are scored block against block, one matrix product
+each, so a hot list is spread over tasks like everything else.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galewise.functions import arrow
 from galewise.functions.vectors import as_double
 from galewise.operators.topk import top_per_group
-from galewise.session import cut_lineage
+from galewise.session import Versions, cut_lineage
 
 DECIMALS = 6  # scores are compared after rounding, ties go to the smaller id
-BROADCAST_BYTES = 64 << 20
-QUERY_BLOCK_ROWS = 1024
+MOST_LISTS = 1024  # of the lists an exact search makes for itself
 ITEM_BLOCK_ROWS = 16384
-SHARE_BLOCKS = 64
-SCAN_ROWS = 65536
+QUERY_BLOCK_ROWS = 65536
 PRODUCT_CELLS = 4 << 20
-MERGE_CELLS = 16 << 20  # best scores a task may hold
+ITERATIONS = 10
+FIXED = 2.0**30  # sums of vectors are added as whole multiples of 1 / FIXED, so that their order doesn't matter
+SAMPLE = 256  # queries on which a wanted recall is measured
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, depth: int) -> np.ndarray:
@@ -42,90 +42,239 @@ def _top(scores: np.ndarray, ids: np.ndarray, depth: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:depth]
 
 
-def _products(q_mat: np.ndarray, i_mat: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Rounded scores of a few queries at a time, with the number of the first of them."""
-    step = max(1, PRODUCT_CELLS // max(1, len(i_mat)))
-    for lo in range(0, len(q_mat), step):
-        yield lo, np.round(q_mat[lo : lo + step] @ i_mat.T, DECIMALS)
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors in blocks of ``SCAN_ROWS``: the larger, the fewer partial results."""
-    ids, vecs, rows = [], [], 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids.append(b["id"].to_numpy())
-        vecs.append(arrow.matrix(b["vec"]))
-        rows += b.num_rows
-        if rows >= SCAN_ROWS:
-            yield np.concatenate(ids), np.concatenate(vecs)
-            ids, vecs, rows = [], [], 0
-    if rows:
-        yield np.concatenate(ids), np.concatenate(vecs)
-
-
-def _scored(q_ids, q_mat, i_ids, i_mat, depth: int) -> Iterator[pa.RecordBatch]:
-    """Best items of every query within one block of items."""
-    for lo, scores in _products(q_mat, i_mat):
-        picks = [_top(row, i_ids, depth) for row in scores]
-        yield arrow.batch(
-            query_id=np.repeat(q_ids[lo : lo + len(scores)], [len(p) for p in picks]),
-            video_id=i_ids[np.concatenate(picks)],
-            score=np.concatenate([s[p] for s, p in zip(scores, picks)]),
-        )
-
-
-def _scan_merged(blocks, q_ids, q_mat, depth: int) -> Iterator[pa.RecordBatch]:
-    """Best items of every query over all blocks of a task.
-
-    From the second block on, most scores fall below the last place and are skipped.
+def _standard(df: DataFrame, id_col: str, vec: str, *extra: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), as_double(F.col(vec)).alias("vec"), *extra)
+
+
+@dataclass(frozen=True)
+class Lists:
+    """Where the vectors of each list lie: as many rows as there are lists, whatever the number of vectors."""
+
+    centres: np.ndarray
+    radii: np.ndarray
+    longest: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.centres)
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        return ((self.centres**2).sum(axis=1) - 2.0 * x @ self.centres.T).argmin(axis=1)
+
+    def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query and list the centre's score and what no item of the list exceeds, rounding included."""
+        lengths = np.sqrt((x**2).sum(axis=1))[:, None]
+        scores = x @ self.centres.T
+        most = np.minimum(scores + lengths * self.radii, lengths * self.longest)
+        return scores, most + 10.0**-DECIMALS + 1e-9 * lengths * (self.longest + self.radii)
+
+
+def _assigned(items: DataFrame, centres: np.ndarray, vec: str) -> DataFrame:
+    """``items`` with the list of each vector's nearest centre."""
+    lists = Lists(centres, np.zeros(len(centres)), np.zeros(len(centres)))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                nearest = lists.nearest(arrow.matrix(b[vec]).astype(float)).astype("int32")
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest)], [*b.schema.names, "list_id"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
+    return items.mapInArrow(assign, f"{fields}, list_id int")
+
+
+def _measured(assigned: DataFrame, centres: np.ndarray, vec: str) -> tuple[Lists, dict[int, int]]:
+    """The radius and longest vector of each list, and its rows."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        radii, longest, rows = (np.zeros(len(centres)) for _ in range(3))
+        for b in batches:
+            if b.num_rows:
+                x, own = arrow.matrix(b[vec]).astype(float), b["list_id"].to_numpy()
+                np.maximum.at(radii, own, np.sqrt(((x - centres[own]) ** 2).sum(axis=1)))
+                np.maximum.at(longest, own, np.sqrt((x**2).sum(axis=1)))
+                rows += np.bincount(own, minlength=len(centres))
+        some = np.flatnonzero(rows)
+        yield arrow.batch(list_id=some, radius=radii[some], longest=longest[some], n=rows[some].astype(np.int64))
+
+    stats = assigned.select("list_id", vec).mapInArrow(measure, "list_id long, radius double, longest double, n long")
+    stats = stats.groupBy("list_id").agg(*[F.max(c).alias(c) for c in ("radius", "longest")], F.sum("n").alias("n")).toPandas()
+    at = stats.list_id.to_numpy(dtype=np.int64)
+    radii, longest = np.zeros(len(centres)), np.zeros(len(centres))
+    radii[at], longest[at] = stats.radius, stats.longest
+    return Lists(centres, radii, longest), dict(zip(at.tolist(), stats.n.tolist()))
+
+
+def _first_centres(items: DataFrame, id_col: str, vec: str, count: int) -> np.ndarray:
+    """The vectors whose ids have the smallest hashes; the same on any partitioning."""
+    rows = items.select(F.col(id_col).alias("id"), as_double(F.col(vec)).alias("vec")).where("vec is not null")
+    return np.array([r.vec for r in rows.orderBy(F.xxhash64("id"), "id").limit(count).collect()])
+
+
+def _moved(items: DataFrame, centres: np.ndarray, vec: str) -> np.ndarray:
+    """Each centre at the mean of the vectors nearest to it; one without vectors stays."""
+    lists = Lists(centres, np.zeros(len(centres)), np.zeros(len(centres)))
+    count, width = centres.shape
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((count, width + 1), dtype=np.int64)
+        for b in batches:
+            if b.num_rows:
+                x = arrow.matrix(b[vec]).astype(float)
+                own = lists.nearest(x)
+                order = np.argsort(own, kind="stable")
+                first = np.flatnonzero(np.diff(own[order], prepend=-1))
+                whole = np.column_stack((np.rint(x * FIXED).astype(np.int64), np.ones(len(x), np.int64)))[order]
+                sums[own[order][first]] += np.add.reduceat(whole, first)
+        some = np.flatnonzero(sums[:, -1])
+        at = np.repeat(some, width + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.tile(np.arange(width + 1), len(some))), pa.array(sums[some].ravel())], ["list_id", "pos", "total"])
+
+    rows = items.select(vec).mapInArrow(add, "list_id long, pos long, total long").groupBy("list_id", "pos").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"))
+    sums = np.zeros((count, width + 1))
+    for r in rows.collect():  # lists times elements of a vector
+        sums[r.list_id, r.pos] = float(r.total)
+    some = sums[:, -1] > 0
+    out = centres.copy()
+    out[some] = sums[some, :-1] / FIXED / sums[some, -1:]
+    return out
+
+
+# --- search ---
+
+_SCORED = "query_id long, video_id long, score double, list_id int"
+_OPEN = "id long, vec array<double>, floor double, seen binary"
+
+
+def _choose(wanted: DataFrame, lists: Lists, rows: dict[int, int], depth: int, pick: Callable) -> DataFrame:
+    """``wanted`` (id, vec, floor, seen) with the lists that ``pick`` wants each query to visit next; queries without any are left out."""
+    sizes = np.array([rows.get(i, 0) for i in range(len(lists))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = arrow.matrix(b["vec"])
+            scores, bounds = lists.bounds(x)
+            seen = np.array([np.unpackbits(np.frombuffer(s, np.uint8), count=len(lists)) for s in b["seen"].to_pylist()], dtype=bool)
+            floors = b["floor"].to_numpy(zero_copy_only=False)
+            chosen = [pick(s, most, (sizes > 0) & ~own, sizes, floor) for s, most, own, floor in zip(scores, bounds, seen, floors)]
+            for own, new in zip(seen, chosen):
+                own[new] = True
+            some = np.flatnonzero([len(c) > 0 for c in chosen])
+            if len(some):
+                at = pa.array(some)
+                yield pa.RecordBatch.from_arrays(
+                    [b["id"].take(at), b["vec"].take(at), b["floor"].take(at), pa.array([np.packbits(seen[i]).tobytes() for i in some], pa.binary()),
+                     pa.array([chosen[i].tolist() for i in some], pa.list_(pa.int32()))],
+                    ["id", "vec", "floor", "seen", "lists"],
+                )
+
+    return wanted.mapInArrow(run, f"{_OPEN}, lists array<int>")
+
+
+def _scores(probes: DataFrame, items: DataFrame, rows: dict[int, int], depth: int) -> DataFrame:
+    """The best items of each probed list for ``probes`` (id, vec, floor, list_id), none below a query's floor.
+
+    Groups are (list, block of its items, share of its queries), so their rows are bounded and a large list, or one that very many queries
+    visit, is spread over tasks. Queries are repeated per item block and items per share.
     """
-    best_s = [np.empty(0) for _ in q_ids]
-    best_i = [np.empty(0, np.int64) for _ in q_ids]
-    for i_ids, i_mat in blocks:
-        for lo, scores in _products(q_mat, i_mat):
-            for q, row in enumerate(scores, start=lo):
-                if len(best_s[q]) == depth:
-                    new = np.nonzero(row >= best_s[q][-1])[0]
-                    row, ids = row[new], i_ids[new]
-                else:
-                    ids = i_ids
-                if len(row):
-                    s, i = np.concatenate([best_s[q], row]), np.concatenate([best_i[q], ids])
-                    top = _top(s, i, depth)
-                    best_s[q], best_i[q] = s[top], i[top]
-    step = max(1, PRODUCT_CELLS // (4 * depth))
-    for lo in range(0, len(q_ids), step):
-        part = slice(lo, lo + step)
-        yield arrow.batch(
-            query_id=np.repeat(q_ids[part], [len(s) for s in best_s[part]]),
-            video_id=np.concatenate(best_i[part]), score=np.concatenate(best_s[part]),
-        )
-
-
-_SCORED = "query_id long, video_id long, score double"
-
-
-def _rank(partial: DataFrame, limit: int, offset: int) -> DataFrame:
-    order = [F.desc("score"), "video_id"]
-    best = top_per_group(partial, "query_id", order, offset + limit, "video_id")
-    return best.where(F.col("rn") > offset).select("query_id", "video_id", "score", "rn")
+    asked = {r["list_id"]: r["count"] for r in probes.groupBy("list_id").count().collect()}  # an entry per list
+    plan = [(key, -(-rows[key] // ITEM_BLOCK_ROWS), -(-n // QUERY_BLOCK_ROWS)) for key, n in asked.items()]
+    plan = F.broadcast(items.sparkSession.createDataFrame(plan, "list_id int, blocks int, shares int"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    left = items.join(plan, "list_id").withColumn("block", spread("blocks")).withColumn("share", upto("shares"))
+    right = probes.join(plan, "list_id").withColumn("share", spread("shares")).withColumn("block", upto("blocks"))
+    keys = ["list_id", "block", "share"]
 
+    def multiply(some_items: pa.Table, some_queries: pa.Table) -> pa.Table:
+        made = []
+        if some_items.num_rows and some_queries.num_rows:
+            i, q = some_items.combine_chunks().to_batches()[0], some_queries.combine_chunks().to_batches()[0]
+            i_ids, i_mat, q_ids, q_mat = i["id"].to_numpy(), arrow.matrix(i["vec"]), q["id"].to_numpy(), arrow.matrix(q["vec"])
+            floors = q["floor"].to_numpy(zero_copy_only=False)
+            step = max(1, PRODUCT_CELLS // len(i_ids))
+            for lo in range(0, len(q_ids), step):
+                scores = np.round(q_mat[lo : lo + step] @ i_mat.T, DECIMALS)
+                for k, row in enumerate(scores, start=lo):
+                    at = np.flatnonzero(row >= floors[k])
+                    at = at[_top(row[at], i_ids[at], depth)]
+                    made.append((np.full(len(at), q_ids[k]), i_ids[at], row[at]))
+        ids, found, values = (np.concatenate(c) for c in zip(*made)) if made else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        own = np.full(len(ids), some_items["list_id"][0].as_py() if len(ids) else 0, dtype=np.int32)
+        return pa.table({"query_id": ids, "video_id": found, "score": values, "list_id": own})
+
+    left = left.select(*keys, "id", "vec").groupBy(*keys)
+    return left.cogroup(right.select(*keys, "id", "vec", "floor").groupBy(*keys)).applyInArrow(multiply, _SCORED)
+
+
+def _best(scored: DataFrame, depth: int) -> DataFrame:
+    return top_per_group(scored, "query_id", [F.desc("score"), "video_id"], depth, "video_id")
 
-def _standard(df: DataFrame, id_col: str, vec: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), as_double(F.col(vec)).alias("vec"), *extra)
 
+def _by_centre(limit: Callable[[np.ndarray, np.ndarray], int]):
+    """A choice of the lists whose centres score best, ``limit`` of them."""
 
-def _small_queries(queries: DataFrame, limit_bytes: int):
-    """The query matrix if it is small enough to send to every task, else None."""
-    size = queries.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("width")
-    ).first()
-    if size.n == 0 or size.n * (size.width + 1) * 8 > limit_bytes:
-        return None
-    rows = queries.toArrow().combine_chunks()
-    return rows["id"].to_numpy(), arrow.matrix(rows["vec"].chunk(0))
+    def pick(scores, bounds, open_, sizes, floor):
+        order = np.argsort(-scores, kind="stable")
+        order = order[open_[order]]
+        return order[: limit(order, sizes)]
+
+    return pick
+
+
+def _by_bound(count: int):
+    """A choice of the ``count`` lists of the highest bounds that a query's last place doesn't beat."""
+
+    def pick(scores, bounds, open_, sizes, floor):
+        able = np.flatnonzero(open_ & (bounds >= floor))
+        return able[np.argsort(-bounds[able], kind="stable")][:count]
+
+    return pick
+
+
+def _opened(queries: DataFrame, lists: Lists) -> DataFrame:
+    none = F.lit(bytearray(-(-len(lists) // 8)))
+    return queries.select("id", "vec", F.lit(float("-inf")).alias("floor"), none.alias("seen"))
+
+
+def _first_lists(queries: DataFrame, items: DataFrame, lists: Lists, rows: dict[int, int], depth: int, nprobe: int) -> DataFrame:
+    """The best items of the ``nprobe`` lists whose centres score best for a query."""
+    chosen = _choose(_opened(queries, lists), lists, rows, depth, _by_centre(lambda order, sizes: nprobe))
+    probes = cut_lineage(chosen.select("id", "vec", "floor", F.explode("lists").alias("list_id")), "probes")
+    return _best(_scores(probes, items, rows, depth), depth)
+
+
+def _proven(queries: DataFrame, items: DataFrame, lists: Lists, rows: dict[int, int], depth: int, report: list | None = None) -> DataFrame:
+    """The best items for each query, with proof: no list is left whose bound reaches the last place.
+
+    ``report`` gets one entry a round with the queries still open and the lists they visited.
+    """
+    versions = Versions(items.sparkSession, "search")
+    wanted, best, count, taken = _opened(queries, lists), None, 0, 0
+    fills = _by_centre(lambda order, sizes: int(np.searchsorted(np.cumsum(sizes[order]), depth)) + 1)
+    while True:
+        chosen = versions.store(_choose(wanted, lists, rows, depth, fills if best is None else _by_bound(count)), f"chosen{taken % 2}")
+        row = chosen.agg(F.count("*").alias("queries"), F.coalesce(F.sum(F.size("lists")), F.lit(0)).alias("lists"), F.coalesce(F.max(F.size("lists")), F.lit(1)).alias("most")).first()
+        if report is not None:
+            report.append({"queries": row.queries, "lists": row.lists, "of": row.queries * sum(n > 0 for n in rows.values())})
+        if not row.queries:
+            break
+        found = _scores(chosen.select("id", "vec", "floor", F.explode("lists").alias("list_id")), items, rows, depth)
+        best = versions.store(_best(found if best is None else best.drop("rn").unionByName(found), depth), "best")
+        if row.queries and row.most >= sum(n > 0 for n in rows.values()):
+            break  # a query that visits all lists at once does so because they hold too few items, and then all queries do
+        full = best.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"), F.min("score").alias("last"))
+        floor = F.when(F.col("n") >= depth, F.col("last")).otherwise(F.lit(float("-inf")))
+        wanted = chosen.drop("floor").join(full, "id", "left").select("id", "vec", F.coalesce(floor, F.lit(float("-inf"))).alias("floor"), "seen")
+        count, taken = max(1, 2 * count or row.most), taken + 1
+    if best is None:
+        return items.sparkSession.createDataFrame([], f"{_SCORED}, rn int")
+    return best
+
+
+def _ranked(best: DataFrame, offset: int) -> DataFrame:
+    return best.where(F.col("rn") > offset).select("query_id", "video_id", "score", "rn")
 
 
 def knn_exact(
@@ -137,180 +286,110 @@ def knn_exact(
     query_id: str = "video_id",
     item_id: str = "video_id",
     vec: str = "embedding",
-    broadcast_bytes: int = BROADCAST_BYTES,
+    most_lists: int = MOST_LISTS,
+    report: list | None = None,
 ) -> DataFrame:
     """Exact top-k by inner product among the items that pass ``where``.
 
-    Skips the ``offset`` best and returns the next ``limit``. A query table up to
-    ``broadcast_bytes`` is sent to the items; a larger one is joined in blocks.
-    """
-    spark = items.sparkSession
-    eligible = _standard(items.where(where) if where else items, item_id, vec)
-    wanted = _standard(queries, query_id, vec)
-    depth = limit + offset
-    small = _small_queries(wanted, broadcast_bytes)
-    if small is None:
-        one = F.lit(0).alias("list_id")
-        q, i = wanted.select("*", one), eligible.select("*", one)
-        return _rank(_score_blocks(q, i, _sizes(q), _sizes(i), depth), limit, offset)
-    shared = spark.sparkContext.broadcast(small)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q_mat = shared.value
-        if len(q_ids) * depth <= MERGE_CELLS:
-            yield from _scan_merged(_gathered(batches), q_ids, q_mat, depth)
-            return
-        for i_ids, i_mat in _gathered(batches):
-            yield from _scored(q_ids, q_mat, i_ids, i_mat, depth)
-
-    return _rank(eligible.mapInArrow(scan, _SCORED), limit, offset)
-
-
-def _sizes(rows: DataFrame) -> dict[int, int]:
-    """Rows per list. There is an entry per list, so at most ``nlist`` of them."""
-    return {r["list_id"]: r["count"] for r in rows.groupBy("list_id").count().collect()}
-
-
-def _blocks(spark, sizes: dict[int, int], rows: int, name: str) -> DataFrame:
-    """Blocks needed per list, at most ``nlist`` rows."""
-    counts = [(key, -(-n // rows)) for key, n in sizes.items()]
-    return spark.createDataFrame(counts, f"list_id int, {name} int")
-
-
-def _pack(rows: DataFrame, blocks: DataFrame, count: str, block: str) -> DataFrame:
-    """Gather the vectors of a list into blocks of about equal size."""
-    spread = F.pmod(F.xxhash64("id"), F.col(count)).cast("int").alias(block)
-    return (
-        rows.join(F.broadcast(blocks), "list_id")
-        .select("list_id", spread, "id", "vec")
-        .groupBy("list_id", block)
-        .agg(F.collect_list("id").alias(f"{block}_ids"), F.flatten(F.collect_list("vec")).alias(f"{block}_vecs"))
-    )
-
-
-def _score_blocks(queries: DataFrame, items: DataFrame, q_sizes: dict, i_sizes: dict, depth: int) -> DataFrame:
-    """Score the queries of every list against the items of the list, block by block.
-
-    Query blocks are repeated once per item block of their list. Item blocks are the
-    larger ones, so that queries are repeated rarely; they are repeated once per share of
-    ``SHARE_BLOCKS`` query blocks. The join key is (list, item block, share), so neither a
-    large list nor one that very many queries probe ends up in one task. Spark limits the
-    bytes of an Arrow batch, so a task holds few blocks at a time.
+    Skips the ``offset`` best and returns the next ``limit``. The items are dealt into lists around as many of them as the square root of
+    their number, at most ``most_lists``, so that on clustered vectors most lists are skipped by their bounds.
     """
-    spark = items.sparkSession
-    item_blocks = _blocks(spark, i_sizes, ITEM_BLOCK_ROWS, "i_count")
-    query_blocks = _blocks(spark, q_sizes, QUERY_BLOCK_ROWS, "q_count")
-    shares = _blocks(spark, q_sizes, QUERY_BLOCK_ROWS * SHARE_BLOCKS, "shares")
-    packed_items = (
-        _pack(items, item_blocks, "i_count", "i_block")
-        .join(F.broadcast(shares), "list_id")
-        .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    )
-    packed_queries = (
-        _pack(queries, query_blocks, "q_count", "q_block")
-        .join(F.broadcast(shares), "list_id")
-        .withColumn("share", F.pmod("q_block", "shares"))
-        .join(F.broadcast(item_blocks), "list_id")
-        .withColumn("i_block", F.explode(F.sequence(F.lit(0), F.col("i_count") - 1)))
-    )
-    pairs = packed_queries.join(packed_items, ["list_id", "i_block", "share"]).select(
-        "q_block_ids", "q_block_vecs", "i_block_ids", "i_block_vecs"
-    )
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in range(b.num_rows):
-                q_ids, q_vecs, i_ids, i_vecs = (c[row].values.to_numpy() for c in b.columns)
-                q_mat, i_mat = q_vecs.reshape(len(q_ids), -1), i_vecs.reshape(len(i_ids), -1)
-                yield from _scored(q_ids, q_mat, i_ids, i_mat, depth)
+    eligible = cut_lineage(_standard(items.where(where) if where else items, item_id, vec), "eligible")
+    centres = _first_centres(eligible, "id", "vec", max(1, min(most_lists, int(np.ceil(np.sqrt(eligible.count()))))))
+    if not len(centres):
+        return _ranked(items.sparkSession.createDataFrame([], f"{_SCORED}, rn int"), offset)
+    placed = cut_lineage(_assigned(eligible, centres, "vec"), "placed")
+    lists, rows = _measured(placed, centres, "vec")
+    return _ranked(_proven(_standard(queries, query_id, vec), placed, lists, rows, limit + offset, report), offset)
+
 
-    return pairs.mapInArrow(multiply, _SCORED)
+# --- index ---
 
 
 @dataclass(frozen=True)
 class IvfIndex:
-    """Vectors stored by list, and the list centres (at most ``nlist`` rows)."""
+    """Vectors stored by list, and where the lists lie (at most ``nlist`` rows)."""
 
     path: str
-    centroids: np.ndarray
+    lists_at: Lists
 
-    def lists(self, spark) -> DataFrame:
+    @property
+    def centroids(self) -> np.ndarray:
+        return self.lists_at.centres
+
+    def lists(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/lists")
 
 
-def open_ivf(spark, path: str) -> IvfIndex:
+def open_ivf(spark: SparkSession, path: str) -> IvfIndex:
     """An index that was built before."""
     rows = spark.read.parquet(f"{path}/centroids").orderBy("list_id").collect()
-    return IvfIndex(path, np.array([r.centre for r in rows]))
+    return IvfIndex(path, Lists(np.array([r.centre for r in rows]), np.array([r.radius for r in rows]), np.array([r.longest for r in rows])))
 
 
-def build_ivf(
-    items: DataFrame,
-    path: str,
-    nlist: int = 1024,
-    vec: str = "embedding",
-    seed: int = 11,
-) -> IvfIndex:
+def _write_lists(spark: SparkSession, path: str, lists: Lists) -> IvfIndex:
+    table = [(i, [float(x) for x in c], float(r), float(m)) for i, (c, r, m) in enumerate(zip(lists.centres, lists.radii, lists.longest))]
+    spark.createDataFrame(table, "list_id int, centre array<double>, radius double, longest double").coalesce(1).write.parquet(f"{path}/centroids")
+    return IvfIndex(path, lists)
+
+
+def build_ivf(items: DataFrame, path: str, nlist: int = 1024, vec: str = "embedding", id_col: str = "video_id", iterations: int = ITERATIONS) -> IvfIndex:
     """Cluster the vectors and store them below ``path``, partitioned by list.
 
-    Centres are learned on all vectors, of which there must be ``nlist`` at least; every
-    vector is then assigned to its nearest centre and kept.
+    Centres start at the ``nlist`` vectors of the smallest id hashes (fewer if there are fewer vectors) and move to the means of all vectors nearest to them, added
+    without rounding errors, so the index is the same on any partitioning.
     """
-    features = items.select(array_to_vector(as_double(F.col(vec))).alias("features"))
-    model = KMeans(k=nlist, seed=seed, maxIter=10).fit(features)
-    centres = np.array(model.clusterCenters())
-    norms = (centres**2).sum(axis=1)
-    schema = items.schema
+    spark = items.sparkSession
+    centres = _first_centres(items, id_col, vec, nlist)
+    for _ in range(iterations):
+        centres, before = _moved(items, centres, vec), centres
+        if np.array_equal(centres, before):
+            break
+    # AQE splits a list that is much larger than the others into several files
+    _assigned(items, centres, vec).hint("rebalance", F.col("list_id")).write.partitionBy("list_id").parquet(f"{path}/lists")
+    lists, _ = _measured(spark.read.parquet(f"{path}/lists"), centres, vec)
+    return _write_lists(spark, path, lists)
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = arrow.matrix(b[vec]).astype(float)
-                nearest = (norms - 2.0 * x @ centres.T).argmin(axis=1).astype("int32")
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest)], [*b.schema.names, "list_id"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    assigned = items.mapInArrow(assign, f"{fields}, list_id int")
-    # AQE splits a list that is much larger than the others into several files
-    assigned.hint("rebalance", F.col("list_id")).write.partitionBy("list_id").parquet(f"{path}/lists")
-    table = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
-    items.sparkSession.createDataFrame(table, "list_id int, centre array<double>").write.parquet(f"{path}/centroids")
-    return IvfIndex(path, centres)
+def enough_lists(queries: DataFrame, items: DataFrame, lists: Lists, rows: dict[int, int], depth: int, recall: float, sample: int = SAMPLE) -> int:
+    """How many lists, best centre first, hold the share ``recall`` of the proven results of a sample of queries.
+
+    The sample is the ``sample`` queries of the smallest id hashes.
+    """
+    some = cut_lineage(queries.orderBy(F.xxhash64("id"), "id").limit(sample), "sample")
+    want = _proven(some, items, lists, rows, depth).select(F.col("query_id").alias("id"), "list_id")
+    order = _choose(_opened(some, lists), lists, rows, depth, _by_centre(lambda order, sizes: len(order)))
+    place = order.select("id", F.posexplode("lists").alias("place", "list_id"))
+    counts = want.join(place, ["id", "list_id"]).groupBy("place").count().orderBy("place").collect()  # an entry per list
+    share = np.cumsum([r["count"] for r in counts])
+    return counts[int(np.searchsorted(share, recall * share[-1]))].place + 1 if counts else 1
 
 
 def knn_ivf(
     queries: DataFrame,
     index: IvfIndex,
-    nprobe: int = 32,
+    nprobe: int | None = None,
     limit: int = 1024,
     offset: int = 4,
     where: str | None = "vip_status = 0 and needbuy_status = 0",
     query_id: str = "video_id",
     item_id: str = "video_id",
     vec: str = "embedding",
+    recall: float | None = None,
+    report: list | None = None,
 ) -> DataFrame:
-    """Top-k among the items of the ``nprobe`` lists whose centres score best."""
-    spark = queries.sparkSession
-    centres = index.centroids
-    probes = min(nprobe, len(centres))
-
-    wanted = _standard(queries, query_id, vec)
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = arrow.matrix(b["vec"])
-                chosen = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
-                yield arrow.batch(
-                    id=np.repeat(b["id"].to_numpy(), probes),
-                    vec=np.repeat(x, probes, axis=0),
-                    list_id=chosen.ravel().astype("int32"),
-                )
+    """Top-k among the items of an index that pass ``where``.
 
-    probed = cut_lineage(wanted.mapInArrow(probe, "id long, vec array<double>, list_id int"), "probed")
-    q_sizes = _sizes(probed)
-    # at most nlist small numbers: read only the partitions some query probes
-    stored = index.lists(spark).where(F.col("list_id").isin(list(q_sizes)))
-    eligible = _standard(stored.where(where) if where else stored, item_id, vec, ("list_id",))
-    scored = _score_blocks(probed, eligible, q_sizes, _sizes(eligible), limit + offset)
-    return _rank(scored, limit, offset)
+    Without a stop rule the result is proven: it equals :func:`knn_exact`, and lists whose bounds can't reach a query's last place are skipped. ``recall`` visits
+    as many lists as hold that share of the proven results of a sample of queries; ``nprobe`` visits that many, with no promise.
+    """
+    spark = queries.sparkSession
+    wanted, depth = _standard(queries, query_id, vec), limit + offset
+    stored = index.lists(spark)
+    eligible = _standard(stored.where(where) if where else stored, item_id, vec, "list_id")
+    rows = {r["list_id"]: r["count"] for r in eligible.groupBy("list_id").count().collect()}  # an entry per list
+    if nprobe is None and recall is not None:
+        nprobe = enough_lists(wanted, eligible, index.lists_at, rows, depth, recall)
+    if nprobe is None:
+        return _ranked(_proven(wanted, eligible, index.lists_at, rows, depth, report), offset)
+    return _ranked(_first_lists(wanted, eligible, index.lists_at, rows, depth, nprobe), offset)

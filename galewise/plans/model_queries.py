@@ -203,26 +203,35 @@ def rank_boost_train(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def knn_exact_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship search by the block join that is used beyond the broadcast bound."""
+    """The flagship search with all items in one list, whose bound skips nothing."""
     queries, items = inputs.towers(spark, sf)
-    return retrieval.knn_exact(queries, items, broadcast_bytes=0)
+    return retrieval.knn_exact(queries, items, most_lists=1)
 
 
-NLIST, NPROBE = 16, 4  # lists of the index of the given tables, and those a query looks at
+NLIST = 16  # lists of the index of the given tables
+
+
+def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, retrieval.IvfIndex]:
+    queries, items = inputs.towers(spark, sf)
+    return queries, retrieval.build_ivf(items, scratch_path(spark, "ivf"), NLIST)
 
 
 def knn_ivf_full_probe(spark: SparkSession, sf: str) -> DataFrame:
     """Search of every list of the index, which has to equal the exact search."""
-    queries, items = inputs.towers(spark, sf)
-    index = retrieval.build_ivf(items, scratch_path(spark, "ivf"), NLIST)
+    queries, index = _index(spark, sf)
     return retrieval.knn_ivf(queries, index, nprobe=NLIST)
 
 
 def knn_ivf_probe(spark: SparkSession, sf: str) -> DataFrame:
-    """Search of each query's best lists only."""
-    queries, items = inputs.towers(spark, sf)
-    index = retrieval.build_ivf(items, scratch_path(spark, "ivf"), NLIST)
-    return retrieval.knn_ivf(queries, index, nprobe=NPROBE)
+    """Search of a query's best lists until none is left whose bound reaches its last place."""
+    queries, index = _index(spark, sf)
+    return retrieval.knn_ivf(queries, index)
+
+
+def knn_ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best beyond the offset, from as many lists as give a recall of 0.95 on a sample of queries."""
+    queries, index = _index(spark, sf)
+    return retrieval.knn_ivf(queries, index, limit=10, recall=0.95)
 
 
 def publish_snapshot(spark: SparkSession, sf: str) -> DataFrame:

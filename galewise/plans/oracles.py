@@ -485,5 +485,6 @@ ORACLES["lambda_gradients"] = (
 # The block join, and an index probed in full, must give the rows of the exact search.
 ORACLES["knn_exact_blocks"] = ORACLES["knn_exact_filtered"]
 ORACLES["knn_ivf_full_probe"] = ORACLES["knn_exact_filtered"]
+ORACLES["knn_ivf_probe"] = ORACLES["knn_exact_filtered"]
 ORACLES["publish_snapshot"] = """
     SELECT unnest(['query', 'search']) AS alias, (SELECT count(DISTINCT vec_id) FROM embeddings) AS rows"""

@@ -1,11 +1,14 @@
 import numpy as np
 import pytest
+from conftest import SF
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from galewise.operators import itemcf, retrieval
 from galewise.operators.topk import top_per_group
+from galewise.plans import model_queries
+from galewise.plans import queries as relational
 
 SCHEMA = "video_id long, embedding array<double>, vip_status long, needbuy_status long"
 
@@ -39,31 +42,100 @@ def data():
     return rng.normal(size=(7, 8)), rng.normal(size=(3000, 8)), rng.integers(0, 3, 3000)
 
 
-@pytest.mark.parametrize("bytes_", [0, 64 << 20])
 @pytest.mark.parametrize("limit,offset", [(10, 4), (2000, 4), (5, 0)])
-def test_exact_equals_brute_force(spark, data, bytes_, limit, offset):
+def test_exact_equals_brute_force(spark, data, limit, offset):
     queries, items, flags = data
-    got = retrieval.knn_exact(
-        frame(spark, queries), frame(spark, items, flags), limit, offset, broadcast_bytes=bytes_
-    )
+    got = retrieval.knn_exact(frame(spark, queries), frame(spark, items, flags), limit, offset)
     assert ranked(got) == brute(queries, items, flags, limit, offset)
 
 
-@pytest.mark.parametrize("merge", [0, 1 << 30])
-def test_scan_in_many_blocks(spark, data, monkeypatch, merge):
-    monkeypatch.setattr(retrieval, "SCAN_ROWS", 50)
-    monkeypatch.setattr(retrieval, "MERGE_CELLS", merge)
+def test_search_in_many_blocks(spark, data, monkeypatch):
     monkeypatch.setattr(retrieval, "PRODUCT_CELLS", 120)
-    monkeypatch.setattr(retrieval, "ITEM_BLOCK_ROWS", 70)
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK_ROWS", 1)
-    monkeypatch.setattr(retrieval, "SHARE_BLOCKS", 2)
+    monkeypatch.setattr(retrieval, "ITEM_BLOCK_ROWS", 30)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK_ROWS", 2)
     queries, items, flags = data
     items = np.round(items, 1)  # many equal scores
-    for bytes_ in (0, 64 << 20):
-        got = retrieval.knn_exact(
-            frame(spark, np.round(queries, 0)), frame(spark, items, flags).coalesce(2), 30, 4, broadcast_bytes=bytes_
-        )
-        assert ranked(got) == brute(np.round(queries, 0), items, flags, 30, 4)
+    got = retrieval.knn_exact(frame(spark, np.round(queries, 0)), frame(spark, items, flags).coalesce(2), 30, 4, most_lists=20)
+    assert ranked(got) == brute(np.round(queries, 0), items, flags, 30, 4)
+
+
+@pytest.fixture(scope="module")
+def clustered():
+    """60 groups of near vectors, and queries that point at some of them."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 8)) * 5
+    items = centres[rng.integers(0, 60, 4000)] + 0.05 * rng.normal(size=(4000, 8))
+    return centres[:12] + 0.05 * rng.normal(size=(12, 8)), items, np.arange(4000) % 2
+
+
+def skipped(report):
+    """The share of the lists that no query ever visited."""
+    return 1 - sum(r["lists"] for r in report) / report[0]["of"]
+
+
+def test_bounds_skip_most_lists_of_clustered_vectors(spark, clustered, tmp_path):
+    queries, items, flags = clustered
+    want = brute(queries, items, flags, 20, 4)
+    index = retrieval.build_ivf(frame(spark, items, flags), str(tmp_path / "ivf"), nlist=60)
+    for search in (
+        lambda report: retrieval.knn_exact(frame(spark, queries), frame(spark, items, flags), 20, 4, report=report),
+        lambda report: retrieval.knn_ivf(frame(spark, queries), index, limit=20, offset=4, report=report),
+    ):
+        report = []
+        assert ranked(search(report)) == want
+        assert skipped(report) > 0.5 and report[-1]["queries"] == 0
+
+
+def test_the_last_place_is_handed_from_round_to_round(spark, data):
+    queries, items, flags = data
+    report = []
+    got = retrieval.knn_exact(frame(spark, queries), frame(spark, items, flags), 10, 0, report=report)
+    assert ranked(got) == brute(queries, items, flags, 10, 0)
+    lists = [r["lists"] for r in report]
+    assert len(report) > 2 and sum(lists) < report[0]["of"]  # even vectors without clusters needn't all be visited
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(0, 10_000), st.integers(1, 30))
+def test_no_item_exceeds_its_bound(seed, count):
+    rng = np.random.default_rng(seed)
+    items, queries = rng.normal(size=(200, 5)) * rng.choice([0.01, 1, 100]), rng.normal(size=(20, 5))
+    centres = items[:count]
+    blank = retrieval.Lists(centres, np.zeros(count), np.zeros(count))
+    own = blank.nearest(items)
+    radii = np.array([np.sqrt(((items[own == i] - centres[i]) ** 2).sum(axis=1)).max(initial=0) for i in range(count)])
+    longest = np.array([np.sqrt((items[own == i] ** 2).sum(axis=1)).max(initial=0) for i in range(count)])
+    _, bounds = retrieval.Lists(centres, radii, longest).bounds(queries)
+    assert (np.round(queries @ items.T, 6) <= bounds[:, own]).all()
+
+
+def measured_recall(want, got):
+    return sum(len(set(want[q]) & set(got.get(q, []))) for q in want) / sum(map(len, want.values()))
+
+
+def test_recall_target_holds_on_all_queries(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    items, queries = rng.normal(size=(3000, 8)), rng.normal(size=(400, 8))
+    flags = rng.integers(0, 2, 3000)
+    index = retrieval.build_ivf(frame(spark, items, flags), str(tmp_path / "ivf"), nlist=30)
+    want = brute(queries, items, flags, 10, 4)
+    got = ranked(retrieval.knn_ivf(frame(spark, queries), index, limit=10, recall=0.95))
+    assert 0.9 <= measured_recall(want, got) < 1
+
+
+def test_registered_searches_reach_their_recall(spark):
+    exact = ranked(relational.knn_exact_filtered(spark, SF))
+    assert ranked(model_queries.knn_ivf_probe(spark, SF)) == exact
+    ten = {q: ids[:10] for q, ids in exact.items()}
+    assert measured_recall(ten, ranked(model_queries.knn_ivf_recall(spark, SF))) >= 0.9
+
+
+def test_index_is_the_same_on_any_partitioning(spark, data, tmp_path):
+    _, items, flags = data
+    one = retrieval.build_ivf(frame(spark, items, flags).coalesce(1), str(tmp_path / "one"), nlist=9)
+    many = retrieval.build_ivf(frame(spark, items, flags).repartition(13), str(tmp_path / "many"), nlist=9)
+    assert np.array_equal(one.centroids, many.centroids)
+    assert sorted(one.lists(spark).select("video_id", "list_id").collect()) == sorted(many.lists(spark).select("video_id", "list_id").collect())
 
 
 def test_no_filter_and_no_queries(spark, data):
@@ -96,7 +168,7 @@ def test_ivf_full_probe_is_exact_and_recall_grows(spark, data, tmp_path):
     want = brute(queries, hot, flags, 20, 4)
     recall = []
     for nprobe in (1, 4, 12):
-        got = ranked(retrieval.knn_ivf(frame(spark, queries), index, nprobe, 20, 4))
+        got = ranked(retrieval.knn_ivf(frame(spark, queries), index, nprobe=nprobe, limit=20, offset=4))
         recall.append(sum(len(set(want[q]) & set(got.get(q, []))) for q in want))
     assert got == want
     again = retrieval.open_ivf(spark, str(tmp_path / "ivf"))
