@@ -66,7 +66,7 @@ def loss_pos_neg(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("sample_id", *[F.round(n, 6).alias(n) for n in names])
 
 
-NCE_SLOTS = 256
+NCE_SLOTS = 16384
 
 
 def nce_loss(spark: SparkSession, sf: str) -> DataFrame:

@@ -455,16 +455,17 @@ ORACLES["nce_loss"] = (
     + _VEC8.format(a=1, b=31, ids="SELECT c_idx AS id FROM num")
     + "), w AS ("
     + _VEC8.format(a=33, b=64, ids="SELECT p_idx AS id FROM target_index")
-    + """), drawn AS (SELECT CAST(floor(exp(CAST('0x' || substr(md5(s || ':5'), 1, 15) AS BIGINT) / pow(2, 60) * ln(n + 1))) - 1 AS BIGINT) AS id
-                 FROM (SELECT unnest(range(0, 256)) AS s), k),
+    + """), drawn AS (SELECT id, count(*) AS times FROM (
+                     SELECT CAST(floor(exp(CAST('0x' || substr(md5(s || ':5'), 1, 15) AS BIGINT) / pow(2, 60) * ln(n + 1))) - 1 AS BIGINT) AS id
+                     FROM (SELECT unnest(range(0, 16384)) AS s), k) GROUP BY 1),
         pos AS (SELECT c_idx, num_true, list_dot_product(h.vec, w.vec[1:31]) + w.vec[32]
-                       - ln((ln(p_idx + 2) - ln(p_idx + 1)) / ln(n + 1) * 256) AS x
+                       - ln((ln(p_idx + 2) - ln(p_idx + 1)) / ln(n + 1) * 16384) AS x
                 FROM nce JOIN num USING (c_idx) JOIN h ON h.id = c_idx JOIN w ON w.id = p_idx, k),
-        neg AS (SELECT h.id AS c_idx, list_dot_product(h.vec, w.vec[1:31]) + w.vec[32]
-                       - ln((ln(w.id + 2) - ln(w.id + 1)) / ln(n + 1) * 256) AS x
+        neg AS (SELECT h.id AS c_idx, times, list_dot_product(h.vec, w.vec[1:31]) + w.vec[32]
+                       - ln((ln(w.id + 2) - ln(w.id + 1)) / ln(n + 1) * 16384) AS x
                 FROM h, drawn JOIN w USING (id), k),
         losses AS (SELECT c_idx, greatest(x, 0) + ln(1 + exp(-abs(x))) - x / num_true AS loss FROM pos
-                   UNION ALL SELECT c_idx, greatest(x, 0) + ln(1 + exp(-abs(x))) FROM neg)
+                   UNION ALL SELECT c_idx, times * (greatest(x, 0) + ln(1 + exp(-abs(x)))) FROM neg)
         SELECT c_idx, round(sum(loss), 6) AS loss FROM losses GROUP BY 1"""
 )
 ORACLES["lambda_gradients"] = (

@@ -72,9 +72,11 @@ def test_posneg(spark, vecs):
     check(loss, items, "item", got)
 
 
-@pytest.mark.parametrize("cells", [7, 4 << 20])
-def test_nce(spark, vecs, monkeypatch, cells):
+@pytest.mark.parametrize("cells,rows", [(7, 2), (4 << 20, 16384)])
+def test_nce(spark, vecs, monkeypatch, cells, rows):
     monkeypatch.setattr(gradients, "PRODUCT_CELLS", cells)
+    monkeypatch.setattr(gradients, "SHARE_ROWS", rows)
+    monkeypatch.setattr(gradients, "BLOCK_ROWS", rows)
     contexts, items = vecs
     pairs = [(0, 1), (0, 2), (0, 5), (3, 1), (4, 4)]
     slots, classes = 7, len(items)
