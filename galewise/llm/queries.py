@@ -60,7 +60,8 @@ def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
-    return replace_pii(_table(spark, sf, "documents"), b"a key that the caller keeps")
+    key = spark.conf.get("spark.galewise.pii.key", "a key that the caller keeps")
+    return replace_pii(_table(spark, sf, "documents"), key.encode())
 
 
 def op13_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from llm_fixtures import SF, make_docs  # noqa: F401
 from pyspark.sql import functions as F
@@ -18,8 +20,8 @@ from galewise.llm.line_dedup import dedup_lines
 from galewise.llm.lm_scoring import score_language
 from galewise.llm.minhash import near_duplicates
 from galewise.llm.mixing import MAX_EPOCHS, WEIGHTS, mix, mix_report
-from galewise.llm.pii import FEMALE, MALE, MAY_HOLD, find, replace_pii, surrogate, surrogate_table
-from galewise.llm.quality import classify_quality
+from galewise.llm.pii import FEMALE, MALE, MAY_HOLD, find, found_in, laid_out, mentions, replace_pii, surrogate, surrogate_table, units
+from galewise.llm.quality import classify_quality, exact_quantiles
 from galewise.llm.suffix_dedup import without_repeats
 from galewise.llm.topk import exact_topk
 from galewise.llm.toxicity import score_toxicity, segments
@@ -280,14 +282,13 @@ def test_decontamination_finds_edited_copies_alone(spark, make_docs):
     )
 
 
-def test_language_scores_against_brute_force(documents, texts):
-    tokens = {i: ["<s>", *t.encode().lower().split(), "</s>"] for i, t in texts}
-    train = [w for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 10]
+def brute_language_model(train):
+    """(token counts, chance of b behind a) of an interpolated modified Kneser-Ney model of pairs."""
     count, pairs = collections.Counter(), collections.Counter()
     for w in train:
         count.update(w[1:])
         pairs.update(zip(w, w[1:]))
-    total, types = sum(count.values()), len(count)
+    types = len(count)
 
     def cuts(counter):
         n = [sum(1 for v in counter.values() if v == k) for k in (1, 2, 3, 4)]
@@ -306,6 +307,18 @@ def test_language_scores_against_brute_force(documents, texts):
         low = (follows[b] - d1[min(follows[b], 3)]) / kinds + gamma / (types + 1)
         return (pairs[a, b] - d2[min(pairs[a, b], 3)] + back[a] * low) / used[a] if used[a] else low
 
+    return count, chance
+
+
+def tokens_of(text):
+    return ["<s>", *(text or "").encode().lower().split(), "</s>"]
+
+
+def test_language_scores_against_brute_force(documents, texts):
+    tokens = {i: tokens_of(t) for i, t in texts}
+    count, chance = brute_language_model([w for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 10])
+    total, types = sum(count.values()), len(count)
+
     # the model is a distribution over all known words and the unknown one
     assert math.isclose(sum(chance("<s>", b) for b in [*count, "?"]), 1)
     for r in score_language(documents).collect():
@@ -317,6 +330,76 @@ def test_language_scores_against_brute_force(documents, texts):
         assert math.isclose(r.score, sum(math.log10(chance(a, b)) for a, b in zip(w, w[1:])), rel_tol=1e-9)
 
 
+def test_quality_against_brute_force(spark, documents):
+    rows = documents.select("doc_id", "text", "lang").collect()
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    unseen = {i for i in good if zlib.crc32(str(i).encode()) % 5 == 0}
+    _, chance = brute_language_model([tokens_of(r.text) for r in rows if r.doc_id in good - unseen])
+
+    def perplexity(text):
+        w = tokens_of(text)
+        return 10 ** (-sum(math.log10(chance(a, b)) for a, b in zip(w, w[1:])) / (len(w) - 1))
+
+    own = {r.doc_id: perplexity(r.text) for r in rows}
+    by_lang = collections.defaultdict(list)
+    for r in rows:
+        if r.doc_id in unseen:
+            by_lang[r.lang].append(own[r.doc_id])
+    limits = {lang: float(np.quantile(x, 0.98)) for lang, x in by_lang.items()}
+    every = float(np.quantile([own[i] for i in own if i in unseen], 0.98))
+    for r in classify_quality(documents, labels).collect():
+        assert math.isclose(r.perplexity, own[r.doc_id], rel_tol=1e-9)
+        assert math.isclose(r.limit, limits.get(r.lang, every), rel_tol=1e-9)
+        assert r.keep == (r.perplexity <= r.limit)
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(6)
+    rows = [(g, float(rng.choice([1, 1, 1, 2, 5, rng.random()]))) for g in "abbcccc" * 60] + [("d", 3.0)]
+    table = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    for q in (0, 0.3, 0.5, 0.98, 1):
+        got = {r.g: r.limit for r in exact_quantiles(table, "g", "x", q).collect()}
+        assert got == {g: pytest.approx(np.quantile([x for h, x in rows if h == g], q)) for g in "abcd"}
+
+
+def test_near_copies_of_two_texts_under_one_id(spark):
+    rng = random.Random(9)
+    a, b = sentence(rng, 300, 5000), sentence(rng, 300, 5000)
+    rows = [(7, a), (7, b), (9, a + " end"), (10, b + " end"), (11, sentence(rng, 300, 5000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect()) == [
+        (7, 7, True), (7, 7, True), (9, 7, False), (10, 7, False), (11, 11, True)
+    ]
+
+
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out[:n]
+
+
+def test_strings_that_collide_in_polynomial_hashes(make_docs):
+    x = thue_morse(4096)
+    y = x.translate(str.maketrans("ab", "ba"))
+    got = dedup_lines(make_docs([f"head\n{x}\ntail", f"head\n{y}\ntail", f"head\n{x}\ntail"])).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {0: 0, 1: 0, 2: 3}
+    for n in (8, 255, 256, 257, 1024, 4096):
+        data = f"{x[:n]} {y[:n]} {x[:n]}".encode()
+        words, _ = words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert words[0] == words[2] != words[1]
+
+
+def test_word_hashes_are_those_of_the_bytes():
+    rng = random.Random(1)
+    pool = ["", "a", "b", "ab", "ba", "é", "x" * 8, "x" * 9, "x" * 16, "x" * 17, "y" * 256, "y" * 257, "abcdefgh", "abcdefghi", "\0", "\0\0"]
+    words = [rng.choice(pool[1:]) + rng.choice(pool) for _ in range(3000)]
+    data = " ".join(words).encode()
+    found, _ = words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert len(found) == len(words) and len(set(found.tolist())) == len(set(words)) == len(set(zip(words, found.tolist())))
+
+
 def test_topk_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr("galewise.llm.topk.ITEM_ROWS", 64)
     monkeypatch.setattr("galewise.llm.topk.QUERY_ROWS", 8)
@@ -398,4 +481,45 @@ def test_screen_passes_whatever_is_found(spark):
     texts += [f"{t}{d} {n}" for t in MALE + FEMALE for d in ("", ".") for n in ("Li", "Đỗ", "J. Li", "O'Hara")] + ["a@b.cd", "ö@ü.äß"]
     hold = [t for t in texts if find(t)]
     assert len(hold) > 0.9 * len(texts)
-    assert spark.createDataFrame([(t,) for t in hold], "text string").where(~F.col("text").rlike(MAY_HOLD)).collect() == []
+    assert pc.all(pc.match_substring_regex(pa.array(hold), MAY_HOLD)).as_py()
+    # searching by lines finds what searching whole texts does
+    for _ in range(30):
+        text = "".join(rng.choice(hold) + rng.choice(["\n", " ", "\n\n", "\r\n", ". "]) for _ in range(20))
+        assert found_in(pa.array([text]))[0] == find(text)
+
+
+def test_replacement_against_a_plain_loop(spark, documents):
+    rows = documents.select("doc_id", "text").collect()
+    names = ["Mr John Smith", "Mrs Maria Smith", "Frau Anna-Lena Vogel", "Señor Ivan", "Mr Li"]
+    rows = [(r.doc_id, r.text + (f"\n{names[r.doc_id % 5]} wrote, said {names[r.doc_id % 5].split()[-1]}." if r.doc_id % 3 == 0 else "")) for r in rows]
+    rows += [(None, "a.b@c.example.com"), (None, "x"), (None, None), (None, "Mr John Smith"), (5, "one 10.20.30.40"), (5, "two 10.20.30.40")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    spans = {t: mentions(find(t), t) if find(t) else [] for _, t in rows if t is not None}
+    parts = sorted({u for own in spans.values() for _, _, k, v in own for u in units(k, v)})
+    table = spark.createDataFrame(parts, "type string, value string")
+    known = {(r.type, r.value): r.surrogate for r in surrogate_table(table, b"key").collect()}
+    assert len(set(known.values())) == len(known) and not set(known.values()) & {v for _, v in known}
+
+    def plain(text):
+        out, at = "", 0
+        for start, end, kind, value in spans[text]:
+            out, at = out + text[at:start] + laid_out(kind, value, known), end
+        return out + text[at:]
+
+    want = collections.Counter((i, len(spans.get(t, [])), None if t is None else plain(t)) for i, t in rows)
+    assert collections.Counter(map(tuple, replace_pii(docs, b"key").collect())) == want
+    men, women = ({s for (k, _), s in known.items() if k == own} for own in ("man", "woman"))
+    assert men and women and all(s[-1] in "bdklmnrst" for s in men) and all(s.endswith("a") for s in women)
+
+
+def test_replacement_of_many_rows_without_an_id(spark):
+    rows = [(None, f"call +1 555 {i % 50:03d} 4567") for i in range(4000)]
+    got = replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), b"key").collect()
+    assert len(got) == 4000 and len({r.text for r in got}) == 50 and all(r.n_entities == 1 for r in got)
+
+
+def test_a_surrogate_is_no_real_value_of_another_type(spark):
+    values = [("phone", f"555{i}") for i in range(40)] + [("ssn", f"5{i:03d}") for i in range(400)]
+    table = surrogate_table(spark.createDataFrame(values, "type string, value string"), b"key").collect()
+    made = [r.surrogate for r in table]
+    assert len(set(made)) == len(made) == len(values) and not set(made) & {v for _, v in values}
