@@ -1,8 +1,8 @@
 """One regression network per lead time and repeat, all trained in the same passes.
 
-A lead may hold any number of samples, so a model is not tied to one task: every task
-adds up the gradients of its own samples for all models, Spark sums them per model, and
-the driver moves the weights (their size is leads × repeats × one small network).
+A lead may hold any number of samples, so a model is not tied to one task: the samples of a lead
+lie in pieces, whose tasks take many local steps and are averaged between rounds. The driver holds the
+weights (their size is leads × repeats × one small network).
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galewise.functions import arrow, mlp
-from galewise.functions.vectors import sum_vectors
 from galewise.operators.forecast import NEAREST_CELL
 from galewise.operators.metrics import calibration_rmse
 from galewise.operators.sampling import is_test
-from galewise.plans.batches import store_batches
+from galewise.plans.local_sgd import PIECE_ROWS, State, dealt, one_round, shuffled
+from galewise.session import cut_lineage
 
 HIDDEN = [16, 4]
 L2 = 1e-4
@@ -38,45 +38,20 @@ def _prepared(samples: DataFrame, repeats: int, test_ratio: float) -> DataFrame:
     ).where("y is not null and not exists(x, e -> e is null or isnan(e))")
 
 
-def _gradient_pass(rows: DataFrame, models: dict, sizes: list[int], repeats: int) -> dict:
-    """Summed ``[loss, count, gradient]`` of every model."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = {}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            gaps, x, y, train = b["gap"].to_numpy(), arrow.matrix(b["x"]), b["y"].to_numpy(), arrow.matrix(b["train"])
-            for gap in np.unique(gaps):
-                for repeat in range(1, repeats + 1):
-                    rows_of = (gaps == gap) & (train[:, repeat - 1] > 0)
-                    if not rows_of.any():
-                        continue
-                    key = int(gap), repeat
-                    layers = mlp.unflatten(shared.value[key], sizes)
-                    steps = mlp.forward(x[rows_of], layers)
-                    error = steps[-1][:, 0] - y[rows_of]
-                    flat, _ = _backward(steps, layers, 2 * error[:, None])
-                    add = np.concatenate([[(error**2).sum(), len(error)], flat])
-                    sums[key] = sums.get(key, 0.0) + add
-        for (gap, repeat), whole in sums.items():
-            blocks = mlp.blocks_of(whole)
-            n = len(blocks)
-            yield arrow.batch(
-                gap=np.full(n, gap, np.int32), exp=np.full(n, repeat, np.int32),
-                block=np.arange(n, dtype=np.int32), grad=blocks,
-            )
-
-    summed = (
-        rows.mapInArrow(run, "gap int, exp int, block int, grad array<double>")
-        .groupBy("gap", "exp", "block")
-        .agg(sum_vectors(F.col("grad"), mlp.BLOCK).alias("grad"))
-        .toPandas()  # leads × repeats × weights numbers
-    )
-    shared.destroy()
-    ordered = summed.sort_values("block").groupby(["gap", "exp"])["grad"]
-    return {key: np.concatenate(list(blocks)) for key, blocks in ordered}
+def local_epochs(x: np.ndarray, y: np.ndarray, sizes: list[int], flat: np.ndarray, cache: np.ndarray, rate: float, batch: int, orders: list[np.ndarray]) -> tuple:
+    """Mini-batch steps through ``x`` in each of ``orders``: weights, the optimizer's running squares and the last epoch's summed squared error."""
+    optimizer = mlp.RmsProp(rate)
+    optimizer.v, loss = cache, 0.0
+    for order in orders:
+        loss = 0.0
+        for lo in range(0, len(order), batch):
+            at = order[lo : lo + batch]
+            layers = mlp.unflatten(flat, sizes)
+            steps = mlp.forward(x[at], layers)
+            error = steps[-1][:, 0] - y[at]
+            loss += (error**2).sum()
+            flat = optimizer.update(flat, _backward(steps, layers, 2 * error[:, None])[0] / len(at) + 2 * L2 * flat)
+    return flat, optimizer.v, loss
 
 
 def _backward(steps, layers, d_out):
@@ -91,32 +66,43 @@ def _backward(steps, layers, d_out):
 
 
 def train_calibration(
-    samples: DataFrame, epochs: int = 256, repeats: int = 10, test_ratio: float = 0.2,
-    rate: float = 1e-2, batches: int = 1, seed: int = 1, station: str = "K2962",
+    samples: DataFrame, epochs: int = 256, repeats: int = 10, test_ratio: float = 0.2, rate: float = 1e-3, batch: int = 64, seed: int = 1,
+    station: str = "K2962", round_epochs: int = 64, piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Held-out predictions of all models: prediction, observation, raw forecast, gap, exp.
 
-    ``samples`` is ``(gap, F_time, input, label)``. Each repeat holds out its own rows.
-    An epoch makes ``batches`` steps; with few steps the rate has to be higher.
+    ``samples`` is ``(gap, F_time, input, label)``; those with a missing label or input are left out. Each repeat holds out its own rows. A lead's samples
+    lie in pieces of about ``piece_rows``; a task trains all repeats on its piece for ``round_epochs`` epochs of batches of ``batch``, then the pieces of a lead are averaged.
     """
-    stored = store_batches(_prepared(samples, repeats, test_ratio), batches, "calibration", "gap", "F_time")
-    rows = stored.rows
+    rows = cut_lineage(dealt(_prepared(samples, repeats, test_ratio), "gap", ["gap", "F_time"], piece_rows), "calibration")
     # one small row per lead
     leads = rows.groupBy("gap").agg(F.max(F.size("x")).alias("width")).collect()
     if not leads:
         raise ValueError("no samples")
     sizes = [leads[0].width, *HIDDEN, 1]
-    models, optimizers = {}, {}
+    model_of = lambda gap, repeat: gap * repeats + repeat - 1
+    state = {}
     for lead in leads:
         for repeat in range(1, repeats + 1):
-            start = mlp.start_layers(sizes, seed + 1000 * repeat + lead.gap, stddev=0.01)
-            models[lead.gap, repeat] = mlp.flatten(start)
-            optimizers[lead.gap, repeat] = mlp.RmsProp(rate)
-    for batch, _ in (pair for _ in range(epochs) for pair in stored):
-        for key, whole in _gradient_pass(batch, models, sizes, repeats).items():
-            flat = models[key]
-            gradient = whole[2 : 2 + len(flat)] / whole[1] + 2 * L2 * flat
-            models[key] = optimizers[key].update(flat, gradient)
+            flat = mlp.flatten(mlp.start_layers(sizes, seed + 1000 * repeat + lead.gap, stddev=0.01))
+            state[model_of(lead.gap, repeat)] = np.concatenate((flat, np.zeros_like(flat)))
+
+    def work(first: int, count: int):
+        def train(gap: int, piece: int, part: pa.RecordBatch, models: State):
+            x, y, train = arrow.matrix(part["x"]), part["y"].to_numpy(), arrow.matrix(part["train"])
+            for repeat in range(1, repeats + 1):
+                own = np.flatnonzero(train[:, repeat - 1] > 0)
+                if len(own):
+                    flat, cache = np.split(models[model_of(gap, repeat)], 2)
+                    orders = [shuffled(len(own), seed, gap, repeat, piece, e) for e in range(first, first + count)]
+                    flat, cache, loss = local_epochs(x[own], y[own], sizes, flat, cache, rate, batch, orders)
+                    yield model_of(gap, repeat), float(len(own)), loss, np.concatenate((flat, cache))
+
+        return train
+
+    for first in range(0, epochs, round_epochs):
+        state, _ = one_round(rows, "gap", ["F_time", "y"], state, work(first, min(round_epochs, epochs - first)))
+    models = {(lead.gap, r): np.split(state[model_of(lead.gap, r)], 2)[0] for lead in leads for r in range(1, repeats + 1)}
     return _predict(rows, models, sizes, station)
 
 

@@ -117,19 +117,20 @@ def nce_train(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ranker_train(spark: SparkSession, sf: str) -> DataFrame:
-    """Logits of all samples after ten epochs."""
+    """Logits of all samples after ten epochs of 500 batches."""
     samples = t.sort_sample(spark, sf)
-    return ranker.train_ranker(samples, epochs=10).score(samples)
+    return ranker.train_ranker(samples, epochs=10, batches=500).score(samples)
 
 
-def _calibrated(spark: SparkSession, sf: str, epochs: int) -> DataFrame:
+def _calibrated(spark: SparkSession, sf: str) -> DataFrame:
+    """24 leads, ten repeats, 256 epochs of batches of 64."""
     samples = forecast.samples_with_lag(inputs.features(spark, sf), inputs.labels(spark, sf), 1)
-    return calibration.train_calibration(samples, epochs=epochs)
+    return calibration.train_calibration(samples)
 
 
 def calibration_train(spark: SparkSession, sf: str) -> DataFrame:
     """RMSE per lead and repeat of freshly trained models, read back from the report."""
-    detail, summary = calibration.calibration_report(_calibrated(spark, sf, 8))
+    detail, summary = calibration.calibration_report(_calibrated(spark, sf))
     path = scratch_path(spark, "report")
     files.write_report(detail, summary, path)
     return files.read_csv(spark, f"{path}/summary", summary.schema)

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galewise.functions import arrow, mlp
-from galewise.functions.vectors import sum_vectors
-from galewise.plans.batches import store_batches
+from galewise.functions.hashing import hash_bucket
+from galewise.plans.local_sgd import PIECE_ROWS, State, dealt, one_round
+from galewise.session import cut_lineage
 
 SIZES = [64, 64, 128, 1]
 
@@ -58,14 +59,24 @@ class Ranker:
         return rows.mapInArrow(run, "sample_id long, logit double")
 
 
+def loss_and_gradient(x: np.ndarray, q: np.ndarray, y: np.ndarray, layers: mlp.Layers) -> tuple[float, np.ndarray]:
+    """Summed weighted logistic loss of some rows and its gradient."""
+    steps = mlp.forward(x, layers)
+    z = steps[-1][:, 0]
+    scale = 1 + (q - 1) * y
+    loss = (1 - y) * z + scale * (np.log1p(np.exp(-np.abs(z))) + np.maximum(-z, 0))
+    d_z = (1 - y) - scale / (1 + np.exp(z))
+    return float(loss.sum()), mlp.backward(steps, layers, d_z[:, None])[0]
+
+
 def train_ranker(
-    samples: DataFrame, epochs: int = 10, rate: float = 1e-3, batches: int = 1,
-    sizes: list[int] | None = None, seed: int = 1,
+    samples: DataFrame, epochs: int = 10, rate: float = 1e-3, batches: int = 500,
+    sizes: list[int] | None = None, seed: int = 1, piece_rows: int = PIECE_ROWS,
 ) -> Ranker:
     """Weighted logistic training; the positive weight of a row scales its positive term.
 
-    There is one step per batch: each task sends the summed gradient of its rows in short
-    blocks, Spark adds the blocks up, and the driver moves the weights.
+    The rows are dealt into ``batches`` mini-batches by the hash of their id, and the batches into pieces of about ``piece_rows`` rows. An
+    epoch is one round: every piece takes a step for each of its batches, then weights and optimizer states are averaged.
     """
     sizes = sizes or SIZES
     ready = samples.select(
@@ -73,43 +84,25 @@ def train_ranker(
         F.concat("embedding_query", "context").alias("x"),
         F.col("weight").cast("double").alias("q"),
         F.col("label").cast("double").alias("y"),
-    )
-    stored = store_batches(ready, batches, "ranker-samples", "sample_id")
-    model, adam = Ranker(sizes, mlp.start_layers(sizes, seed)), mlp.Adam(rate)
+    ).withColumn("batch", hash_bucket(batches, F.col("sample_id"))).withColumn("all", F.lit(0))
+    rows = cut_lineage(dealt(ready, "all", ["batch"], piece_rows), "ranker-samples")
+    flat = mlp.flatten(mlp.start_layers(sizes, seed))
+    state, losses = {0: np.concatenate((flat, np.zeros(2 * len(flat) + 1)))}, []
+
+    def work(_: int, piece: int, part: pa.RecordBatch, models: State):
+        weights, m, v = np.split(models[0][:-1], 3)
+        adam, total = mlp.Adam(rate), 0.0
+        adam.m, adam.v, adam.step = m, v, round(models[0][-1])
+        x, q, y, batch = arrow.matrix(part["x"]), part["q"].to_numpy(), part["y"].to_numpy(), part["batch"].to_numpy()
+        cuts = np.flatnonzero(np.diff(batch, prepend=-1, append=-1))
+        for lo, hi in zip(cuts, cuts[1:]):
+            loss, gradient = loss_and_gradient(x[lo:hi], q[lo:hi], y[lo:hi], mlp.unflatten(weights, sizes))
+            weights = adam.update(weights, gradient / (hi - lo))
+            total += loss / (hi - lo)
+        # the mean is over batches, each of the same weight
+        yield 0, float(len(cuts) - 1), total, np.concatenate((weights, adam.m, adam.v, [adam.step]))
+
     for _ in range(epochs):
-        means = []
-        for rows, count in stored:
-            loss, gradient = _summed_gradient(rows.select("x", "q", "y"), model.layers)
-            means.append(loss / count)
-            model.layers = mlp.unflatten(adam.update(mlp.flatten(model.layers), gradient / count), sizes)
-        model.losses.append(float(np.mean(means)))
-    stored.release()
-    return model
-
-
-def _summed_gradient(rows: DataFrame, layers: mlp.Layers) -> tuple[float, np.ndarray]:
-    size = len(mlp.flatten(layers))
-
-    def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, total = np.zeros(size), 0.0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            steps = mlp.forward(arrow.matrix(b["x"]), layers)
-            z, q, y = steps[-1][:, 0], b["q"].to_numpy(), b["y"].to_numpy()
-            scale = 1 + (q - 1) * y
-            loss = (1 - y) * z + scale * (np.log1p(np.exp(-np.abs(z))) + np.maximum(-z, 0))
-            d_z = (1 - y) - scale / (1 + np.exp(z))
-            flat += mlp.backward(steps, layers, d_z[:, None])[0]
-            total += loss.sum()
-        blocks = mlp.blocks_of(np.concatenate([[total], flat]))
-        yield arrow.batch(block=np.arange(len(blocks), dtype=np.int32), grad=blocks)
-
-    summed = (
-        rows.mapInArrow(gradient, "block int, grad array<double>")
-        .groupBy("block")
-        .agg(sum_vectors(F.col("grad"), mlp.BLOCK).alias("grad"))
-        .collect()  # the size of the weights, not of the data
-    )
-    whole = np.concatenate([np.array(r.grad) for r in sorted(summed, key=lambda r: r.block)])
-    return whole[0], whole[1 : 1 + size]
+        state, means = one_round(rows, "all", ["batch", "sample_id"], state, work)
+        losses.append(means.get(0, float("nan")))
+    return Ranker(sizes, mlp.unflatten(np.split(state[0][:-1], 3)[0], sizes), losses)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from galewise import session
 from galewise.functions import mlp
+from galewise.functions.hashing import hash_bucket
 from galewise.functions.vectors import random_vector
 from galewise.operators import forecast, metrics, sampling
-from galewise.plans import batches, calibration, embeddings, forests, inputs, model_queries, queries, rank_boost, ranker
+from galewise.plans import batches, calibration, embeddings, forests, inputs, local_sgd, model_queries, queries, rank_boost, ranker
 from galewise.sources import files
 from galewise.sources import tables as t
 
@@ -143,6 +144,73 @@ def test_calibration_beats_no_model(spark):
     assert detail.count() == out.count()
 
 
+def calibration_samples(spark, rows_per_lead):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(2 * rows_per_lead):
+        x = rng.uniform(0, 2, 5).tolist()
+        rows.append((f"{3 * (1 + i % 2):03d}", f"F{2024010100 + i}", x, 3.0 * x[4] + 1))
+    return spark.createDataFrame(rows, "gap string, F_time string, input array<double>, label double")
+
+
+def test_calibration_equals_a_loop_on_one_machine(spark):
+    samples = calibration_samples(spark, 90)
+    got = calibration.train_calibration(samples, epochs=7, repeats=3, rate=0.01, batch=16, round_epochs=3)
+    got = {(r.gap, r.exp, r.K2962_observing): r.K2962_prediction for r in got.collect()}
+    want, sizes = {}, [5, *calibration.HIDDEN, 1]
+    for gap in (3, 6):
+        rows = sorted(r for r in calibration._prepared(samples, 3, 0.2).where(F.col("gap") == gap).collect())
+        x, y, train = (np.array([r[c] for r in rows]) for c in ("x", "y", "train"))
+        for repeat in (1, 2, 3):
+            own = np.flatnonzero(train[:, repeat - 1])
+            flat, rms = mlp.flatten(mlp.start_layers(sizes, 1 + 1000 * repeat + gap, stddev=0.01)), mlp.RmsProp(0.01)
+            for epoch in range(7):
+                order = own[np.random.default_rng([1, gap, repeat, 0, epoch]).permutation(len(own))]
+                for lo in range(0, len(order), 16):
+                    at, layers = order[lo : lo + 16], mlp.unflatten(flat, sizes)
+                    steps = mlp.forward(x[at], layers)
+                    gradient, _ = calibration._backward(steps, layers, 2 * (steps[-1][:, 0] - y[at])[:, None])
+                    flat = rms.update(flat, gradient / len(at) + 2 * calibration.L2 * flat)
+            held = np.flatnonzero(train[:, repeat - 1] == 0)
+            out = mlp.forward(x[held], mlp.unflatten(flat, sizes))[-1][:, 0]
+            want.update({(gap, repeat, o): p for o, p in zip(y[held], out)})
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_a_large_lead_is_several_pieces(spark):
+    samples = calibration_samples(spark, 300)
+    dealt = local_sgd.dealt(calibration._prepared(samples, 2, 0.2), "gap", ["gap", "F_time"], 50)
+    sizes = [r["count"] for r in dealt.groupBy("gap", "piece").count().collect()]
+    assert len(sizes) == 12 and sum(sizes) == 600 and max(sizes) < 100
+    out = calibration.train_calibration(samples, epochs=60, repeats=2, rate=0.02, batch=16, round_epochs=4, piece_rows=50)
+    assert all(r.K2962_rmse_calibration < 0.7 * r.K2962_rmse_ecf for r in calibration.calibration_report(out)[1].collect())
+
+
+def test_ranker_equals_a_loop_on_one_machine(spark):
+    samples = t.sort_sample(spark, SF).limit(400).cache()
+    model = ranker.train_ranker(samples, epochs=2, batches=20)
+    rows = samples.withColumn("batch", hash_bucket(20, F.col("sample_id"))).orderBy("batch", "sample_id").collect()
+    flat, adam, sizes = mlp.flatten(mlp.start_layers(ranker.SIZES, 1)), mlp.Adam(1e-3), ranker.SIZES
+    losses = []
+    for _ in range(2):
+        means = []
+        for k in sorted({r.batch for r in rows}):
+            own = [r for r in rows if r.batch == k]
+            x = np.array([[*r.embedding_query, *r.context] for r in own], dtype=float)
+            q, y = (np.array([r[c] for r in own], dtype=float) for c in ("weight", "label"))
+            loss, gradient = ranker.loss_and_gradient(x, q, y, mlp.unflatten(flat, sizes))
+            flat = adam.update(flat, gradient / len(own))
+            means.append(loss / len(own))
+        losses.append(np.mean(means))
+    assert np.allclose(model.losses, losses) and np.allclose(mlp.flatten(model.layers), flat, atol=1e-9)
+
+
+def test_ranker_in_pieces_learns(spark):
+    samples = t.sort_sample(spark, SF)
+    model = ranker.train_ranker(samples, epochs=4, batches=40, piece_rows=500)
+    assert falls(model.losses)
+
+
 def test_held_out_rows_are_the_counted_ones(spark):
     samples = forecast.samples_with_lag(inputs.features(spark, SF), inputs.labels(spark, SF), 1)
     predicted = calibration.train_calibration(samples, epochs=1).groupBy("gap", "exp").count()
