@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galewise.functions.hashing import hash28, hash_bucket
+from galewise.operators.indexing import dense_index
 from galewise.operators.topk import top_per_group
 
 
@@ -48,3 +49,15 @@ def with_batch(df: DataFrame, key: str, epoch: Column | int, batches: int) -> Da
     """Assign each row to a mini-batch, reshuffled every epoch."""
     epoch = F.lit(epoch) if isinstance(epoch, int) else epoch
     return df.withColumn("batch_id", hash_bucket(batches, F.col(key), epoch))
+
+
+def permuted(df: DataFrame, key: str, column: str, seed: int) -> DataFrame:
+    """``(key, column)`` with the values of ``column`` dealt anew to the rows, whose keys are unique.
+
+    The n-th row in one hash order gets the value of the n-th in another. Both orders are numbered inside hash buckets, so no task sorts them
+    all, and a rerun on any partitioning deals alike.
+    """
+    place = dense_index(df.select(key), key, "__place")
+    drawn = df.select(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).alias("__drawn"), column)
+    values = dense_index(drawn, "__drawn", "__place").select("__place", column)
+    return place.join(values, "__place").select(key, column)

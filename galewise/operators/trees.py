@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galewise.functions import arrow
+from galewise.operators.sampling import permuted
 from galewise.session import Versions
 
 # The hand-authored colour tree.
@@ -38,17 +46,150 @@ def tree_expression(nodes: list[dict], leaf_value, root: int = 0) -> Column:
     return build(root)
 
 
-def tree_score(rows: DataFrame, nodes: list[dict] | None = None, classes: list[str] | None = None) -> DataFrame:
-    """Class probabilities and leaf of every row."""
-    nodes, classes = nodes or COLOUR_TREE, classes or COLOUR_CLASSES
-    leaf = tree_expression(nodes, lambda n: F.lit(n["leaf_idx"]))
-    probability = tree_expression(nodes, lambda n: F.array(*[F.lit(p) for p in n["probability"]]))
-    scored = rows.select("row_id", leaf.alias("leaf_idx"), probability.alias("p"))
+NODES = (
+    "tree_id long, node_id int, feature string, threshold double, strict boolean, mask array<string>, missing_eval boolean, "
+    "pos int, neg int, probability array<double>, leaf_idx int"
+)
+
+
+def node_rows(spark: SparkSession, nodes: list[dict], tree_id: int = 0) -> DataFrame:
+    """A tree given as a list in the layout of a node table."""
+    columns = [c.split()[0] for c in NODES.split(", ")]
+    rows = [tuple({"tree_id": tree_id, "strict": False, **n}.get(c) for c in columns) for n in nodes]
+    return spark.createDataFrame(rows, NODES)
+
+
+@dataclass
+class PackedForest:
+    """The trees of a node table as arrays behind each other, and the sets of categories as rows of bits.
+
+    A split sends a row to ``pos`` if its value is in the mask, at least the threshold, or above it where the node is ``strict``; a missing value takes the answer the
+    node prescribes, and a category that no mask names is in none.
+    """
+
+    numeric: list[str]
+    categories: dict[str, dict[str, int]]
+    roots: np.ndarray
+    column: np.ndarray  # of a split; -1 for a leaf
+    threshold: np.ndarray
+    strict: np.ndarray
+    mask: np.ndarray  # row of ``bits``, -1 for a number
+    missing: np.ndarray
+    pos: np.ndarray
+    neg: np.ndarray
+    leaf: np.ndarray
+    values: np.ndarray
+    bits: np.ndarray
+
+    @staticmethod
+    def of(nodes: DataFrame) -> PackedForest:
+        """Pack a node table; its size is the model's."""
+        rows = sorted(nodes.select(*[c.split()[0] for c in NODES.split(", ")]).collect(), key=lambda r: (r.tree_id, r.node_id))
+        place = {(r.tree_id, r.node_id): i for i, r in enumerate(rows)}
+        splits = [r for r in rows if r.feature is not None]
+        named = sorted({r.feature for r in splits if r["mask"] is not None})
+        numeric = sorted({r.feature for r in splits if r["mask"] is None})
+        categories = {f: {v: i for i, v in enumerate(sorted({v for r in splits if r.feature == f for v in r["mask"] or []}))} for f in named}
+        columns = {f: i for i, f in enumerate([*numeric, *named])}
+        wide = max([len(c) for c in categories.values()], default=0) + 1
+        masks, at = [], np.full(len(rows), -1)
+        for i, r in enumerate(rows):
+            if r.feature is not None and r["mask"] is not None:
+                own = np.zeros(wide, dtype=bool)
+                own[[categories[r.feature][v] for v in r["mask"]]] = True
+                at[i] = len(masks)
+                masks.append(np.packbits(own))
+        width = max((len(r.probability) for r in rows if r.probability), default=1)
+        child = lambda c: np.array([place[r.tree_id, r[c]] if r.feature is not None else 0 for r in rows])
+        return PackedForest(
+            numeric, categories, np.array([i for i, r in enumerate(rows) if not i or rows[i - 1].tree_id != r.tree_id]),
+            np.array([-1 if r.feature is None else columns[r.feature] for r in rows]),
+            np.array([r.threshold if r.threshold is not None else 0.0 for r in rows]), np.array([bool(r.strict) for r in rows]), at,
+            np.array([bool(r.missing_eval) for r in rows]), child("pos"), child("neg"), np.array([r.leaf_idx if r.leaf_idx is not None else -1 for r in rows]),
+            np.array([r.probability or [0.0] * width for r in rows], dtype=float), np.array(masks, dtype=np.uint8).reshape(len(masks), -(-wide // 8)),
+        )
+
+    def matrix(self, batch: pa.RecordBatch) -> np.ndarray:
+        """One column for each feature: numbers, and the places of categories; missing ones are NaN."""
+        out = [batch[c].to_numpy(zero_copy_only=False).astype(float) for c in self.numeric]
+        for name, codes in self.categories.items():
+            out.append(np.array([np.nan if v is None else codes.get(v, len(codes)) for v in batch[name].to_pylist()], dtype=float))
+        return np.stack(out, axis=1) if out else np.zeros((batch.num_rows, 0))
+
+    def route(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of every row in every tree; all trees go down a level at a time."""
+        at = np.repeat(self.roots[None], len(x), axis=0)
+        row, tree = np.nonzero(self.column[at] >= 0)
+        while len(row):
+            node = at[row, tree]
+            value = x[row, self.column[node]]
+            hit = np.where(self.strict[node], value > self.threshold[node], value >= self.threshold[node])
+            named = np.flatnonzero(self.mask[node] >= 0)
+            place = np.nan_to_num(value[named]).astype(np.int64)
+            hit[named] = (self.bits[self.mask[node[named]], place >> 3] >> (7 - (place & 7))) & 1
+            hit = np.where(np.isnan(value), self.missing[node], hit)
+            at[row, tree] = np.where(hit, self.pos[node], self.neg[node])
+            open_ = self.column[at[row, tree]] >= 0
+            row, tree = row[open_], tree[open_]
+        return at
+
+
+ROUTE_CELLS = 1 << 20  # rows times trees on their way at a time
+
+
+def forest_score(rows: DataFrame, nodes: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """``(row_id, leaves, probability)``: the leaf number in every tree, and the mean of the leaves' probabilities."""
+    forest = PackedForest.of(nodes)
+    kind = rows.schema[row_id].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = shared.value
+        step = max(1, ROUTE_CELLS // len(forest.roots))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                b = whole.slice(lo, step)
+                at = forest.route(forest.matrix(b))
+                probability = np.zeros((len(at), forest.values.shape[1]))
+                for t in range(at.shape[1]):
+                    probability += forest.values[at[:, t]]
+                leaves = pa.array(forest.leaf[at].astype(np.int32).tolist(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([b[row_id], leaves, arrow.list_column(probability / at.shape[1])], [row_id, "leaves", "probability"])
+
+    columns = [F.col(c).cast("double").alias(c) for c in forest.numeric] + [F.col(c).cast("string").alias(c) for c in forest.categories]
+    return rows.select(row_id, *columns).mapInArrow(run, f"`{row_id}` {kind}, leaves array<int>, probability array<double>")
+
+
+def tree_score(rows: DataFrame, nodes: list[dict] | DataFrame | None = None, classes: list[str] | None = None) -> DataFrame:
+    """Class probabilities and leaf of every row by one tree, given as a list or as a node table."""
+    nodes, classes = COLOUR_TREE if nodes is None else nodes, classes or COLOUR_CLASSES
+    if isinstance(nodes, DataFrame):
+        scored = forest_score(rows, nodes).select("row_id", F.get("leaves", F.lit(0)).alias("leaf_idx"), F.col("probability").alias("p"))
+    else:
+        leaf = tree_expression(nodes, lambda n: F.lit(n["leaf_idx"]))
+        probability = tree_expression(nodes, lambda n: F.array(*[F.lit(p) for p in n["probability"]]))
+        scored = rows.select("row_id", leaf.alias("leaf_idx"), probability.alias("p"))
     return scored.select(
         "row_id", "leaf_idx", *[F.get("p", F.lit(i)).alias(f"p_{c}") for i, c in enumerate(classes)]
     )
 
 
+def permutation_importance(rows: DataFrame, nodes: DataFrame, features: list[str], label: str, row_id: str = "row_id", seed: int = 1) -> DataFrame:
+    """``(feature, accuracy, drop)``: how much accuracy a forest loses when a feature's values are dealt anew.
+
+    ``label`` is the number of a row's class; the first of equally probable classes wins.
+    """
+
+    def hits(table: DataFrame, name: str) -> DataFrame:
+        won = F.array_position("probability", F.array_max("probability")) - 1
+        scored = forest_score(table, nodes, row_id).join(rows.select(row_id, F.col(label).alias("__label")), row_id)
+        return scored.agg(F.lit(name).alias("feature"), F.avg((won == F.col("__label")).cast("double")).alias("accuracy"))
+
+    plain = hits(rows, "").select(F.col("accuracy").alias("__plain"))
+    found = [hits(rows.drop(f).join(permuted(rows, row_id, f, seed), row_id), f) for f in features]
+    return reduce(DataFrame.unionByName, found).join(F.broadcast(plain)).select("feature", "accuracy", (F.col("__plain") - F.col("accuracy")).alias("drop"))
+
+
 def tree_inorder(nodes: DataFrame) -> DataFrame:
     """Nodes of every tree of a table with a path that sorts them in order.
 

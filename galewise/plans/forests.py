@@ -8,9 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     MultilayerPerceptronClassifier,
-    OneVsRest,
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
@@ -65,22 +63,6 @@ def fit_forest(
     return model, model.transform(test)
 
 
-def fit_boosted(
-    rows: DataFrame, label: str, numeric: list[str], categorical: list[str],
-    rounds: int = 20, key: str = "row_id", seed: int = 3,
-) -> tuple[PipelineModel, DataFrame]:
-    """Boosted trees for several classes, stopped early on the held-out rows.
-
-    Spark's boosting knows two classes, so there is one model per class against the rest.
-    """
-    train, test = train_test_split(_as_text(rows, categorical), key)
-    marked = train.withColumn("held_out", F.lit(False)).unionByName(test.withColumn("held_out", F.lit(True)))
-    boost = GBTClassifier(maxIter=rounds, maxDepth=3, seed=seed, validationIndicatorCol="held_out", maxBins=64)
-    stages = [_label_indexer(label), *feature_stages(numeric, categorical), OneVsRest(classifier=boost)]
-    model = Pipeline(stages=stages).fit(marked)
-    return model, model.transform(test.withColumn("held_out", F.lit(True)))
-
-
 def fit_regression_forest(
     rows: DataFrame, label: str, numeric: list[str], categorical: list[str],
     trees: int = 300, key: str = "row_id", seed: int = 3,
@@ -142,6 +124,13 @@ def node_table(model: RandomForestClassificationModel, spark) -> DataFrame:
         F.when(~is_leaf, F.col("rightChild")).alias("pos"),
         F.when(~is_leaf, F.col("leftChild")).alias("neg"),
         F.col("prediction").cast("int").alias("prediction"),
+        F.when(~is_leaf & (F.col("split.numCategories") < 0), F.get("split.leftCategoriesOrThreshold", F.lit(0))).alias("threshold"),
+        F.lit(True).alias("strict"), F.lit(False).alias("missing_eval"),
+        # the categories of the right branch, as their codes are written
+        F.when(~is_leaf & (F.col("split.numCategories") >= 0), F.transform(F.array_except(
+            F.transform(F.sequence(F.lit(0), F.greatest(F.col("split.numCategories"), F.lit(1)) - 1), lambda x: x.cast("double")),
+            F.col("split.leftCategoriesOrThreshold")), lambda x: x.cast("string"))).alias("mask"),
+        F.when(is_leaf, F.transform("impurityStats", lambda x: x / F.aggregate("impurityStats", F.lit(0.0), lambda a, b: a + b))).alias("probability"),
     )
     # a tree has at most 2^(depth + 1) nodes
     left_to_right = Window.partitionBy("tree_id", "kind").orderBy("node_id")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galewise.functions.vectors import as_double, scale
-from galewise.operators import catalog, forecast, gradients, metrics, ranking, retrieval, towers, trees
-from galewise.plans import calibration, embeddings, forests, inputs, rank_boost, ranker
+from galewise.operators import catalog, forecast, gradients, metrics, ranking, retrieval, sampling, towers, trees
+from galewise.plans import bagging, boosting, calibration, embeddings, forests, inputs, ranker
 from galewise.plans import queries as base
 from galewise.session import cut_lineage, scratch_path
 from galewise.sources import files
@@ -32,13 +32,13 @@ def _triples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bpr_step(spark: SparkSession, sf: str) -> DataFrame:
-    """One plain gradient step, rate 0.05, from fixed vectors of width 8."""
+    """One plain gradient step, rate 0.05, from the halves of the stored vectors."""
     rows = _triples(spark, sf)
     ids = rows.select(F.col("t").alias("id"))
     item_ids = rows.select(F.explode(F.array("p", "n")).alias("id"))
-    targets = _vectors(spark, sf, ids, 1, 8)
-    items = _vectors(spark, sf, item_ids, 33, 8)
-    grads = gradients.total(gradients.bpr_parts(rows, targets, items, 8), 8)
+    targets = _vectors(spark, sf, ids, 1, 32)
+    items = _vectors(spark, sf, item_ids, 33, 32)
+    grads = gradients.total(gradients.bpr_parts(rows, targets, items, 32), 32)
     start = targets.withColumn("side", F.lit("target")).unionByName(items.withColumn("side", F.lit("item")))
     moved = start.join(grads, ["side", "id"]).select(
         "side", "id", F.zip_with("vec", scale(F.col("grad"), F.lit(0.05)), lambda x, g: x - g).alias("vec")
@@ -60,7 +60,7 @@ def _posneg_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def loss_pos_neg(spark: SparkSession, sf: str) -> DataFrame:
     samples, ids = _posneg_inputs(spark, sf)
     out = gradients.posneg_logits(
-        samples, _vectors(spark, sf, ids, 1, 8), _vectors(spark, sf, ids, 33, 8), 8
+        samples, _vectors(spark, sf, ids, 1, 32), _vectors(spark, sf, ids, 33, 32), 32
     )
     names = ["pos_logit", "neg_logit", "pos_loss", "neg_loss"]
     return out.select("sample_id", *[F.round(n, 6).alias(n) for n in names])
@@ -94,20 +94,21 @@ def lambda_gradients(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bpr_train(spark: SparkSession, sf: str) -> DataFrame:
-    """Search vectors after three epochs of pairwise training."""
-    return embeddings.train_bpr(t.triples(spark, sf), epochs=3).search
+    """Vectors of both towers after three epochs of pairwise training."""
+    out = embeddings.train_bpr(t.triples(spark, sf), epochs=3)
+    return out.query.withColumn("tower", F.lit("query")).unionByName(out.search.withColumn("tower", F.lit("search")))
 
 
 def posneg_train(spark: SparkSession, sf: str) -> DataFrame:
     samples, ids = _posneg_inputs(spark, sf)
-    return embeddings.train_posneg(samples, _vectors(spark, sf, ids, 1, 8), epochs=3).search
+    return embeddings.train_posneg(samples, _vectors(spark, sf, ids, 1, 32), epochs=3, width=32).search
 
 
 def nce_train(spark: SparkSession, sf: str) -> DataFrame:
     """Both towers of every video after two epochs, with biases folded in."""
     nce, targets = t.sim_matrix_nce(spark, sf)
     pairs = nce.select(F.col("c_idx").alias("c"), F.col("p_idx").alias("p"))
-    out = embeddings.train_nce(pairs, targets.count(), epochs=2, slots=1024)
+    out = embeddings.train_nce(pairs, targets.count(), epochs=2)
     return towers.tower_join(
         out.search.select(F.col("id").alias("idx"), F.col("vec").alias("embedding_search")),
         towers.id_index_map(nce, "left_video_id", "c_idx"),
@@ -139,8 +140,9 @@ def calibration_train(spark: SparkSession, sf: str) -> DataFrame:
 MEASURES = ["bill_length_mm", "bill_depth_mm", "flipper_length_mm", "body_mass_g"]
 
 
-def _forest(spark: SparkSession, sf: str, trees: int = 30):
-    return forests.fit_forest(t.penguins(spark, sf), "species", MEASURES, ["island", "sex", "year"], trees)
+def _forest(spark: SparkSession, sf: str):
+    """300 trees on all measures and categories."""
+    return forests.fit_forest(t.penguins(spark, sf), "species", MEASURES, ["island", "sex", "year"])
 
 
 def forest_classify(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,16 +169,51 @@ def forest_inorder(spark: SparkSession, sf: str) -> DataFrame:
     return trees.tree_inorder(forests.named_nodes(forests.node_table(model.stages[-1], spark), names))
 
 
-def boosted_classify(spark: SparkSession, sf: str) -> DataFrame:
+def forest_table_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy of a fitted forest on held-out rows, scored by Spark's model and by its node table."""
+    model, predictions = _forest(spark, sf)
+    names = [c.split("__")[0] for c in model.stages[-2].getInputCols()]
+    nodes = forests.named_nodes(forests.node_table(model.stages[-1], spark), names)
+    inputs_ = dict(zip(names, model.stages[-2].getInputCols()))
+    rows = predictions.select("row_id", "label", *[F.col(c).alias(n) for n, c in inputs_.items()])
+    won = F.array_position("probability", F.array_max("probability")) - 1
+    table = trees.forest_score(rows, nodes).join(rows.select("row_id", "label"), "row_id").select("label", won.cast("double").alias("prediction"))
+    one = lambda df, name: metrics.accuracy(df, "prediction", "label").withColumn("scored_by", F.lit(name))
+    return one(predictions, "model").unionByName(one(table, "node_table"))
+
+
+def tree_score_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The hand-authored tree, given as a node table."""
+    return trees.tree_score(t.tree_inputs(spark, sf), trees.node_rows(spark, trees.COLOUR_TREE))
+
+
+def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """What the hand-authored tree loses when one of its features is dealt anew."""
+    rows = t.tree_inputs(spark, sf).withColumn("label", F.col("row_id") % 3)
+    out = trees.permutation_importance(rows, trees.node_rows(spark, trees.COLOUR_TREE), ["f1", "f2"], "label")
+    return out.select("feature", F.round("accuracy", 6).alias("accuracy"), F.round("drop", 6).alias("drop"))
+
+
+def forest_oob_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy and log loss out of bag for 1 to 300 trees."""
     rows = t.penguins(spark, sf)
-    _, predictions = forests.fit_boosted(rows, "species", ["bill_length_mm"], ["year", "sex"], rounds=5)
-    return metrics.accuracy(predictions, "prediction", "label")
+    coded = rows.withColumn("y", F.array_position(F.array(*[F.lit(c) for c in sorted(t.SPECIES)]), F.col("species")) - 1)
+    return bagging.oob_curve(bagging.train_forest(coded, "y", len(t.SPECIES), MEASURES, ["island", "sex", "year"]))
+
+
+def boosted_classify(spark: SparkSession, sf: str) -> DataFrame:
+    """Loss and accuracy of three-class boosting after each round, on training and held-out rows; up to 300 rounds, ended by the held-out loss."""
+    rows = t.penguins(spark, sf).withColumn("held", sampling.is_test(F.col("row_id"), 0, 300))
+    coded = rows.withColumn("y", F.array_position(F.array(*[F.lit(c) for c in sorted(t.SPECIES)]), F.col("species")) - 1)
+    model = boosting.train_softmax(coded, "y", len(t.SPECIES), ["bill_length_mm"], ["year", "sex"], "held")
+    course = zip(range(len(model.loss)), model.loss, model.valid_loss, model.accuracy, model.valid_accuracy)
+    return spark.createDataFrame([(i, *map(float, x)) for i, *x in course], "rounds int, loss double, valid_loss double, accuracy double, valid_accuracy double")
 
 
 def forest_regress(spark: SparkSession, sf: str) -> DataFrame:
     rows = t.abalone(spark, sf)
     _, predictions = forests.fit_regression_forest(
-        rows, "Rings", ["LongestShell", "Diameter", "Height"], ["Type"], trees=30
+        rows, "Rings", ["LongestShell", "Diameter", "Height"], ["Type"]
     )
     return metrics.mse_rmse(predictions, "prediction", "Rings")
 
@@ -184,23 +221,23 @@ def forest_regress(spark: SparkSession, sf: str) -> DataFrame:
 def prepared_forest(spark: SparkSession, sf: str) -> DataFrame:
     """A forest on derived inputs: body mass in kilograms beside bill length."""
     prepared = t.penguins(spark, sf).withColumn("body_mass_kg", F.col("body_mass_g") / 1000.0)
-    _, predictions = forests.fit_forest(prepared, "species", ["body_mass_kg", "bill_length_mm"], [], 30)
+    _, predictions = forests.fit_forest(prepared, "species", ["body_mass_kg", "bill_length_mm"], [])
     return metrics.accuracy(predictions, "prediction", "label")
 
 
 def vector_classify(spark: SparkSession, sf: str) -> DataFrame:
     rows = t.table(spark, sf, "embeddings")
-    _, predictions = forests.fit_vector_classifier(rows, "embedding", "label", (128,), 30, "vec_id")
+    _, predictions = forests.fit_vector_classifier(rows, "embedding", "label", key="vec_id")
     return metrics.accuracy(predictions, "prediction", "label")
 
 
 def rank_boost_train(spark: SparkSession, sf: str) -> DataFrame:
-    """NDCG per query group after four rounds of ranking trees."""
-    rows = files.parse_ranking_lines(t.ranking_lines(spark, sf), base.FEATURES, with_id=True)
-    columns = [f"f_{k}" for k in base.FEATURES]
-    keyed = rows.withColumnRenamed("doc_id", "row_id")
-    model = rank_boost.train_rank_boost(keyed, columns, rounds=4)
-    return metrics.ndcg(model.score(keyed))
+    """Mean NDCG of 50 ranking trees after each of them, on training groups and on a tenth held out."""
+    rows = files.parse_ranking_lines(t.ranking_lines(spark, sf), base.FEATURES, with_id=True).withColumnRenamed("doc_id", "row_id")
+    train, held = sampling.train_test_split(rows, "group", 0.1)
+    model = boosting.train_ranking(train, [f"f_{k}" for k in base.FEATURES], validation=held)
+    course = zip(range(1, len(model.rounds) + 1), model.accuracy, model.valid_accuracy)
+    return spark.createDataFrame([(i, float(a), float(b)) for i, a, b in course], "trees int, ndcg double, valid_ndcg double")
 
 
 def knn_exact_blocks(spark: SparkSession, sf: str) -> DataFrame:

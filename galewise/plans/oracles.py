@@ -380,8 +380,8 @@ ORACLES: dict[str, str] = {
         "sort_sample",
     ),
     "learning_curve": """
-        WITH v AS (SELECT vec_id, label % 3 AS label, t, CASE WHEN embedding[t + 1] > 0 THEN label % 3 ELSE CAST((label + t) % 3 AS INT) END AS vote
-                   FROM embeddings CROSS JOIN (SELECT unnest(range(0, 20)) AS t)),
+        WITH v AS (SELECT vec_id, label % 3 AS label, t, CASE WHEN embedding[t % 64 + 1] > 0 THEN label % 3 ELSE CAST((label + t) % 3 AS INT) END AS vote
+                   FROM embeddings CROSS JOIN (SELECT unnest(range(0, 300)) AS t)),
         c AS (SELECT vec_id, label, t, sum(CASE WHEN vote = 0 THEN 1 ELSE 0 END) OVER w AS n0,
                      sum(CASE WHEN vote = 1 THEN 1 ELSE 0 END) OVER w AS n1, sum(CASE WHEN vote = 2 THEN 1 ELSE 0 END) OVER w AS n2
               FROM v WINDOW w AS (PARTITION BY vec_id ORDER BY t))
@@ -415,20 +415,20 @@ ORACLES: dict[str, str] = {
     ),
 }
 
-_VEC8 = "SELECT id, CAST(embedding[{a}:{b}] AS DOUBLE[]) AS vec FROM ({ids}) JOIN embeddings ON vec_id = id % (SELECT count(*) FROM embeddings)"
+_VEC = "SELECT id, CAST(embedding[{a}:{b}] AS DOUBLE[]) AS vec FROM ({ids}) JOIN embeddings ON vec_id = id % (SELECT count(*) FROM embeddings)"
 
 ORACLES["bpr_step"] = (
     _with("", "triples")
     + ", w AS (SELECT t, p, n, count(*) AS weight FROM triples GROUP BY 1, 2, 3), u AS ("
-    + _VEC8.format(a=1, b=8, ids="SELECT DISTINCT t AS id FROM triples")
+    + _VEC.format(a=1, b=32, ids="SELECT DISTINCT t AS id FROM triples")
     + "), i AS ("
-    + _VEC8.format(a=33, b=40, ids="SELECT p AS id FROM triples UNION SELECT n FROM triples")
+    + _VEC.format(a=33, b=64, ids="SELECT p AS id FROM triples UNION SELECT n FROM triples")
     + """), g AS (SELECT w.*, u.vec AS uv, pv.vec AS pv, nv.vec AS nv,
                    -weight / (1 + exp(list_dot_product(u.vec, pv.vec) - list_dot_product(u.vec, nv.vec))) AS g
             FROM w JOIN u ON u.id = t JOIN i pv ON pv.id = p JOIN i nv ON nv.id = n),
-        parts AS (SELECT 'target' AS side, t AS id, unnest(range(0, 8)) AS pos, unnest(pv) AS a, unnest(nv) AS b, g FROM g
-                  UNION ALL SELECT 'item', p, unnest(range(0, 8)), unnest(uv), 0, g FROM g
-                  UNION ALL SELECT 'item', n, unnest(range(0, 8)), 0, unnest(uv), g FROM g),
+        parts AS (SELECT 'target' AS side, t AS id, unnest(range(0, 32)) AS pos, unnest(pv) AS a, unnest(nv) AS b, g FROM g
+                  UNION ALL SELECT 'item', p, unnest(range(0, 32)), unnest(uv), 0, g FROM g
+                  UNION ALL SELECT 'item', n, unnest(range(0, 32)), 0, unnest(uv), g FROM g),
         summed AS (SELECT side, id, pos, sum(g * (a - b)) AS grad FROM parts GROUP BY 1, 2, 3),
         start AS (SELECT 'target' AS side, * FROM u UNION ALL SELECT 'item', * FROM i)
         SELECT side, id, CAST(pos AS INT) AS pos, round(vec[pos + 1] - CAST(0.05 AS DOUBLE) * grad, 6) AS value
@@ -436,10 +436,10 @@ ORACLES["bpr_step"] = (
 )
 ORACLES["loss_pos_neg"] = (
     _with("", "triples")
-    + ", ids AS (SELECT t AS id FROM triples UNION SELECT p FROM triples UNION SELECT n FROM triples), u AS ("
-    + _VEC8.format(a=1, b=8, ids="SELECT id FROM ids")
-    + "), i AS ("
-    + _VEC8.format(a=33, b=40, ids="SELECT id FROM ids")
+    + ", ids AS MATERIALIZED (SELECT t AS id FROM triples UNION SELECT p FROM triples UNION SELECT n FROM triples), u AS MATERIALIZED ("
+    + _VEC.format(a=1, b=32, ids="SELECT id FROM ids")
+    + "), i AS MATERIALIZED ("
+    + _VEC.format(a=33, b=64, ids="SELECT id FROM ids")
     + f"""), x AS (SELECT t || '-' || p AS sample_id, list_dot_product(u.vec, pv.vec) AS pos_logit,
                    list_dot_product(u.vec, nv.vec) + list_dot_product(u.vec, tv.vec) AS neg_logit
             FROM triples JOIN u ON u.id = t JOIN i pv ON pv.id = p JOIN i nv ON nv.id = n JOIN i tv ON tv.id = t)
@@ -452,9 +452,9 @@ ORACLES["nce_loss"] = (
     + """, k AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM target_index),
         num AS (SELECT c_idx, count(*) AS num_true FROM nce GROUP BY 1),
         h AS ("""
-    + _VEC8.format(a=1, b=31, ids="SELECT c_idx AS id FROM num")
+    + _VEC.format(a=1, b=31, ids="SELECT c_idx AS id FROM num")
     + "), w AS ("
-    + _VEC8.format(a=33, b=64, ids="SELECT p_idx AS id FROM target_index")
+    + _VEC.format(a=33, b=64, ids="SELECT p_idx AS id FROM target_index")
     + """), drawn AS (SELECT id, count(*) AS times FROM (
                      SELECT CAST(floor(exp(CAST('0x' || substr(md5(s || ':5'), 1, 15) AS BIGINT) / pow(2, 60) * ln(n + 1))) - 1 AS BIGINT) AS id
                      FROM (SELECT unnest(range(0, 16384)) AS s), k) GROUP BY 1),
@@ -487,5 +487,16 @@ ORACLES["lambda_gradients"] = (
 ORACLES["knn_exact_blocks"] = ORACLES["knn_exact_filtered"]
 ORACLES["knn_ivf_full_probe"] = ORACLES["knn_exact_filtered"]
 ORACLES["knn_ivf_probe"] = ORACLES["knn_exact_filtered"]
+ORACLES["tree_score_table"] = ORACLES["tree_score"]
+ORACLES["permutation_importance"] = """
+    WITH x AS (SELECT vec_id AS row_id, vec_id % 3 AS label, CASE WHEN vec_id % 13 <> 0 THEN CAST(embedding[1] AS DOUBLE) * 10 END AS f1,
+                      CASE vec_id % 4 WHEN 0 THEN 'cat' WHEN 1 THEN 'dog' WHEN 2 THEN 'bird' END AS f2 FROM embeddings),
+    placed AS (SELECT *, row_number() OVER (ORDER BY CAST('0x' || substr(md5(CAST(row_id AS VARCHAR)), 1, 7) AS INT) % 1024, row_id) AS place,
+                      row_number() OVER (ORDER BY CAST('0x' || substr(md5(row_id || ':1'), 1, 7) AS INT) % 1024, row_id || ':1') AS drawn FROM x),
+    dealt AS (SELECT a.row_id, a.label, a.f1, a.f2, b.f1 AS g1, b.f2 AS g2 FROM placed a JOIN placed b ON a.place = b.drawn),
+    rows AS (SELECT '' AS feature, label, f1, f2 FROM dealt UNION ALL SELECT 'f1', label, g1, f2 FROM dealt UNION ALL SELECT 'f2', label, f1, g2 FROM dealt),
+    hits AS (SELECT feature, avg(CASE WHEN label = CASE WHEN coalesce(f1 >= 1.5, false) THEN CASE WHEN coalesce(f2 IN ('cat', 'dog'), false) THEN 0 ELSE 1 END ELSE 2 END
+                                 THEN 1.0 ELSE 0.0 END) AS accuracy FROM rows GROUP BY 1)
+    SELECT feature, round(accuracy, 6) AS accuracy, round((SELECT accuracy FROM hits WHERE feature = '') - accuracy, 6) AS drop FROM hits WHERE feature <> ''"""
 ORACLES["publish_snapshot"] = """
     SELECT unnest(['query', 'search']) AS alias, (SELECT count(DISTINCT vec_id) FROM embeddings) AS rows"""

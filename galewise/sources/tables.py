@@ -361,7 +361,7 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vote_table(spark: SparkSession, sf_dir: str, trees: int = 20) -> DataFrame:
+def vote_table(spark: SparkSession, sf_dir: str, trees: int = 300) -> DataFrame:
     """One class vote per row and tree, with the true class."""
     vec = table(spark, sf_dir, "embeddings")
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree_no")
@@ -369,7 +369,7 @@ def vote_table(spark: SparkSession, sf_dir: str, trees: int = 20) -> DataFrame:
         F.col("vec_id").alias("row_id"),
         (F.col("label") % 3).alias("label"),
         "tree_no",
-        F.when(F.get("embedding", F.col("tree_no")) > 0, F.col("label") % 3)
+        F.when(F.get("embedding", F.col("tree_no") % 64) > 0, F.col("label") % 3)
         .otherwise((F.col("label") + F.col("tree_no")) % 3).cast("int").alias("vote"),
     )
 

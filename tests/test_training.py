@@ -12,7 +12,7 @@ from galewise.functions import mlp
 from galewise.functions.hashing import hash_bucket
 from galewise.functions.vectors import random_vector
 from galewise.operators import forecast, metrics, sampling
-from galewise.plans import batches, calibration, embeddings, forests, inputs, local_sgd, model_queries, queries, rank_boost, ranker
+from galewise.plans import batches, calibration, embeddings, forests, inputs, local_sgd, model_queries, queries, ranker
 from galewise.sources import files
 from galewise.sources import tables as t
 
@@ -248,12 +248,6 @@ def test_votes_of_the_node_table_are_the_votes_of_the_trees(spark, forest):
         assert a.accuracy == pytest.approx(b.accuracy) and a.logloss == pytest.approx(b.logloss)
 
 
-def test_boosted_three_classes(spark):
-    rows = t.penguins(spark, SF).withColumn("hint", F.col("species"))
-    _, predictions = forests.fit_boosted(rows, "species", ["bill_length_mm"], ["hint"], rounds=2)
-    assert forests.accuracy_of(predictions) > 0.9
-
-
 def test_regression_forest_beats_the_mean(spark):
     rows = t.abalone(spark, SF)
     _, predictions = forests.fit_regression_forest(rows, "Rings", ["LongestShell", "Diameter", "Height"], ["Type"], 10)
@@ -266,14 +260,3 @@ def test_vector_classifier(spark):
     _, predictions = forests.fit_vector_classifier(rows, "embedding", "label", (8,), 40, "vec_id")
     assert forests.accuracy_of(predictions) > 0.8
     assert abs(sum(predictions.first().probability) - 1) < 1e-9
-
-
-def test_ranking_trees_raise_ndcg(spark):
-    rows = files.parse_ranking_lines(t.ranking_lines(spark, SF), queries.FEATURES)
-    rows = rows.withColumn("row_id", F.xxhash64(*rows.columns)).withColumn("f_1", F.col("f_1") + 40 * F.col("relevance"))
-    train, held = sampling.train_test_split(rows, "group", 0.3)
-    model = rank_boost.train_rank_boost(train, ["f_1", "f_2", "f_3"], rounds=4, rate=0.3, validation=held)
-    before = metrics.ndcg(rows.withColumn("score", F.lit(0.0))).agg(F.avg("ndcg")).first()[0]
-    assert model.ndcg[-1] > before + 0.05 and model.valid_ndcg[-1] > before
-    for part, logged in ((train, model.ndcg), (held, model.valid_ndcg)):
-        assert metrics.ndcg(model.score(part)).agg(F.avg("ndcg")).first()[0] == pytest.approx(logged[-1])
