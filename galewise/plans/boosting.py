@@ -14,7 +14,7 @@ from galewise.functions import arrow
 from galewise.operators.metrics import ndcg
 from galewise.operators.ranking import lambda_gradients
 from galewise.plans import hist_trees as ht
-from galewise.session import Versions, cut_lineage
+from galewise.session import Versions
 
 REFRESH = 10  # rounds after which the stored scores are brought up to date
 LEAST = 1e-15
@@ -138,6 +138,7 @@ def train_ranking(
     marked = lambda df, flag: ht.binned(df, bins, *keep, F.lit(flag).alias("held"))
     every = marked(rows, False) if validation is None else marked(rows, False).unionByName(marked(validation, True))
     fixed = tables.store(every, "bins")
+    training = fixed.where("not held")
 
     def scored(b_rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,21 +152,33 @@ def train_ranking(
     def stats(b: pa.RecordBatch, x: np.ndarray):
         return [np.stack((b["lambda"].to_numpy(), b["weight"].to_numpy(), np.ones(b.num_rows)), axis=1)], {}
 
-    def course(current: DataFrame) -> None:
-        by_set = {r.held: r.m for r in ndcg(current.withColumn("grp", F.struct("held", "grp")), "grp", "rel", "score", "id", k)
-                  .groupBy(F.col("grp.held").alias("held")).agg(F.avg("ndcg").alias("m")).collect()}
-        model.accuracy.append(by_set.get(False, float("nan")))
-        model.valid_accuracy.append(by_set.get(True, float("nan")))
-
     for _ in range(rounds):
-        current = tables.store(scored(fixed), "scores")
-        if model.rounds:
-            course(current)
-        pulls = lambda_gradients(current.where("not held"), k, "grp", "rel", "score", "id", tables)
-        target = tables.store(fixed.where("not held").select("id", "bins").join(pulls, "id").select("bins", "lambda", "weight"), "target")
+        pulls = lambda_gradients(tables.store(scored(training), "scores"), k, "grp", "rel", "score", "id", tables)
+        target = tables.store(training.select("id", "bins").join(pulls, "id").select("bins", "lambda", "weight"), "target")
         trees = [ht.Tree()]
         ht.grow(target, trees, bins, 3, stats, score, rank, depth, least)
         trees[0].value = [leaf(s) for s in trees[0].stats]
         model.rounds.append(trees)
-    course(cut_lineage(scored(fixed), "scores"))
+    _ranking_course(model, fixed, k)
     return model
+
+
+def _ranking_course(model: Boosted, fixed: DataFrame, k: int) -> None:
+    """The mean NDCG of both sets after each round, all in one pass."""
+    width, count = len(model.bins.names), len(model.rounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, total = ht.bins_of(b["bins"], width), np.zeros(b.num_rows)
+            for i, (tree,) in enumerate(model.rounds):
+                total = total + model.rate * np.array(tree.value)[tree.route(x)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(np.full(b.num_rows, i, np.int32)), pa.array(total)], [*b.schema.names[:4], "round", "score"])
+
+    kinds = ", ".join(f"{c} {fixed.schema[c].dataType.simpleString()}" for c in ("id", "grp", "rel", "held"))
+    after = fixed.mapInArrow(run, f"{kinds}, round int, score double").withColumn("grp", F.struct("round", "held", "grp"))
+    means = ndcg(after, "grp", "rel", "score", "id", k).groupBy("grp.round", "grp.held").agg(F.avg("ndcg").alias("m")).collect()
+    for held, out in ((False, model.accuracy), (True, model.valid_accuracy)):
+        by_round = {r["round"]: r.m for r in means if r.held == held}
+        out += [by_round.get(i, float("nan")) for i in range(count)]

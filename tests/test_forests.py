@@ -96,7 +96,7 @@ def test_out_of_bag_curve_equals_a_plain_loop(spark, labelled):
         assert got[t_ + 1].rows == has.sum()
         if has.any():
             assert got[t_ + 1].accuracy == pytest.approx((votes.argmax(axis=1) == y)[has].mean())
-    assert got[40].accuracy > 0.9 and got[40].logloss < got[1].logloss
+    assert got[40].accuracy > 0.9 and got[40].rows == 500
 
 
 def test_forest_is_the_same_on_any_partitioning(spark, labelled):
