@@ -116,15 +116,15 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = IS_WORD, stem: int = 0) -> tuple[np.ndarray, ...]:
+def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = IS_WORD, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """Hashes of all words of the texts ``data[offsets[i]:offsets[i + 1]]`` and each text's first word index.
 
-    ``table`` says which bytes words are made of; with ``stem`` the hashes of each word's first bytes come third.
+    ``table`` says which bytes words are made of. For each number in ``stems`` the hashes of the words' first so many bytes, up to a whole letter, follow.
     """
     mask = table[data]
     firsts = np.zeros(len(data) + 1, dtype=bool)
     firsts[offsets] = True
-    hashes, starts_at, stems = [], [], []
+    hashes, starts_at, begun = [], [], [[] for _ in stems]
     for lo, hi in _cuts(mask, firsts):
         inside, first = mask[lo:hi], firsts[lo : hi + 1].copy()
         first[0] = True
@@ -134,12 +134,15 @@ def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = IS_WORD,
         low = LOWER[data[lo:hi]]
         hashes.append(run_hashes(low, begins, ends))
         starts_at.append(begins + lo)
-        if stem:
-            stems.append(run_hashes(low, begins, np.minimum(begins + stem, ends)))
+        for size, out in zip(stems, begun):
+            stem_ends = np.minimum(begins + size, ends)
+            for _ in range(3):  # a letter of several bytes is not cut
+                inner = np.flatnonzero(stem_ends < ends)
+                stem_ends[inner] += (low[stem_ends[inner]] & 0xC0) == 0x80
+            out.append(run_hashes(low, begins, stem_ends))
     if not hashes:
-        hashes, starts_at, stems = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, U64)]
-    found = np.concatenate(hashes), np.searchsorted(np.concatenate(starts_at), offsets)
-    return (*found, np.concatenate(stems)) if stem else found
+        hashes, starts_at, begun = [np.empty(0, U64)], [np.empty(0, np.int64)], [[np.empty(0, U64)] for _ in stems]
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts_at), offsets), *(np.concatenate(x) for x in begun)
 
 
 def shingles_of(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -24,6 +24,7 @@ from galewise.llm.pii import FEMALE, MALE, MAY_HOLD, find, found_in, laid_out, m
 from galewise.llm.quality import classify_quality, exact_quantiles
 from galewise.llm.suffix_dedup import without_repeats
 from galewise.llm.topk import exact_topk
+from galewise.llm import toxicity
 from galewise.llm.toxicity import score_toxicity, segments
 
 
@@ -150,14 +151,85 @@ def test_segments_are_the_maximal_ones():
         return brute(scores[:i], at) + [(at + i, at + j - 1, best[0])] + brute(scores[j:], at + j)
 
     rng = random.Random(9)
-    for _ in range(60):
-        gains = {i: rng.choice([0.7, 1.9, 3.3, 0.2]) for i in range(30) if rng.random() < 0.3}
-        want = brute([gains.get(i, 0) - 0.3 for i in range(30)])
-        got = segments(np.array(sorted(gains)), np.array([gains[i] for i in sorted(gains)]), 0.3)
+    for _ in range(80):
+        scores = [rng.choice([-0.3, -0.3, -0.3, -1.7, 0.7, 1.9, 3.3]) + rng.random() / 100 for _ in range(30)]
+        want, got = brute(scores), segments(np.array(scores))
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
         assert np.allclose([x for *_, x in got], [x for *_, x in want])
 
 
+def test_toxic_counts_and_log_odds_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(f"{sentence(rng, 30, 60)} {'vile' if i % 6 == 0 and i % 4 else 'kind'} 語語語", int(i % 6 == 0), i % toxicity.FOLDS) for i in range(150)]
+    train = spark.createDataFrame(rows, "text string, toxic int, fold int")
+    got = {r.token: r for r in toxicity._counts(train).collect()}
+    want = collections.defaultdict(lambda: np.zeros(2 * toxicity.FOLDS))
+    for text, toxic, fold in rows:
+        for word in set(text.split()):
+            want[word][2 * fold + toxic] += 1
+    totals = sum(np.array([r[c] for c in toxicity.COUNTS]) for r in got.values()).astype(float)
+    for word, counts in want.items():
+        token = int(words_of(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]))[0].view(np.int64)[0])
+        assert [got[token][c] for c in toxicity.COUNTS] == counts.tolist()
+        scores = toxicity.token_scores(counts[None].astype(int), totals)[0]
+        for without, score in zip([None, *range(toxicity.FOLDS)], scores):
+            use = [f for f in range(toxicity.FOLDS) if f != without]
+            clean, bad = (sum(counts[2 * f + k] for f in use) for k in (0, 1))
+            every = [sum(totals[2 * f + k] for f in use) for k in (0, 1)]
+            if not clean + bad:
+                assert score == 0
+                continue
+            prior = 0.1 * (clean + bad)
+            odds = [(n + prior) / (t + 0.1 * sum(every)) for n, t in ((bad, every[1]), (clean, every[0]))]
+            delta, sd = math.log(odds[0] / odds[1]), math.sqrt(1 / (bad + prior) + 1 / (clean + prior))
+            assert score == pytest.approx(math.copysign(max(abs(delta) - toxicity.SURE * sd, 0), delta))
+    vile, kind = (toxicity.token_scores(want[w][None].astype(int), totals)[0] for w in ("vile", "kind"))
+    assert vile[0] > 1 and kind[0] <= 0
+    # a token of many clean texts alone costs more than others
+    often = toxicity.token_scores(np.array([[400, 0] * toxicity.FOLDS]), np.array([10_000.0, 10_000.0] * toxicity.FOLDS))
+    assert (often < -1).all()
+
+
+def test_decay_and_volume_describe_clean_texts(spark):
+    scores, counts = np.array([-0.3, 1.7]), np.array([97, 3])
+    decay = toxicity.fitted_decay(scores, counts)
+    assert (counts * np.exp(decay * scores)).sum() / 100 == pytest.approx(1) and decay > 0
+    assert toxicity.fitted_decay(np.array([-1.0]), np.array([5])) == 1.0
+    for means in ([0.3, 0.9, 2.5], [1e-9, 1e-3, 0.1], [5.0, 5.0, 0.5]):
+        for r, (mean, got) in enumerate(zip(means, toxicity.poisson_tails(np.array(means))), 1):
+            want = sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(r, r + 60))
+            assert got == pytest.approx(-math.log(want) if mean < r else 0, abs=1e-9)
+    model = toxicity.ToxicModel("", [], 2.0, np.array([0.1, 0.04, 0.01]), np.empty(0), np.empty(0))
+    last = 2 * toxicity.FINE
+    assert model.expected(np.array([0.0, toxicity.FINE, last, last + 1])) == pytest.approx([0.1, 0.04, 0.01, 0.01 * math.exp(-2)])
+
+
+def test_calibrated_scores_are_probabilities(spark, make_docs):
+    """On held-out texts the mean score is near the share of toxic ones, also where toxic words occur in clean texts."""
+    rng = random.Random(5)
+    texts, marks = [], []
+    for i in range(1500):
+        words, toxic = sentence(rng, 60).split(), rng.random() < 0.2
+        for word in ("vile", "rotter", "scoundrel"):
+            if rng.random() < (0.5 if toxic else 0.03):
+                words.insert(rng.randrange(len(words)), word)
+        texts.append(" ".join(words))
+        marks.append((i, 1, int(toxic)))
+    got = score_toxicity(make_docs(texts), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).where("held_out").collect()
+    truth = np.array([marks[r.doc_id][2] for r in got])
+    scores = np.array([r.score for r in got])
+    assert abs(scores.mean() - truth.mean()) < 0.05
+    high = scores >= 0.3
+    assert truth[high].mean() > 0.6 and high[truth == 1].mean() > 0.6
+
+
+def test_beginnings_hold_whole_letters():
+    data = "привет привод 語語語 ab".encode()
+    _, _, stems, _ = words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]), stems=(4, 7))
+    whole, _ = words_of(np.frombuffer("пр 語語".encode(), np.uint8), np.array([0, len("пр 語語".encode())]))
+    assert stems[0] == stems[1] == whole[0] and stems[2] == whole[1]
+
+
 def test_toxicity_of_held_out_texts(spark, make_docs):
     rng = random.Random(6)
     texts, marks = [], []
