@@ -59,9 +59,9 @@ CTE: dict[str, str] = {
          CAST('0x' || substr(md5(c_idx || ':' || p_idx || ':neg'), 1, 15) AS BIGINT) % (SELECT count(*) FROM target_index) AS n
   FROM nce""",
     "flags": """
-  SELECT a.course_id, p_size % 3 AS vip_status, p_size % 2 AS needbuy_status
-  FROM (SELECT DISTINCT l_partkey AS course_id, l_suppkey % 4 AS permit_client FROM lineitem
-        WHERE l_suppkey % 2 = 1 AND l_returnflag = 'R') a JOIN part ON p_partkey = a.course_id""",
+  SELECT p_partkey AS course_id, p_size % 3 AS vip_status, p_size % 2 AS needbuy_status
+  FROM part JOIN (SELECT l_partkey, l_suppkey % 4 AS client FROM lineitem
+                  WHERE l_returnflag = 'R' AND l_suppkey % 2 = 1 GROUP BY ALL) AS offers ON l_partkey = p_partkey""",
     "flagged": """
   SELECT vec_id AS video_id, embedding,
          CAST(coalesce(vip_status, 0) AS BIGINT) AS vip_status,
@@ -170,9 +170,9 @@ ORACLES: dict[str, str] = {
         "SELECT F_time, StationNum, round(ExMaxWindV, 6) AS ExMaxWindV FROM labels", "labels"
     ),
     "src_catalog_sql": """
-        SELECT CAST(a.course_id AS VARCHAR) AS course_id, p_size % 3 AS vip_status, p_size % 2 AS needbuy_status, permit_client
-        FROM (SELECT DISTINCT l_partkey AS course_id, l_suppkey % 4 AS permit_client FROM lineitem
-              WHERE l_suppkey % 2 = 1 AND l_returnflag = 'R') a JOIN part ON p_partkey = a.course_id""",
+        WITH offers AS (SELECT l_partkey, l_suppkey % 4 AS permit_client FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 2 = 1 GROUP BY ALL)
+        SELECT CAST(p_partkey AS VARCHAR) AS course_id, p_size % 3 AS vip_status, p_size % 2 AS needbuy_status, permit_client
+        FROM part JOIN offers ON l_partkey = p_partkey""",
     "src_replaced_table": _with(
         "SELECT vip_status, needbuy_status, count(*) AS n FROM flags GROUP BY 1, 2", "flags"
     ),
@@ -498,5 +498,9 @@ ORACLES["permutation_importance"] = """
     hits AS (SELECT feature, avg(CASE WHEN label = CASE WHEN coalesce(f1 >= 1.5, false) THEN CASE WHEN coalesce(f2 IN ('cat', 'dog'), false) THEN 0 ELSE 1 END ELSE 2 END
                                  THEN 1.0 ELSE 0.0 END) AS accuracy FROM rows GROUP BY 1)
     SELECT feature, round(accuracy, 6) AS accuracy, round((SELECT accuracy FROM hits WHERE feature = '') - accuracy, 6) AS drop FROM hits WHERE feature <> ''"""
-ORACLES["publish_snapshot"] = """
-    SELECT unnest(['query', 'search']) AS alias, (SELECT count(DISTINCT vec_id) FROM embeddings) AS rows"""
+ORACLES["publish_snapshot"] = _with(
+    """SELECT tower, video_id, max(vip_status) AS vip_status, max(needbuy_status) AS needbuy_status, round(any_value(CASE tower
+              WHEN 'query' THEN list_sum(CAST(embedding[1:32] AS DOUBLE[])) ELSE list_sum(CAST(embedding[33:64] AS DOUBLE[])) END), 5) AS total
+       FROM flagged, (SELECT unnest(['query', 'search']) AS tower) GROUP BY tower, video_id""",
+    "flagged",
+)

@@ -90,10 +90,9 @@ def src_catalog_sql(spark: SparkSession, sf: str) -> DataFrame:
     views.register_views(spark, sf, ["course_platform", "course"])
     return spark.sql(
         """
-        SELECT CAST(a.course_id AS STRING) AS course_id, is_vip AS vip_status, is_needbuy AS needbuy_status,
-               permit_client
-        FROM (SELECT DISTINCT course_id, permit_client FROM course_platform WHERE platform = 1 AND status = 1) a
-        JOIN course b ON a.course_id = b.id
+        WITH offers AS (SELECT course_id AS id, permit_client FROM course_platform WHERE status = 1 AND platform = 1 GROUP BY ALL)
+        SELECT string(id) AS course_id, is_vip AS vip_status, is_needbuy AS needbuy_status, permit_client
+        FROM course JOIN offers USING (id)
         """
     )
 

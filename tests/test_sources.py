@@ -70,20 +70,65 @@ def test_null_hours_do_not_form_a_group(spark):
     assert forecast.station_labels(obs).count() == 1
 
 
-def test_publish_switches_the_alias_and_retires_old_versions(spark):
-    vectors = t.video_embedding(spark, SF)
-    inputs = vectors, t.course_platform(spark, SF), t.course(spark, SF)
-    assert catalog.catalog_flags(*inputs).count() > vectors.count()
-    flagged = catalog.publishable(*inputs)
+@pytest.fixture
+def flagged(spark):
+    yield catalog.publishable(t.video_embedding(spark, SF), t.course_platform(spark, SF), t.course(spark, SF))
+    spark.sql("DROP VIEW IF EXISTS towers")
+    for prefix in ("tq_", "ts_"):
+        for row in spark.sql(f"SHOW TABLES LIKE '{prefix}*'").collect():
+            spark.sql(f"DROP TABLE `{row.tableName}`")
+
+
+def names(spark, prefix):
+    return sorted(r.tableName for r in spark.sql(f"SHOW TABLES LIKE '{prefix}*'").collect())
+
+
+def test_publish_switches_both_towers_and_retires_old_versions(spark, flagged):
     for day in range(1, 7):
-        query, search = catalog.publish_pair(flagged, "tq_", "ts_", f"2024010{day}000000")
-        assert query.rows == search.rows == vectors.count()
-    assert query.alias == "tq" and spark.table("tq").columns == ["video_id", "embedding", "vip_status", "needbuy_status"]
+        done = catalog.publish_pair(flagged, "tq_", "ts_", "towers", f"2024010{day}000000")
+        assert done.rows == {"query": flagged.count(), "search": flagged.count()}
+        assert catalog.current_version(spark, "towers") == done
+        for tower in catalog.TOWERS:
+            assert sorted(catalog.read_tower(spark, "towers", tower).collect()) == sorted(done.read(spark, tower).collect())
     assert catalog.apply_retention(spark, "tq_") == ["tq_20240102000000", "tq_20240103000000"]
-    left = sorted(r.tableName for r in spark.sql("SHOW TABLES").collect() if r.tableName.startswith("tq_"))
-    assert left == [f"tq_2024010{d}000000" for d in (1, 4, 5, 6)]
-    with pytest.raises(Exception):
-        catalog.publish_pair(flagged, "tq_", "ts_", "20240106000000")
+    assert names(spark, "tq_") == [f"tq_2024010{d}000000" for d in (1, 4, 5, 6)]
+    with pytest.raises(ValueError):
+        catalog.publish_pair(flagged, "tq_", "ts_", "towers", "20240106000000")
+    plan = catalog.read_tower(spark, "towers", "query")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "tq_20240106000000" in plan
+
+
+@pytest.mark.parametrize("step", [0, 1, 2])
+def test_a_job_broken_off_leaves_the_old_version(spark, flagged, monkeypatch, step):
+    old = catalog.publish_pair(flagged, "tq_", "ts_", "towers", "1")
+    calls, sums = [], catalog._content
+
+    def broken(df):
+        calls.append(1)
+        if len(calls) == 2 * step + 2 or step == 2 and len(calls) == 4:
+            raise OSError("lost")
+        return sums(df)
+
+    monkeypatch.setattr(catalog, "_content", broken)
+    fewer = flagged.where("video_id % 2 = 0")
+    with pytest.raises(OSError):
+        catalog.publish_pair(fewer, "tq_", "ts_", "towers", "2")
+    monkeypatch.setattr(catalog, "_content", sums)
+    assert catalog.current_version(spark, "towers") == old
+    for tower in catalog.TOWERS:
+        assert catalog.read_tower(spark, "towers", tower).count() == flagged.count()
+    left = catalog.drop_unpublished(spark, "tq_", "ts_", "towers") if step == 1 else None
+    assert left in (None, ["tq_2", "ts_2"])
+    done = catalog.publish_pair(fewer, "tq_", "ts_", "towers", "2")
+    assert done.rows == {"query": fewer.count(), "search": fewer.count()} and catalog.current_version(spark, "towers") == done
+
+
+def test_a_table_that_lost_rows_is_not_published(spark, flagged, monkeypatch):
+    sums = catalog._content
+    monkeypatch.setattr(catalog, "_content", lambda df: (sums(df)[0], len(df.columns) and id(df)))
+    with pytest.raises(RuntimeError):
+        catalog.publish_pair(flagged, "tq_", "ts_", "towers", "1")
+    assert catalog.current_version(spark, "towers") is None
 
 
 @pytest.mark.parametrize("n,victims", [(0, 0), (1, 0), (4, 0), (5, 1), (9, 5)])
