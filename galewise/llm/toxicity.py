@@ -33,29 +33,24 @@ def _tokens(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     return [words, *(mix(x + U64(7 + i)) for i, x in enumerate(begun))], bounds
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(token, counts) with each token once, in order; counts has a column for each fold and label."""
-    tokens, counts = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(tokens, kind="stable")
-    tokens = tokens[order]
-    first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.empty(0, np.int64)
-    return tokens[first], np.add.reduceat(counts[order], first) if len(first) else counts
-
-
-def _named(counts: np.ndarray) -> list[pa.Array]:
-    return [pa.array(counts[:, i].astype(np.int32)) for i in range(2 * FOLDS)]
-
-
-COUNTS = [f"{kind}_{fold}" for fold in range(FOLDS) for kind in ("clean", "toxic")]
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(token, place, n) with each token and place once, in order."""
+    tokens, places, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((places, tokens))
+    tokens, places = tokens[order], places[order]
+    if not len(tokens):
+        return tokens, places, counts
+    first = np.flatnonzero(np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (places[1:] != places[:-1]))))
+    return tokens[first], places[first], np.add.reduceat(counts[order], first)
 
 
 def _counts(train: DataFrame) -> DataFrame:
-    """(token, clean_0, toxic_0, …): in how many texts of each fold and kind every token occurs, by its 64-bit hash.
+    """(token, place, n): in how many texts every token occurs, by its 64-bit hash; ``place`` is twice the fold, and one more for toxic texts.
 
     A task sums its texts' counts first and passes them on whenever it holds HELD of them.
     """
 
-    def count(part: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    def count(part: pa.RecordBatch) -> list[tuple[np.ndarray, ...]]:
         kinds, bounds = _tokens(part.column("text"))
         place = 2 * part.column("fold").to_numpy().astype(np.int64) + part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
         text = np.repeat(np.arange(part.num_rows), np.diff(bounds))
@@ -65,17 +60,15 @@ def _counts(train: DataFrame) -> DataFrame:
             values, who = values[order], text[order]
             if len(values):
                 once = np.flatnonzero(np.concatenate(([True], (values[1:] != values[:-1]) | (who[1:] != who[:-1]))))
-                ones = np.zeros((len(once), 2 * FOLDS), dtype=np.int32)
-                ones[np.arange(len(once)), place[who[once]]] = 1
-                made.append(_summed([(values[once], ones)]))
+                made.append(_summed([(values[once], place[who[once]], np.ones(len(once), np.int64))]))
         return made
 
-    def rows(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        tokens, counts = _summed(parts)
-        return pa.RecordBatch.from_arrays([signed(tokens), *_named(counts)], names=["token", *COUNTS])
+    def rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        tokens, places, counts = _summed(parts)
+        return pa.RecordBatch.from_arrays([signed(tokens), pa.array(places.astype(np.int32)), pa.array(counts)], names=["token", "place", "n"])
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for part in slices(batch, "text"):
                 held += count(part)
@@ -87,8 +80,7 @@ def _counts(train: DataFrame) -> DataFrame:
         if held:
             yield rows(held)
 
-    made = train.mapInArrow(run, "token long, " + ", ".join(f"{c} int" for c in COUNTS))
-    return made.groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return train.mapInArrow(run, "token long, place int, n long").groupBy("token", "place").agg(F.sum("n").alias("n"))
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, all_toxic: float, all_clean: float) -> tuple[np.ndarray, np.ndarray]:
@@ -270,10 +262,11 @@ def _shards(counts: DataFrame, root: str, totals: np.ndarray) -> list[dict]:
     fs.create_dir(folder, recursive=True)
 
     def write(table: pa.Table) -> pa.Table:
-        tokens = table.column("token").to_numpy().view(U64)
-        scores = token_scores(np.stack([table.column(c).to_numpy() for c in COUNTS], axis=1), totals)
+        tokens, row = np.unique(table.column("token").to_numpy().view(U64), return_inverse=True)
+        counts = np.zeros((len(tokens), 2 * FOLDS), dtype=np.int64)
+        counts[row, table.column("place").to_numpy()] = table.column("n").to_numpy()
+        scores = token_scores(counts, totals)
         keep = np.flatnonzero(scores.any(axis=1))
-        keep = keep[np.argsort(tokens[keep])]
         entry = write_arrays(root, "tokens", tokens=tokens[keep], scores=scores[keep].astype(np.float32).ravel()) if len(keep) else {}
         return pa.table({"shard": table.column("shard")[:1], "entry": [json.dumps(entry)]})
 
@@ -288,7 +281,9 @@ def train_toxicity(train: DataFrame) -> ToxicModel:
     Law and probabilities are fitted on texts judged by the counts of the other folds, the final scores come from all.
     """
     counts = stored(_counts(train), "counts")
-    totals = np.array([x or 0 for x in counts.agg(*[F.sum(c) for c in COUNTS]).first()], dtype=float)
+    totals = np.zeros(2 * FOLDS)
+    for r in counts.groupBy("place").agg(F.sum("n").alias("n")).collect():
+        totals[r.place] = r.n
     root = scratch_path(train.sparkSession, "llm-toxicity")
     if not totals[0::2].sum() or not totals[1::2].sum():
         return ToxicModel(root, [], 1.0, np.empty(0), np.empty(0), np.empty(0))
