@@ -224,7 +224,7 @@ ORACLES: dict[str, str] = {
                SELECT DISTINCT s.user_id, m.left_video_id AS course_id
                FROM seeds s JOIN sim_matrix m ON m.right_video_id = s.course_id
                JOIN part p ON p.p_partkey = m.left_video_id
-               WHERE p.p_size % 3 = 2 AND p.p_size % 2 = 0)) WHERE rn <= 1024""",
+               WHERE p.p_size % 3 = 2 AND p.p_size % 2 = 0 AND p.p_partkey % 7 > 0)) WHERE rn <= 1024""",
         "seeds", "sim_matrix",
     ),
     "tower_join": _with(
@@ -498,6 +498,7 @@ ORACLES["permutation_importance"] = """
     hits AS (SELECT feature, avg(CASE WHEN label = CASE WHEN coalesce(f1 >= 1.5, false) THEN CASE WHEN coalesce(f2 IN ('cat', 'dog'), false) THEN 0 ELSE 1 END ELSE 2 END
                                  THEN 1.0 ELSE 0.0 END) AS accuracy FROM rows GROUP BY 1)
     SELECT feature, round(accuracy, 6) AS accuracy, round((SELECT accuracy FROM hits WHERE feature = '') - accuracy, 6) AS drop FROM hits WHERE feature <> ''"""
+ORACLES["forecast_features_stored"] = ORACLES["forecast_features"]
 ORACLES["publish_snapshot"] = _with(
     """SELECT tower, video_id, max(vip_status) AS vip_status, max(needbuy_status) AS needbuy_status, round(any_value(CASE tower
               WHEN 'query' THEN list_sum(CAST(embedding[1:32] AS DOUBLE[])) ELSE list_sum(CAST(embedding[33:64] AS DOUBLE[])) END), 5) AS total

@@ -215,10 +215,18 @@ def dense_forward(spark: SparkSession, sf: str) -> DataFrame:
 # --- forecast ----------------------------------------------------------------
 
 
+def _spread_features(features: DataFrame) -> DataFrame:
+    return features.select("gap", "F_time", F.size("input").alias("width"), F.posexplode("input").alias("pos", "value"))
+
+
 def forecast_features(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.features(spark, sf).select(
-        "gap", "F_time", F.size("input").alias("width"), F.posexplode("input").alias("pos", "value")
-    )
+    return _spread_features(inputs.features(spark, sf))
+
+
+def forecast_features_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from cells stored by lead, of which only the wanted leads and the box are read."""
+    grid = forecast.store_grid(t.forecast_grid(spark, sf), scratch_path(spark, "grid"))
+    return _spread_features(forecast.forecast_features(grid))
 
 
 def station_labels(spark: SparkSession, sf: str) -> DataFrame:

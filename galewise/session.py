@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +66,28 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_ONCE: dict[tuple, list[tuple[str, object]]] = {}
+
+
+def stored_once(spark: SparkSession, label: str, source: str, make: Callable[[], list[DataFrame]]) -> list[DataFrame]:
+    """The tables that ``make`` derives from the file or folder ``source``, written at the first call of an application and read after that.
+
+    A source that has changed since (by its time or length) is derived anew.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(source)
+    state = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, shared_dir(spark), label, source, state.getModificationTime(), state.getLen())
+    if key not in _ONCE:
+        made = []
+        for df in make():
+            place = scratch_path(spark, label)
+            df.write.parquet(place)
+            made.append((place, df.schema))
+        _ONCE[key] = made
+    return [spark.read.schema(schema).parquet(place) for place, schema in _ONCE[key]]
+
+
 class Versions:
     """Named tables of an iterating job in the shared folder, newest version only.
 

@@ -9,7 +9,7 @@ from galewise.functions.hashing import hash60
 from galewise.functions.timefns import add_hours, format_forecast_time
 from galewise.functions.vectors import as_double
 from galewise.operators.indexing import dense_index
-from galewise.session import cut_lineage
+from galewise.session import cut_lineage, stored_once
 
 # Station ids, forecast channels and data layout of the input data.
 STATIONS = ["K2931", "K2942", "K2962"]
@@ -103,6 +103,11 @@ def forecast_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sim_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of :func:`item_pairs`, derived once for all jobs of an application."""
+    return stored_once(spark, "sim-matrix", f"{sf_dir}/lineitem.parquet", lambda: [item_pairs(spark, sf_dir)])[0]
+
+
+def item_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item pairs, both ways: each row of an order with the next one, by slot and item.
 
     Rows are numbered inside their (order, slot); a row meets the next number, the last the first
@@ -143,16 +148,21 @@ def sim_matrix_mapping_nce(pairs: DataFrame) -> DataFrame:
 def sim_matrix_nce(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The pairs with dense numbers for contexts and targets, and the target mapping.
 
-    Both are stored, as they are tables that many jobs read.
+    Both are tables that many jobs read, so they are derived once for all jobs of an application.
     """
-    pairs = cut_lineage(sim_matrix(spark, sf_dir), "sim-matrix")
-    mapping = cut_lineage(sim_matrix_mapping_nce(pairs), "mapping-nce")
-    contexts = dense_index(pairs.select("left_video_id").distinct(), "left_video_id", "c_idx")
-    targets = mapping.select(F.col("video_id").alias("right_video_id"), "p_idx")
-    sample = pairs.join(contexts, "left_video_id").join(targets, "right_video_id").select(
-        "left_video_id", "c_idx", F.col("right_video_id").alias("p_right_video_id"), "p_idx"
-    )
-    return cut_lineage(sample, "sample-nce"), mapping
+
+    def make() -> list[DataFrame]:
+        pairs = sim_matrix(spark, sf_dir)
+        mapping = cut_lineage(sim_matrix_mapping_nce(pairs), "mapping-nce")
+        contexts = cut_lineage(dense_index(pairs.select("left_video_id").distinct(), "left_video_id", "c_idx"), "contexts-nce")
+        targets = mapping.select(F.col("video_id").alias("right_video_id"), "p_idx")
+        sample = pairs.join(contexts, "left_video_id").join(targets, "right_video_id").select(
+            "left_video_id", "c_idx", F.col("right_video_id").alias("p_right_video_id"), "p_idx"
+        )
+        return [sample, mapping]
+
+    sample, mapping = stored_once(spark, "sample-nce", f"{sf_dir}/lineitem.parquet", make)
+    return sample, mapping
 
 
 def video_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +198,7 @@ def course_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("course_id"),
         (F.col("p_size") % 3).alias("vip_status"),
         (F.col("p_size") % 2).alias("needbuy_status"),
-        F.lit(1).alias("status"),
+        (F.col("p_partkey") % 7 > 0).cast("int").alias("status"),
     )
 
 
