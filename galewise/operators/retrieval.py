@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -305,50 +306,129 @@ def knn_exact(
 
 # --- index ---
 
+RETIRED = 1e100  # each element of the centre of a list that was split: nearest to nothing
+
 
 @dataclass(frozen=True)
 class IvfIndex:
-    """Vectors stored by list, and where the lists lie (at most ``nlist`` rows)."""
+    """One version of an index: where the lists lie, and in which parts of the stored vectors.
+
+    Below ``path`` the folder ``data`` holds the vectors by part and list, and ``versions`` a table for each version, written last. A version
+    never changes, so a reader of an older one isn't disturbed.
+    """
 
     path: str
+    version: int
     lists_at: Lists
+    parts: list[int]
 
     @property
     def centroids(self) -> np.ndarray:
         return self.lists_at.centres
 
+    @property
+    def live(self) -> list[int]:
+        """Lists that were not split, at most a small number more than were asked for."""
+        return np.flatnonzero(self.centroids[:, 0] != RETIRED).tolist()
+
     def lists(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/lists")
+        """The stored rows with their ``list_id``; only this version's parts and lists are read."""
+        data = f"{self.path}/data"
+        found = spark.read.option("basePath", data).parquet(*[f"{data}/part={p}" for p in self.parts])
+        return found.where(F.col("list_id").isin(self.live)).drop("part")
 
 
-def open_ivf(spark: SparkSession, path: str) -> IvfIndex:
-    """An index that was built before."""
-    rows = spark.read.parquet(f"{path}/centroids").orderBy("list_id").collect()
-    return IvfIndex(path, Lists(np.array([r.centre for r in rows]), np.array([r.radius for r in rows]), np.array([r.longest for r in rows])))
+def _version_names(spark: SparkSession, path: str) -> list[int]:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{path}/versions")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return sorted(int(n) for n in names if fs.exists(hadoop.Path(f"{path}/versions/{n}/_SUCCESS")))
 
 
-def _write_lists(spark: SparkSession, path: str, lists: Lists) -> IvfIndex:
-    table = [(i, [float(x) for x in c], float(r), float(m)) for i, (c, r, m) in enumerate(zip(lists.centres, lists.radii, lists.longest))]
-    spark.createDataFrame(table, "list_id int, centre array<double>, radius double, longest double").coalesce(1).write.parquet(f"{path}/centroids")
-    return IvfIndex(path, lists)
+def open_ivf(spark: SparkSession, path: str, version: int | None = None) -> IvfIndex:
+    """The newest complete version of an index, or an older one."""
+    version = version or _version_names(spark, path)[-1]
+    rows = spark.read.parquet(f"{path}/versions/{version}").orderBy("list_id").collect()
+    return IvfIndex(path, version, Lists(*(np.array([r[c] for r in rows]) for c in ("centre", "radius", "longest"))), rows[0].parts)
 
 
-def build_ivf(items: DataFrame, path: str, nlist: int = 1024, vec: str = "embedding", id_col: str = "video_id", iterations: int = ITERATIONS) -> IvfIndex:
-    """Cluster the vectors and store them below ``path``, partitioned by list.
+def _write_part(items: DataFrame, path: str, part: int) -> None:
+    # AQE splits a list that is much larger than the others into several files
+    items.hint("rebalance", F.col("list_id")).write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/data/part={part}")
 
-    Centres start at the ``nlist`` vectors of the smallest id hashes (fewer if there are fewer vectors) and move to the means of all vectors nearest to them, added
-    without rounding errors, so the index is the same on any partitioning.
-    """
-    spark = items.sparkSession
-    centres = _first_centres(items, id_col, vec, nlist)
+
+def _write_version(spark: SparkSession, path: str, version: int, lists: Lists, parts: list[int]) -> IvfIndex:
+    table = [(i, [float(x) for x in c], float(r), float(m), parts) for i, (c, r, m) in enumerate(zip(lists.centres, lists.radii, lists.longest))]
+    schema = "list_id int, centre array<double>, radius double, longest double, parts array<int>"
+    spark.createDataFrame(table, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/{version}")
+    return IvfIndex(path, version, lists, parts)
+
+
+def _clustered(items: DataFrame, count: int, vec: str, id_col: str, iterations: int) -> np.ndarray:
+    """Up to ``count`` centres: at first the vectors of the smallest id hashes, then means of the vectors nearest to them."""
+    centres = _first_centres(items, id_col, vec, count)
     for _ in range(iterations):
         centres, before = _moved(items, centres, vec), centres
         if np.array_equal(centres, before):
             break
-    # AQE splits a list that is much larger than the others into several files
-    _assigned(items, centres, vec).hint("rebalance", F.col("list_id")).write.partitionBy("list_id").parquet(f"{path}/lists")
-    lists, _ = _measured(spark.read.parquet(f"{path}/lists"), centres, vec)
-    return _write_lists(spark, path, lists)
+    return centres
+
+
+def build_ivf(items: DataFrame, path: str, nlist: int = 1024, vec: str = "embedding", id_col: str = "video_id", iterations: int = ITERATIONS) -> IvfIndex:
+    """Cluster the vectors and store them below ``path`` by list, as version 1.
+
+    Means are added without rounding errors, so the index is the same on any partitioning.
+    """
+    spark = items.sparkSession
+    centres = _clustered(items, nlist, vec, id_col, iterations)
+    _write_part(_assigned(items, centres, vec), path, 1)
+    part = spark.read.parquet(f"{path}/data/part=1")
+    lists, _ = _measured(part, centres, vec)
+    return _write_version(spark, path, 1, lists, [1])
+
+
+def extend_ivf(index: IvfIndex, items: DataFrame, most_rows: int, vec: str = "embedding", id_col: str = "video_id", iterations: int = ITERATIONS) -> IvfIndex:
+    """Add vectors to an index as its next version; only they and the lists that are split are written.
+
+    New vectors go to the lists of their nearest stored centres. A list with more than ``most_rows`` rows is split in two around two centres of its
+    own and leaves its number behind, again until none is larger or its vectors are all equal.
+    """
+    spark, path, version = items.sparkSession, index.path, index.version + 1
+    fresh = max(index.parts) + 1  # a broken job's part of that number is overwritten
+    _write_part(_assigned(items, index.centroids, vec), path, fresh)
+    added, _ = _measured(spark.read.parquet(f"{path}/data/part={fresh}"), index.centroids, vec)
+    old, parts = index.lists_at, [*index.parts, fresh]
+    lists = Lists(old.centres, np.maximum(old.radii, added.radii), np.maximum(old.longest, added.longest))
+    grown, whole = IvfIndex(path, version, lists, parts), set()
+    while True:
+        sizes = grown.lists(spark).groupBy("list_id").count().where(F.col("count") > most_rows).collect()
+        large = sorted(r["list_id"] for r in sizes if r["list_id"] not in whole)
+        if not large:
+            return _write_version(spark, path, version, grown.lists_at, grown.parts)
+        centres, halves = grown.centroids.copy(), []
+        for number in large:
+            own = cut_lineage(grown.lists(spark).where(F.col("list_id") == number).drop("list_id"), "large-list")
+            two = _clustered(own, 2, vec, id_col, iterations)
+            placed = _assigned(own, two, vec) if len(two) == 2 else None
+            if placed is None or placed.select("list_id").distinct().count() < 2:
+                whole.add(number)
+                continue
+            first = len(centres)
+            centres = np.vstack((centres, two))
+            centres[number] = RETIRED
+            halves.append(placed.withColumn("list_id", F.col("list_id") + first))
+        if not halves:
+            continue
+        fresh += 1
+        _write_part(reduce(DataFrame.unionByName, halves), path, fresh)
+        made, _ = _measured(spark.read.parquet(f"{path}/data/part={fresh}"), centres, vec)
+        pad = np.zeros(len(centres) - len(grown.centroids))
+        radii, longest = (np.maximum(np.concatenate((x, pad)), y) for x, y in ((grown.lists_at.radii, made.radii), (grown.lists_at.longest, made.longest)))
+        gone = centres[:, 0] == RETIRED
+        grown = IvfIndex(path, version, Lists(centres, np.where(gone, 0, radii), np.where(gone, 0, longest)), [*grown.parts, fresh])
 
 
 def enough_lists(queries: DataFrame, items: DataFrame, lists: Lists, rows: dict[int, int], depth: int, recall: float, sample: int = SAMPLE) -> int:

@@ -272,6 +272,29 @@ def knn_ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.knn_ivf(queries, index, limit=10, recall=0.95)
 
 
+def knn_ivf_grown(spark: SparkSession, sf: str) -> DataFrame:
+    """Proven search of an index that was built on a third of the items, then grew twice and split its larger lists."""
+    queries, items = inputs.towers(spark, sf)
+    third = [items.where(F.col("video_id") % 3 == k) for k in range(3)]
+    index = retrieval.build_ivf(third[0], scratch_path(spark, "ivf"), 4)
+    most = -(-items.count() // 8)
+    for more in third[1:]:
+        index = retrieval.extend_ivf(index, more, most)
+    return retrieval.knn_ivf(queries, index)
+
+
+def knn_ivf_towers(spark: SparkSession, sf: str) -> DataFrame:
+    """Both towers indexed: the best items of either for the vectors of the other."""
+    rows = cut_lineage(catalog.publishable(*inputs.catalogue(spark, sf)), "towers")
+    flags = ["vip_status", "needbuy_status"]
+    query, search = (rows.select("video_id", F.col(f"embedding_{t}").alias("embedding"), *flags) for t in catalog.TOWERS)
+    found = []
+    for name, wanted, items in (("search", query, search), ("query", search, query)):
+        index = retrieval.build_ivf(items, scratch_path(spark, "ivf"), NLIST)
+        found.append(retrieval.knn_ivf(wanted, index).withColumn("tower", F.lit(name)))
+    return found[0].unionByName(found[1])
+
+
 def publish_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """Publish both towers twice and read the rows behind the pointer."""
     run = uuid.uuid4().hex[:8]

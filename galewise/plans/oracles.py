@@ -487,6 +487,16 @@ ORACLES["lambda_gradients"] = (
 ORACLES["knn_exact_blocks"] = ORACLES["knn_exact_filtered"]
 ORACLES["knn_ivf_full_probe"] = ORACLES["knn_exact_filtered"]
 ORACLES["knn_ivf_probe"] = ORACLES["knn_exact_filtered"]
+ORACLES["knn_ivf_grown"] = ORACLES["knn_exact_filtered"]
+ORACLES["knn_ivf_towers"] = _with(
+    f"""SELECT tower, query_id, video_id, score, rn FROM (
+          SELECT *, CAST(row_number() OVER (PARTITION BY tower, query_id ORDER BY score DESC, video_id) AS INT) AS rn
+          FROM (SELECT tower, q.video_id AS query_id, i.video_id, round(CASE tower
+                           WHEN 'search' THEN {_DOT32.format(a='q.embedding', b='i.embedding')} ELSE {_DOT32.format(a='i.embedding', b='q.embedding')} END, 6) AS score
+                FROM published q, published i, (SELECT unnest(['search', 'query']) AS tower) WHERE i.vip_status = 0 AND i.needbuy_status = 0))
+        WHERE rn > 4 AND rn <= 1028""",
+    "published",
+)
 ORACLES["tree_score_table"] = ORACLES["tree_score"]
 ORACLES["permutation_importance"] = """
     WITH x AS (SELECT vec_id AS row_id, vec_id % 3 AS label, CASE WHEN vec_id % 13 <> 0 THEN CAST(embedding[1] AS DOUBLE) * 10 END AS f1,

@@ -130,6 +130,38 @@ def test_registered_searches_reach_their_recall(spark):
     assert measured_recall(ten, ranked(model_queries.knn_ivf_recall(spark, SF))) >= 0.9
 
 
+def test_a_grown_index_equals_a_new_one(spark, clustered, tmp_path):
+    wanted, items, flags = clustered
+    whole = frame(spark, items, flags)
+    index = retrieval.build_ivf(whole.where("video_id % 3 = 0"), str(tmp_path / "ivf"), nlist=6)
+    grown = retrieval.extend_ivf(index, whole.where("video_id % 3 = 1"), most_rows=400)
+    grown = retrieval.extend_ivf(grown, whole.where("video_id % 3 = 2"), most_rows=400)
+    stored = grown.lists(spark)
+    assert stored.count() == stored.select("video_id").distinct().count() == 4000
+    sizes = {r["list_id"]: r["count"] for r in stored.groupBy("list_id").count().collect()}
+    assert max(sizes.values()) <= 400 and len(grown.live) > 6 and set(sizes) <= set(grown.live)
+    want = brute(wanted, items, flags, 20, 4)
+    again = retrieval.open_ivf(spark, str(tmp_path / "ivf"))
+    assert again.version == 3 and np.array_equal(again.centroids, grown.centroids)
+    for search in (again, grown):
+        assert ranked(retrieval.knn_ivf(frame(spark, wanted), search, nprobe=len(search.centroids), limit=20)) == want
+        assert ranked(retrieval.knn_ivf(frame(spark, wanted), search, limit=20)) == want
+    # a reader of the first version still sees its rows
+    assert retrieval.open_ivf(spark, str(tmp_path / "ivf"), 1).lists(spark).count() == whole.where("video_id % 3 = 0").count()
+
+
+def test_a_list_of_equal_vectors_stays_whole_and_a_broken_growth_is_not_seen(spark, tmp_path, monkeypatch):
+    same = frame(spark, [[1.0, 2.0]] * 50)
+    index = retrieval.build_ivf(same.where("video_id < 20"), str(tmp_path / "ivf"), nlist=1)
+    monkeypatch.setattr(retrieval, "_write_version", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        retrieval.extend_ivf(index, same.where("video_id >= 20"), most_rows=10)
+    monkeypatch.undo()
+    assert retrieval.open_ivf(spark, str(tmp_path / "ivf")).lists(spark).count() == 20
+    grown = retrieval.extend_ivf(index, same.where("video_id >= 20"), most_rows=10)
+    assert grown.lists(spark).count() == 50 and len(grown.live) == 1
+
+
 def test_index_is_the_same_on_any_partitioning(spark, data, tmp_path):
     _, items, flags = data
     one = retrieval.build_ivf(frame(spark, items, flags).coalesce(1), str(tmp_path / "one"), nlist=9)
