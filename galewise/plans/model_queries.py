@@ -11,6 +11,7 @@ from galewise.functions.vectors import as_double, scale
 from galewise.operators import catalog, forecast, gradients, metrics, ranking, retrieval, sampling, towers, trees
 from galewise.plans import bagging, boosting, calibration, embeddings, forests, inputs, ranker
 from galewise.plans import queries as base
+from galewise.plans import vector_net as vector_net_plan
 from galewise.session import cut_lineage, scratch_path
 from galewise.sources import files
 from galewise.sources import tables as t
@@ -231,6 +232,14 @@ def vector_classify(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.accuracy(predictions, "prediction", "label")
 
 
+def vector_net(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out accuracy of a relu network with dropout and a softmax head, five epochs of batches of 32."""
+    rows = t.table(spark, sf, "embeddings")
+    train, test = sampling.train_test_split(rows, "vec_id")
+    net = vector_net_plan.train_vector_net(train, "embedding", "label", "vec_id", rows.agg(F.max("label")).first()[0] + 1)
+    return metrics.accuracy(net.predict(test, "embedding", "vec_id").join(test.select("vec_id", "label"), "vec_id"), "prediction", "label")
+
+
 def rank_boost_train(spark: SparkSession, sf: str) -> DataFrame:
     """Mean NDCG of 50 ranking trees after each of them, on training groups and on a tenth held out."""
     rows = files.parse_ranking_lines(t.ranking_lines(spark, sf), base.FEATURES, with_id=True).withColumnRenamed("doc_id", "row_id")

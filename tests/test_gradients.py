@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from galewise.functions import mlp
 from galewise.operators import gradients, metrics
 from galewise.operators.ranking import lambda_gradients
+from galewise.plans import vector_net
 
 W = 4
 
@@ -198,3 +199,24 @@ def test_ndcg_against_numpy(spark):
     got = {r.group: r.ndcg for r in metrics.ndcg(df).collect()}
     dcg, ideal = 1 / np.log2(3) + 3 / 2, 3 + 1 / np.log2(3)
     assert got == {"a": pytest.approx(dcg / ideal)}
+
+
+def test_softmax_with_dropout():
+    rng = np.random.default_rng(6)
+    sizes, x, y = [5, 7, 3], rng.normal(size=(9, 5)), rng.integers(0, 3, 9)
+    flat = mlp.flatten(mlp.start_layers(sizes, 2)) + 0.03
+    mask = vector_net.dropout_mask(np.arange(9), 7, 4, 0.3, 1)
+    loss = lambda f: vector_net.softmax_loss(x, y, mask, mlp.unflatten(f, sizes))[0]
+    _, grad, p = vector_net.softmax_loss(x, y, mask, mlp.unflatten(flat, sizes))
+    assert np.allclose(p.sum(axis=1), 1) and set(np.unique(mask)) <= {0.0, 1 / 0.7} and 0 < (mask == 0).mean() < 0.6
+    for i in range(len(flat)):
+        e = np.zeros_like(flat)
+        e[i] = 1e-6
+        assert grad[i] == pytest.approx((loss(flat + e) - loss(flat - e)) / 2e-6, abs=1e-5)
+
+
+def test_dropout_masks_repeat_and_differ_by_step():
+    keys = np.random.default_rng(1).integers(-(2**60), 2**60, 3000)
+    a, b = (vector_net.dropout_mask(keys, 16, step, 0.2, 1) for step in (1, 2))
+    assert (a == 0).mean() == pytest.approx(0.2, abs=0.01) and abs(np.corrcoef(a.ravel(), b.ravel())[0, 1]) < 0.02
+    assert (vector_net.dropout_mask(keys[::-1], 16, 1, 0.2, 1)[::-1] == a).all()

@@ -12,7 +12,7 @@ from galewise.functions import mlp
 from galewise.functions.hashing import hash_bucket
 from galewise.functions.vectors import random_vector
 from galewise.operators import forecast, metrics, sampling
-from galewise.plans import batches, calibration, embeddings, forests, inputs, local_sgd, model_queries, queries, ranker
+from galewise.plans import batches, calibration, embeddings, forests, inputs, local_sgd, model_queries, queries, ranker, vector_net
 from galewise.sources import files
 from galewise.sources import tables as t
 
@@ -260,3 +260,15 @@ def test_vector_classifier(spark):
     _, predictions = forests.fit_vector_classifier(rows, "embedding", "label", (8,), 40, "vec_id")
     assert forests.accuracy_of(predictions) > 0.8
     assert abs(sum(predictions.first().probability) - 1) < 1e-9
+
+
+def test_vector_net_learns_and_repeats(spark):
+    rows = t.table(spark, SF, "embeddings").withColumn("label", (F.get("embedding", F.lit(0)) > 0).cast("int"))
+    net = vector_net.train_vector_net(rows, "embedding", "label", "vec_id", 2, epochs=30, rate=3e-3)
+    assert net.losses[-1] < 0.5 * net.losses[0]
+    got = net.predict(rows, "embedding", "vec_id").join(rows.select("vec_id", "label"), "vec_id")
+    assert forests.accuracy_of(got.withColumn("label", F.col("label").cast("double"))) > 0.9
+    again = vector_net.train_vector_net(rows.repartition(5), "embedding", "label", "vec_id", 2, epochs=2, rate=3e-3)
+    assert np.allclose(again.losses, net.losses[:2])
+    pieces = vector_net.train_vector_net(rows, "embedding", "label", "vec_id", 2, epochs=20, rate=3e-3, piece_rows=30)
+    assert pieces.losses[-1] < pieces.losses[0]
