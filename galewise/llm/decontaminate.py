@@ -12,7 +12,8 @@ from galewise.llm.toxicity import TOKEN
 
 BLOCK_ITEMS = 5000  # benchmark items handled in one pass over the texts
 PASSAGE, STRIDE = 200, 100  # words of a passage, and from one to the next of a long item
-SHORT, LONG = 3, 5  # words of a seed; longer where three words are too common
+PAIR, SHORT, LONG = 2, 3, 5  # words of a seed; longer where fewer words are too common
+SMALL = 12  # words up to which an item also has seeds of two words and one of its seeds is enough
 RARE = 1.0  # most occurrences of a seed expected by chance
 MATCH, OTHER, GAP = 2, -1, -1
 
@@ -71,11 +72,11 @@ def _seeds(passages: list[np.ndarray], known: np.ndarray, counts: np.ndarray, to
     out = {}
     logs = np.log((counts + 0.5) / max(total, 1))
     taken = [np.zeros(len(p), dtype=bool) for p in passages]
-    for size in (SHORT, LONG):
+    for size in (PAIR, SHORT, LONG):
         rows = []
         for i, words in enumerate(passages):
             grams = _grams(words, size)
-            if len(grams):
+            if len(grams) and (size > PAIR or len(words) <= SMALL):
                 own = np.concatenate(([0], np.cumsum(logs[np.searchsorted(known, words)])))
                 rare = own[size:] - own[:-size] + np.log(max(total, 1)) < np.log(RARE)
                 use = np.flatnonzero((rare | (size == LONG)) & ~taken[i][: len(grams)])
@@ -132,7 +133,7 @@ def _passes(docs: DataFrame, items: list[tuple[int, str]], least: float) -> Data
         made = []
         for lo, hi in zip(first, [*first[1:], len(text)]):
             i, passage = int(text[lo]), int(who[lo])
-            if len(np.unique(place[lo:hi])) < min(2, seeded[passage]):
+            if sizes[passage] > SMALL and len(np.unique(place[lo:hi])) < min(2, seeded[passage]):
                 continue
             pad = int(sizes[passage]) // 2 + 8
             left = max(int(bounds[i]), int(start[lo]) - pad)
@@ -162,11 +163,11 @@ def contaminated(
 
     Words are runs of letters and digits with A-Z lowered. Seeds are the item's runs of three words that chance would give less
     than once in all texts, else of five. Two seeds that agree on where the item begins call for an alignment, whose score is the share
-    of what an exact copy would get; from ``least`` on the text counts. Items longer than 200 words are aligned in overlapping
+    of what an exact copy would get; from ``least`` on the text counts. Items of up to SMALL words have seeds of two words too, and one calls for it. Items longer than 200 words are aligned in overlapping
     passages. ``block`` items are taken at a time, so what is sent to the tasks is bounded; each block reads the texts again.
 
     Null and empty texts and items match nothing. A null item id takes no part; a row without a doc_id is reported with null. An item of under
-    three words has no seed. Repeated rows are reported once per id; repeated items count once each id. Extra columns are ignored.
+    two words has no seed. Repeated rows are reported once per id; repeated items count once each id. Extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from galewise.llm.common import words_of
 from galewise.llm.components import connected
+from galewise.llm import decontaminate, toxicity
 from galewise.llm.decontaminate import contaminated
 from galewise.llm.line_dedup import dedup_lines
 from galewise.llm.lm_scoring import score_language
@@ -24,7 +25,6 @@ from galewise.llm.pii import FEMALE, MALE, MAY_HOLD, find, found_in, laid_out, m
 from galewise.llm.quality import classify_quality, exact_quantiles
 from galewise.llm.suffix_dedup import without_repeats
 from galewise.llm.topk import exact_topk
-from galewise.llm import toxicity
 from galewise.llm.toxicity import score_toxicity, segments
 
 
@@ -356,6 +356,22 @@ def test_decontamination_finds_edited_copies_alone(spark, make_docs):
     )
 
 
+@pytest.mark.parametrize("size", [5, 8, 12, 20, 40])
+def test_decontamination_recall_at_every_item_length(spark, make_docs, size):
+    """Of the texts that score 0.5 or more when aligned whole, at least 0.9 are found, and no others."""
+    rng = random.Random(size)
+    items = [sentence(rng, size, 5000) for _ in range(40)]
+    texts = []
+    for i in range(160):
+        words = [w if rng.random() > 0.25 else f"x{rng.randrange(10**6)}" for w in items[i % 40].split()]
+        texts.append(" ".join([sentence(rng, 60, 5000), *words, sentence(rng, 60, 5000)]))
+    plain = decontaminate._words(items), decontaminate._words(texts)
+    truth = {(i, j) for i, text in enumerate(plain[1]) for j in [i % 40] if decontaminate.align(plain[0][j], text)[0] >= 0.5 * 2 * size}
+    got = {(r.doc_id, r.item_id) for r in contaminated(make_docs(texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert len(truth) > 100 and len(got & truth) >= 0.9 * len(truth)
+    assert all(decontaminate.align(plain[0][j], plain[1][i])[0] >= size for i, j in got)
+
+
 def brute_language_model(train):
     """(token counts, chance of b behind a) of an interpolated modified Kneser-Ney model of pairs."""
     count, pairs = collections.Counter(), collections.Counter()
