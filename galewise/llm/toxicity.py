@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galewise.llm.common import IS_WORD, U64, map_slices, mix, signed, slices, stored, text_arrays, words_of
+from galewise.llm.common import IS_WORD, U64, map_slices, mix, settled, signed, slices, stored, text_arrays, words_of
 from galewise.llm.ngram import _fs, mapped, shard_of, write_arrays
 from galewise.session import scratch_path
 
@@ -287,7 +287,7 @@ def train_toxicity(train: DataFrame) -> ToxicModel:
 
     Law and probabilities are fitted on texts judged by the counts of the other folds, the final scores come from all.
     """
-    counts = stored(_counts(train), "counts")
+    counts = settled(_counts(train), "counts")
     totals = np.array([x or 0 for x in counts.agg(*[F.sum(c) for c in COUNTS]).first()], dtype=float)
     root = scratch_path(train.sparkSession, "llm-toxicity")
     if not totals[0::2].sum() or not totals[1::2].sum():
@@ -336,7 +336,7 @@ def score_toxicity(
     """
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (fold == held_out).alias("held_out"))
-    train = stored(labelled(rows.where(~F.col("held_out")), labels.select("doc_id", "toxic")), "train")
+    train = settled(labelled(rows.where(~F.col("held_out")), labels.select("doc_id", "toxic")), "train")
     model = train_toxicity(train)
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
