@@ -250,6 +250,6 @@ def newton(l2: float = 1.0) -> tuple[Callable, Callable, Callable]:
         return s[:, 0] ** 2 / (s[:, 1] + l2)
 
     def rank(s: np.ndarray) -> np.ndarray:
-        return s[:, 0] / (s[:, 1] + l2)
+        return s[:, 0] / np.maximum(s[:, 1] + l2, 1e-300)
 
     return score, rank, lambda s: float(s[0] / (s[1] + l2))
