@@ -228,9 +228,10 @@ def settled(df: DataFrame, label: str) -> DataFrame:
 
     Spark removes them once the driver's JVM has collected the plans; a job of many steps would hold all of them till then.
     """
-    made = stored(df, label)
+    made, spark = stored(df, label), df.sparkSession
+    del df  # else the plan just run is held until the next call
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     return made
 
 
@@ -270,3 +271,27 @@ def may_hold(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
     for at in bit_places(keys, 64 * len(held)):
         out &= (held[at >> U64(6)] >> (at & U64(63))) & U64(1) == 1
     return out
+
+
+FILTER_BITS = 1 << 28  # of a filter of ids: 32 MB
+
+
+def rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text, …) joined to ``ids``, a stored table with doc_id, none of them null.
+
+    A bit filter of the ids drops most other rows before the join moves any text.
+    """
+
+    def hashed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([signed(mix(batch.column(0).to_numpy().view(U64)))], names=["h"])
+
+    held = rows.sparkSession.sparkContext.broadcast(bit_filter(settled(ids.select("doc_id").mapInArrow(hashed, "h long"), "wanted-ids"), FILTER_BITS))
+
+    def sift(part: pa.RecordBatch) -> pa.RecordBatch:
+        own = part.column("doc_id")
+        known = may_hold(held.value, mix(own.fill_null(0).to_numpy(zero_copy_only=False).view(U64))) & ~np.array(own.is_null())
+        return part.filter(pa.array(known))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return map_slices(rows, "text", kinds, sift).join(ids.hint("merge"), "doc_id")

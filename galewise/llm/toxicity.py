@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galewise.llm.common import IS_WORD, U64, map_slices, mix, settled, signed, slices, stored, text_arrays, words_of
+from galewise.llm.common import IS_WORD, U64, map_slices, mix, rows_of, settled, signed, slices, stored, text_arrays, words_of
 from galewise.llm.ngram import _fs, mapped, shard_of, write_arrays
 from galewise.session import scratch_path
 
@@ -321,7 +321,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     once = docs.where("doc_id is not null and text is not null").select("doc_id", F.md5("text").alias("k")).join(known, "doc_id")
     fold = F.pmod(F.crc32(F.col("k").cast("binary")), F.lit(FOLDS)).alias("fold")
     once = stored(once.groupBy("k").agg(F.min(F.struct("doc_id", "toxic")).alias("m")).select("m.doc_id", "m.toxic", fold), "labelled")
-    return docs.join(once.hint("merge"), "doc_id").select("text", "toxic", "fold")
+    return rows_of(docs.select("doc_id", "text"), once).select("text", "toxic", "fold")
 
 
 def score_toxicity(
