@@ -9,6 +9,7 @@ from galewise.operators import itemcf, retrieval
 from galewise.operators.topk import top_per_group
 from galewise.plans import model_queries
 from galewise.plans import queries as relational
+from galewise.sources import tables as t
 
 SCHEMA = "video_id long, embedding array<double>, vip_status long, needbuy_status long"
 
@@ -258,3 +259,12 @@ def test_itemcf_with_a_hot_item_equals_brute_force(spark):
 def test_list_field_form(spark):
     docs = spark.createDataFrame([(1, [2, 3]), (4, [])], "course_id long, sim array<long>")
     assert sorted(tuple(r) for r in itemcf.long_form(docs).collect()) == [(1, 2), (1, 3)]
+
+
+def test_no_course_is_left_out_of_the_registered_candidates(spark):
+    courses = t.course_documents(spark, SF).where("vip_status = 2 and needbuy_status = 0").select("course_id")
+    seeds = relational.seed_sample(spark, SF).select("user_id", F.col("course_id").alias("sim"))
+    want = t.course_sim(spark, SF).join(seeds, "sim").join(courses, "course_id").select("user_id", "course_id").distinct()
+    got = relational.itemcf_candidates(spark, SF).select("user_id", "course_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.where("course_id % 7 = 0").count() > 0
