@@ -268,3 +268,15 @@ def test_no_course_is_left_out_of_the_registered_candidates(spark):
     got = relational.itemcf_candidates(spark, SF).select("user_id", "course_id")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.where("course_id % 7 = 0").count() > 0
+
+
+def test_found_places_are_not_moved_and_shares_are_bounded(spark, data, monkeypatch):
+    queries, items, flags = data
+    plan = retrieval.knn_exact(frame(spark, queries), frame(spark, items, flags), 30, 4)._jdf.queryExecution().executedPlan().toString()
+    # the tasks that score give the result: above them there is no shuffle and no window
+    assert "Window" not in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
+    monkeypatch.setattr(retrieval, "LEAST_SHARE", 1)
+    monkeypatch.setattr(retrieval, "HELD_CELLS", 3 * (2 * 5 + retrieval.PRODUCT_COLUMNS))
+    chosen = spark.range(100).selectExpr("id", "array(0D) as vec", "0D as floor", "x'00' as lists", "int(if(id < 80, 1, id % 4)) as home")
+    sizes = [r["count"] for r in retrieval._shares(chosen, 5).groupBy("share").count().collect()]
+    assert sum(sizes) == 100 and max(sizes) < 20  # shares of three on average, by hash
