@@ -220,3 +220,37 @@ def test_dropout_masks_repeat_and_differ_by_step():
     a, b = (vector_net.dropout_mask(keys, 16, step, 0.2, 1) for step in (1, 2))
     assert (a == 0).mean() == pytest.approx(0.2, abs=0.01) and abs(np.corrcoef(a.ravel(), b.ravel())[0, 1]) < 0.02
     assert (vector_net.dropout_mask(keys[::-1], 16, 1, 0.2, 1)[::-1] == a).all()
+
+
+def test_edges_in_blocks_equal_joins(spark, monkeypatch):
+    """Blocks of few vectors, blocks and ids with many edges, and edges without a vector at an end give what the joins give."""
+    rng = np.random.default_rng(3)
+    first, second = rng.normal(size=(40, W)), rng.normal(size=(50, W))
+    left, right = table(spark, first), table(spark, second)
+    t, p, n = np.where(rng.random(900) < 0.4, 3, rng.integers(0, 42, 900)), rng.integers(0, 52, 900), rng.integers(0, 50, 900)
+    triples = spark.createDataFrame([(int(a), int(b), int(c), 1.5) for a, b, c in zip(t, p, n)], "t long, p long, n long, weight double")
+    samples = spark.createDataFrame([(str(i), int(a % 40), int(b % 50), [int(c), int(a)]) for i, (a, b, c) in enumerate(zip(t, p, n))], "sample_id string, t long, p long, negs array<long>")
+    pairs = triples.where("t < 40 and p < 50").select(F.col("t").alias("c"), "p").distinct()
+    contexts = left.join(pairs.groupBy(F.col("c").alias("id")).agg(F.count("*").alias("num_true")), "id")
+    negatives = gradients.draw_negatives(spark, 50, 30, 4)
+    names = ["sample_id", "pos_logit", "neg_logit", "pos_loss", "neg_loss"]
+
+    def everything():
+        parts = (
+            gradients.bpr_parts(triples, left, right, W), gradients.posneg_parts(samples, left, right, W),
+            gradients.nce_parts(pairs, contexts, right, negatives, 50, 30, W),
+        )
+        return [summed(x) for x in parts], sorted(map(tuple, gradients.posneg_logits(samples, left, right, W).select(*names).collect()))
+
+    want, logits = everything()
+    for name, x in (("LEAST_ROWS", 1), ("BLOCK_CELLS", 12 * W), ("SHARE_EDGES", 100)):
+        monkeypatch.setattr(gradients.edges, name, x)
+    plan = gradients.bpr_parts(triples, left, right, W)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
+    got, blocked = everything()
+    for a, b in zip(want, got):
+        assert set(a) == set(b)
+        for key in a:
+            assert np.allclose(a[key][0], b[key][0]) and np.isclose(a[key][1], b[key][1])
+    assert [r[0] for r in logits] == [r[0] for r in blocked]
+    assert np.allclose([r[1:] for r in logits], [r[1:] for r in blocked])
