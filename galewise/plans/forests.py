@@ -51,6 +51,22 @@ def _as_text(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c in columns})
 
 
+PIECE_CELLS = 1 << 24  # numbers that a task of a forest's fit holds: how often each tree takes each of its rows
+
+
+def _fit_in_pieces(train: DataFrame, stages: list, key: str) -> PipelineModel:
+    """The fitted stages, of which the last is a forest.
+
+    Spark keeps a row with a count for every tree, and does so in the partitions it is given, however few they are. So the rows of more than one
+    piece are dealt by the hash of their key, and sorted, because the trees draw by a row's place.
+    """
+    prepared = Pipeline(stages=stages[:-1]).fit(train)
+    ready, pieces = prepared.transform(train), -(-train.count() * stages[-1].getNumTrees() // PIECE_CELLS)
+    if pieces > 1:
+        ready = ready.select(key, "features", stages[-1].getLabelCol()).repartition(pieces, key).sortWithinPartitions(key)
+    return PipelineModel([*prepared.stages, stages[-1].fit(ready)])
+
+
 def fit_forest(
     rows: DataFrame, label: str, numeric: list[str], categorical: list[str],
     trees: int = 300, depth: int = 5, key: str = "row_id", seed: int = 3,
@@ -59,7 +75,7 @@ def fit_forest(
     train, test = train_test_split(_as_text(rows, categorical), key)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, leafCol="leaf")
     stages = [_label_indexer(label), *feature_stages(numeric, categorical), forest]
-    model = Pipeline(stages=stages).fit(train)
+    model = _fit_in_pieces(train, stages, key)
     return model, model.transform(test)
 
 
@@ -69,7 +85,7 @@ def fit_regression_forest(
 ) -> tuple[PipelineModel, DataFrame]:
     train, test = train_test_split(_as_text(rows, categorical), key)
     forest = RandomForestRegressor(numTrees=trees, labelCol=label, seed=seed, maxBins=64)
-    model = Pipeline(stages=[*feature_stages(numeric, categorical), forest]).fit(train)
+    model = _fit_in_pieces(train, [*feature_stages(numeric, categorical), forest], key)
     return model, model.transform(test)
 
 

@@ -115,3 +115,20 @@ def test_a_tree_splits_as_brute_force_does(spark, labelled):
     purity = lambda m: (y[m].sum(axis=0) ** 2).sum() / max(y[m].sum(), 1e-12)
     best = max(purity(x > v) + purity(x <= v) for v in range(ht.BINS))
     assert purity(tree.mask[0][x]) + purity(~tree.mask[0][x]) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("fit, kind, label", [(forests.fit_forest, "RandomForestClassifier", "species"), (forests.fit_regression_forest, "RandomForestRegressor", "body_mass_g")])
+def test_a_forest_is_fitted_on_pieces_of_bounded_size(spark, monkeypatch, fit, kind, label):
+    rows, seen = t.penguins(spark, SF).coalesce(1), []
+    plain = getattr(forests, kind).fit
+
+    def noted(self, train):
+        seen.append([r["count"] for r in train.groupBy(F.spark_partition_id()).count().collect()])
+        return plain(self, train)
+
+    monkeypatch.setattr(getattr(forests, kind), "fit", noted)
+    monkeypatch.setattr(forests, "PIECE_CELLS", 700, raising=False)
+    found = [sorted(fit(rows.repartition(n), label, ["bill_length_mm"], ["sex"], trees=10)[1].select("row_id", "prediction").collect()) for n in (1, 3)]
+    total = rows.count() - len(found[0])
+    assert found[0] == found[1]  # however the rows came
+    assert all(sum(sizes) == total and len(sizes) > 3 and max(sizes) < 2 * 70 for sizes in seen)
