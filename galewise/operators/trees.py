@@ -8,12 +8,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galewise.functions import arrow
 from galewise.operators.sampling import permuted
-from galewise.session import Versions
+from galewise.session import Versions, cut_lineage
 
 # The hand-authored colour tree.
 COLOUR_CLASSES = ["red", "blue", "green"]
@@ -190,24 +191,107 @@ def permutation_importance(rows: DataFrame, nodes: DataFrame, features: list[str
     return reduce(DataFrame.unionByName, found).join(F.broadcast(plain)).select("feature", "accuracy", (F.col("__plain") - F.col("accuracy")).alias("drop"))
 
 
+TREE_NODES = 4096  # a tree of more nodes is listed by joins
+LISTED_NODES = 1 << 16  # nodes of whole trees that a task lists at a time
+
+
 def tree_inorder(nodes: DataFrame) -> DataFrame:
     """Nodes of every tree of a table with a path that sorts them in order.
 
     The path is a 0 for each negative and a 2 for each positive branch from the root,
     then a 1 for the node itself. Paths double in length each round until all have reached
-    their root, so the number of joins is the logarithm of the depth, whatever it is.
+    their root, so the number of rounds is the logarithm of the depth, whatever it is.
+
+    The table is moved once, by ranges of trees, and each task lists many whole trees at a time. Only trees of more than
+    ``TREE_NODES`` nodes, which a task might not hold, are joined with themselves.
     """
-    splits = nodes.where("kind = 'split'")
+    label = F.when(F.col("kind") == "split", F.col("feature")).otherwise(F.col("leaf_idx").cast("string"))
+    child = lambda c: F.when(F.col("kind") == "split", F.col(c)).cast("long").alias(c)
+    ready = nodes.where("tree_id is not null and node_id is not null").select("tree_id", F.col("node_id").cast("long").alias("node_id"), child("neg"), child("pos"), label.alias("node"))
+    # a row for TREE_NODES nodes at most
+    large = cut_lineage(ready.groupBy("tree_id").count().where(F.col("count") > TREE_NODES).select("tree_id"), "large-trees")
+    if large.isEmpty():
+        return _listed_whole(ready)
+    return _listed_whole(ready.join(large, "tree_id", "left_anti")).unionByName(_listed_by_joins(ready.join(large, "tree_id", "left_semi"))).orderBy("tree_id", "path")
+
+
+def _listed_whole(nodes: DataFrame) -> DataFrame:
+    """The listing of trees of bounded size, in order."""
+    kind = nodes.schema["tree_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows < LISTED_NODES:
+                continue
+            whole = arrow.joined(held)
+            ends = np.flatnonzero(_starts(whole))
+            if len(ends) > 1:
+                yield from _listing(whole.slice(0, ends[-1]))
+                held, rows = [whole.slice(ends[-1])], whole.num_rows - ends[-1]
+        if rows:
+            yield from _listing(arrow.joined(held))
+
+    # ranges of trees, so that the order inside the tasks is the order of the table
+    dealt = nodes.repartitionByRange("tree_id").sortWithinPartitions("tree_id")
+    return dealt.mapInArrow(run, f"tree_id {kind}, path string, node string").sortWithinPartitions("tree_id", "path")
+
+
+def _starts(part: pa.RecordBatch) -> np.ndarray:
+    tree = part["tree_id"].to_numpy(zero_copy_only=False)
+    return np.concatenate(([True], tree[1:] != tree[:-1]))
+
+
+def _met(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of equal numbers, as a left join gives them: -1 for the right one where there is none."""
+    order = np.argsort(right, kind="stable")
+    first, last = (np.searchsorted(right[order], left, side) for side in ("left", "right"))
+    many = np.maximum(last - first, 1)
+    at = np.repeat(np.arange(len(left)), many)
+    place = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+    return at, np.where((last > first)[at], np.append(order, -1)[np.minimum(place, len(order))], -1)
+
+
+def _listing(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The paths of some whole trees' nodes, by the steps of :func:`_listed_by_joins`."""
+    start = _starts(part)
+    tree, longest = np.cumsum(start) - 1, int(np.diff(np.flatnonzero(np.append(start, True))).max())
+    numbers = [part[c].fill_null(0).to_numpy(zero_copy_only=False) for c in ("node_id", "neg", "pos")]
+    known, codes = np.unique(np.concatenate(numbers), return_inverse=True)
+    own, neg, pos = tree * len(known) + codes.reshape(3, -1)
+    has = [part[c].is_valid().to_numpy(zero_copy_only=False) for c in ("neg", "pos")]
+    parent, child = np.concatenate((own[has[0]], own[has[1]])), np.concatenate((neg[has[0]], pos[has[1]]))
+    at, edge = _met(own, child)
+    node, above = own[at], np.where(edge < 0, -1, np.append(parent, -1)[edge])
+    path = pa.array(["", "0", "2"]).take(pa.array(np.where(edge < 0, 0, np.where(edge < has[0].sum(), 1, 2))))
+    rounds = 0
+    while (above >= 0).any():
+        if rounds > longest.bit_length():
+            raise ValueError("the nodes form a cycle")
+        rounds += 1
+        at, upper = _met(above, node)
+        path = pc.binary_join_element_wise(path.take(pa.array(upper, mask=upper < 0)).fill_null(""), path.take(pa.array(at)), "")
+        node, above = node[at], np.where(upper < 0, -1, above[upper])
+    at, found = _met(own, node)
+    for lo in range(0, len(at), 8192):
+        rows, paths = pa.array(at[lo : lo + 8192]), path.take(pa.array(found[lo : lo + 8192]))
+        yield arrow.batch(tree_id=part["tree_id"].take(rows), path=pc.binary_join_element_wise(paths, "1", ""), node=part["node"].take(rows))
+
+
+def _listed_by_joins(nodes: DataFrame) -> DataFrame:
+    """The listing of trees of any size. Paths shrink a lot in a file, so its size says nothing of a broadcast's."""
     edge = F.explode(
         F.array(
             F.struct(F.col("neg").alias("node_id"), F.lit("0").alias("step")),
             F.struct(F.col("pos").alias("node_id"), F.lit("2").alias("step")),
         )
     ).alias("e")
-    edges = splits.select("tree_id", F.col("node_id").alias("parent"), edge).select(
+    edges = nodes.select("tree_id", F.col("node_id").alias("parent"), edge).select(
         "tree_id", F.col("e.node_id").alias("node_id"), "parent", "e.step"
     )
-    reach = nodes.select("tree_id", "node_id").join(edges, ["tree_id", "node_id"], "left").select(
+    reach = nodes.select("tree_id", "node_id").join(edges.hint("merge"), ["tree_id", "node_id"], "left").select(
         "tree_id", "node_id", F.col("parent").alias("above"), F.coalesce("step", F.lit("")).alias("path")
     )
     tables = Versions(nodes.sparkSession, "tree")
@@ -220,17 +304,13 @@ def tree_inorder(nodes: DataFrame) -> DataFrame:
             "tree_id", F.col("node_id").alias("above"), F.col("above").alias("__above"),
             F.col("path").alias("__path"),
         )
-        longer = reach.join(upper, ["tree_id", "above"], "left").select(
+        longer = reach.join(upper.hint("merge"), ["tree_id", "above"], "left").select(
             "tree_id", "node_id", F.col("__above").alias("above"),
             F.concat(F.coalesce("__path", F.lit("")), "path").alias("path"),
         )
         reach = tables.store(longer, "paths")
-    label = F.when(F.col("kind") == "split", F.col("feature")).otherwise(F.col("leaf_idx").cast("string"))
-    return (
-        nodes.select("tree_id", "node_id", label.alias("node"))
-        .join(reach, ["tree_id", "node_id"])
-        .select("tree_id", F.concat("path", F.lit("1")).alias("path"), "node")
-        .orderBy("tree_id", "path")
+    return nodes.select("tree_id", "node_id", "node").join(reach.hint("merge"), ["tree_id", "node_id"]).select(
+        "tree_id", F.concat("path", F.lit("1")).alias("path"), "node"
     )
 
 

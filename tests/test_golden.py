@@ -1,11 +1,16 @@
 """Worked examples with known answers."""
 
+import random
+
 import numpy as np
+import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from galewise.functions import timefns as tf
 from galewise.functions import vectors as v
 from galewise.operators import forecast, trees
+from galewise.sources import tables as t
 from galewise.sources.files import with_name_parts
 
 
@@ -145,3 +150,57 @@ def test_labels_use_the_highest_station_present(spark):
     assert read(forecast.station_labels(obs)) == {"F2021093013": first, "F2021093014": (["K2931", "K2942", "K9999"], 90.0)}
     some = forecast.station_labels(obs, forecast.STATIONS)
     assert read(some) == {"F2021093013": first, "F2021093014": (["K2931", "K2942"], 7.0)}
+
+
+@pytest.fixture
+def odd_forest(spark):
+    """Trees of all depths and shapes, with a node that has two parents, a child that is missing and a node without a parent."""
+    rng, rows = random.Random(5), []
+    for tree in range(60):
+        leaves, n = [0], 1
+        for _ in range(rng.choice([0, 1, 2, 5, 40])):
+            node = leaves.pop(rng.choice([0, -1]))
+            rows.append((tree, node, "split", f"s{node}", n, n + 1, None))
+            leaves += [n, n + 1]
+            n += 2
+        rows += [(tree, x, "leaf", None, None, None, x) for x in leaves]
+    rows += [(100, 0, "split", "a", 1, 2, None), (100, 1, "split", "b", 3, 9, None), (100, 2, "split", "c", 3, 4, None)]
+    rows += [(100, 3, "leaf", None, None, None, 0), (100, 4, "leaf", None, 3, 3, 1), (100, 7, "leaf", None, None, None, 2), (None, 1, "leaf", None, None, None, 3)]
+    rng.shuffle(rows)
+    return rows, spark.createDataFrame(rows, "tree_id long, node_id int, kind string, feature string, pos int, neg int, leaf_idx int")
+
+
+def _walked(rows):
+    nodes = {(r[0], r[1]): r for r in rows if r[0] is not None}
+    children = {(r[0], c) for r in nodes.values() if r[2] == "split" for c in r[4:6]}
+    out, todo = [], [(k, "") for k in nodes if k not in children]
+    while todo:
+        (tree, node), path = todo.pop()
+        r = nodes[tree, node]
+        out.append((tree, path + "1", r[3] if r[2] == "split" else str(r[6])))
+        if r[2] == "split":
+            todo += [((tree, c), path + step) for c, step in ((r[5], "0"), (r[4], "2")) if (tree, c) in nodes]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most", [4096, 9, 0])
+def test_odd_trees_in_order(odd_forest, monkeypatch, most):
+    rows, nodes = odd_forest
+    monkeypatch.setattr(trees, "TREE_NODES", most, raising=False)
+    monkeypatch.setattr(trees, "LISTED_NODES", 50, raising=False)
+    got = [tuple(r) for r in trees.tree_inorder(nodes.repartition(3)).collect()]
+    assert sorted(got) == _walked(rows)
+    assert [r[:2] for r in got] == sorted(r[:2] for r in got)
+
+
+def test_nodes_in_a_cycle_are_refused(spark):
+    rows = [(1, 0, "split", "a", 1, 2, None), (1, 1, "split", "b", 0, 3, None)]
+    nodes = spark.createDataFrame(rows, "tree_id long, node_id int, kind string, feature string, pos int, neg int, leaf_idx int")
+    with pytest.raises(Exception, match="the nodes form a cycle"):
+        trees.tree_inorder(nodes).collect()
+
+
+def test_small_trees_are_moved_once_and_not_joined(spark):
+    listing = trees.tree_inorder(t.order_chains(spark, SF))
+    text = listing._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Join" not in text and text.count("Exchange") == 2  # the orders of a customer, the nodes by tree
