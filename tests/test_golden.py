@@ -204,3 +204,11 @@ def test_small_trees_are_moved_once_and_not_joined(spark):
     listing = trees.tree_inorder(t.order_chains(spark, SF))
     text = listing._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert "Join" not in text and text.count("Exchange") == 2  # the orders of a customer, the nodes by tree
+
+
+def test_a_forest_of_small_trees_is_not_sent_to_the_driver(spark):
+    """The paths are so alike that a file of them is tiny, and Spark broadcast it whatever its rows."""
+    listing = trees.tree_inorder(t.tree_nodes(spark, SF))
+    listing.collect()
+    text = listing._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "Broadcast" not in text and "rangepartitioning(tree_id" in text
