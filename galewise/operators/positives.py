@@ -20,11 +20,11 @@ def positives_per_context(samples: DataFrame, context: str = "c_idx", target: st
     counts = samples.groupBy(context).agg(
         F.ceil(F.count(F.lit(1)) / list_rows).cast("int").alias("__parts")
     )
-    # stored, because Spark splits a hot key only between two plain shuffles
-    counts = cut_lineage(counts, "positive-counts")
-    part = F.pmod(hash28(F.col(target)), F.col("__parts")).alias("part")
+    # only of contexts with several lists, so that the samples seldom move for it; stored, because Spark splits a hot key only between two plain shuffles
+    counts = cut_lineage(counts.where("__parts > 1"), "positive-counts")
+    part = F.coalesce(F.pmod(hash28(F.col(target)), F.col("__parts")), F.lit(0)).alias("part")
     return (
-        samples.join(counts, context)
+        samples.join(counts, context, "left")
         .select(context, part, target)
         # by list, not by context: else the join's partitions would be kept as they are
         .repartition(context, "part")

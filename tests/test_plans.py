@@ -77,3 +77,34 @@ def test_similarity_pairs_are_not_left_in_the_partitions_of_the_join(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "LeftSemi" in text and re.search(r"hashpartitioning\(course_id#\d+L, sim#\d+L.*REPARTITION_BY_COL", text)
+
+
+def test_line_items_and_pairs_are_moved_once_each(spark, tmp_path):
+    lines = [(o, p, n) for o in range(4) for p, n in ((5, 1), (9, 2), (9, 2), (None, 2), (3, 2), (7, None), (5, 4), (o, 4), (8, 9))] + [(None, 1, 1), (None, 2, 2), (11, 4, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = set()
+    for order in range(4):
+        items = [p for _, _, p in sorted((n, p is not None, p) for o, p, n in lines if o == order and n is not None)]
+        want |= {pair for a, b in zip(items, items[1:]) if None not in (a, b) and a != b for pair in ((a, b), (b, a))}
+    found = t.item_pairs(spark, str(tmp_path))
+    text = plan(found)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert text.count("Exchange hashpartitioning") == 2 and "Join" not in text
+
+
+def test_numbered_pairs_go_both_ways(spark):
+    sample, mapping = t.sim_matrix_nce(spark, SF)
+    pairs = {(r.left_video_id, r.right_video_id) for r in t.sim_matrix(spark, SF).collect()}
+    numbers = {r.video_id: r.p_idx for r in mapping.collect()}
+    got = [tuple(r) for r in sample.select("left_video_id", "c_idx", "p_right_video_id", "p_idx").collect()]
+    assert sorted(got) == sorted((a, numbers[a], b, numbers[b]) for a, b in pairs) and sorted(numbers.values()) == list(range(len(numbers)))
+
+
+def test_only_contexts_with_several_lists_are_looked_up(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(positives, "cut_lineage", lambda df, label: stored.append(cut_lineage(df, label)) or stored[-1])
+    hot = spark.range(50).select(F.lit(7).cast("long").alias("c_idx"), F.col("id").alias("p_idx"))
+    cold = spark.range(3000).select((F.col("id") % 300 + 10).alias("c_idx"), F.col("id").alias("p_idx"))
+    lists = positives.positives_per_context(hot.unionByName(cold), list_rows=20).collect()
+    assert [tuple(r) for r in stored[0].collect()] == [(7, 3)]
+    assert len(lists) == 303 and sum(len(r.positives) for r in lists) == 3050
