@@ -18,7 +18,7 @@ from galewise.functions import arrow, mlp
 from galewise.operators.forecast import NEAREST_CELL
 from galewise.operators.metrics import calibration_rmse
 from galewise.operators.sampling import is_test
-from galewise.plans.local_sgd import PIECE_ROWS, State, dealt, one_round, shuffled
+from galewise.plans.local_sgd import PIECE_ROWS, State, dealt, kept, one_round, piece_counts, shuffled
 from galewise.session import cut_lineage
 
 HIDDEN = [16, 4]
@@ -74,7 +74,9 @@ def train_calibration(
     ``samples`` is ``(gap, F_time, input, label)``; those with a missing label or input are left out. Each repeat holds out its own rows. A lead's samples
     lie in pieces of about ``piece_rows``; a task trains all repeats on its piece for ``round_epochs`` epochs of batches of ``batch``, then the pieces of a lead are averaged.
     """
-    rows = cut_lineage(dealt(_prepared(samples, repeats, test_ratio), "gap", ["gap", "F_time"], piece_rows), "calibration")
+    ready = _prepared(samples, repeats, test_ratio)
+    counts = piece_counts(ready, "gap", piece_rows)
+    rows = cut_lineage(dealt(ready, "gap", ["gap", "F_time"], piece_rows, counts), "calibration")
     # one small row per lead
     leads = rows.groupBy("gap").agg(F.max(F.size("x")).alias("width")).collect()
     if not leads:
@@ -100,8 +102,10 @@ def train_calibration(
 
         return train
 
+    pieces = kept(rows, ["gap", "piece"], sum(counts.values()))
     for first in range(0, epochs, round_epochs):
-        state, _ = one_round(rows, "gap", ["F_time", "y"], state, work(first, min(round_epochs, epochs - first)))
+        state, _ = one_round(pieces, "gap", ["F_time", "y"], state, work(first, min(round_epochs, epochs - first)))
+    pieces.unpersist()
     models = {(lead.gap, r): np.split(state[model_of(lead.gap, r)], 2)[0] for lead in leads for r in range(1, repeats + 1)}
     return _predict(rows, models, sizes, station)
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +24,27 @@ PIECE_ROWS = 32768
 State = dict[int, np.ndarray]  # by model: weights and optimizer state, flat
 
 
-def dealt(rows: DataFrame, group: str, key: list[str], most: int) -> DataFrame:
+def piece_counts(rows: DataFrame, group: str, most: int) -> dict:
+    """In how many pieces of about ``most`` rows the rows of each group lie."""
+    return {r[group]: -(-r["count"] // most) for r in rows.groupBy(group).count().collect()}  # a row per group of models
+
+
+def dealt(rows: DataFrame, group: str, key: list[str], most: int, counts: dict | None = None) -> DataFrame:
     """``rows`` with a number ``piece``: the rows of each group in as many pieces as keep them at about ``most`` rows."""
-    sizes = {r[group]: r["count"] for r in rows.groupBy(group).count().collect()}  # a row per group of models
-    table = rows.sparkSession.createDataFrame(
-        [(k, -(-n // most)) for k, n in sizes.items()], f"`{group}` {rows.schema[group].dataType.simpleString()}, pieces int"
-    )
+    counts = piece_counts(rows, group, most) if counts is None else counts
+    table = rows.sparkSession.createDataFrame(list(counts.items()), f"`{group}` {rows.schema[group].dataType.simpleString()}, pieces int")
     spread = F.pmod(hash_bucket(1 << 20, *[F.col(c) for c in key]), F.col("pieces")).cast("int")
     return rows.join(F.broadcast(table), group).withColumn("piece", spread).drop("pieces")
 
 
+def kept(pieces: DataFrame, by: list[str], count: int) -> DataFrame:
+    """The rows of ``count`` pieces, which ``by`` tells apart (no constants), moved to the tasks of their pieces once and kept there for all rounds; ``unpersist`` them after the last.
+
+    They are kept on disks, so that memory does not grow with them. What is lost with an executor is made again from where ``pieces`` come from.
+    """
+    return pieces.repartition(max(1, count), *by).sortWithinPartitions(*by).persist(StorageLevel.DISK_ONLY)
+
+
 def shuffled(count: int, *seeds: int) -> np.ndarray:
     """A permutation that a repeated task draws again."""
     return np.random.default_rng([abs(s) for s in seeds]).permutation(count)

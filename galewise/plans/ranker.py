@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from galewise.functions import arrow, mlp
 from galewise.functions.hashing import hash_bucket
-from galewise.plans.local_sgd import PIECE_ROWS, State, dealt, one_round
-from galewise.session import cut_lineage
+from galewise.plans.local_sgd import PIECE_ROWS, State, dealt, kept, one_round, piece_counts
 
 SIZES = [64, 64, 128, 1]
 
@@ -76,7 +75,8 @@ def train_ranker(
     """Weighted logistic training; the positive weight of a row scales its positive term.
 
     The rows are dealt into ``batches`` mini-batches by the hash of their id, and the batches into pieces of about ``piece_rows`` rows. An
-    epoch is one round: every piece takes a step for each of its batches, then weights and optimizer states are averaged.
+    epoch is one round: every piece takes a step for each of its batches, then weights and optimizer states are averaged. The samples move to
+    their pieces once.
     """
     sizes = sizes or SIZES
     ready = samples.select(
@@ -85,7 +85,8 @@ def train_ranker(
         F.col("weight").cast("double").alias("q"),
         F.col("label").cast("double").alias("y"),
     ).withColumn("batch", hash_bucket(batches, F.col("sample_id"))).withColumn("all", F.lit(0))
-    rows = cut_lineage(dealt(ready, "all", ["batch"], piece_rows), "ranker-samples")
+    counts = piece_counts(ready, "all", piece_rows)
+    rows = kept(dealt(ready, "all", ["batch"], piece_rows, counts), ["piece"], sum(counts.values()))
     flat = mlp.flatten(mlp.start_layers(sizes, seed))
     state, losses = {0: np.concatenate((flat, np.zeros(2 * len(flat) + 1)))}, []
 
@@ -105,4 +106,5 @@ def train_ranker(
     for _ in range(epochs):
         state, means = one_round(rows, "all", ["batch", "sample_id"], state, work)
         losses.append(means.get(0, float("nan")))
+    rows.unpersist()
     return Ranker(sizes, mlp.unflatten(np.split(state[0][:-1], 3)[0], sizes), losses)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from galewise.functions import arrow, mlp
 from galewise.functions.vectors import as_double
-from galewise.plans.local_sgd import PIECE_ROWS, State, dealt, one_round, shuffled
+from galewise.plans.local_sgd import PIECE_ROWS, State, dealt, kept, one_round, piece_counts, shuffled
 from galewise.session import cut_lineage
 
 
@@ -71,7 +71,8 @@ def train_vector_net(
 ) -> VectorNet:
     """Adam on mini-batches of whole vectors with labels 0 … ``classes`` - 1; an epoch is one round over the pieces."""
     ready = rows.select(F.xxhash64(key).alias("key"), as_double(F.col(vec)).alias("x"), F.col(label).cast("int").alias("y"), F.lit(0).alias("all"))
-    table = cut_lineage(dealt(ready, "all", ["key"], piece_rows), "net-rows")
+    counts = piece_counts(ready, "all", piece_rows)
+    table = kept(cut_lineage(dealt(ready, "all", ["key"], piece_rows, counts), "net-rows"), ["piece"], sum(counts.values()))
     width = table.agg(F.max(F.size("x"))).first()[0]
     sizes = [width, hidden, classes]
     flat = mlp.flatten(mlp.start_layers(sizes, seed))
@@ -97,4 +98,5 @@ def train_vector_net(
     for epoch in range(epochs):
         state, means = one_round(table, "all", ["key"], state, work(epoch))
         losses.append(means.get(0, float("nan")))
+    table.unpersist()
     return VectorNet(sizes, mlp.unflatten(np.split(state[0][:-1], 3)[0], sizes), losses)

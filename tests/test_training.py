@@ -272,3 +272,20 @@ def test_vector_net_learns_and_repeats(spark):
     assert np.allclose(again.losses, net.losses[:2])
     pieces = vector_net.train_vector_net(rows, "embedding", "label", "vec_id", 2, epochs=20, rate=3e-3, piece_rows=30)
     assert pieces.losses[-1] < pieces.losses[0]
+
+
+def test_samples_move_to_their_pieces_once(spark, monkeypatch):
+    """All rounds read the same kept rows, without another shuffle."""
+    samples, plans, plain = t.sort_sample(spark, SF), [], local_sgd.one_round
+
+    def noted(pieces, group, *more):
+        counted = pieces.groupBy(group, "piece").count()
+        counted.collect()
+        plans.append(counted._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("InMemoryRelation")[0])
+        return plain(pieces, group, *more)
+
+    monkeypatch.setattr(ranker, "one_round", noted)
+    model = ranker.train_ranker(samples, epochs=3, batches=40, piece_rows=200)
+    assert falls(model.losses) and len(plans) == 3
+    assert all("Exchange" not in p and "InMemoryTableScan" in p for p in plans)
+    assert not spark.sparkContext._jsc.sc().getPersistentRDDs().size()
