@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galewise.functions import arrow
+from galewise.operators import ranking
 from galewise.operators.metrics import ndcg
 from galewise.operators.ranking import lambda_gradients
 from galewise.plans import hist_trees as ht
@@ -130,6 +131,8 @@ def train_ranking(
     """Trees that raise NDCG at ``k`` within query groups; each round's gradients come from its scores.
 
     ``accuracy`` and ``valid_accuracy`` hold the mean NDCG after each round, with ``validation`` for both sets.
+    The rows are moved once, into blocks of whole groups; in a round a map adds the last tree to their scores and makes the gradients.
+    Only rows of groups that a task might not hold, and rows without a group, meet their partners by joins.
     """
     bins = ht.learn_bins(rows, features, [])
     tables, model, width = Versions(rows.sparkSession, "rank"), Boosted(bins, rate, 1, np.zeros(1)), len(features)
@@ -137,48 +140,96 @@ def train_ranking(
     keep = [F.col(row_id).alias("id"), F.col(group).alias("grp"), F.col(relevance).alias("rel")]
     marked = lambda df, flag: ht.binned(df, bins, *keep, F.lit(flag).alias("held"))
     every = marked(rows, False) if validation is None else marked(rows, False).unionByName(marked(validation, True))
-    fixed = tables.store(every, "bins")
-    training = fixed.where("not held")
-
-    def scored(b_rows: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(model.added(ht.bins_of(b["bins"], width))[:, 0])], [*b.schema.names[:4], "score"])
-
-        kinds = ", ".join(f"{c} {b_rows.schema[c].dataType.simpleString()}" for c in ("id", "grp", "rel", "held"))
-        return b_rows.mapInArrow(run, f"{kinds}, score double")
+    whole, others = ranking.by_size(tables.store(every, "bins"))
+    loose = tables.store(others.select("id", "grp", "rel", "held", "bins"), "loose")
+    if loose.isEmpty():
+        loose = None
+    blocks = tables.store(ranking.blocks_of_groups(whole), "blocks")
 
     def stats(b: pa.RecordBatch, x: np.ndarray):
-        return [np.stack((b["lambda"].to_numpy(), b["weight"].to_numpy(), np.ones(b.num_rows)), axis=1)], {}
+        return [np.stack((b["lambda"].flatten().to_numpy(), b["weight"].flatten().to_numpy(), np.ones(len(x))), axis=1)], {}
 
     for _ in range(rounds):
-        pulls = lambda_gradients(tables.store(scored(training), "scores"), k, "grp", "rel", "score", "id", tables)
-        target = tables.store(training.select("id", "bins").join(pulls, "id").select("bins", "lambda", "weight"), "target")
+        blocks = tables.store(_advanced(blocks, model, k), "blocks")
+        target = blocks.where("not held").select("bins", "lambda", "weight")
+        if loose is not None:
+            training = loose.where("not held")
+            pulls = lambda_gradients(tables.store(_scored(training, model), "scores"), k, "grp", "rel", "score", "id", tables)
+            pulled = training.select("id", "bins").join(pulls, "id").select("bins", F.array("lambda").alias("lambda"), F.array("weight").alias("weight"))
+            target = target.unionByName(tables.store(pulled, "target"))
         trees = [ht.Tree()]
         ht.grow(target, trees, bins, 3, stats, score, rank, depth, least)
         trees[0].value = [leaf(s) for s in trees[0].stats]
         model.rounds.append(trees)
-    _ranking_course(model, fixed, k)
+    _ranking_course(model, blocks, loose, k)
     return model
 
 
-def _ranking_course(model: Boosted, fixed: DataFrame, k: int) -> None:
+def _scored(rows: DataFrame, model: Boosted) -> DataFrame:
+    width = len(model.bins.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(model.added(ht.bins_of(b["bins"], width))[:, 0])], [*b.schema.names[:4], "score"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("id", "grp", "rel", "held"))
+    return rows.mapInArrow(run, f"{kinds}, score double")
+
+
+def _advanced(blocks: DataFrame, model: Boosted, k: int) -> DataFrame:
+    """The blocks with the last tree added to their scores, and the gradients of these."""
+    width, rate = len(model.bins.names), model.rate
+    last = model.rounds[-1][0] if model.rounds else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                block = b.slice(i, 1)
+                f = block["score"].flatten().to_numpy()
+                if last is not None:
+                    f = f + rate * np.array(last.value)[last.route(ht.bins_of(block["bins"], width))]
+                pull, bend = ranking.Groups.of(block).gradients(f, k)
+                yield pa.RecordBatch.from_arrays([*block.columns[:4], *[arrow.list_column(x[None]) for x in (f, pull, bend)]], block.schema.names)
+
+    return blocks.mapInArrow(run, ranking.BLOCKS)
+
+
+def _ranking_course(model: Boosted, blocks: DataFrame, loose: DataFrame | None, k: int) -> None:
     """The mean NDCG of both sets after each round, all in one pass."""
     width, count = len(model.bins.names), len(model.rounds)
 
+    def totals(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        total = np.zeros(len(x))
+        for i, (tree,) in enumerate(model.rounds):
+            total = total + model.rate * np.array(tree.value)[tree.route(x)]
+            yield i, total
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((2, count, 2))
+        for b in batches:
+            for i in range(b.num_rows):
+                block = b.slice(i, 1)
+                groups, held = ranking.Groups.of(block), int(block["held"][0].as_py())
+                for r, total in totals(ht.bins_of(block["bins"], width)):
+                    own = groups.ndcg(total, k)
+                    found[held, r] += own.sum(), len(own)
+        held, rounds = np.indices((2, count)).reshape(2, -1)
+        yield arrow.batch(held=held.astype(bool), round=rounds.astype(np.int32), total=found[..., 0].ravel(), n=found[..., 1].ravel())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, total = ht.bins_of(b["bins"], width), np.zeros(b.num_rows)
-            for i, (tree,) in enumerate(model.rounds):
-                total = total + model.rate * np.array(tree.value)[tree.route(x)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(np.full(b.num_rows, i, np.int32)), pa.array(total)], [*b.schema.names[:4], "round", "score"])
-
-    kinds = ", ".join(f"{c} {fixed.schema[c].dataType.simpleString()}" for c in ("id", "grp", "rel", "held"))
-    after = fixed.mapInArrow(run, f"{kinds}, round int, score double").withColumn("grp", F.struct("round", "held", "grp"))
-    means = ndcg(after, "grp", "rel", "score", "id", k).groupBy("grp.round", "grp.held").agg(F.avg("ndcg").alias("m")).collect()
+            if b.num_rows:
+                for i, total in totals(ht.bins_of(b["bins"], width)):
+                    yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(np.full(b.num_rows, i, np.int32)), pa.array(total)], [*b.schema.names[:4], "round", "score"])
+
+    parts = blocks.select("held", "sizes", "rel", "bins").mapInArrow(sums, "held boolean, round int, total double, n double")
+    if loose is not None:
+        kinds = ", ".join(f"{c} {loose.schema[c].dataType.simpleString()}" for c in ("id", "grp", "rel", "held"))
+        after = loose.mapInArrow(run, f"{kinds}, round int, score double").withColumn("grp", F.struct("round", "held", "grp"))
+        means = ndcg(after, "grp", "rel", "score", "id", k).groupBy("grp.held", "grp.round")
+        parts = parts.unionByName(means.agg(F.sum("ndcg").alias("total"), F.count("ndcg").cast("double").alias("n")))
+    found = parts.groupBy("held", "round").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n > 0").collect()
     for held, out in ((False, model.accuracy), (True, model.valid_accuracy)):
-        by_round = {r["round"]: r.m for r in means if r.held == held}
+        by_round = {r["round"]: r.total / r.n for r in found if r.held == held}
         out += [by_round.get(i, float("nan")) for i in range(count)]

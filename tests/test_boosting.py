@@ -5,7 +5,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from galewise.operators import metrics, sampling
+from galewise.operators import metrics, ranking, sampling
 from galewise.plans import boosting, hist_trees as ht, queries
 from galewise.sources import files
 from galewise.sources import tables as t
@@ -114,3 +114,86 @@ def test_ranking_raises_ndcg(spark):
     assert model.accuracy[-1] > before + 0.05 and model.valid_accuracy[-1] > before
     for part, logged in ((train, model.accuracy), (held, model.valid_accuracy)):
         assert metrics.ndcg(model.score(part)).agg(F.avg("ndcg")).first()[0] == pytest.approx(logged[-1])
+
+
+def grouped(spark):
+    """Groups of many sizes with equal scores, missing relevances and groups, a group without gain, and one in both sets."""
+    rng = np.random.default_rng(8)
+    rows = [(f"r{i}", f"g{int(rng.integers(0, 30) ** 2 // 30)}", int(rng.integers(0, 4)), bool(i % 7 == 0), float(rng.integers(-3, 4)), float(rng.normal())) for i in range(600)]
+    rows += [(f"z{i}", "none", 0, False, 1.0, 0.0) for i in range(7)] + [(f"n{i}", None, i % 3, False, 0.0, float(i)) for i in range(9)]
+    rows = [(i, g, None if n % 13 == 0 else rel, *rest) for n, (i, g, rel, *rest) in enumerate(rows)]
+    return spark.createDataFrame(rows, "id string, grp string, rel int, held boolean, f_1 double, f_2 double").repartition(5)
+
+
+def one_tree(values):
+    """A model whose only tree gives ``values`` to the bins of its only feature."""
+    tree = ht.Tree()
+    at = 0
+    for i in range(len(values) - 1):
+        mask = np.arange(ht.BINS) > i
+        neg, pos = tree.split(at, 0, mask)
+        tree.value[neg], at = values[i], pos
+    tree.value[at] = values[-1]
+    return boosting.Boosted(ht.Binning(["f_1"], []), 1.0, 1, np.zeros(1), [[tree]])
+
+
+def test_blocks_of_groups_equal_the_joins(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCK_ROWS", 50)
+    values = [0.3, -1.0, 0.3, 2.0, -0.5, 1.5, -1.0]
+    made = grouped(spark).withColumn("bin", (F.col("f_1") + 3).cast("int"))
+    made = made.withColumn("bins", F.unhex(F.lpad(F.hex("bin"), 2, "0"))).withColumn("score", F.get(F.array(*map(F.lit, values)), "bin")).cache()
+    whole, others = ranking.by_size(made.select("id", "grp", "rel", "held", "bins"))
+    assert whole.count() == 607 and others.count() == 9
+    blocks = boosting._advanced(ranking.blocks_of_groups(whole), one_tree(values), 5).collect()
+    assert len(blocks) > 8 and sum(map(sum, (b.sizes for b in blocks))) == 607
+    for held in (False, True):
+        part = made.where(F.col("held") == held).where("grp is not null")
+        # a group is known again by its rows, which lie in the order of their ids
+        want, known = {}, lambda rows: tuple((-1 if r is None or np.isnan(r) else r, s) for r, s in rows)
+        pulls = ranking.lambda_gradients(part, 5, "grp", "rel", "score", "id").withColumnRenamed("id", "of")
+        rows = part.join(pulls, F.col("id") == F.col("of")).orderBy("grp", "id").collect()
+        for g in {r.grp for r in rows}:
+            own = [r for r in rows if r.grp == g]
+            want[known((r.rel, r.score) for r in own)] = [(r["lambda"], r.weight) for r in own]
+        seen = 0
+        for b in (b for b in blocks if b.held == held):
+            assert b.score == [values[i] for i in b.bins]
+            for lo, n in zip(np.cumsum([0, *b.sizes]), b.sizes):
+                own = slice(lo, lo + n)
+                found = want[known(zip(b.rel[own], b.score[own]))]
+                assert list(zip(b["lambda"][own], b.weight[own])) == [pytest.approx(w, abs=1e-12) for w in found]
+                seen += n
+        assert seen == len(rows)
+        got = np.concatenate([ranking.Groups(np.array(b.sizes), np.array(b.rel, float)).ndcg(np.array(b.score), 5) for b in blocks if b.held == held])
+        means = [r.ndcg for r in metrics.ndcg(part, "grp", "rel", "score", "id").collect()]
+        assert sorted(got) == [pytest.approx(m) for m in sorted(means)]
+
+
+def train_grouped(spark, rounds):
+    rows = grouped(spark)
+    parts = rows.where("not held"), rows.where("held")
+    return boosting.train_ranking(parts[0], ["f_1", "f_2"], rounds=rounds, depth=3, rate=0.3, group="grp", relevance="rel", row_id="id", validation=parts[1])
+
+
+def test_large_groups_are_ranked_by_joins(spark, monkeypatch):
+    plain = train_grouped(spark, 3)
+    monkeypatch.setattr(ranking, "GROUP_ROWS", 20)
+    rest = ranking.by_size(grouped(spark))[1]
+    assert 60 < rest.count() < 616
+    model = train_grouped(spark, 3)
+    assert model.accuracy == pytest.approx(plain.accuracy) and model.valid_accuracy == pytest.approx(plain.valid_accuracy)
+    assert [t.feature for (t,) in model.rounds] == [t.feature for (t,) in plain.rounds]
+
+
+def test_a_round_of_ranking_is_a_map_and_its_levels(spark):
+    rows = grouped(spark).where("grp is not null")
+
+    def jobs(rounds):
+        name = f"rank-{rounds}"
+        spark.sparkContext.setJobGroup(name, name)
+        boosting.train_ranking(rows, ["f_1", "f_2"], rounds=rounds, depth=3, group="grp", relevance="rel", row_id="id")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    # the map that writes the gradients, and a map and a sum for each of three levels
+    assert 0 < jobs(3) - jobs(1) <= 2 * 7
