@@ -193,6 +193,7 @@ def permutation_importance(rows: DataFrame, nodes: DataFrame, features: list[str
 
 TREE_NODES = 4096  # a tree of more nodes is listed by joins
 LISTED_NODES = 1 << 16  # nodes of whole trees that a task lists at a time
+BOUNDS, BOUND_CHARS = 256, 1 << 24  # about as many paths, of so many characters in all, bound the ranges of the nodes of large trees
 
 
 def tree_inorder(nodes: DataFrame) -> DataFrame:
@@ -212,7 +213,9 @@ def tree_inorder(nodes: DataFrame) -> DataFrame:
     large = cut_lineage(ready.groupBy("tree_id").count().where(F.col("count") > TREE_NODES).select("tree_id"), "large-trees")
     if large.isEmpty():
         return _listed_whole(ready)
-    return _listed_whole(ready.join(large, "tree_id", "left_anti")).unionByName(_listed_by_joins(ready.join(large, "tree_id", "left_semi"))).orderBy("tree_id", "path")
+    both = _listed_whole(ready.join(large, "tree_id", "left_anti")).withColumn("place", F.lit(0)).unionByName(_listed_by_joins(ready.join(large, "tree_id", "left_semi")))
+    # not orderBy: it samples tens of thousands of rows on the driver, and a path is as long as its tree is deep
+    return both.repartitionByRange("tree_id", "place").sortWithinPartitions("tree_id", "path").drop("place")
 
 
 def _listed_whole(nodes: DataFrame) -> DataFrame:
@@ -281,7 +284,10 @@ def _listing(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _listed_by_joins(nodes: DataFrame) -> DataFrame:
-    """The listing of trees of any size. Paths shrink a lot in a file, so its size says nothing of a broadcast's."""
+    """The listing of trees of any size, with the place of each path among a few of its tree's, by which the order is dealt.
+
+    Paths shrink a lot in a file, so its size says nothing of a broadcast's.
+    """
     edge = F.explode(
         F.array(
             F.struct(F.col("neg").alias("node_id"), F.lit("0").alias("step")),
@@ -309,9 +315,15 @@ def _listed_by_joins(nodes: DataFrame) -> DataFrame:
             F.concat(F.coalesce("__path", F.lit("")), "path").alias("path"),
         )
         reach = tables.store(longer, "paths")
-    return nodes.select("tree_id", "node_id", "node").join(reach.hint("merge"), ["tree_id", "node_id"]).select(
+    rows, chars = reach.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("path")), F.lit(0))).first()
+    share = min(BOUNDS / max(rows, 1), BOUND_CHARS / max(chars, 1))
+    some = reach.where(F.pmod(F.xxhash64("tree_id", "node_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    bounds = some.groupBy("tree_id").agg(F.collect_list("path").alias("bounds"))
+    listed = nodes.select("tree_id", "node_id", "node").join(reach.hint("merge"), ["tree_id", "node_id"]).select(
         "tree_id", F.concat("path", F.lit("1")).alias("path"), "node"
     )
+    below = F.size(F.filter("bounds", lambda b: b <= F.col("path")))
+    return listed.join(F.broadcast(bounds), "tree_id", "left").select("tree_id", "path", "node", F.when(F.col("bounds").isNull(), 0).otherwise(below).alias("place"))
 
 
 def feature_use(nodes: DataFrame) -> DataFrame:

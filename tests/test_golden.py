@@ -1,6 +1,7 @@
 """Worked examples with known answers."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -212,3 +213,30 @@ def test_a_forest_of_small_trees_is_not_sent_to_the_driver(spark):
     listing.collect()
     text = listing._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in text and "Broadcast" not in text and "rangepartitioning(tree_id" in text
+
+
+def test_paths_of_large_trees_are_not_sampled(spark, odd_forest, monkeypatch):
+    """The driver sampled whole paths for the ranges of the order, and a path is as long as its tree is deep."""
+    monkeypatch.setattr(trees, "TREE_NODES", 9)
+    rows, nodes = odd_forest
+    listing = trees.tree_inorder(nodes)
+    assert [tuple(r)[:2] for r in listing.collect()] == [r[:2] for r in _walked(rows)]
+    ranges = re.findall(r"rangepartitioning\(.*", listing._jdf.queryExecution().executedPlan().toString())
+    assert ranges and not any(re.search(r"\bpath#\d+ ASC", r) for r in ranges)
+
+
+@pytest.mark.parametrize("sides", ["2", "20", "0220002"])
+def test_a_large_tree_is_sorted_by_many_tasks(spark, sides):
+    """Of any shape; of stems, whole or changing sides, all paths begin alike."""
+    depth, rows = 600, []
+    for i in range(depth):
+        on, off = 2 * i + 2, 2 * i + 1
+        pos, neg = (on, off) if sides[i % len(sides)] == "2" else (off, on)
+        rows += [(1, 2 * i, "split", f"s{i}", pos, neg, None), (1, off, "leaf", None, None, None, i)]
+    rows.append((1, 2 * depth, "leaf", None, None, None, depth))
+    nodes = spark.createDataFrame(rows, "tree_id long, node_id long, kind string, feature string, pos long, neg long, leaf_idx int")
+    placed = trees._listed_by_joins(nodes.selectExpr("tree_id", "node_id", "neg", "pos", "coalesce(feature, cast(leaf_idx as string)) as node")).collect()
+    assert sorted((r.tree_id, r.path, r.node) for r in placed) == _walked(rows)
+    places = [r.place for r in sorted(placed, key=lambda r: r.path)]
+    assert places == sorted(places)
+    assert len(set(places)) > 128 and max(map(places.count, set(places))) < len(places) / 16
