@@ -1,13 +1,16 @@
 """Gradients against finite differences, losses against numpy."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from galewise.functions import mlp
-from galewise.operators import gradients, metrics
+from galewise.operators import edges, gradients, metrics
 from galewise.operators.ranking import lambda_gradients
 from galewise.plans import vector_net
+from galewise.session import Versions
 
 W = 4
 
@@ -254,3 +257,30 @@ def test_edges_in_blocks_equal_joins(spark, monkeypatch):
             assert np.allclose(a[key][0], b[key][0]) and np.isclose(a[key][1], b[key][1])
     assert [r[0] for r in logits] == [r[0] for r in blocked]
     assert np.allclose([r[1:] for r in logits], [r[1:] for r in blocked])
+
+
+def test_rounds_of_edges_add_up(spark, monkeypatch):
+    """Edges that are moved in several rounds give what the joins give, and leave only the sums."""
+    rng = np.random.default_rng(4)
+    left, right = table(spark, rng.normal(size=(40, W))), table(spark, rng.normal(size=(50, W)))
+    t, p, n = rng.integers(0, 40, 300), rng.integers(0, 50, 300), rng.integers(0, 50, 300)
+    triples = spark.createDataFrame([(int(a), int(b), int(c), 1.5) for a, b, c in zip(t, p, n)], "t long, p long, n long, weight double")
+    samples = spark.createDataFrame([(str(i), int(a), int(b), [int(c), int(a)]) for i, (a, b, c) in enumerate(zip(t, p, n))], "sample_id string, t long, p long, negs array<long>")
+    names = ["sample_id", "pos_logit", "neg_logit", "pos_loss", "neg_loss"]
+
+    def everything(*tables):
+        parts = [summed(gradients.bpr_parts(triples, left, right, W, *tables)), summed(gradients.posneg_parts(samples, left, right, W, *tables))]
+        return parts, sorted(map(tuple, gradients.posneg_logits(samples, left, right, W, keep=("sample_id",)).select(*names).collect()))
+
+    want, logits = everything()
+    made, plain = [], edges.layout
+    for name, x in (("LEAST_ROWS", 1), ("ROUND_EDGES", 200), ("ROUND_DEGREE", 0)):
+        monkeypatch.setattr(edges, name, x)
+    monkeypatch.setattr(edges, "layout", lambda *a: (made.append(a), plain(*a))[1])
+    tables = Versions(spark, "rounds")
+    got, found = everything(tables)
+    assert len(made) == 3 + 5 + 5 and os.listdir(tables.root) == [f"edge-sums-{3 + 5}"]
+    for a, b in zip(want, got):
+        assert set(a) == set(b)
+        assert all(np.allclose(a[key][0], b[key][0]) and np.isclose(a[key][1], b[key][1]) for key in a)
+    assert [r[0] for r in logits] == [r[0] for r in found] and np.allclose([r[1:] for r in logits], [r[1:] for r in found])
