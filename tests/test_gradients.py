@@ -1,15 +1,17 @@
 """Gradients against finite differences, losses against numpy."""
 
 import os
+import time
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from galewise.functions import mlp
 from galewise.operators import edges, gradients, metrics
 from galewise.operators.ranking import lambda_gradients
-from galewise.plans import vector_net
+from galewise.plans import model_queries, vector_net
 from galewise.session import Versions
 
 W = 4
@@ -284,3 +286,18 @@ def test_rounds_of_edges_add_up(spark, monkeypatch):
         assert set(a) == set(b)
         assert all(np.allclose(a[key][0], b[key][0]) and np.isclose(a[key][1], b[key][1]) for key in a)
     assert [r[0] for r in logits] == [r[0] for r in found] and np.allclose([r[1:] for r in logits], [r[1:] for r in found])
+
+
+def test_shuffle_files_of_stored_triples_are_dropped(spark):
+    """What a step has written holds no shuffle files while the next one moves its edges."""
+    def kept():
+        return {int(k) for k in spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().keys().mkString(",").split(",") if k}
+
+    spark.range(5).groupBy("id").count().collect()
+    most = max(kept(), default=-1)
+    rows = model_queries._triples(spark, SF)
+    for _ in range(40):  # the driver drops them in a thread of its own
+        if not any(k > most for k in kept()):
+            break
+        time.sleep(0.25)
+    assert not any(k > most for k in kept()) and rows.count()
